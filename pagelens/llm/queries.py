@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelens.llm import mixing, overlap, repetition, splits
+from pagelens.llm import leakage, lookalike, mixing, overlap, percentiles, repetition, splits
 from pagelens.runtime import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,35 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.report(p1_splits(spark, sf_dir), shares)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "ref_lines"))
+
+
+def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = table(spark, sf_dir, "lexicon").select("word").unionByName(
+        table(spark, sf_dir, "ref_lines").select(F.explode(F.split("text", r"\s")).alias("word"))
+    )
+    return lookalike.normalise(table(spark, sf_dir, "text_lines").dropDuplicates(["line_no"]), vocabulary)
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.percentiles(percentiles.values(table(spark, sf_dir, "text_lines")))
+
+
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.cells(percentiles.values(table(spark, sf_dir, "text_lines")))
+
+
+def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.from_cells(p5_cells(spark, sf_dir), ("dataset_tag", "measure"))
+
+
+def p5_bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.bin_edges(p5_combined(spark, sf_dir), ("dataset_tag", "measure")).select(
+        "dataset_tag", "measure", F.array_join(F.transform("edges", lambda e: F.round(e, 9).cast("string")), " ").alias("edges")
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.row_pairs(*overlap.matches(table(spark, sf_dir, "train_rows"))).select("row_no_a", "row_no_b").distinct()
 
@@ -38,6 +68,14 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.row_pairs(*overlap.matches(table(spark, sf_dir, "train_rows"))).select("train_row", "eval_row", "covered", "n_changed")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_found(spark, sf_dir).groupBy("item_no").agg(F.count("*").alias("n_documents"))
+
+
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(durable(mixing.sizes(table(spark, sf_dir, "documents")), "sizes"), table(spark, sf_dir, "mix_targets"))
 
@@ -56,9 +94,31 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p7_found, p7_counts, p7_coverage, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_splits, p1_report, p4_found, p4_normalised, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
     )}
 
 
+_VALUES = """
+WITH once AS (SELECT DISTINCT line_no, dataset_tag, CAST(scored_at AT TIME ZONE 'UTC' AS DATE) AS day, htr_score, line_conf, region_conf FROM text_lines),
+vals AS (SELECT dataset_tag, day, m.measure AS measure, m.value AS value FROM once, LATERAL (VALUES ('htr_score', htr_score), ('line_conf', line_conf), ('region_conf', region_conf)) m(measure, value)
+  WHERE m.value >= 0 AND m.value <= 1 AND NOT isnan(m.value))
+"""
+_PERMILLE = "(VALUES " + ", ".join(f"({p})" for p in percentiles.PERMILLE) + ") p(permille)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    combined = f"""{_VALUES},
+cells AS (SELECT dataset_tag, measure, least(CAST(floor(value * 1024) AS BIGINT), 1023) AS cell, count(*) AS k FROM vals GROUP BY 1, 2, 3),
+summed AS (SELECT *, CAST(sum(k) OVER (PARTITION BY dataset_tag, measure ORDER BY cell) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY dataset_tag, measure) AS BIGINT) AS n FROM cells),
+picked AS (SELECT dataset_tag, measure, permille, n, cell FROM summed, {_PERMILLE}
+  WHERE greatest(1, (n * permille + 999) // 1000) <= upto AND greatest(1, (n * permille + 999) // 1000) > upto - k)
+"""
+    return {
+        "p5_percentiles": f"""{_VALUES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_tag, day, measure ORDER BY value) AS r, count(*) OVER (PARTITION BY dataset_tag, day, measure) AS n FROM vals)
+SELECT dataset_tag, day, measure, permille, n, value, 0.0::DOUBLE AS error_bound FROM ranked, {_PERMILLE} WHERE r = greatest(1, (n * permille + 999) // 1000)""",
+        "p5_cells": f"""{_VALUES}
+SELECT dataset_tag, day, measure, least(CAST(floor(value * 1024) AS BIGINT), 1023) AS cell, count(*) AS n FROM vals GROUP BY 1, 2, 3, 4""",
+        "p5_combined": f"""{combined}
+SELECT dataset_tag, measure, permille, n, cell / 1024.0::DOUBLE AS lo, (cell + 1) / 1024.0::DOUBLE AS hi, (cell + 0.5::DOUBLE) / 1024.0::DOUBLE AS value, 0.00048828125::DOUBLE AS error_bound FROM picked""",
+    }
