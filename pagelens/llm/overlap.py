@@ -77,8 +77,15 @@ def distance_within(a: list, b: list, most: int) -> int | None:
     return None
 
 
-def _codes(norm: str) -> tuple[int, ...]:
-    return tuple(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in norm.split(" "))
+class _Coder(dict):
+    """Word codes, remembered while one block is scanned; equal codes of unequal words only cost a verification."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return code
+
+    def sequence(self, norm: str) -> tuple[int, ...]:
+        return tuple([self[w] for w in norm.split(" ")])
 
 
 def _cut(one_in: int):
@@ -115,12 +122,16 @@ def _scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     out: dict[str, list] = {"train_id": [], "eval_id": [], "matched": []}
     if len(left) and len(right):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for passage, owners in left.groupby("passage", sort=False):
-            automaton.add_word(_codes(passage), list(zip(owners["text_id"], owners["start"], owners["end"])))
+        coder = _Coder()
+        owned: dict[str, list[tuple[str, int, int]]] = {}
+        for passage, eval_id, a, b in zip(left["passage"].tolist(), left["text_id"].tolist(), left["start"].tolist(), left["end"].tolist()):
+            owned.setdefault(passage, []).append((eval_id, a, b))
+        for passage, owners in owned.items():
+            automaton.add_word(coder.sequence(passage), owners)
         automaton.make_automaton()
         for train_id, norm in zip(right["text_id"], right["norm"]):
             hit: dict[str, list[tuple[int, int]]] = {}
-            for _, owners in automaton.iter(_codes(norm)):
+            for _, owners in automaton.iter(coder.sequence(norm)):
                 for eval_id, a, b in owners:
                     if eval_id != train_id:
                         hit.setdefault(eval_id, []).append((a, b))
@@ -149,7 +160,7 @@ def candidates(texts: DataFrame, one_in: int = ONE_IN, shard_passages: int = SHA
     routed = (
         train.withColumn("head", F.explode(_heads(F.col("norm")))).select("text_id", "norm", shard.alias("shard")).distinct()
         if shards > 1
-        else train.withColumn("shard", F.lit(0).cast("long"))
+        else train.withColumn("shard", F.pmod(F.xxhash64("text_id"), F.lit(1)))
     )
     right = routed.join(parts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("text_id"), F.lit(blocks)).alias("block"), "text_id", "norm"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import leakage, lookalike, mixing, overlap, percentiles, repetition, splits
+from pagelens.llm import leakage, lookalike, mixing, overlap, percentiles, repair, repetition, splits
 from pagelens.runtime import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,15 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.report(p1_splits(spark, sf_dir), shares)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "lexicon"))
+    return found.filter("kind <> 'text'").select("line_no", "kind").distinct()
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.paragraphs(durable(repair.repair(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "lexicon")), "lines"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "ref_lines"))
 
@@ -94,7 +103,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p4_found, p4_normalised, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
     )}
 
 
