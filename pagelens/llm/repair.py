@@ -134,17 +134,28 @@ class Words:
         """Whether a word could be misread: outside the lexicon, no number, no hyphenated name, no old spelling with w for v."""
         return len(word) > 1 and word not in self.lexicon and word.isalnum() and not word.isdigit() and ("w" not in word or word.replace("w", "v") not in self.lexicon)
 
-    def repaired(self, word: str) -> str | None:
-        if word in self.seen:
-            return self.seen[word]
-        got = None
-        if self.strange(word):
-            edits = self.neighbours.edits(word)
-            got = self.editor.repair(word, edits) if edits else None
+    def candidate(self, token: str) -> str | None:
+        """The word of a lower-case token if it could be misread."""
+        if token in self.seen:
+            return self.seen[token]
+        w = core(token)
+        return self._keep(token, w if w and self.strange(w) and w == _EDGE.sub("", token) else None)
+
+    def repaired(self, token: str) -> str | None:
+        """What the editor makes of a token's word, None if it keeps it."""
+        if token in self.seen:
+            return self.seen[token]
+        w, got = core(token), None
+        if self.strange(w):
+            edits = self.neighbours.edits(w)
+            got = self.editor.repair(w, edits) if edits else None
+        return self._keep(token, got)
+
+    def _keep(self, token: str, found: str | None) -> str | None:
         if len(self.seen) > 500_000:
             self.seen.clear()
-        self.seen[word] = got
-        return got
+        self.seen[token] = found
+        return found
 
     def join(self, left: str, mark: bool, right: str) -> list[str]:
         """Features of the break between two tokens."""
@@ -181,9 +192,14 @@ def _edges(texts: list[str]) -> list[int]:
     return [i for pair in zip(head, foot) for i in dict.fromkeys(pair)]
 
 
-def _page_lines(row) -> tuple[list[int], list[str], list[str]]:
-    raw = [x["text"] or "" for x in row]
-    return [x["line_no"] for x in row], raw, [plain(t) for t in raw]
+def _pages_of(column: pa.ListArray) -> Iterator[tuple[list[int], list[str], list[str]]]:
+    """Per page of a column of line arrays the line numbers, the texts as stored, and the texts by table."""
+    offsets = column.offsets.to_pylist()
+    ids = column.values.field("line_no").to_pylist()
+    raw = [t or "" for t in column.values.field("text").to_pylist()]
+    texts = [plain(t) for t in raw]
+    for a, b in zip(offsets, offsets[1:]):
+        yield ids[a:b], raw[a:b], texts[a:b]
 
 
 _GATHER = "kind string, volume_no long, block long, place int, word string, form string, value long, n long"
@@ -198,8 +214,7 @@ def _gather(shared):
             out: list[tuple] = []
             strange: Counter[str] = Counter()
             breaks: Counter[str] = Counter()
-            for volume, block, place, lines in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                _, raw, texts = _page_lines(lines)
+            for volume, block, place, (_, raw, texts) in zip(*(batch.column(i).to_pylist() for i in range(3)), _pages_of(batch.column(3))):
                 for i in _edges(texts):
                     got = page_number(texts[i])
                     if got:
@@ -215,10 +230,8 @@ def _gather(shared):
                         continue
                     # Words inside a line only: those at its ends may be parts of broken words. Names are upper case.
                     for t in found[1:-1]:
-                        if not t[:1].isupper():
-                            w = core(t)
-                            if w and w not in judge.lexicon and judge.strange(w) and w == _EDGE.sub("", t):
-                                strange[w] += 1
+                        if not t[:1].isupper() and (w := judge.candidate(t)):
+                            strange[w] += 1
                     if previous is not None and (previous[1] or previous[0][-1:].isalnum()):
                         a, b = core(previous[0]), core(found[0])
                         # Parts that make a known word, marked or no words themselves, are a sure join; known words that make none are not.
@@ -314,8 +327,9 @@ def _repair(shared):
         judge = Words(neighbours, editor)
         for batch in batches:
             out: list[tuple] = []
-            for volume, block, rec, place, start, lines, titles, offsets in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                ids, raw, texts = _page_lines(lines)
+            for volume, block, rec, place, start, titles, offsets, (ids, raw, texts) in zip(
+                *(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6, 7)), _pages_of(batch.column(5))
+            ):
                 best = {f: (b["offset"], b["n"]) for f, b in (offsets or [])}
                 kinds = furniture(texts, titles or [], best, place + (start or 0))
                 for i, kind in kinds.items():
@@ -337,13 +351,13 @@ def _repair(shared):
                     found = parts[i]
                     words = []
                     for n, t in enumerate(found):
-                        w = core(t)
                         first, last = n == 0, n == len(found) - 1
                         if (first and head[i]) or (last and (tail[i] or marks[i])):
                             words.append(t)
                             continue
-                        right = judge.repaired(w) if w else None
+                        right = judge.repaired(t)
                         if right:
+                            w = core(t)
                             # The first and last word of a page may turn out to be parts of a word broken at the page's end.
                             edge = ("_first" if first and k == 0 else "") or ("_last" if last and k == len(running) - 1 else "")
                             out.append((volume, block, rec, ids[i], i, "misread" + edge, f"{w}>{right}", None, None))
