@@ -1,0 +1,99 @@
+"""Steps over document trees kept as adjacency tables: doc_id, node_id, parent_id (null at the root), pos, depth, and the node's fields."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pagelens.runtime import durable
+
+#: Levels a tree can have: page, regions (nested), lines, words.
+MAX_DEPTH = 64
+
+
+def leaves(nodes: DataFrame) -> DataFrame:
+    parents = nodes.select("doc_id", F.col("parent_id").alias("node_id")).filter("node_id IS NOT NULL").distinct()
+    return nodes.join(parents, ["doc_id", "node_id"], "left_anti")
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, ancestor_id, distance) of every node and itself; one join per level of the deepest tree."""
+    up = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("above"))
+    level = nodes.select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
+    found = level
+    for d in range(1, MAX_DEPTH):
+        level = durable(
+            level.join(up, ["doc_id", "ancestor_id"]).filter("above IS NOT NULL").select("doc_id", "node_id", F.col("above").alias("ancestor_id"), F.lit(d).alias("distance")), "level"
+        )
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
+
+
+def prune(nodes: DataFrame, condition: Column) -> DataFrame:
+    """The tree without the nodes that meet the condition and everything below them; the root stays."""
+    cut = nodes.filter(condition & F.col("parent_id").isNotNull()).select("doc_id", F.col("node_id").alias("ancestor_id"))
+    below = ancestors(nodes).join(cut, ["doc_id", "ancestor_id"], "left_semi").select("doc_id", "node_id").distinct()
+    return nodes.join(below, ["doc_id", "node_id"], "left_anti")
+
+
+def low_confidence_lines(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Drop leaves whose best text confidence (column conf; null counts as 0) is below the threshold."""
+    bad = leaves(nodes).filter(F.coalesce("conf", F.lit(0.0)) < threshold).select("doc_id", "node_id", F.lit(True).alias("bad"))
+    return nodes.join(bad, ["doc_id", "node_id"], "left_anti")
+
+
+def mean_confidence(nodes: DataFrame) -> DataFrame:
+    """Per node the mean confidence over itself and everything below it; nodes without text count as 0."""
+    conf = nodes.select("doc_id", "node_id", F.coalesce("conf", F.lit(0.0)).alias("c"))
+    return ancestors(nodes).join(conf, ["doc_id", "node_id"]).groupBy("doc_id", F.col("ancestor_id").alias("node_id")).agg(F.avg("c").alias("mean_conf"))
+
+
+def low_confidence_regions(nodes: DataFrame, threshold: float, depth: int = 1) -> DataFrame:
+    """Drop the nodes of a depth, with all below, whose mean confidence is below the threshold (depth 0: whole documents)."""
+    scored = durable(nodes.join(mean_confidence(nodes), ["doc_id", "node_id"]), "scored")
+    if depth == 0:
+        bad = scored.filter(F.col("parent_id").isNull() & (F.col("mean_conf") < threshold)).select("doc_id")
+        return nodes.join(bad, "doc_id", "left_anti")
+    return prune(scored, (F.col("depth") == depth) & (F.col("mean_conf") < threshold)).drop("mean_conf")
+
+
+def by_size(nodes: DataFrame, min_height: float = 0, min_width: float = 0, max_height: float = float("inf"), max_width: float = float("inf")) -> DataFrame:
+    """Drop leaves whose height and width are not strictly within the limits."""
+    h, w = F.col("ymax") - F.col("ymin"), F.col("xmax") - F.col("xmin")
+    keep = (h > min_height) & (h < max_height) & (w > min_width) & (w < max_width)
+    return nodes.join(leaves(nodes).filter(~F.coalesce(keep, F.lit(False))).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+
+
+def by_shape(nodes: DataFrame, min_ratio: float = 0, max_ratio: float = float("inf")) -> DataFrame:
+    """Drop leaves whose width to height is not strictly within the limits; a height of 0 never is."""
+    ratio = F.try_divide(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    keep = (ratio > min_ratio) & (ratio < max_ratio)
+    return nodes.join(leaves(nodes).filter(~F.coalesce(keep, F.lit(False))).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+
+
+def fail(_: DataFrame, message: str = "deliberate failure") -> DataFrame:
+    raise RuntimeError(message)
+
+
+#: Named steps, applied with :func:`run`.
+STEPS: dict[str, Callable[..., DataFrame]] = {
+    "Prune": prune,
+    "RemoveLowTextConfidenceLines": low_confidence_lines,
+    "RemoveLowTextConfidenceRegions": low_confidence_regions,
+    "RemoveLowTextConfidencePages": lambda nodes, threshold: low_confidence_regions(nodes, threshold, 0),
+    "FilterRegionsBySize": by_size,
+    "FilterRegionsByShape": by_shape,
+    "Break": fail,
+}
+
+
+def run(nodes: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
+    """The tree after named steps, in order; an unknown name is a KeyError before anything runs."""
+    chosen = [(STEPS[name], options) for name, options in steps]
+    for step, options in chosen:
+        nodes = step(nodes, **options)
+    return nodes

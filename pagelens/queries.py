@@ -1,16 +1,87 @@
-"""Queries of the core operators over the driver's tables, with the SQL that must give the same rows."""
+"""Queries of the core operators over the driver's tables, with the SQL that must give the same rows.
+
+Doubles are rounded on both sides and NaN becomes null at the outermost select, so values compare exactly.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelens.operators import drift, nested
-from pagelens.runtime import table
+from pagelens.functions import geometry as G
+from pagelens.functions import stats as S
+from pagelens.functions import text as T
+from pagelens.operators import boosting, compare, drift, evaluate, layout, matrix, nested, ngrams, text_metrics, tree
+from pagelens.plans import features
+from pagelens.runtime import durable, shared_dir, table
+from pagelens.sources import page_json
+from pagelens.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Digits that doubles are rounded to.
+DIGITS = 6
+
+
+def _r(c: Column | str, digits: int = DIGITS) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c), F.round(c, digits) + F.lit(0.0))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(_r(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+# --- inputs ---------------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines once, as ASCII text."""
+    rows = table(spark, sf_dir, "text_lines").select("line_no", "rec_no", "line_pos", "text").dropDuplicates(["line_no"])
+    return rows.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""))
+
+
+_LINES = "lines AS (SELECT DISTINCT line_no, rec_no, line_pos, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS text FROM text_lines)"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even lines of a page as its truth, odd ones as what was read."""
+    rows = _lines(spark, sf_dir).select("rec_no", F.floor(F.col("line_pos") / 2).cast("long").alias("pos"), "text", (F.col("line_pos") % 2).alias("odd"))
+    return rows.filter("odd = 0").drop("odd"), rows.filter("odd = 1").drop("odd")
+
+
+_SIDES = f"""{_LINES},
+truth AS (SELECT rec_no, CAST(line_pos // 2 AS BIGINT) AS pos, text FROM lines WHERE line_pos % 2 = 0),
+readl AS (SELECT rec_no, CAST(line_pos // 2 AS BIGINT) AS pos, text FROM lines WHERE line_pos % 2 = 1)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    b = rows.agg(F.min("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+    x, y = (F.floor(F.col("pos") / 10) % 97) * 10.0, (F.col("s") % 53) * 8.0
+    return b.select("page", "pos", x.alias("xmin"), y.alias("ymin"), (x + 20 + F.col("q") * 3).alias("xmax"), (y + 15 + (F.col("pos") % 10) * 4).alias("ymax"))
+
+
+_BOXES = """boxes AS (SELECT page, pos, x AS xmin, y AS ymin, x + 20 + q * 3 AS xmax, y + 15 + (pos % 10) * 4 AS ymax FROM (
+  SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS pos, CAST((l_partkey % 97) * 10 AS DOUBLE) AS x, CAST((min(l_suppkey) % 53) * 8 AS DOUBLE) AS y, max(l_quantity) AS q
+  FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber))"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_json.pages(table(spark, sf_dir, "page_documents"))
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "train_rows").dropDuplicates(["row_no"])
+
+
+_TRAIN = "train AS (SELECT DISTINCT ON (row_no) * FROM train_rows)"
+FEATURES = ("htr_line_score_mean", "htr_line_score_std", "line_conf_mean", "region_conf_mean", "n_lines")
+
+# --- problems 3 and 6 -----------------------------------------------------------------------------
+
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.bridges(table(spark, sf_dir, "page_documents")).select("page_no", "kind", "node_path", "parent_path")
@@ -20,18 +91,341 @@ def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.objects(nested.bridges(table(spark, sf_dir, "page_documents")))
 
 
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.flat_table(nested.bridges(table(spark, sf_dir, "page_documents")), "line", {"confidence": "$.segmentation_confidence", "text": "$.transcription[0].text"})
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "htr_json")).select("stream_no", "export_no", "drift_kind", "old_path", "new_path")
 
 
+def p6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = drift.records(table(spark, sf_dir, "htr_json"))
+    return drift.fingerprints(recs, drift.layouts(drift.fields(recs)))
+
+
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     exports = table(spark, sf_dir, "htr_json")
     return drift.unified(exports, drift.changes(exports))
 
 
+# --- statistics -----------------------------------------------------------------------------------
+
+
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(*S.group_stats(F.col("value"), "value")))
+
+
+def hist_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "text_lines").dropDuplicates(["line_no"])
+    return _rounded(lines.groupBy("dataset_tag").agg(*S.group_histogram(F.col("htr_score"), S.linspace(0.0, 1.0, 10), "htr")))
+
+
+def shifted_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
+    return values.select("o_custkey", _r(S.array_entropy(F.col("v")), 5).alias("entropy"))
+
+
+def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "text_lines").dropDuplicates(["line_no"])
+    v = F.when((F.col("line_conf") >= 0) & (F.col("line_conf") <= 1), S.finite(F.col("line_conf")))
+    return lines.groupBy("dataset_tag").agg(F.percentile(v, list(S.BIN_QUANTILES)).alias("q")).select("dataset_tag", F.posexplode("q").alias("i", "edge")).select(
+        "dataset_tag", F.col("i").cast("long").alias("i"), _r("edge").alias("edge")
+    )
+
+
+def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array forms of the statistics, against the same SQL aggregates."""
+    values = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
+    stats = S.array_stats(F.col("v"), "price")
+    return values.select("o_custkey", *(_r(c, 3 if n.endswith("_std") else DIGITS).alias(n) for n, c in stats.items()), _r(S.array_percentile(F.col("v"), 0.2), 4).alias("p20"))
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+def line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("chars", F.length("text")).withColumn("words", T.word_count(F.col("text")))
+    shares = rows.groupBy("rec_no").agg(
+        F.count("*").alias("n_lines"), F.sum("chars").alias("total_chars"), F.sum("words").alias("total_words"), F.percentile("chars", [0.2, 0.8]).alias("p"), F.collect_list("chars").alias("c")
+    )
+    part = lambda test: F.size(F.filter("c", test)) / F.size("c")
+    return _rounded(shares.select("rec_no", "n_lines", "total_chars", "total_words", part(lambda x: x < F.col("p")[0]).alias("frac_short_lines"), part(lambda x: x > F.col("p")[1]).alias("frac_long_lines")))
+
+
+def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in T.char_classes(F.col("text")).items())))
+
+
+def no_alpha_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_lines(spark, sf_dir).groupBy("rec_no").agg((F.count_if(~T.has_letter(F.col("text"))) / F.count("*")).alias("frac_no_alpha_lines")))
+
+
+def repetition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.long_runs(F.col("text"), 3).cast("long").alias("n_runs"))
+
+
+def word_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.word_tokens(F.col("text"))).alias("w")).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("w").alias("n_words"))
+
+
+def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.frequent(_lines(spark, sf_dir), 4, 5, 200).select(F.col("n").cast("long").alias("n"), "gram", "cnt")
+
+
+def ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    return _rounded(ngrams.ratio_present(lines, ngrams.frequent(lines, 3, 50), 3, "line_no"))
+
+
+def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    counts, totals = ngrams.model(lines.filter("rec_no % 2 = 0"), 3)
+    return lines.filter("rec_no % 2 = 1").select("line_no", "text").transform(lambda t: ngrams.perplexity(t, counts, totals, 3, "line_no")).select("line_no", _r("ppl", 4).alias("ppl"))
+
+
+def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _lines(spark, sf_dir).select("rec_no", F.explode_outer(T.word_tokens(F.col("text"))).alias("token"))
+    words = table(spark, sf_dir, "lexicon").select("lexicon_name", F.lower("word").alias("word"))
+    return _rounded(ngrams.lexicon_match(tokens, words, "rec_no"))
+
+
+# --- error rates ----------------------------------------------------------------------------------
+
+
+def bow_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(text_metrics.bag_of_words(*_sides(spark, sf_dir), "rec_no"))
+
+
+def linewise_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(text_metrics.linewise_cer(*_sides(spark, sf_dir), "rec_no"))
+
+
+def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full target kernel, pages against themselves with their lines reversed and boxes moved a little."""
+    pages = _pages(spark, sf_dir).filter("error IS NULL")
+    own = lambda items: F.transform(items, lambda x: G.box(x["xmin"], x["ymin"], x["xmax"], x["ymax"]))
+    truth = pages.select("page_no", "lines", own("lines").alias("boxes"), own("regions").alias("regions"))
+    read = pages.select("page_no", F.reverse("lines").alias("lines"), F.transform("detections", lambda d: d.withField("xmax", d["xmax"] + 7)).alias("detections"))
+    return evaluate.evaluate(truth, read, "page_no")
+
+
+# --- boxes ----------------------------------------------------------------------------------------
+
+
+def geom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir).withColumn("xmin", F.when((F.col("page") % 7 == 0) & (F.col("pos") % 3 == 0), None).otherwise(F.col("xmin")))
+    return text_metrics.page_order(boxes, "page").select("page", "pos", F.col("order_no").cast("long").alias("order_no"))
+
+
+def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.overlap_counts(_boxes(spark, sf_dir), ["page"], "pos")
+
+
+def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best overlap of each box with another of its page; pages hold a few boxes."""
+    boxes = _boxes(spark, sf_dir).select("page", "pos", layout.as_box().alias("b"))
+    items = boxes.groupBy("page").agg(F.collect_list(F.struct("pos", "b")).alias("items"))
+    best = F.transform("items", lambda a: F.struct(a["pos"].alias("pos"), F.array_max(F.transform(F.filter("items", lambda o: o["pos"] != a["pos"]), lambda o: G.iou(a["b"], o["b"]))).alias("best_iou")))
+    return items.select("page", F.explode(best).alias("x")).select("page", "x.pos", _r("x.best_iou").alias("best_iou"))
+
+
+def contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.contained(_boxes(spark, sf_dir), ["page"], "pos")
+
+
+def printspace_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = G.box(*(F.lit(v) for v in (150.0, 60.0, 700.0, 350.0)))
+    return layout.printspace_order(_boxes(spark, sf_dir), ["page"], space, "pos", True).select("page", "pos", "location", F.col("order_no").cast("long").alias("order_no"))
+
+
+def left_right_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.left_right_top_down(_boxes(spark, sf_dir), ["page"], "pos").select("page", "pos", F.col("order_no").cast("long").alias("order_no"))
+
+
+def top_down_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.top_down(_boxes(spark, sf_dir), ["page"], "pos").select("page", "pos", F.col("order_no").cast("long").alias("order_no"))
+
+
+def line_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = text_metrics.spacing(_boxes(spark, sf_dir), ["page"], G.center_y(layout.as_box()), "pos")
+    return _rounded(gaps.groupBy("page").agg(*S.group_stats(F.col("gap"), "line_spacing")))
+
+
+def order_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_metrics.inversions(_boxes(spark, sf_dir), ["page"], G.center_y(layout.as_box()), "pos")
+
+
+def polygon_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    p = F.concat_ws(" ", *(F.concat_ws(",", x, y) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))))
+    return boxes.select("page", "pos", G.polygon_box(F.concat(p, F.lit(" ;x,1"))).alias("b")).select("page", "pos", "b.*")
+
+
+def pruned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    b = boxes.select(
+        F.col("page").alias("doc_id"), (F.col("pos") + 1).alias("node_id"), F.lit(0).cast("long").alias("parent_id"), F.lit(1).alias("depth"), ((F.col("pos") % 100) / 100.0).alias("conf"),
+        "xmin", "ymin", "xmax", "ymax",
+    )
+    none = F.lit(None).cast("double")
+    roots = boxes.select("page").distinct().select(
+        F.col("page").alias("doc_id"), F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"), none.alias("conf"), *(none.alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    )
+    steps = [("RemoveLowTextConfidenceLines", {"threshold": 0.3}), ("Prune", {"condition": F.col("xmin") > 900}), ("FilterRegionsByShape", {"min_ratio": 1.0})]
+    return tree.run(roots.unionByName(b), steps).filter("parent_id IS NOT NULL").select("doc_id", "node_id")
+
+
+# --- pairing and comparing --------------------------------------------------------------------------
+
+
+def stem_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "dataset_pages")
+    return compare.paired(pages.select(F.col("gt_path").alias("path")).filter("path IS NOT NULL"), pages.select(F.col("pred_path").alias("path")).filter("path IS NOT NULL"))
+
+
+def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "dataset_pages").filter("gt_path IS NOT NULL")
+    listed = pages.filter("rec_no % 3 = 0").select(F.upper(F.concat(F.lit("alto/"), F.col("gt_path"))).alias("rel_path"))
+    return compare.without(pages.select(F.col("gt_path").alias("rel_path")).distinct(), listed)
+
+
+def existing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "dataset_pages")
+    files = pages.select(F.col("image_path").alias("path")).filter("path IS NOT NULL").distinct()
+    more = files.select(F.regexp_replace("path", r"jpg$", "png").alias("path")).filter("length(path) % 2 = 0")
+    wanted = pages.select(F.col("source_page_id").alias("stem")).distinct()
+    return compare.first_existing(wanted, files.unionByName(more), (".png", ".jpg"))
+
+
+def _pipelines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _train(spark, sf_dir).withColumn("y", F.nanvl("target_bow_f1", F.lit(None).cast("double"))).withColumn("c", F.nanvl("target_perm_cer_strict", F.lit(None).cast("double")))
+    side = lambda p: rows.filter(F.col("dataset_tag").startswith(p)).groupBy("source_page_id").agg(F.max("y").alias("bow_f1"), F.max("c").alias("perm_cer"))
+    return side("lines"), side("rl")
+
+
+def paired_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(compare.compare(*_pipelines(spark, sf_dir), "source_page_id", ["bow_f1", "perm_cer"]))
+
+
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(compare.summarise(_train(spark, sf_dir), ["target_bow_f1", "target_perm_cer_strict", "n_lines"], ["split"]))
+
+
+def page_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _train(spark, sf_dir).filter("target_bow_f1 IS NOT NULL AND NOT isnan(target_bow_f1) AND line_conf_mean IS NOT NULL AND NOT isnan(line_conf_mean)")
+    rows = rows.withColumn("truth", F.round("target_bow_f1", 2))
+    return compare.ranks(rows, "truth", "line_conf_mean", "row_no", ["csv_file"]).select("row_no", F.col("gt_rank").cast("long").alias("gt_rank"), F.col("pred_rank").cast("long").alias("pred_rank"))
+
+
+def top_bottom_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _train(spark, sf_dir).filter("line_conf_mean IS NOT NULL AND NOT isnan(line_conf_mean)")
+    return compare.top_bottom(rows, "line_conf_mean", "row_no", 25).select("row_no", "part")
+
+
+def once_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.latest(table(spark, sf_dir, "htr_json").select("json_no", "stream_no", "export_no", "received_at"), "json_no", "received_at").groupBy("stream_no").agg(F.count("*").alias("n_records"))
+
+
+# --- matrices and models ------------------------------------------------------------------------------
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _train(spark, sf_dir).withColumn("split", F.when(F.col("split") == "train", "train").otherwise("val"))
+
+
+def target_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.correlations(_train(spark, sf_dir), FEATURES, "target_bow_f1"))
+
+
+def usable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _train(spark, sf_dir).withColumn("flat", F.lit(1.0)).withColumn("empty", F.lit(float("nan")))
+    return spark.createDataFrame([(c,) for c in matrix.usable_columns(rows, ["row_no"])], "feature string")
+
+
+def weighted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y, p = S.finite(F.col("target_bow_f1")), S.finite(F.col("line_conf_mean"))
+    rows = _train(spark, sf_dir).select("csv_file", y.alias("y"), p.alias("p")).filter("y IS NOT NULL AND p IS NOT NULL")
+    low, high = rows.agg(F.min("y"), F.max("y")).first()
+    w = matrix.sample_weight(F.col("y"), "target_bow_f1", F.lit(low), F.lit(high))
+    return _rounded(rows.groupBy("csv_file").agg(matrix.mae(F.col("y"), F.col("p")).alias("mae"), matrix.mae(F.col("y"), F.col("p"), w).alias("wmae")))
+
+
+def constant_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(matrix.constant_baseline(_clean(spark, sf_dir), "target_bow_f1"))
+
+
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.holdout(_train(spark, sf_dir), "row_no", 0.2).groupBy("split").agg(F.count("*").alias("n_rows"))
+
+
+def correlated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _train(spark, sf_dir).withColumn("z_copy", F.col("n_lines") * 2 + 1)
+    return spark.createDataFrame([(c,) for c in matrix.prune_correlated(rows, [*FEATURES, "z_copy"])], "feature string")
+
+
+def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = {"full": list(FEATURES), "confidence_only": matrix.feature_set("confidence_only", FEATURES)}
+    found = boosting.search(_clean(spark, sf_dir), sets, ["target_bow_f1", "target_perm_cer_strict"], "row_no", n_trials=4, n_trees=40)
+    return boosting.best_trials(durable(found)).drop("model_json")
+
+
+def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _clean(spark, sf_dir)
+    m = boosting.matrix(rows, FEATURES, "target_bow_f1", "row_no")
+    train = m[m["split"] == "train"]
+    model = boosting.train(train[list(FEATURES)].to_numpy(float), train["target_bow_f1"].to_numpy(float), FEATURES, boosting.Params(n_trees=40))
+    return boosting.score(rows, model, "predicted").select("row_no", "predicted")
+
+
+def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return boosting.pca_transform(rows, "embedding", *boosting.pca_fit(rows, "embedding", 8)).drop("embedding")
+
+
+# --- pages and streams ----------------------------------------------------------------------------------
+
+
+def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.page_features(_pages(spark, sf_dir))
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence statistics of top-level regions, which SQL can follow."""
+    pages = _pages(spark, sf_dir)
+    return _rounded(pages.select("page_no", F.size(F.filter("detections", lambda d: d["kind"] == "region")).alias("n_regions"), F.size("lines").alias("n_lines")))
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts per type by Structured Streaming: windows that the watermark has closed."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    base = f"{shared_dir(spark)}/pagelens/stream-{id(stream):x}-{spark.sparkContext.startTime}"
+    query = (
+        scoring.windowed_counts(stream, "ts", "event_type").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long").parquet(f"{base}/out")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_objects, p6_found, p6_unified)}
+    return {
+        f.__name__: f
+        for f in (
+            p3_found, p3_objects, p3_lines, p6_found, p6_versions, p6_unified, group_stats, hist_equal, shifted_entropy, quantile_edges, array_features,
+            line_shape, char_classes, no_alpha_lines, repetition_runs, word_token_counts, ngram_top, ngram_ratio, lm_perplexity, lexicon_match,
+            bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
+            line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,
+            page_ranks, top_bottom_pages, once_per_key, target_correlation, usable_features, weighted_errors, constant_baseline, holdout_split,
+            correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, streamed_events,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pagelens.queries_sql import ORACLES
+
+    return ORACLES
+
+
