@@ -46,6 +46,25 @@ list_points AS (SELECT page_no, node_path, i.i FROM polys, LATERAL (SELECT unnes
 points AS (SELECT * FROM text_points UNION ALL SELECT * FROM list_points UNION ALL SELECT page_no, node_path, 0 FROM polys WHERE json_type(p) = 'OBJECT')
 SELECT page_no, kind, node_path, parent_path FROM nodes WHERE kind <> 'page'
 UNION ALL SELECT page_no, 'point', node_path || '/p' || CAST(i AS VARCHAR), node_path FROM points""",
+    "p6_found": """
+WITH once AS (SELECT DISTINCT ON (json_no) stream_no, export_no, CAST(body AS JSON) AS j FROM htr_json WHERE json_valid(body)),
+top AS (SELECT o.stream_no, o.export_no, json_extract_string(o.j, '$.line_ref') AS line, e.key AS path, e.type AS t, e.value AS value FROM once o, json_each(o.j) e),
+every AS (SELECT * FROM top UNION ALL SELECT p.stream_no, p.export_no, p.line, p.path || '.' || e.key, e.type, e.value FROM top p, json_each(CASE WHEN p.t = 'OBJECT' THEN p.value ELSE '{}' END) e),
+f AS (SELECT stream_no, export_no, line, path, CASE WHEN t = 'OBJECT' THEN 'object' WHEN t = 'ARRAY' THEN 'array' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'VARCHAR' THEN 'string' ELSE 'number' END AS jt, CAST(value AS VARCHAR) AS val FROM every WHERE t <> 'NULL'),
+lay AS (SELECT stream_no, export_no, path, jt FROM (SELECT *, row_number() OVER (PARTITION BY stream_no, export_no, path ORDER BY n DESC, jt) AS r FROM (SELECT stream_no, export_no, path, jt, count(*) AS n FROM f GROUP BY ALL)) WHERE r = 1),
+step AS (SELECT * FROM (SELECT stream_no, export_no, lag(export_no) OVER (PARTITION BY stream_no ORDER BY export_no) AS prev FROM (SELECT DISTINCT stream_no, export_no FROM once)) WHERE prev IS NOT NULL),
+o AS (SELECT s.stream_no, s.export_no, l.path, l.jt FROM step s JOIN lay l ON l.stream_no = s.stream_no AND l.export_no = s.prev), n AS (SELECT s.stream_no, s.export_no, l.path, l.jt FROM step s JOIN lay l ON l.stream_no = s.stream_no AND l.export_no = s.export_no),
+b AS (SELECT coalesce(o.stream_no, n.stream_no) AS stream_no, coalesce(o.export_no, n.export_no) AS export_no, coalesce(o.path, n.path) AS path, o.jt AS ot, n.jt AS nt FROM o FULL JOIN n ON o.stream_no = n.stream_no AND o.export_no = n.export_no AND o.path = n.path),
+ret AS (SELECT * FROM b WHERE ot <> nt), swapped AS (SELECT stream_no, export_no, path FROM ret WHERE ot = 'object' OR nt = 'object'),
+loose AS (SELECT * FROM b WHERE (ot IS NULL OR nt IS NULL) AND coalesce(ot, nt) <> 'object' AND NOT EXISTS (SELECT 1 FROM swapped w WHERE w.stream_no = b.stream_no AND w.export_no = b.export_no AND b.path LIKE w.path || '.%')),
+pairs AS (SELECT r.stream_no, r.export_no, s.prev, r.path AS op, a.path AS np FROM loose r JOIN loose a ON r.stream_no = a.stream_no AND r.export_no = a.export_no AND r.nt IS NULL AND a.ot IS NULL AND r.ot = a.nt JOIN step s ON s.stream_no = r.stream_no AND s.export_no = r.export_no),
+agree AS (SELECT p.stream_no, p.export_no, p.op, p.np, count(*) AS k, count(*) FILTER (WHERE x.val = y.val) AS same FROM pairs p JOIN f x ON x.stream_no = p.stream_no AND x.export_no = p.prev AND x.path = p.op
+  JOIN f y ON y.stream_no = p.stream_no AND y.export_no = p.export_no AND y.path = p.np AND y.line = x.line GROUP BY ALL),
+ren AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream_no, export_no, op ORDER BY same DESC, np) AS ro, row_number() OVER (PARTITION BY stream_no, export_no, np ORDER BY same DESC, op) AS rn FROM agree WHERE same > 0 AND same >= 0.9 * k) WHERE ro = 1 AND rn = 1)
+SELECT stream_no, export_no, 'renamed' AS drift_kind, op AS old_path, np AS new_path FROM ren
+UNION ALL SELECT stream_no, export_no, 'retyped', path, path FROM ret
+UNION ALL SELECT stream_no, export_no, 'removed', path, '' FROM loose l WHERE nt IS NULL AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.stream_no = l.stream_no AND r.export_no = l.export_no AND r.op = l.path)
+UNION ALL SELECT stream_no, export_no, 'added', '', path FROM loose l WHERE ot IS NULL AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.stream_no = l.stream_no AND r.export_no = l.export_no AND r.np = l.path)""",
     "group_stats": f"SELECT event_type, {_stats('value', 'value')} FROM events GROUP BY event_type",
     "hist_equal": _hist(),
     "shifted_entropy": """
