@@ -122,7 +122,30 @@ summed AS (SELECT *, CAST(sum(k) OVER (PARTITION BY dataset_tag, measure ORDER B
 picked AS (SELECT dataset_tag, measure, permille, n, cell FROM summed, {_PERMILLE}
   WHERE greatest(1, (n * permille + 999) // 1000) <= upto AND greatest(1, (n * permille + 999) // 1000) > upto - k)
 """
+    # Single characters that stand for another one, and the characters that don't count, as SQL lists.
+    wide = [chr(c) for c in (*range(0xFF01, 0xFF5F), *range(0x2160, 0x2180), 0x212A, 0x212B, *lookalike.LOOK_ALIKES)]
+    plain = {c: lookalike.plain(c) for c in wide if len(lookalike.plain(c)) == 1 and lookalike.plain(c) != c}
+    quoted = [("".join(x)).replace("'", "''") for x in (plain, plain.values())]
+    form = f"""trim(nfc_normalize(translate(regexp_replace(regexp_replace(text, '[\\p{{Cf}}]', '', 'g'), '[\\s\\p{{Z}}]', ' ', 'g'), '{quoted[0]}', '{quoted[1]}')))"""
+    fold = "translate({0}, 'wW', 'vV')"
+    unknown = ", ".join(f"'{p}'" for p in splits.PLACEHOLDERS)
     return {
+        "p1_found": f"""
+WITH RECURSIVE once AS (SELECT DISTINCT rec_no, source_page_id, volume_no, regexp_replace(lower(scribe_ref), '[^\\p{{L}}\\p{{M}}\\p{{N}}]', '', 'g') AS w FROM dataset_pages),
+k AS (SELECT rec_no, 's' || source_page_id AS key FROM once WHERE source_page_id IS NOT NULL UNION SELECT rec_no, 'v' || volume_no FROM once WHERE volume_no IS NOT NULL
+  UNION SELECT rec_no, 'w' || w FROM once WHERE w IS NOT NULL AND w NOT IN ({unknown})),
+kk AS (SELECT DISTINCT a.key AS a, b.key AS b FROM k a JOIN k b USING (rec_no)),
+reach AS (SELECT DISTINCT key AS a, key AS b FROM k UNION SELECT r.a, kk.b FROM reach r JOIN kk ON kk.a = r.b)
+SELECT k.rec_no, min(CAST(substr(r.b, 2) AS BIGINT)) AS group_volume_no FROM k JOIN reach r ON r.a = k.key WHERE r.b LIKE 'v%' GROUP BY k.rec_no""",
+        "p4_found": f"""
+WITH l AS (SELECT DISTINCT line_no, text, {form} AS f FROM text_lines WHERE text IS NOT NULL), r AS (SELECT DISTINCT ref_no, text, map_w_to_v AS m, {form} AS f FROM ref_lines WHERE text IS NOT NULL)
+SELECT DISTINCT line_no, ref_no FROM l JOIN r ON CASE WHEN r.m THEN {fold.format('l.f')} = {fold.format('r.f')} ELSE l.f = r.f END WHERE l.text <> r.text""",
+        "p10_found": """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS g, len(ws) AS n FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
+h AS (SELECT doc_id, n, i FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, g) AS first FROM g) WHERE i > first),
+c AS (SELECT DISTINCT doc_id, n, i + d AS p FROM h, (SELECT unnest(range(8)) AS d))
+SELECT doc_id FROM c GROUP BY doc_id, n HAVING count(*) >= 0.3 * n""",
         "p5_percentiles": f"""{_VALUES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_tag, day, measure ORDER BY value) AS r, count(*) OVER (PARTITION BY dataset_tag, day, measure) AS n FROM vals)
 SELECT dataset_tag, day, measure, permille, n, value, 0.0::DOUBLE AS error_bound FROM ranked, {_PERMILLE} WHERE r = greatest(1, (n * permille + 999) // 1000)""",
