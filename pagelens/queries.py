@@ -22,7 +22,7 @@ from pagelens.streaming import scoring
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Digits that doubles are rounded to.
-DIGITS = 6
+DIGITS = 9
 
 
 def _r(c: Column | str, digits: int = DIGITS) -> Column:
@@ -138,7 +138,7 @@ def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The array forms of the statistics, against the same SQL aggregates."""
     values = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
     stats = S.array_stats(F.col("v"), "price")
-    return values.select("o_custkey", *(_r(c, 3 if n.endswith("_std") else DIGITS).alias(n) for n, c in stats.items()), _r(S.array_percentile(F.col("v"), 0.2), 4).alias("p20"))
+    return values.select("o_custkey", *(_r(c, 3 if n.endswith("_std") else 9 if n.endswith("_cv") else 6).alias(n) for n, c in stats.items()), _r(S.array_percentile(F.col("v"), 0.2), 4).alias("p20"))
 
 
 # --- text -----------------------------------------------------------------------------------------

@@ -12,14 +12,14 @@ def _hist() -> str:
     cols = []
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         op = "<=" if i == 9 else "<"
-        cols.append(f"CASE WHEN {n} > 0 THEN round(count(*) FILTER (WHERE v >= {a!r} AND v {op} {b!r}) / {n}, 6) ELSE 0.0 END AS htr_hist_bin_{i}")
+        cols.append(f"CASE WHEN {n} > 0 THEN round(count(*) FILTER (WHERE v >= {a!r} AND v {op} {b!r}) / {n}, 9) ELSE 0.0 END AS htr_hist_bin_{i}")
     return f"SELECT dataset_tag, {', '.join(cols)} FROM (SELECT DISTINCT line_no, dataset_tag, CASE WHEN isfinite(htr_score) THEN htr_score END AS v FROM text_lines) GROUP BY dataset_tag"
 
 
-def _stats(x: str, prefix: str, digits: int = 6, std_digits: int = 6) -> str:
+def _stats(x: str, prefix: str, digits: int = 9, std_digits: int = 9) -> str:
     return (
         f"round(avg({x}), {digits}) AS {prefix}_mean, round(stddev_pop({x}), {std_digits}) AS {prefix}_std, round(min({x}), {digits}) AS {prefix}_min,"
-        f" round(max({x}), {digits}) AS {prefix}_max, CASE WHEN avg({x}) <> 0 THEN round(stddev_pop({x}) / avg({x}), {digits}) END AS {prefix}_cv"
+        f" round(max({x}), {digits}) AS {prefix}_max, CASE WHEN avg({x}) <> 0 THEN round(stddev_pop({x}) / avg({x}), 9) END AS {prefix}_cv"
     )
 
 
@@ -73,18 +73,18 @@ SELECT o_custkey, round(coalesce(sum(CASE WHEN x > 0 THEN -(x / total) * log2(x
     "quantile_edges": f"""
 WITH v AS (SELECT DISTINCT line_no, dataset_tag, line_conf AS x FROM text_lines WHERE isfinite(line_conf) AND line_conf BETWEEN 0 AND 1),
 q AS (SELECT dataset_tag, quantile_cont(x, {list(BIN_QUANTILES)}) AS q FROM v GROUP BY dataset_tag)
-SELECT dataset_tag, CAST(i AS BIGINT) AS i, round(q[i + 1], 6) AS edge FROM q, (SELECT unnest(range({len(BIN_QUANTILES)})) AS i)""",
+SELECT dataset_tag, CAST(i AS BIGINT) AS i, round(q[i + 1], 9) AS edge FROM q, (SELECT unnest(range({len(BIN_QUANTILES)})) AS i)""",
     "array_features": f"SELECT o_custkey, {_stats('o_totalprice', 'price', 6, 3)}, round(quantile_cont(o_totalprice, 0.2), 4) AS p20 FROM orders GROUP BY o_custkey",
     "line_shape": f"""
 WITH {_LINES}, x AS (SELECT rec_no, length(text) AS chars, CASE WHEN {_COLLAPSED} = '' THEN 0 ELSE len(string_split({_COLLAPSED}, ' ')) END AS words FROM lines),
 p AS (SELECT *, quantile_cont(chars, 0.2) OVER (PARTITION BY rec_no) AS lo, quantile_cont(chars, 0.8) OVER (PARTITION BY rec_no) AS hi FROM x)
 SELECT rec_no, count(*) AS n_lines, CAST(sum(chars) AS BIGINT) AS total_chars, CAST(sum(words) AS BIGINT) AS total_words,
-  round(count(*) FILTER (WHERE chars < lo) / count(*), 6) AS frac_short_lines, round(count(*) FILTER (WHERE chars > hi) / count(*), 6) AS frac_long_lines FROM p GROUP BY rec_no""",
+  round(count(*) FILTER (WHERE chars < lo) / count(*), 9) AS frac_short_lines, round(count(*) FILTER (WHERE chars > hi) / count(*), 9) AS frac_long_lines FROM p GROUP BY rec_no""",
     "char_classes": """
-SELECT doc_id, round(length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) / n, 6) AS char_digit_ratio, round((n - length(regexp_replace(text, '[^\\p{L}\\p{N}\\s\\p{Z}]', '', 'g'))) / n, 6) AS char_punct_ratio,
-  round(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / n, 6) AS char_upper_ratio, round((n - length(regexp_replace(text, '[^\\x20-\\x7E\\x{C0}-\\x{17F}]', '', 'g'))) / n, 6) AS char_unknown_ratio
+SELECT doc_id, round(length(regexp_replace(text, '[^\\p{Nd}]', '', 'g')) / n, 9) AS char_digit_ratio, round((n - length(regexp_replace(text, '[^\\p{L}\\p{N}\\s\\p{Z}]', '', 'g'))) / n, 9) AS char_punct_ratio,
+  round(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / n, 9) AS char_upper_ratio, round((n - length(regexp_replace(text, '[^\\x20-\\x7E\\x{C0}-\\x{17F}]', '', 'g'))) / n, 9) AS char_unknown_ratio
 FROM (SELECT doc_id, text, length(text) AS n FROM documents)""",
-    "no_alpha_lines": f"WITH {_LINES} SELECT rec_no, round(count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{{L}}')) / count(*), 6) AS frac_no_alpha_lines FROM lines GROUP BY rec_no",
+    "no_alpha_lines": f"WITH {_LINES} SELECT rec_no, round(count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{{L}}')) / count(*), 9) AS frac_no_alpha_lines FROM lines GROUP BY rec_no",
     "repetition_runs": """
 WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
 g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS island FROM c), r AS (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id, ch, island HAVING count(*) >= 3)
@@ -93,7 +93,7 @@ SELECT d.doc_id, count(r.k) AS n_runs FROM documents d LEFT JOIN r USING (doc_id
     "ngram_top": f"WITH {_LINES}, g AS ({_GRAMS.format(key='line_no', text=_COLLAPSED, n=4, src='lines')}) SELECT CAST(4 AS BIGINT) AS n, gram, count(*) AS cnt FROM g GROUP BY gram HAVING count(*) >= 5 ORDER BY cnt DESC, gram LIMIT 200",
     "ngram_ratio": f"""
 WITH {_LINES}, g AS ({_GRAMS.format(key='line_no', text=_COLLAPSED, n=3, src='lines')}), f AS (SELECT gram FROM g GROUP BY gram HAVING count(*) >= 50)
-SELECT l.line_no, round(count(f.gram) / nullif(count(g.gram), 0), 6) AS char_3gram_ratio_present FROM lines l LEFT JOIN g USING (line_no) LEFT JOIN f ON f.gram = g.gram GROUP BY l.line_no""",
+SELECT l.line_no, round(count(f.gram) / nullif(count(g.gram), 0), 9) AS char_3gram_ratio_present FROM lines l LEFT JOIN g USING (line_no) LEFT JOIN f ON f.gram = g.gram GROUP BY l.line_no""",
     "lm_perplexity": f"""
 WITH {_LINES}, even AS (SELECT * FROM lines WHERE rec_no % 2 = 0), odd AS (SELECT line_no, regexp_replace(text, '\\s+', '', 'g') AS text FROM lines WHERE rec_no % 2 = 1),
 w AS ({_GRAMS.format(key='line_no', text='text', n=3, src='even')}), c AS (SELECT substr(gram, 1, 2) AS context, substr(gram, 3, 1) AS token, count(*) AS cnt FROM w GROUP BY 1, 2),
@@ -104,7 +104,7 @@ SELECT o.line_no, round(exp(-avg(logp)), 4) AS ppl FROM odd o LEFT JOIN p USING
     "lexicon_match": f"""
 WITH {_LINES}, tok AS (SELECT rec_no, w AS token FROM (SELECT rec_no, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM lines)),
 lx AS (SELECT DISTINCT lexicon_name, lower(word) AS word FROM lexicon UNION SELECT DISTINCT 'combined', lower(word) FROM lexicon), names AS (SELECT DISTINCT lexicon_name FROM lx), recs AS (SELECT DISTINCT rec_no FROM lines)
-SELECT r.rec_no, n.lexicon_name, round(coalesce(count(lx.word) / nullif(count(tok.token), 0), 0.0), 6) AS match_ratio, count(lx.word) AS match_count, count(DISTINCT lx.word) AS unique_match_count
+SELECT r.rec_no, n.lexicon_name, round(coalesce(count(lx.word) / nullif(count(tok.token), 0), 0.0), 9) AS match_ratio, count(lx.word) AS match_count, count(DISTINCT lx.word) AS unique_match_count
 FROM recs r CROSS JOIN names n LEFT JOIN tok ON tok.rec_no = r.rec_no LEFT JOIN lx ON lx.lexicon_name = n.lexicon_name AND lx.word = tok.token GROUP BY 1, 2""",
     "bow_prf": f"""
 WITH {_SIDES}, a AS (SELECT rec_no, w, count(*) AS n FROM (SELECT rec_no, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM truth) GROUP BY 1, 2),
@@ -112,16 +112,16 @@ b AS (SELECT rec_no, w, count(*) AS n FROM (SELECT rec_no, unnest(regexp_extract
 s AS (SELECT coalesce(a.rec_no, b.rec_no) AS rec_no, sum(coalesce(a.n, 0)) AS t, sum(coalesce(b.n, 0)) AS r, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS both_n FROM a FULL JOIN b ON a.rec_no = b.rec_no AND a.w = b.w GROUP BY 1),
 k AS (SELECT k.rec_no, coalesce(t, 0) AS t, coalesce(r, 0) AS r, coalesce(both_n, 0) AS m FROM (SELECT DISTINCT rec_no FROM lines) k LEFT JOIN s USING (rec_no)),
 pr AS (SELECT rec_no, CASE WHEN t = 0 AND r = 0 THEN 1.0 WHEN t = 0 OR r = 0 THEN 0.0 ELSE m / r END::DOUBLE AS p, CASE WHEN t = 0 THEN 1.0 WHEN r = 0 THEN 0.0 ELSE m / t END::DOUBLE AS c FROM k)
-SELECT rec_no, round(p, 6) AS bow_precision, round(c, 6) AS bow_recall, round(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0.0 END, 6) AS bow_f1 FROM pr""",
+SELECT rec_no, round(p, 9) AS bow_precision, round(c, 9) AS bow_recall, round(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0.0 END, 9) AS bow_f1 FROM pr""",
     "linewise_cer": f"""
 WITH {_SIDES}, j AS (SELECT coalesce(t.rec_no, r.rec_no) AS rec_no, t.text AS t, r.text AS r FROM truth t FULL JOIN readl r ON t.rec_no = r.rec_no AND t.pos = r.pos),
 g AS (SELECT rec_no, avg(CASE WHEN t IS NULL THEN NULL WHEN r IS NULL THEN 1.0::DOUBLE WHEN t = '' THEN CASE WHEN r = '' THEN 0.0 ELSE 1.0 END::DOUBLE ELSE levenshtein(t, r) / length(t)::DOUBLE END) AS a, count(t) AS m, count(r) AS n FROM j GROUP BY rec_no)
-SELECT rec_no, round(coalesce(a, 0.0), 6) AS avg_line_cer, round(greatest(m - n, 0) / greatest(m, 1), 6) AS missing_ratio, round(greatest(n - m, 0) / greatest(n, 1), 6) AS halluc_ratio FROM g""",
+SELECT rec_no, round(coalesce(a, 0.0), 9) AS avg_line_cer, round(greatest(m - n, 0) / greatest(m, 1), 9) AS missing_ratio, round(greatest(n - m, 0) / greatest(n, 1), 9) AS halluc_ratio FROM g""",
     "geom_order": f"""
 WITH {_BOXES}, b AS (SELECT page, pos, CASE WHEN page % 7 = 0 AND pos % 3 = 0 THEN NULL ELSE xmin END AS xmin, ymin FROM boxes), f AS (SELECT *, bool_and(xmin IS NOT NULL) OVER (PARTITION BY page) AS ok FROM b)
 SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ok THEN ymin END, CASE WHEN ok THEN xmin END, pos) - 1 AS order_no FROM f""",
     "box_overlap": f"WITH {_BOXES} SELECT a.page, count(b.pos) AS n_overlaps FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos < b.pos AND {_OVERLAP} GROUP BY a.page",
-    "box_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 6) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
+    "box_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 9) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
     "contained_boxes": f"WITH {_BOXES} SELECT DISTINCT a.page, a.pos FROM boxes a JOIN boxes b ON a.page = b.page AND a.pos <> b.pos AND {_AREA.format('b')} > {_AREA.format('a')} AND {_INTER} > 0.5 * {_AREA.format('a')}",
     "printspace_order": f"""
 WITH {_BOXES}, p AS (SELECT a.*, CASE WHEN greatest(0, least(700, a.xmax) - greatest(150, a.xmin)) * greatest(0, least(350, a.ymax) - greatest(60, a.ymin)) / ({_AREA.format('a')}) > 0.5 THEN 'PRINTSPACE'
@@ -151,11 +151,11 @@ SELECT w.stem, s.path FROM (SELECT DISTINCT source_page_id AS stem FROM dataset_
 WITH {_TRAIN}, v AS (SELECT source_page_id, dataset_tag, CASE WHEN isfinite(target_bow_f1) THEN target_bow_f1 END AS y, CASE WHEN isfinite(target_perm_cer_strict) THEN target_perm_cer_strict END AS c FROM train),
 l AS (SELECT source_page_id, max(y) AS y, max(c) AS c FROM v WHERE dataset_tag LIKE 'lines%' GROUP BY 1), r AS (SELECT source_page_id, max(y) AS y, max(c) AS c FROM v WHERE dataset_tag LIKE 'rl%' GROUP BY 1)
 SELECT coalesce(l.source_page_id, r.source_page_id) AS source_page_id, CASE WHEN l.source_page_id IS NOT NULL AND r.source_page_id IS NOT NULL THEN 'both' WHEN l.source_page_id IS NOT NULL THEN 'left' ELSE 'right' END AS side,
-  round(l.y, 6) AS bow_f1_left, round(r.y, 6) AS bow_f1_right, round(r.y - l.y, 6) AS bow_f1_delta, round(l.c, 6) AS perm_cer_left, round(r.c, 6) AS perm_cer_right, round(r.c - l.c, 6) AS perm_cer_delta
+  round(l.y, 9) AS bow_f1_left, round(r.y, 9) AS bow_f1_right, round(r.y - l.y, 9) AS bow_f1_delta, round(l.c, 9) AS perm_cer_left, round(r.c, 9) AS perm_cer_right, round(r.c - l.c, 9) AS perm_cer_delta
 FROM l FULL JOIN r ON l.source_page_id = r.source_page_id""",
     "metric_summary": f"""
 WITH {_TRAIN}, m AS (SELECT split, x.metric, CASE WHEN isfinite(x.v) THEN x.v END AS v FROM train, LATERAL (VALUES ('target_bow_f1', target_bow_f1), ('target_perm_cer_strict', target_perm_cer_strict), ('n_lines', n_lines)) x(metric, v))
-SELECT split, metric, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std FROM m GROUP BY 1, 2""",
+SELECT split, metric, count(v) AS n, round(avg(v), 9) AS mean, round(median(v), 9) AS median, round(stddev_pop(v), 9) AS std FROM m GROUP BY 1, 2""",
     "page_ranks": f"""
 WITH {_TRAIN} SELECT row_no, rank() OVER (PARTITION BY csv_file ORDER BY round(target_bow_f1, 2) DESC) AS gt_rank, row_number() OVER (PARTITION BY csv_file ORDER BY line_conf_mean DESC, row_no) AS pred_rank
 FROM train WHERE isfinite(target_bow_f1) AND isfinite(line_conf_mean)""",
@@ -165,17 +165,17 @@ WITH {_TRAIN}, t AS (SELECT row_no, line_conf_mean AS s FROM train WHERE isfinit
     "once_per_key": "SELECT stream_no, count(DISTINCT json_no) AS n_records FROM htr_json GROUP BY stream_no",
     "target_correlation": f"WITH {_TRAIN} "
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count(*) AS n, round(corr({c}, target_bow_f1), 6) AS corr FROM train WHERE isfinite({c}) AND isfinite(target_bow_f1)" for c in FEATURES
+        f"SELECT '{c}' AS feature, count(*) AS n, round(corr({c}, target_bow_f1), 9) AS corr FROM train WHERE isfinite({c}) AND isfinite(target_bow_f1)" for c in FEATURES
     ),
     "usable_features": f"WITH {_TRAIN} "
     + " UNION ALL ".join(f"SELECT '{c}' AS feature FROM train WHERE isfinite({c}) HAVING min({c}) <> max({c})" for c in FEATURES),
     "weighted_errors": f"""
 WITH {_TRAIN}, v AS (SELECT csv_file, target_bow_f1 AS y, line_conf_mean AS p FROM train WHERE isfinite(target_bow_f1) AND isfinite(line_conf_mean)), b AS (SELECT min(y) >= -0.05 AND max(y) <= 1.05 AS ok FROM v),
 w AS (SELECT v.*, CASE WHEN ok THEN greatest(1.0, least(5.0, 1 + 2 * pow(1 - greatest(0.0, least(1.0, y)), 2))) ELSE 1.0 END::DOUBLE AS w FROM v, b)
-SELECT csv_file, round(avg(abs(y - p)), 6) AS mae, round(sum(w * abs(y - p)) / sum(w), 6) AS wmae FROM w GROUP BY csv_file""",
+SELECT csv_file, round(avg(abs(y - p)), 9) AS mae, round(sum(w * abs(y - p)) / sum(w), 9) AS wmae FROM w GROUP BY csv_file""",
     "constant_baseline": f"""
 WITH {_TRAIN}, v AS (SELECT target_bow_f1 AS y, split FROM train WHERE isfinite(target_bow_f1)), m AS (SELECT avg(y) AS m FROM v)
-SELECT round(max(m), 6) AS mean_used, count(*) AS n_val, round(avg(abs(y - m)), 6) AS val_mae FROM v, m WHERE split <> 'train'""",
+SELECT round(max(m), 9) AS mean_used, count(*) AS n_val, round(avg(abs(y - m)), 9) AS val_mae FROM v, m WHERE split <> 'train'""",
     "holdout_split": f"""
 WITH {_TRAIN}, n AS (SELECT count(*) AS n FROM train) SELECT 'val' AS split, CAST(ceil(n * 0.2) AS BIGINT) AS n_rows FROM n UNION ALL SELECT 'train', CAST(n - ceil(n * 0.2) AS BIGINT) FROM n""",
     "correlated_features": "SELECT unnest(['" + "', '".join(FEATURES) + "']) AS feature",

@@ -102,6 +102,8 @@ def alto_page(name: str, regions, lines) -> str:
                     subs = f' SUBS_TYPE="HypPart1" SUBS_CONTENT={quoteattr(w[:-1] + words[j + 1][0])}'
                 elif k == 0 and j and words[j - 1] and words[j - 1][-1][-1] in "-¬":
                     subs = f' SUBS_TYPE="HypPart2" SUBS_CONTENT={quoteattr(words[j - 1][-1][:-1] + w)}'
+                if k:
+                    out.append("<SP/>")
                 out.append(f"<String CONTENT={quoteattr(w)}{subs} {_place(x)}{_conf(x)}/>")
             out.append("</TextLine>")
         out.append("</TextBlock>")
