@@ -76,6 +76,12 @@ def join_features(left: str, mark: bool, stop: bool, right: str, right_upper: bo
     ]
 
 
+#: What is known of breaks without any example: parts of a known word belong together, others don't.
+PRIOR_BREAKS = [
+    (join_features("a", mark, False, "b", False, known, False, False), known, 1) for mark in (True, False) for known in (True, False)
+]
+
+
 class Editor:
     """Weights of the trained editor, and the edits they choose."""
 
@@ -144,7 +150,7 @@ def train(words: list[tuple[str, int]], breaks: list[tuple[list[str], bool, int]
                 if guess:
                     update(edit_features(word, *guess), -1.0)
             step += 1
-        for features, joined, _ in breaks:
+        for features, joined, _ in [*PRIOR_BREAKS, *breaks]:
             s = sum(weights[f] for f in features)
             if (s > 0) != joined:
                 update(features, 1.0 if joined else -1.0)

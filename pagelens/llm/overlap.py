@@ -139,7 +139,7 @@ def _scan(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 out["train_id"].append(train_id)
                 out["eval_id"].append(eval_id)
                 out["matched"].append([int(x) for span in sorted(set(spans)) for x in span])
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=object)
 
 
 def candidates(texts: DataFrame, one_in: int = ONE_IN, shard_passages: int = SHARD_PASSAGES, block_texts: int = BLOCK_TEXTS) -> DataFrame:

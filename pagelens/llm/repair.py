@@ -28,6 +28,10 @@ BLOCK = 512
 EDGE_LINES = 2
 #: Likeness (1 - edit distance / length, letters and digits only) from which an edge line is the volume's title.
 TITLE_LIKENESS = 0.6
+#: Likeness of two readings of a title that no page shows twice alike.
+READING_LIKENESS = 0.85
+#: Share of a volume's pages that must show a text at an edge for it to be the title.
+TITLE_SHARE = 0.1
 MAX_LEXICON = 5_000_000
 
 #: Words before a page number, in the languages of the volumes.
@@ -64,6 +68,8 @@ def page_number(text: str) -> tuple[str, int] | None:
         return None
     value = roman(got[4] or f"{got[2]}{got[3] or ''}")
     digits = (got[2] or "").translate(DIGITS)
+    if got[3] and not any(c.isdigit() for c in got[2]):
+        digits = ""
     if digits.isdigit() and (any(c.isdigit() for c in got[2]) or value is None and (got[1] or len(core) <= 3)):
         return ("f", 2 * int(digits) + (got[3] in "vV")) if got[3] else ("a", int(digits))
     return None if value is None else ("r", value)
@@ -179,17 +185,17 @@ def pages(lines: DataFrame) -> DataFrame:
 
 
 def block_starts(page_rows: DataFrame) -> DataFrame:
-    """Per volume and block the number of pages before it."""
+    """Per volume and block its number of pages (n) and that before it (start)."""
     counts = page_rows.groupBy("volume_no", "block").agg(F.count("*").alias("n"))
     order = Window.partitionBy("volume_no").orderBy("block")
-    return counts.select("volume_no", "block", (F.sum("n").over(order) - F.col("n")).alias("start"))
+    return counts.select("volume_no", "block", "n", (F.sum("n").over(order) - F.col("n")).alias("start"))
 
 
 def _edges(texts: list[str]) -> list[int]:
     """Positions of the outermost non-blank lines, the outermost first, head before foot."""
     filled = [i for i, t in enumerate(texts) if t]
     head, foot = filled[:EDGE_LINES], filled[::-1][:EDGE_LINES]
-    return [i for pair in zip(head, foot) for i in dict.fromkeys(pair)]
+    return list(dict.fromkeys(i for pair in zip(head, foot) for i in pair))
 
 
 def _pages_of(column: pa.ListArray) -> Iterator[tuple[list[int], list[str], list[str]]]:
@@ -220,7 +226,8 @@ def _gather(shared):
                     if got:
                         out.append(("number", volume, block, place, None, *got, 1))
                     else:
-                        form = title_forms(texts[i])
+                        # A line that ends a sentence is running text, unless specks surround it.
+                        form = [] if texts[i][-1] in ".!?;," and texts[i][0].isalnum() else title_forms(texts[i])
                         if form and sum(c.isalpha() for c in form[0]) >= 5:
                             out.append(("title", volume, None, None, form[0], None, None, 1))
                 previous = None
@@ -250,15 +257,16 @@ def _gather(shared):
 
 
 def volume_facts(gathered: DataFrame, starts: DataFrame) -> DataFrame:
-    """Per volume its titles (those edge texts that stand most often, at least twice) and the offset of page numbers per form.
+    """Per volume its titles (the edge text that stands most often, on two pages and a tenth of all at least) and the offset of page numbers per form.
 
     A page number is the page's rank in the volume plus an offset; the offset that most edge lines
     agree on is the volume's (offsets: map form -> (offset, number of lines)).
     """
     counted = gathered.filter("kind = 'title'").groupBy("volume_no", "word").agg(F.sum("n").alias("n"))
-    titles = counted.groupBy("volume_no").agg(F.max("n").alias("most"), F.max_by("word", F.struct("n", "word")).alias("title"))
+    sizes = starts.groupBy("volume_no").agg(F.sum("n").alias("pages"))
+    titles = counted.groupBy("volume_no").agg(F.max("n").alias("most"), F.max_by("word", F.struct("n", "word")).alias("title")).join(sizes, "volume_no")
     numbers = (
-        gathered.filter("kind = 'number'").join(starts, ["volume_no", "block"])
+        gathered.filter("kind = 'number'").drop("n").join(starts.drop("n"), ["volume_no", "block"])
         .groupBy("volume_no", "form", (F.col("value") - F.col("place") - F.col("start")).alias("offset")).agg(F.count("*").alias("n"))
         .groupBy("volume_no", "form").agg(F.max_by(F.struct("offset", "n"), F.struct("n", -F.abs("offset"), "offset")).alias("best"))
         .groupBy("volume_no").agg(F.map_from_entries(F.collect_list(F.struct("form", "best"))).alias("offsets"))
@@ -270,12 +278,12 @@ def volume_facts(gathered: DataFrame, starts: DataFrame) -> DataFrame:
         "likely",
         F.filter(
             "words",
-            lambda w: F.exists(F.col("words"), lambda x: (x != w) & (F.levenshtein(x, w) <= F.lit(1 - TITLE_LIKENESS) * F.greatest(F.length(x), F.length(w)))),
+            lambda w: F.exists(F.col("words"), lambda x: (x != w) & (F.levenshtein(x, w) <= F.lit(1 - READING_LIKENESS) * F.greatest(F.length(x), F.length(w)))),
         ),
     )
     return (
         titles.join(few.select("volume_no", "likely"), "volume_no", "left")
-        .select("volume_no", F.when(F.col("most") > 1, F.array("title")).otherwise(F.slice(F.coalesce("likely", F.array().cast("array<string>")), 1, 3)).alias("titles"))
+        .select("volume_no", F.when((F.col("most") > 1) & (F.col("most") >= TITLE_SHARE * F.col("pages")), F.array("title")).otherwise(F.slice(F.coalesce("likely", F.array().cast("array<string>")), 1, 3)).alias("titles"))
         .join(numbers, "volume_no", "full")
     )
 
@@ -358,9 +366,13 @@ def _repair(shared):
                         right = judge.repaired(t)
                         if right:
                             w = core(t)
-                            # The first and last word of a page may turn out to be parts of a word broken at the page's end.
+                            # The first and last word of a page may turn out to be parts of a word broken at
+                            # the page's end, so the text keeps them as read.
                             edge = ("_first" if first and k == 0 else "") or ("_last" if last and k == len(running) - 1 else "")
                             out.append((volume, block, rec, ids[i], i, "misread" + edge, f"{w}>{right}", None, None))
+                            if edge:
+                                words.append(t)
+                                continue
                             at = t.lower().find(w)
                             fixed = right.capitalize() if t[at : at + 1].isupper() and not t.isupper() else right.upper() if t.isupper() and len(w) > 1 else right
                             t = t[:at] + fixed + t[at + len(w) :]
@@ -396,7 +408,7 @@ def repair(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     editor = train([tuple(r) for r in strange.collect()], sorted((r[0].split("\t")[:-1], r[0].endswith("yes"), r[1]) for r in breaks), neighbours)
     facts = durable(volume_facts(gathered, starts), "volumes")
     shared = spark.sparkContext.broadcast((neighbours, editor))
-    full = page_rows.join(starts, ["volume_no", "block"], "left").join(facts, "volume_no", "left")
+    full = page_rows.join(starts.drop("n"), ["volume_no", "block"], "left").join(facts, "volume_no", "left")
     done = durable(full.select("volume_no", "block", "rec_no", "place", "start", "lines", "titles", "offsets").mapInArrow(_repair(shared), _OUT), "repaired")
     return _over_pages(done, neighbours, editor)
 
