@@ -100,3 +100,43 @@ def normalize_token(fold_w: bool = False):
             yield batch.map(one, na_action="ignore")
 
     return run
+
+
+def word_boxes(text: Column, width: Column) -> Column:
+    """Words of a line with their left and right edge, from equal pixels per character; a word takes one character more, cut at the width."""
+    step = F.floor(F.try_divide(width, F.length(text)))
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<word:string,x0:long,x1:long>>").alias("out"))
+    walked = F.aggregate(
+        words, start,
+        lambda a, w: F.struct(
+            (a["at"] + step * (F.length(w) + 1)).cast("long").alias("at"),
+            F.concat(a["out"], F.array(F.struct(w.alias("word"), a["at"].alias("x0"), F.least(a["at"] + step * (F.length(w) + 1), width).cast("long").alias("x1")))).alias("out"),
+        ),
+    )
+    return walked["out"]
+
+
+def sequence_confidence(log_probs: Column, penalty: float = 1.0) -> Column:
+    """exp of the sum of log probabilities over the length to the power of the penalty; 1 for an empty sequence."""
+    total = F.aggregate(log_probs, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(log_probs) > 0, F.exp(total / F.pow(F.size(log_probs), F.lit(penalty)))).otherwise(F.lit(1.0))
+
+
+def token_confidences(tokens: Column, log_probs: Column) -> Column:
+    """(token, probability) of every token that is not empty."""
+    pairs = F.zip_with(tokens, log_probs, lambda t, p: F.struct(t.alias("token"), F.exp(p).alias("score")))
+    return F.filter(pairs, lambda x: x["token"] != "")
+
+
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(e, lambda x: x / total)
+
+
+def unique_name(path: Column, name: Column) -> Column:
+    """A file name made unique by twelve digits of its path's hash."""
+    return F.concat_ws("_", F.regexp_replace(name, r"\.[^.]*$", ""), F.substring(F.sha2(path, 256), 1, 12))

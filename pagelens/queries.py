@@ -14,7 +14,7 @@ from pagelens.functions import geometry as G
 from pagelens.functions import stats as S
 from pagelens.functions import text as T
 from pagelens.operators import boosting, compare, drift, evaluate, layout, matrix, nested, ngrams, text_metrics, tree
-from pagelens.plans import features
+from pagelens.plans import features, language, training
 from pagelens.runtime import durable, shared_dir, table
 from pagelens.sources import page_json
 from pagelens.streaming import scoring
@@ -396,6 +396,32 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pages.select("page_no", F.size(F.filter("detections", lambda d: d["kind"] == "region")).alias("n_regions"), F.size("lines").alias("n_lines")))
 
 
+def language_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-gram, language-model, interaction and lexicon groups of every page, with resources from the scanned lines."""
+    pages = durable(_pages(spark, sf_dir))
+    lines = durable(table(spark, sf_dir, "text_lines").dropDuplicates(["line_no"]).select("text").filter("text IS NOT NULL"))
+    sets = None
+    for n in language.ORDERS:
+        part = ngrams.frequent(lines, n, 5, 5000).select("n", "gram")
+        sets = part if sets is None else sets.unionByName(part)
+    counts, totals = ngrams.model(lines, 4)
+    words = table(spark, sf_dir, "lexicon").select("lexicon_name", F.lower("word").alias("word"))
+    parts = (language.ngram_features(pages, durable(sets)), language.model_features(pages, counts, totals, 4), language.lexicon_features(pages, words, ["main", "court"]))
+    return parts[0].join(parts[1], "page_no").join(parts[2], "page_no")
+
+
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a training run with baselines, search and selection."""
+    rows = _train(spark, sf_dir).select("row_no", "split", *FEATURES, "target_bow_f1", "target_perm_cer_strict")
+    cfg = training.Config(("target_bow_f1", "target_perm_cer_strict"), ("full", "confidence_only"), "row_no", n_trials=3, n_trees=40, select="permutation", top_k=3)
+    return training.run(rows, cfg)["summary"]
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).filter("length(text) > 0").withColumn("width", F.length("text") * 9 + F.col("line_pos") % 7)
+    return rows.select("line_no", F.explode(T.word_boxes(F.col("text"), F.col("width"))).alias("w")).groupBy("line_no").agg(F.count("*").alias("n_words"), F.max("w.x1").alias("x1"))
+
+
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts per type by Structured Streaming: windows that the watermark has closed."""
     schema = table(spark, sf_dir, "events").schema
@@ -418,7 +444,7 @@ def queries() -> dict[str, Query]:
             bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
             line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,
             page_ranks, top_bottom_pages, once_per_key, target_correlation, usable_features, weighted_errors, constant_baseline, holdout_split,
-            correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, streamed_events,
+            correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, language_features, training_run, word_boxes, streamed_events,
         )
     }
 

@@ -179,6 +179,10 @@ SELECT round(max(m), 9) AS mean_used, count(*) AS n_val, round(avg(abs(y - m)),
     "holdout_split": f"""
 WITH {_TRAIN}, n AS (SELECT count(*) AS n FROM train) SELECT 'val' AS split, CAST(ceil(n * 0.2) AS BIGINT) AS n_rows FROM n UNION ALL SELECT 'train', CAST(n - ceil(n * 0.2) AS BIGINT) FROM n""",
     "correlated_features": "SELECT unnest(['" + "', '".join(FEATURES) + "']) AS feature",
+    "word_boxes": f"""
+WITH {_LINES}, w AS (SELECT line_no, length(text) AS n, length(text) * 9 + line_pos % 7 AS width, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM lines WHERE length(text) > 0),
+x AS (SELECT line_no, len(ws) AS k, least((width // n) * list_sum(list_transform(ws, lambda x: length(x) + 1)), width) AS x1 FROM w WHERE len(ws) > 0)
+SELECT line_no, CAST(k AS BIGINT) AS n_words, CAST(x1 AS BIGINT) AS x1 FROM x""",
     "streamed_events": """
 WITH h AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT start, event_type, n FROM h WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
