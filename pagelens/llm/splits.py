@@ -131,6 +131,37 @@ def _shares(needs: list[float]) -> list[float]:
     return [x / total for x in open_needs] if total else [1 / len(needs)] * len(needs)
 
 
+def _refined(placed: list[tuple[str, int]], counts: dict[str, dict[str, int]], need: dict[str, list[float]]) -> list[tuple[str, int]]:
+    """Large groups moved to other splits as long as that lowers the squared excess over what labels need; ``need`` is kept up to date.
+
+    Small groups fill what is needed afterwards, so only excess counts. At most 1 / LARGE_SHARE groups take part.
+    """
+    split = dict(placed)
+
+    def excess(k: str, s: int, change: int) -> float:
+        return min(0.0, need[k][s] - change) ** 2
+
+    for _ in range(20):
+        moved = False
+        for g in sorted(split, key=lambda g: (-sum(counts[g].values()), g)):
+            a, mine = split[g], counts[g]
+            before = {s: sum(excess(k, s, 0) for k in mine) for s in range(len(SPLITS))}
+            best, to = 1e-9, a
+            for b in range(len(SPLITS)):
+                if b != a:
+                    gain = before[a] + before[b] - sum(excess(k, a, -n) + excess(k, b, n) for k, n in mine.items())
+                    if gain > best:
+                        best, to = gain, b
+            if to != a:
+                for k, n in mine.items():
+                    need[k][a] += n
+                    need[k][to] -= n
+                split[g], moved = to, True
+        if not moved:
+            break
+    return sorted(split.items())
+
+
 def assign(group_rows: DataFrame, shares: dict[str | None, tuple[float, float, float]], seed: int = 42) -> DataFrame:
     """The split of every record: the columns of ``group_rows`` and ``split``.
 
@@ -151,7 +182,7 @@ def assign(group_rows: DataFrame, shares: dict[str | None, tuple[float, float, f
     need = {k: [n * p for p in shares.get(None if k == "\0" else k, shares[None])] for k, n in outstanding.items()}
     limit = records * LARGE_SHARE
     large = {r.group_id: r.counts for r in collect_small(vectors.filter(F.col("size") > limit), int(1 / LARGE_SHARE) + 1, "large groups")}
-    placed: list[tuple[str, str]] = []
+    placed: list[tuple[str, int]] = []
 
     def put(counts: dict[str, int], split: int) -> None:
         for k, n in counts.items():
@@ -171,10 +202,11 @@ def assign(group_rows: DataFrame, shares: dict[str | None, tuple[float, float, f
         fits = [s for s, x in enumerate(room) if x > -0.5] or [max(range(len(SPLITS)), key=lambda s: (room[s], -s))]
         split = max(fits, key=lambda s: (need[label][s], sum(need[k][s] for k in counts), -s))
         put(counts, split)
-        placed.append((name, SPLITS[split]))
+        placed.append((name, split))
+    placed = _refined(placed, large, need)
 
     spark = group_rows.sparkSession
-    done = spark.createDataFrame(placed, "group_id string, split string")
+    done = spark.createDataFrame([(g, SPLITS[s]) for g, s in placed], "group_id string, split string")
     rest = vectors.filter(F.col("size") <= limit).withColumn("h", F.xxhash64(F.lit(seed), "group_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     left = {k: n - sum(c.get(k, 0) for c in large.values()) for k, n in outstanding.items()}
     order: list[str] = []
