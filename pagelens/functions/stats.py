@@ -153,11 +153,17 @@ def array_histogram(values: Column, edges: Sequence[float], prefix: str) -> dict
 def array_entropy(values: Column) -> Column:
     """Entropy (base 2) of an array shifted to minimum 0 and normalised; 0 for constant input, NaN without finite elements."""
     v = finite_of(F.coalesce(values, F.array().cast("array<double>")))
-    low = F.array_min(v)
-    shifted = F.transform(v, lambda x: x - low)
-    total = total_of(shifted)
-    terms = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + F.when(x > 0, -(x / total) * F.log2(x / total)).otherwise(0.0))
-    return F.when(F.size(v) == 0, F.lit(NAN)).when(total > 0, terms).otherwise(F.lit(0.0))
+    # One element arrays bind the minimum and the total, so each is computed once and not once per element.
+    low = F.transform(F.array(F.struct(v.alias("v"))), lambda s: F.struct(s["v"].alias("v"), F.array_min(s["v"]).alias("low")))
+    shifted = F.transform(low, lambda s: F.struct(F.transform(s["v"], lambda x: x - s["low"]).alias("v")))
+    summed = F.transform(shifted, lambda s: F.struct(s["v"].alias("v"), total_of(s["v"]).alias("total")))
+    done = F.transform(
+        summed,
+        lambda s: F.when(F.size(s["v"]) == 0, F.lit(NAN))
+        .when(s["total"] > 0, F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.when(x > 0, -(x / s["total"]) * F.log2(x / s["total"])).otherwise(0.0)))
+        .otherwise(F.lit(0.0)),
+    )
+    return F.get(done, F.lit(0))
 
 
 def array_percentile(values: Column, q: float) -> Column:

@@ -34,6 +34,8 @@ def test_levenshtein():
     for _ in range(300):
         a, b = ("".join(rng.choice("aåb😀") for _ in range(rng.randint(0, 9))) for _ in range(2))
         assert E.levenshtein(a, b) == slow(a, b)
+    words = ["".join(rng.choice("aåb😀") for _ in range(rng.randint(0, 9))) for _ in range(15)]
+    assert E.distances(words[:7], words[7:]).tolist() == [[slow(a, b) for b in words[7:]] for a in words[:7]]
 
 
 def rate(truth, read):
