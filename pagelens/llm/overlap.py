@@ -24,9 +24,9 @@ from pagelens.runtime import durable
 
 #: One word in so many may be changed, missing or added.
 ONE_IN = 8
-#: Passages of a shard's automaton, and training texts that run through it in one task.
+#: Passages of a shard's automaton, and training texts that run through it in one task at most.
 SHARD_PASSAGES = 200_000
-BLOCK_TEXTS = 8_000
+BLOCK_TEXTS = 100_000
 
 
 def normalised(rows: DataFrame, text: str = "page_text") -> DataFrame:
@@ -153,20 +153,24 @@ def candidates(texts: DataFrame, one_in: int = ONE_IN, shard_passages: int = SHA
     shards = max(1, -(-cut.count() // shard_passages))
     shard = F.pmod(F.xxhash64("head"), F.lit(shards))
     cut = cut.withColumn("shard", shard)
-    parts = durable(cut.groupBy("shard").agg(F.ceil(F.count("*") / shard_passages).cast("int").alias("parts")), "shards")
-    left = cut.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int"))
     train = texts.filter("in_train").select("text_id", "norm")
-    blocks = max(8, -(-train.count() // block_texts))
     routed = (
         train.withColumn("head", F.explode(_heads(F.col("norm")))).select("text_id", "norm", shard.alias("shard")).distinct()
         if shards > 1
         else train.withColumn("shard", F.pmod(F.xxhash64("text_id"), F.lit(1)))
     )
-    right = routed.join(parts, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("text_id"), F.lit(blocks)).alias("block"), "text_id", "norm"
+    # A shard's automaton is built once per block of its texts, so blocks are large; few shards get more of them, for all cores.
+    least = -(-train.sparkSession.sparkContext.defaultParallelism // shards)
+    blocks = F.greatest(F.ceil(F.count("*") / block_texts), F.lit(least)).cast("long")
+    plan = durable(
+        cut.groupBy("shard").agg(F.ceil(F.count("*") / shard_passages).cast("int").alias("parts")).join(routed.groupBy("shard").agg(blocks.alias("blocks")), "shard"), "shards"
+    )
+    left = cut.join(plan, "shard").select(
+        "shard", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "text_id", "start", "end", "passage"
+    )
+    right = routed.join(plan, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("text_id"), F.col("blocks")).alias("block"), "text_id", "norm"
     )
-    # A shard meets every block of its training texts, so its passages go to each block.
-    left = left.select("shard", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), "text_id", "start", "end", "passage")
     keys = ["shard", "part", "block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan, "train_id string, eval_id string, matched array<int>")
     spans = F.flatten(F.collect_list("matched"))

@@ -271,9 +271,11 @@ def volume_facts(gathered: DataFrame, starts: DataFrame) -> DataFrame:
         .groupBy("volume_no", "form").agg(F.max_by(F.struct("offset", "n"), F.struct("n", -F.abs("offset"), "offset")).alias("best"))
         .groupBy("volume_no").agg(F.map_from_entries(F.collect_list(F.struct("form", "best"))).alias("offsets"))
     )
-    # A volume whose edge texts all differ: up to twenty of them are compared by likeness instead.
-    singles = counted.join(titles.filter("most = 1").select("volume_no"), "volume_no", "left_semi")
-    few = singles.groupBy("volume_no").agg(F.slice(F.array_sort(F.collect_set("word")), 1, 20).alias("words"))
+    # A short volume whose edge texts all differ: they are compared by likeness instead. In a volume of
+    # more than 1 / TITLE_SHARE pages, no text that stands once can be the title.
+    short = titles.filter((F.col("most") == 1) & (F.col("pages") * TITLE_SHARE <= 1)).select("volume_no")
+    singles = counted.join(short, "volume_no", "left_semi")
+    few = singles.groupBy("volume_no").agg(F.array_sort(F.collect_set("word")).alias("words"))
     few = few.filter(F.size("words") > 1).withColumn(
         "likely",
         F.filter(
