@@ -2,13 +2,14 @@
 
 Each export (file) of a stream gets a layout: its field paths with their JSON types. Layouts of
 consecutive exports are compared, and every difference becomes an explicit migration step (added,
-removed, renamed, retyped). Chained renames map every historical path to one canonical column, to
-which cast and default rules then apply. Everything runs on JVM expressions: bodies are parsed to
-VARIANT once and never leave the JVM.
+removed, renamed, retyped). Chained renames within a stream and known synonyms route every path of
+every export to one column, to which cast and default rules then apply; other paths get columns of
+their own. Bodies are parsed to VARIANT once and never leave the JVM; Python sees paths only.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,26 @@ CANONICAL = {
     "model": ("model_name", "string"),
 }
 
+#: Other spellings of a column's path, for streams that never show the rename.
+SYNONYMS = {
+    "label": ("segmentationLabel", "seg_label", "class_name", "annotations.segmentation_label", "annotations.kind"),
+    "confidence": ("segmentationConfidence", "seg_conf", "det_score", "annotations.segmentation_confidence", "annotations.score"),
+    "text": ("content", "transcript"),
+    "polygon": ("coords", "points"),
+    "hand": ("writer_hand",),
+    "rotation": ("rotation_deg",),
+    "is_marginal": ("annotations.marginal",),
+    "script": ("annotations.script",),
+    "language": ("annotations.language",),
+    "tags": ("annotations.tags",),
+    "model": ("pipeline.model",),
+}
+
+#: Columns of the unified table besides the canonical ones, and members that are objects: names too.
+MAX_COLUMNS = 10_000
+
+_ROUTE = pa.schema([("stream_no", pa.int64()), ("export_no", pa.int64()), ("path", pa.string()), ("target", pa.string()), ("rule", pa.string())])
+
 
 def records(exports: DataFrame) -> DataFrame:
     """Each record once (json_no is the key), with its body as VARIANT in column v; malformed bodies give null."""
@@ -217,36 +238,129 @@ def alias_sets(change_rows: DataFrame, canonical: dict[str, tuple[str, str]] = C
     return result
 
 
+def _values(recs: DataFrame) -> DataFrame:
+    """json_no, stream_no, export_no, path and text of every non-null value of the records.
+
+    A member that is an object in any record is also read as one where it is JSON text of an object or
+    an array of name/value pairs with distinct names; any other value of it stays a value of the member.
+    """
+    spark = recs.sparkSession
+    top = spark.sql("SELECT json_no, stream_no, export_no, m.key AS key, m.value AS value, schema_of_variant(m.value) AS t FROM {recs}, LATERAL variant_explode(v) m", recs=recs)
+    top = durable(top.filter("t <> 'VOID' AND (key <> 'line_ref' OR t LIKE 'OBJECT%' OR t LIKE 'ARRAY%')"), "members")
+    keys = [r[0] for r in collect_small(top.filter("t LIKE 'OBJECT%'").select("key").distinct(), MAX_COLUMNS, "object members")]
+    pairs = "from_json(to_json(value), 'array<struct<name:string,value:string>>')"
+    read = f"""CASE WHEN t LIKE 'OBJECT%' THEN value
+        WHEN NOT known THEN NULL
+        WHEN t = 'STRING' THEN try_parse_json(try_variant_get(value, '$', 'string'))
+        WHEN t RLIKE '^ARRAY<OBJECT<name: STRING, value: [^:]*>>$' AND forall({pairs}, e -> e.name IS NOT NULL)
+             AND size(array_distinct(transform({pairs}, e -> e.name))) = size({pairs})
+        THEN try_parse_json(to_json(map_from_entries({pairs}))) END"""
+    top = top.withColumn("known", F.col("key").isin(keys)).withColumn("o", F.expr(read)).withColumn("o", F.when(F.expr("schema_of_variant(o) LIKE 'OBJECT%'"), F.col("o")))
+    sub = spark.sql("SELECT json_no, stream_no, export_no, concat(head, '.', m.key) AS path, m.value AS value FROM {top}, LATERAL variant_explode(o) m", top=top.filter("o IS NOT NULL").select("json_no", "stream_no", "export_no", F.col("key").alias("head"), "o"))
+    flat = top.filter("o IS NULL").select("json_no", "stream_no", "export_no", F.col("key").alias("path"), "value").unionByName(sub)
+    return flat.filter("schema_of_variant(value) <> 'VOID'").select(
+        "json_no", "stream_no", "export_no", "path", F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.to_json("value")).alias("text")
+    )
+
+
+def route(steps: list[tuple[int | None, str | None, str]], known: dict[str, tuple[int, str, str]]) -> list[tuple[int | None, str, str, str]]:
+    """Column of every path of every export of one stream: export_no, path, target, rule.
+
+    ``steps`` are (export_no, old_path, path): each path seen in an export with old_path null, and each
+    rename. ``known`` gives for a path (rank, column, rule). A field keeps its column over exports and
+    renames. Of several fields that stand side by side and belong to one column the first by rank and
+    name gets it; the others, and fields without a known name, get ``.`` and their first path.
+    """
+    seen: dict[int | None, set[str]] = {}
+    renames: dict[int | None, dict[str, str]] = {}
+    for export, old, path in steps:
+        if old is None:
+            seen.setdefault(export, set()).add(path)
+        else:
+            renames.setdefault(export, {})[path] = old
+    names: list[list[str]] = []
+    where: list[set[tuple[int | None, str]]] = []
+    now: dict[str, int] = {}
+    for export in sorted(seen, key=lambda e: (e is None, e)):
+        moved = {new: now[old] for new, old in renames.get(export, {}).items() if old in now}
+        for old in renames.get(export, {}).values():
+            now.pop(old, None)
+        now |= moved
+        for path in sorted(seen[export]):
+            if path not in now:
+                now[path] = len(names)
+                names.append([])
+                where.append(set())
+            field = now[path]
+            if path not in names[field]:
+                names[field].append(path)
+            where[field].add((export, path))
+    plans = []
+    for field, paths in enumerate(names):
+        found = [(known[p][0], i, *known[p][1:]) for i, p in enumerate(paths) if p in known]
+        rank, i, column, rule = min(found) if found else (9, 0, "." + paths[0], "own")
+        plans.append((rank, paths[0], field, column, "renamed" if i else rule))
+    taken: dict[str, set[int | None]] = {}
+    result = []
+    for _, first, field, column, rule in sorted(plans):
+        at = {e for e, _ in where[field]}
+        target, n = column, 1
+        while taken.get(target, set()) & at:
+            target, rule = f".{first}" + (f".{n}" if n > 1 else ""), "own"
+            n += 1
+        taken.setdefault(target, set()).update(at)
+        result += [(e, p, target, rule) for e, p in where[field]]
+    return result
+
+
+def routes(values: DataFrame, change_rows: DataFrame, canonical: dict[str, tuple[str, str]] = CANONICAL) -> DataFrame:
+    """The explicit migration steps of every stream: stream_no, export_no, path, target, rule.
+
+    Rules: ``seed`` (the column's own path), ``renamed`` (by chained renames of the stream), ``synonym``
+    (:data:`SYNONYMS`), ``linked`` (a rename of another stream), ``own`` (target is ``.`` and a path).
+    """
+    known = {p: (3, name, "linked") for name, chain in alias_sets(change_rows, canonical).items() for p in chain}
+    known |= {p: (2, name, "synonym") for name in canonical for p in SYNONYMS.get(name, ())}
+    known |= {seed: (1, name, "seed") for name, (seed, _) in canonical.items()}
+    none = F.lit(None).cast("string")
+    steps = values.select("stream_no", "export_no", none.alias("old_path"), "path").distinct().unionByName(
+        change_rows.filter("drift_kind = 'renamed'").select("stream_no", "export_no", "old_path", F.col("new_path").alias("path"))
+    )
+
+    def run(part: pa.Table) -> pa.Table:
+        stream = part.column("stream_no")[0].as_py()
+        found = route(list(zip(*(part.column(c).to_pylist() for c in ("export_no", "old_path", "path")))), known)
+        return pa.Table.from_pylist([dict(zip(_ROUTE.names, (stream, *r))) for r in found], _ROUTE)
+
+    return steps.groupBy("stream_no").applyInArrow(run, "stream_no long, export_no long, path string, target string, rule string")
+
+
 def unified(exports: DataFrame, change_rows: DataFrame, canonical: dict[str, tuple[str, str]] = CANONICAL) -> DataFrame:
-    """All records as one table with one set of columns: keys, line_ref, and the canonical columns.
+    """All records as one table with one set of columns: keys, line_ref, the canonical columns, and one for every other path.
 
-    Rules per record: *rename* – the first path of the column's chain that has a value; *cast* – to
-    the column's type, null where that fails; *default* – null where no path has a value. An
-    ``annotations`` member stored as JSON text or as an array of name/value objects is read like the
-    object it stands for. Records with a malformed body keep their keys with nulls.
+    Rules per record: *rename* – each value goes to the column its path has in that export of that
+    stream (:func:`routes`); *cast* – to the column's type, null where that fails; *default* – null
+    where the path has no value. Objects stored as JSON text or as arrays of name/value objects are read
+    like the object they stand for. Other paths give string columns named by the path, ``.`` as ``__``,
+    numbered where such a name is in use. Records with a malformed body keep their keys with nulls.
     """
-    chains = alias_sets(change_rows, canonical)
-    recs = records(exports).withColumn("a", F.expr("try_variant_get(v, '$.annotations')"))
-    recs = recs.withColumn(
-        "a",
-        F.expr(
-            """CASE WHEN schema_of_variant(a) = 'STRING' THEN try_parse_json(try_variant_get(a, '$', 'string'))
-                    WHEN schema_of_variant(a) LIKE 'ARRAY%' THEN try_parse_json(to_json(map_from_entries(transform(
-                        filter(from_json(to_json(a), 'array<struct<name:string,value:string>>'), e -> e.name IS NOT NULL),
-                        e -> struct(e.name, e.value)))))
-                    ELSE a END"""
-        ),
-    )
-
-    def value(path: str, kind: str):
-        head, _, sub = path.partition(".")
-        source, key = ("a", sub) if head == "annotations" and sub else ("v", path)
-        got = F.expr(f"try_variant_get({source}, '$.{key}')")
-        text = F.coalesce(F.expr(f"try_variant_get({source}, '$.{key}', 'string')"), F.to_json(got))
-        text = F.when(F.expr(f"schema_of_variant(try_variant_get({source}, '$.{key}'))") == "VOID", None).otherwise(text)
-        return text.try_cast(kind) if kind != "string" else text
-
-    columns = [F.coalesce(*(value(p, canonical[name][1]) for p in chain)).alias(name) for name, chain in chains.items()]
-    return recs.select(
-        "json_no", "stream_no", "export_no", F.expr("try_variant_get(v, '$.line_ref', 'string')").alias("line_ref"), *columns
+    recs = durable(records(exports), "records")
+    values = durable(_values(recs), "values")
+    steps = durable(routes(values, change_rows, canonical), "routes")
+    columns = {name: (name, kind) for name, (_, kind) in canonical.items()}
+    used = {"json_no", "stream_no", "export_no", "line_ref", *(name.lower() for name in canonical)}
+    for (target,) in sorted(collect_small(steps.filter("rule = 'own'").select("target").distinct(), MAX_COLUMNS, "columns")):
+        base, n = target[1:].replace(".", "__"), 1
+        name = base
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        columns[target] = (name, "string")
+    r = steps.select(F.col("stream_no").alias("s"), F.col("export_no").alias("e"), F.col("path").alias("p"), "target")
+    placed = values.join(r, F.col("stream_no").eqNullSafe(F.col("s")) & F.col("export_no").eqNullSafe(F.col("e")) & (F.col("path") == F.col("p")))
+    found = placed.groupBy(F.col("json_no").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("target", "text"))).alias("m"))
+    value = lambda target, kind: F.try_element_at("m", F.lit(target)).try_cast(kind)
+    return recs.join(found, F.col("json_no").eqNullSafe(F.col("k")), "left").select(
+        "json_no", "stream_no", "export_no", F.expr("try_variant_get(v, '$.line_ref', 'string')").alias("line_ref"), *(value(t, kind).alias(name) for t, (name, kind) in columns.items())
     )

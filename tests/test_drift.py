@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from pagelens.operators import drift
 
 SCHEMA = "json_no long, stream_no long, export_no long, body string, path string, n long"
@@ -60,6 +62,33 @@ def test_unified_follows_renames(spark):
     assert all((r.confidence == int(r.line_ref[1:]) / 10) if r.export_no < 3 else r.confidence is None for r in rows)
 
 
+def unified(df):
+    return drift.unified(df, drift.changes(df))
+
+
+def test_unified_keeps_every_path(spark):
+    a = lines(lambda i: {"seg_label": f"x{i}", "extra": i, "annotations": {"marginal": i % 2 == 0, "odd": {"z": i}}, "pipeline": {"model": f"m{i}"}})
+    b = lines(lambda i: {"content": f"t{i}", "text": f"other {i}", "Label": "own", "annotations": "no object", "pipeline": json.dumps({"model": "n"})})
+    df = exports(spark, a, stream=1).union(exports(spark, b, stream=2).withColumn("json_no", F.col("json_no") + 100)).union(
+        spark.createDataFrame([(200, None, None, '{"seg_conf": 0.5}', "", 1), (201, 1, 1, "{oops", "", 1)], SCHEMA)
+    )
+    rows = {r.json_no: r for r in unified(df).collect()}
+    assert len(rows) == 14
+    assert all(rows[i + 1][c] == v for i in range(6) for c, v in {"label": f"x{i}", "extra": str(i), "is_marginal": "true" if i % 2 == 0 else "false", "annotations__odd": f'{{"z":{i}}}', "model": f"m{i}"}.items())
+    assert all(rows[i + 101][c] == v for i in range(6) for c, v in {"text": f"other {i}", "content": f"t{i}", "Label_2": "own", "annotations": "no object", "model": "n"}.items())
+    assert rows[200].confidence == 0.5 and rows[201].line_ref is None and rows[201].label is None
+
+
+def test_unified_routes_by_stream(spark):
+    """A name that means the label in one stream is the confidence's in another."""
+    a, b = lines(lambda i: {"segmentation_label": f"x{i}"}), lines(lambda i: {"k": f"x{i}"})
+    c, d = lines(lambda i: {"segmentation_confidence": f"0.{i}"}), lines(lambda i: {"k": f"0.{i}"})
+    df = exports(spark, a, b, stream=1).union(exports(spark, c, d, stream=2).withColumn("json_no", F.col("json_no") + 100))
+    for r in unified(df).collect():
+        i = int(r.line_ref[1:])
+        assert (r.label, r.confidence) == ((f"x{i}", None) if r.stream_no == 1 else (None, i / 10))
+
+
 def test_versions(spark):
     a, b = lines(lambda i: {"a": i}), lines(lambda i: {"b": "x"})
     recs = drift.records(exports(spark, a, a, b, a))
