@@ -178,9 +178,15 @@ class Speller:
         out = []
         for part in tokens(text):
             spelt = self.token(part) if part else ""
-            out.append(plain(part) if spelt is None else spelt)
+            out.append(self.unknown(part) if spelt is None else spelt)
         return " ".join(out)
 
+    def unknown(self, part: str) -> str:
+        """A token by table, with w as v if the vocabulary is folded."""
+        if self.trie is None or not self.trie.fold_w:
+            return plain(part)
+        return unicodedata.normalize("NFC", self.trie.path(part))
+
 
 def normalise(rows: DataFrame, vocabulary: DataFrame, key: str = "line_no", text: str = "text", budget: int = 0, fold_w: bool = False) -> DataFrame:
     """``key`` and the canonical form (column norm) of every row's text; null texts stay null. No shuffle.
@@ -200,6 +206,27 @@ def normalise(rows: DataFrame, vocabulary: DataFrame, key: str = "line_no", text
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, norm string")
 
 
+def canonical(lines: DataFrame, references: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Both tables in one form: line_no or ref_no (the other null), map_w_to_v, norm.
+
+    Lines come out per way of folding, once with w kept and once with w as v; a reference comes out in
+    the way its map_w_to_v says (null counts as false). A line looks like a reference if map_w_to_v and
+    norm are equal. Words of the references and of ``lexicon`` are the vocabulary of the way they are
+    marked with. Null texts have a null norm; repeated rows count once.
+    """
+    fold = F.coalesce("map_w_to_v", F.lit(False)).alias("fold")
+    refs = references.select("ref_no", "text", fold).dropDuplicates(["ref_no", "text", "fold"])
+    words = lexicon.select("word", fold).unionByName(refs.select(F.explode(F.split("text", r"\s")).alias("word"), "fold"))
+    once = lines.select("line_no", "text").dropDuplicates(["line_no", "text"])
+    none = F.lit(None).cast("long")
+    parts = []
+    for f in (False, True):
+        vocabulary = words.filter(F.col("fold") == f)
+        parts.append(normalise(once, vocabulary, fold_w=f).select("line_no", none.alias("ref_no"), F.lit(f).alias("map_w_to_v"), "norm"))
+        parts.append(normalise(refs.filter(F.col("fold") == f), vocabulary, "ref_no", fold_w=f).select(none.alias("line_no"), "ref_no", F.lit(f).alias("map_w_to_v"), "norm"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def _keyed(rows: DataFrame, id_column: str, spellers, folds: tuple[bool, ...]) -> DataFrame:
     """id, text, fold and the comparison key of each row per way of folding; rows with a token outside the vocabulary are left out."""
 

@@ -41,10 +41,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = table(spark, sf_dir, "lexicon").select("word").unionByName(
-        table(spark, sf_dir, "ref_lines").select(F.explode(F.split("text", r"\s")).alias("word"))
-    )
-    return lookalike.normalise(table(spark, sf_dir, "text_lines").dropDuplicates(["line_no"]), vocabulary)
+    return lookalike.canonical(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "ref_lines"), table(spark, sf_dir, "lexicon"))
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 from pagelens.llm import lookalike as L
+from pagelens.llm import queries
 
 LINES = "line_no long, text string, ref_no long, fold boolean, key string"
 REFS = "ref_no long, text string, map_w_to_v boolean, line_no long"
@@ -45,3 +46,28 @@ def test_normalise(spark):
     vocabulary = spark.createDataFrame([("kall",), (None,)], "word string")
     got = {r.line_no: r.norm for r in L.normalise(rows, vocabulary).collect()}
     assert got == {1: "vid kall Ϝ", 2: None, 3: ""}
+
+
+def pairs_of_forms(spark, d):
+    """Pairs whose forms are equal and whose texts as stored differ."""
+    norm = queries.p4_normalised(spark, d).collect()
+    texts = {r.line_no: r.text for r in spark.read.parquet(f"{d}/text_lines.parquet").collect()}
+    refs = {r.ref_no: r.text for r in spark.read.parquet(f"{d}/ref_lines.parquet").collect()}
+    of = {}
+    for r in norm:
+        if r.line_no is not None and r.norm is not None:
+            of.setdefault((r.map_w_to_v, r.norm), []).append(r.line_no)
+    return {(i, r.ref_no) for r in norm if r.ref_no is not None and r.norm is not None for i in of.get((r.map_w_to_v, r.norm), []) if texts[i] != refs[r.ref_no]}
+
+
+def test_forms_give_the_pairs(spark, tmp_path, data):
+    lines = ["wid", "vid", "Ẇid", "wid x\u030a ẘ", "vid x\u030a v\u030a", "wil", "ｖｉｄ ", "", " ", None, "wid"]
+    spark.createDataFrame(list(enumerate(lines)), "line_no long, text string").write.parquet(f"{tmp_path}/text_lines.parquet")
+    refs = [("vid", True), ("wid", False), ("wid", None), ("v\u030a", True), ("vid x\u030a v\u030a", True), ("vil", False), ("", True)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(refs)], "ref_no long, text string, map_w_to_v boolean").write.parquet(f"{tmp_path}/ref_lines.parquet")
+    spark.createDataFrame([("wil", True), (None, None)], "word string, map_w_to_v boolean").write.parquet(f"{tmp_path}/lexicon.parquet")
+    for d in (str(tmp_path), data):
+        want = {tuple(r) for r in queries.p4_found(spark, d).select("line_no", "ref_no").collect()}
+        assert pairs_of_forms(spark, d) == want and want
+        if d == str(tmp_path):
+            assert {(0, 0), (10, 0), (6, 0), (3, 4)} <= want and (1, 1) not in want and (5, 5) not in want
