@@ -55,6 +55,20 @@ def test_the_bands_lose_no_case(spark):
     assert bands.count("ordinary") > 100 and bands.count("empty") == 6
 
 
+def test_cases_among_dense_codes(spark):
+    """14 identifiers and a repeated clause of eight short words: a third of the words, few of the bytes."""
+    rng = random.Random(5)
+    docs = []
+    for make in (lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=8)), lambda: f"{rng.getrandbits(32):08x}"):
+        w = []
+        while len(w) < 2000:
+            w += [make() for _ in range(14)] + "och så är det nu i by a".split()
+        docs.append(" ".join(w))
+    assert all(share(t) >= R.REPEATED_SHARE for t in docs)
+    assert {r.doc_id for r in R.repetitive(table(spark, docs)).collect()} == {0, 1}
+    assert any(r.band != "repetitive" for r in R.measure(table(spark, docs)).collect())
+
+
 def test_long_texts_are_read_whole(spark):
     rng = random.Random(4)
     w = [f"{rng.randrange(10**6)}" for _ in range(300_000)]
