@@ -47,8 +47,12 @@ _LINES = "lines AS (SELECT DISTINCT line_no, rec_no, line_pos, regexp_replace(co
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _sides_of(_lines(spark, sf_dir))
+
+
+def _sides_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Even lines of a page as its truth, odd ones as what was read."""
-    rows = _lines(spark, sf_dir).select("rec_no", F.floor(F.col("line_pos") / 2).cast("long").alias("pos"), "text", (F.col("line_pos") % 2).alias("odd"))
+    rows = lines.select("rec_no", F.floor(F.col("line_pos") / 2).cast("long").alias("pos"), "text", (F.col("line_pos") % 2).alias("odd"))
     return rows.filter("odd = 0").drop("odd"), rows.filter("odd = 1").drop("odd")
 
 
@@ -145,7 +149,11 @@ def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).withColumn("chars", F.length("text")).withColumn("words", T.word_count(F.col("text")))
+    return _line_shape(_lines(spark, sf_dir))
+
+
+def _line_shape(lines: DataFrame) -> DataFrame:
+    rows = lines.withColumn("chars", F.length("text")).withColumn("words", T.word_count(F.col("text")))
     shares = rows.groupBy("rec_no").agg(
         F.count("*").alias("n_lines"), F.sum("chars").alias("total_chars"), F.sum("words").alias("total_words"), F.percentile("chars", [0.2, 0.8]).alias("p"), F.collect_list("chars").alias("c")
     )
@@ -158,7 +166,11 @@ def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_alpha_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_lines(spark, sf_dir).groupBy("rec_no").agg((F.count_if(~T.has_letter(F.col("text"))) / F.count("*")).alias("frac_no_alpha_lines")))
+    return _no_alpha_lines(_lines(spark, sf_dir))
+
+
+def _no_alpha_lines(lines: DataFrame) -> DataFrame:
+    return _rounded(lines.groupBy("rec_no").agg((F.count_if(~T.has_letter(F.col("text"))) / F.count("*")).alias("frac_no_alpha_lines")))
 
 
 def repetition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +182,18 @@ def word_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.frequent(_lines(spark, sf_dir), 4, 5, 200).select(F.col("n").cast("long").alias("n"), "gram", "cnt")
+    return _ngram_top(_lines(spark, sf_dir))
+
+
+def _ngram_top(lines: DataFrame) -> DataFrame:
+    return ngrams.frequent(lines, 4, 5, 200).select(F.col("n").cast("long").alias("n"), "gram", "cnt")
 
 
 def ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+    return _ngram_ratio(_lines(spark, sf_dir))
+
+
+def _ngram_ratio(lines: DataFrame) -> DataFrame:
     return _rounded(ngrams.ratio_present(lines, ngrams.frequent(lines, 3, 50), 3, "line_no"))
 
 
@@ -185,11 +204,58 @@ def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _lines(spark, sf_dir).select("rec_no", F.explode_outer(T.word_tokens(F.col("text"))).alias("token"))
-    words = table(spark, sf_dir, "lexicon").select("lexicon_name", F.lower("word").alias("word"))
+    return _lexicon_match(_lines(spark, sf_dir), table(spark, sf_dir, "lexicon"))
+
+
+def _lexicon_match(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    tokens = lines.select("rec_no", F.explode_outer(T.word_tokens(F.col("text"))).alias("token"))
+    words = lexicon.select("lexicon_name", F.lower("word").alias("word"))
     return _rounded(ngrams.lexicon_match(tokens, words, "rec_no"))
 
 
+# --- whole texts ------------------------------------------------------------------------------------
+#
+# The queries above and below that take _lines() are tied to SQL over ASCII text; these run over the texts as stored.
+
+
+def _whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines once, with their text as stored; null counts as empty."""
+    rows = table(spark, sf_dir, "text_lines").select("line_no", "rec_no", "line_pos", "text").dropDuplicates(["line_no"])
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def line_shape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_shape(_whole_lines(spark, sf_dir))
+
+
+def no_alpha_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _no_alpha_lines(_whole_lines(spark, sf_dir))
+
+
+def ngram_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram_top(_whole_lines(spark, sf_dir))
+
+
+def ngram_ratio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram_ratio(durable(_whole_lines(spark, sf_dir), "lines"))
+
+
+def lexicon_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon_match(_whole_lines(spark, sf_dir), table(spark, sf_dir, "lexicon"))
+
+
+def bow_prf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(text_metrics.bag_of_words(*_sides_of(_whole_lines(spark, sf_dir)), "rec_no"))
+
+
+def linewise_cer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(text_metrics.linewise_cer(*_sides_of(_whole_lines(spark, sf_dir)), "rec_no"))
+
+
+def word_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_boxes(_whole_lines(spark, sf_dir))
+
+
 # --- error rates ----------------------------------------------------------------------------------
 
 
@@ -418,7 +484,11 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).filter("length(text) > 0").withColumn("width", F.length("text") * 9 + F.col("line_pos") % 7)
+    return _word_boxes(_lines(spark, sf_dir))
+
+
+def _word_boxes(lines: DataFrame) -> DataFrame:
+    rows = lines.filter("length(text) > 0").withColumn("width", F.length("text") * 9 + F.col("line_pos") % 7)
     return rows.select("line_no", F.explode(T.word_boxes(F.col("text"), F.col("width"))).alias("w")).groupBy("line_no").agg(F.count("*").alias("n_words"), F.max("w.x1").alias("x1"))
 
 
@@ -444,6 +514,7 @@ def queries() -> dict[str, Query]:
             bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
             line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,
             page_ranks, top_bottom_pages, once_per_key, target_correlation, usable_features, weighted_errors, constant_baseline, holdout_split,
+            line_shape_whole, no_alpha_lines_whole, ngram_top_whole, ngram_ratio_whole, lexicon_match_whole, bow_prf_whole, linewise_cer_whole, word_boxes_whole,
             correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, language_features, training_run, word_boxes, streamed_events,
         )
     }
