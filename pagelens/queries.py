@@ -240,6 +240,13 @@ def ngram_ratio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram_ratio(durable(_whole_lines(spark, sf_dir), "lines"))
 
 
+def lm_perplexity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A perplexity for every line, by a model of all lines."""
+    lines = durable(_whole_lines(spark, sf_dir), "lines")
+    counts, totals = ngrams.model(lines, 3)
+    return ngrams.perplexity(lines.select("line_no", "text"), durable(counts, "counts"), totals, 3, "line_no").select("line_no", _r("ppl", 4).alias("ppl"))
+
+
 def lexicon_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexicon_match(_whole_lines(spark, sf_dir), table(spark, sf_dir, "lexicon"))
 
@@ -514,7 +521,7 @@ def queries() -> dict[str, Query]:
             bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
             line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,
             page_ranks, top_bottom_pages, once_per_key, target_correlation, usable_features, weighted_errors, constant_baseline, holdout_split,
-            line_shape_whole, no_alpha_lines_whole, ngram_top_whole, ngram_ratio_whole, lexicon_match_whole, bow_prf_whole, linewise_cer_whole, word_boxes_whole,
+            line_shape_whole, no_alpha_lines_whole, ngram_top_whole, ngram_ratio_whole, lm_perplexity_whole, lexicon_match_whole, bow_prf_whole, linewise_cer_whole, word_boxes_whole,
             correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, language_features, training_run, word_boxes, streamed_events,
         )
     }

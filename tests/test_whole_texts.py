@@ -80,6 +80,20 @@ def test_ngrams(spark, data, lines):
         assert ratios[k][0] == (pytest.approx(np.mean([counts[3][g] >= 50 for g in w]), abs=1e-8) if w else None)
 
 
+def test_perplexity(spark, data, lines):
+    counts = Counter(g for *_, t in lines for g in windows(t, 3))
+    total, vocab = Counter(), Counter()
+    for g, n in counts.items():
+        total[g[:2]] += n
+        vocab[g[:2]] += 1
+    found = got(spark, data, "lm_perplexity_whole")
+    assert len(found) == len(lines)
+    for k, _, _, t in lines:
+        w = windows("".join(c for c in t if not is_space(c)), 3)
+        p = [max((counts[g] + 0.1) / (total[g[:2]] + 0.1 * vocab.get(g[:2], 1)), 1e-12) for g in w]
+        assert found[k][0] == (pytest.approx(np.exp(-np.mean(np.log(p))), rel=1e-6, abs=1e-4) if w else None)
+
+
 def test_lexicon(spark, data, lines):
     lexicon = defaultdict(set)
     for r in spark.read.parquet(f"{data}/lexicon.parquet").collect():
