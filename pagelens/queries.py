@@ -439,7 +439,7 @@ def correlated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"full": list(FEATURES), "confidence_only": matrix.feature_set("confidence_only", FEATURES)}
-    found = boosting.search(_clean(spark, sf_dir), sets, ["target_bow_f1", "target_perm_cer_strict"], "row_no", n_trials=4, n_trees=40)
+    found = boosting.search(_clean(spark, sf_dir), sets, ["target_bow_f1", "target_perm_cer_strict"], "row_no")
     return boosting.best_trials(durable(found)).drop("model_json")
 
 
@@ -486,7 +486,7 @@ def language_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of a training run with baselines, search and selection."""
     rows = _train(spark, sf_dir).select("row_no", "split", *FEATURES, "target_bow_f1", "target_perm_cer_strict")
-    cfg = training.Config(("target_bow_f1", "target_perm_cer_strict"), ("full", "confidence_only"), "row_no", n_trials=3, n_trees=40, select="permutation", top_k=3)
+    cfg = training.Config(("target_bow_f1", "target_perm_cer_strict"), ("full", "confidence_only"), "row_no", select="permutation", top_k=3)
     return training.run(rows, cfg)["summary"]
 
 
