@@ -57,9 +57,7 @@ def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.bin_edges(p5_combined(spark, sf_dir), ("dataset_tag", "measure")).select(
-        "dataset_tag", "measure", F.array_join(F.transform("edges", lambda e: F.round(e, 9).cast("string")), " ").alias("edges")
-    )
+    return percentiles.bin_edges(p5_combined(spark, sf_dir), ("dataset_tag", "measure")).select("dataset_tag", "measure", F.col("i").cast("long").alias("i"), F.round("edge", 9).alias("edge"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +112,7 @@ _PERMILLE = "(VALUES " + ", ".join(f"({p})" for p in percentiles.PERMILLE) + ")
 
 def oracle_sql() -> dict[str, str]:
     combined = f"""{_VALUES},
-cells AS (SELECT dataset_tag, measure, least(CAST(floor(value * 1024) AS BIGINT), 1023) AS cell, count(*) AS k FROM vals GROUP BY 1, 2, 3),
+cells AS (SELECT dataset_tag, measure, CAST(floor(value * 1024) AS BIGINT) AS cell, count(*) AS k FROM vals GROUP BY 1, 2, 3),
 summed AS (SELECT *, CAST(sum(k) OVER (PARTITION BY dataset_tag, measure ORDER BY cell) AS BIGINT) AS upto, CAST(sum(k) OVER (PARTITION BY dataset_tag, measure) AS BIGINT) AS n FROM cells),
 picked AS (SELECT dataset_tag, measure, permille, n, cell FROM summed, {_PERMILLE}
   WHERE greatest(1, (n * permille + 999) // 1000) <= upto AND greatest(1, (n * permille + 999) // 1000) > upto - k)
@@ -147,7 +145,11 @@ SELECT doc_id FROM c GROUP BY doc_id, n HAVING count(*) >= 0.3 * n""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_tag, day, measure ORDER BY value) AS r, count(*) OVER (PARTITION BY dataset_tag, day, measure) AS n FROM vals)
 SELECT dataset_tag, day, measure, permille, n, value, 0.0::DOUBLE AS error_bound FROM ranked, {_PERMILLE} WHERE r = greatest(1, (n * permille + 999) // 1000)""",
         "p5_cells": f"""{_VALUES}
-SELECT dataset_tag, day, measure, least(CAST(floor(value * 1024) AS BIGINT), 1023) AS cell, count(*) AS n FROM vals GROUP BY 1, 2, 3, 4""",
+SELECT dataset_tag, day, measure, CAST(floor(value * 1024) AS BIGINT) AS cell, count(*) AS n FROM vals GROUP BY 1, 2, 3, 4""",
         "p5_combined": f"""{combined}
 SELECT dataset_tag, measure, permille, n, cell / 1024.0::DOUBLE AS lo, (cell + 1) / 1024.0::DOUBLE AS hi, (cell + 0.5::DOUBLE) / 1024.0::DOUBLE AS value, 0.00048828125::DOUBLE AS error_bound FROM picked""",
+        "p5_bin_edges": f"""{combined},
+every AS (SELECT DISTINCT dataset_tag, measure, (cell + 0.5::DOUBLE) / 1024.0::DOUBLE AS edge FROM picked
+  UNION SELECT DISTINCT dataset_tag, measure, x::DOUBLE FROM picked, (VALUES (0.0), (1.000001)) v(x))
+SELECT dataset_tag, measure, row_number() OVER (PARTITION BY dataset_tag, measure ORDER BY edge) - 1 AS i, round(edge, 9) AS edge FROM every""",
     }

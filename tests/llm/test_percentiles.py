@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelens.llm import percentiles as P
 
@@ -42,7 +43,37 @@ def test_close_values_and_ties(spark):
     got = {r.permille: r for r in P.percentiles(P.values(df), (400, 600, 1000)).collect()}
     assert got[400].value == 0.25 and got[400].error_bound == 0
     for p in (600, 1000):
-        assert abs(got[p].value - brute(v, p)) <= got[p].error_bound <= 2**-48
+        assert got[p].value == brute(v, p) and got[p].error_bound == 0
+
+
+def test_any_doubles_are_exact(spark):
+    rng = random.Random(3)
+    odd = [5e-324, -5e-324, 2.0**-1022, 2.0**-1023, -(2.0**-1022), 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf, 0.0, -0.0, 8.0, 7.999999999999999, 0.125]
+    v = [*odd, *(float(x) for x in range(1, 101)), *(rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randint(-300, 300) for _ in range(300))]
+    df = spark.createDataFrame([("g", x) for x in v] + [("g", None), ("g", math.nan), ("ints", 5.0)], "k string, value double")
+    steps = tuple(range(0, 1001, 50))
+    got = {(r.k, r.permille): r for r in P.percentiles(df, steps, ("k",)).collect()}
+    for p in steps:
+        assert got["g", p].value == brute(v, p) and got["g", p].n == len(v) and got["g", p].error_bound == 0
+    assert got["ints", 500].value == 5.0
+    whole = spark.createDataFrame([("g", float(x)) for x in range(1, 101)], "k string, value double")
+    assert {r.permille: r.value for r in P.percentiles(whole, (500,), ("k",)).collect()} == {500: 50.0}
+    cells = P.from_cells(P.cells(whole.withColumn("value", F.col("value") - 50.5), group=("k",)), ("k",), (500,)).first()
+    assert cells.lo <= -0.5 <= cells.hi
+
+
+def test_keys_order_and_return(spark):
+    rng = random.Random(5)
+    v = sorted({math.ldexp(rng.random() - 0.5, rng.randint(-1074, 1024)) for _ in range(2000)} | {math.ldexp(1.0, e) for e in range(-1074, 1024)})
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, value double").select("i", "value", P.sort_key(F.col("value")).alias("key")).withColumn("back", P.from_key(F.col("key")))
+    got = rows.orderBy("i").collect()
+    assert all(a.key < b.key for a, b in zip(got, got[1:])) and all(r.back == r.value for r in got)
+
+
+def test_bounds_are_a_parameter(spark):
+    df = lines(spark, [("a", 1, x, None, None) for x in (-3.0, 0.5, 90.7, math.inf, math.nan)])
+    assert sorted(r.value for r in P.values(df).collect()) == [0.5]
+    assert sorted(r.value for r in P.values(df, lowest=None, highest=None).collect()) == [-3.0, 0.5, 90.7]
 
 
 def test_days_combine_within_the_bound(spark):
@@ -54,7 +85,8 @@ def test_days_combine_within_the_bound(spark):
     for r in P.from_cells(parts, ("measure",)).collect():
         v = [x[2] for x in rows] if r.measure == "htr_score" else [1.0] * 500
         assert abs(r.value - brute(v, r.permille)) <= r.error_bound == pytest.approx(2**-11) and r.lo <= brute(v, r.permille) <= r.hi
-    edges = P.bin_edges(P.from_cells(parts, ("measure",)), ("measure",)).filter("measure = 'htr_score'").first().edges
+    edges = P.bin_edges(P.from_cells(parts, ("measure",)), ("measure",)).filter("measure = 'htr_score'").orderBy("i").collect()
+    edges = [r.edge for r in edges]
     assert edges == sorted(set(edges)) and edges[0] == 0 and edges[-1] > 1
 
 
