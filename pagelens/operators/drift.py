@@ -1,10 +1,11 @@
 """Schema drift between the exports of a stream: fingerprints, changes, and one consistent table.
 
-Each export (file) of a stream gets a layout: its field paths with their JSON types. Layouts of
-consecutive exports are compared, and every difference becomes an explicit migration step (added,
-removed, renamed, retyped). Chained renames within a stream and known synonyms route every path of
-every export to one column, to which cast and default rules then apply; other paths get columns of
-their own. Bodies are parsed to VARIANT once and never leave the JVM; Python sees paths only.
+Each export (file) of a stream gets a layout: its field paths with their JSON types. A layout has a
+fingerprint, and exports in a row with one fingerprint form a version. Layouts of consecutive exports
+are compared, and every difference becomes an explicit migration step (added, removed, renamed,
+retyped). Chained renames within a stream and known synonyms route every path of every version to one
+column, to which cast and default rules then apply; other paths get columns of their own. Bodies are
+parsed to VARIANT once and never leave the JVM; Python sees paths only.
 """
 
 from __future__ import annotations
@@ -13,14 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.runtime import collect_small, durable
+from pagelens.runtime import collect_small, discard, durable
 
 #: Share of the lines found in both exports, with a value on both sides, that must carry the same value in a rename.
 RENAME_AGREEMENT = 0.9
 
-#: Distinct renames of field *names* that chaining accepts; names of members belong to the layout, not to the data.
-MAX_RENAMES = 10_000
-
 #: Canonical columns of the unified table, with the path that seeds each and the type it is cast to.
 CANONICAL = {
     "label": ("segmentation_label", "string"),
@@ -51,10 +49,13 @@ SYNONYMS = {
     "model": ("pipeline.model",),
 }
 
+#: Levels of objects that fields are followed through; deeper ones are an error.
+MAX_DEPTH = 64
+
 #: Columns of the unified table besides the canonical ones, and members that are objects: names too.
 MAX_COLUMNS = 10_000
 
-_ROUTE = pa.schema([("stream_no", pa.int64()), ("export_no", pa.int64()), ("path", pa.string()), ("target", pa.string()), ("rule", pa.string())])
+_ROUTE = pa.schema([("stream_no", pa.int64()), ("version", pa.int64()), ("path", pa.string()), ("target", pa.string()), ("rule", pa.string())])
 
 
 def records(exports: DataFrame) -> DataFrame:
@@ -66,44 +67,43 @@ def records(exports: DataFrame) -> DataFrame:
     )
 
 
-def fields(recs: DataFrame, line_member: str = "line_ref") -> DataFrame:
-    """One row per non-null field of each record: stream_no, export_no, line, path, jtype, val.
+def fields(recs: DataFrame, line_member: str = "line_ref", depth: int | None = 2, arrays: bool = False, split_numbers: bool = False) -> DataFrame:
+    """One row per non-null field of each record: stream_no, export_no, line, path, jtype, val (a hash of the value).
 
-    Fields are the members of the body and, for object members, their members as ``member.sub``.
-    An object is kept as a row of type object so that its replacement by another type shows.
+    Fields are the members of the body and, down to ``depth`` levels (None: all), the members of object
+    members as ``member.sub``. An object is kept as a row of type object without a value, so that its
+    replacement by another type shows. With ``arrays`` the objects in arrays are entered too, as ``member[].sub``;
+    line then also names the element. With ``split_numbers`` whole and other numbers are two types.
     """
     spark = recs.sparkSession
+    number = "WHEN t = 'BIGINT' THEN 'integer' ELSE 'number'" if split_numbers else "ELSE 'number'"
     kind = (
         "CASE WHEN t LIKE 'OBJECT%' THEN 'object' WHEN t LIKE 'ARRAY%' THEN 'array' WHEN t = 'BOOLEAN' THEN 'boolean'"
-        " WHEN t = 'STRING' THEN 'string' WHEN t = 'VOID' THEN NULL ELSE 'number' END"
+        f" WHEN t = 'STRING' THEN 'string' WHEN t = 'VOID' THEN NULL {number} END"
     )
-    tree = spark.sql(
+    level = spark.sql(
         f"""
-        SELECT stream_no, export_no, try_variant_get(v, '$.{line_member}', 'string') AS line, m.key AS key, m.value AS value,
-               schema_of_variant(m.value) AS t
+        SELECT stream_no, export_no, try_variant_get(v, '$.{line_member}', 'string') AS line, m.key AS path, m.value AS value, schema_of_variant(m.value) AS t
         FROM {{recs}}, LATERAL variant_explode(v) m
         """,
         recs=recs,
-    )
-    top = tree.select("stream_no", "export_no", "line", F.col("key").alias("path"), F.expr(kind).alias("jtype"), "value")
-    sub = spark.sql(
-        """
-        SELECT stream_no, export_no, line, concat(path, '.', m.key) AS path, m.value AS value, schema_of_variant(m.value) AS t
-        FROM {top}, LATERAL variant_explode(value) m WHERE jtype = 'object'
-        """,
-        top=top,
-    ).select("stream_no", "export_no", "line", "path", F.expr(kind).alias("jtype"), "value")
-    return (
-        top.unionByName(sub)
-        .filter(F.col("jtype").isNotNull())
-        .select(
-            "stream_no",
-            "export_no",
-            "line",
-            "path",
-            "jtype",
-            F.when(F.col("jtype") != "object", F.to_json("value")).alias("val"),
-        )
+    ).withColumn("jtype", F.expr(kind))
+    found, below = level, level
+    for n in range(2, (depth or MAX_DEPTH + 1) + 1):
+        if depth is None:
+            if n > MAX_DEPTH:
+                raise ValueError(f"fields nest over {MAX_DEPTH} levels deep")
+            below = durable(below.filter("jtype = 'object' OR jtype = 'array'"), "nested")
+            if below.isEmpty():
+                break
+        inside = "SELECT stream_no, export_no, line, concat(path, '.', m.key) AS path, m.value AS value, schema_of_variant(m.value) AS t FROM {b}, LATERAL variant_explode(value) m WHERE jtype = 'object'"
+        if arrays:
+            inside += """ UNION ALL SELECT stream_no, export_no, concat_ws('#', coalesce(line, ''), e.pos) AS line, concat(path, '[].', m.key) AS path, m.value AS value, schema_of_variant(m.value) AS t
+                FROM {b}, LATERAL variant_explode(value) e, LATERAL variant_explode(CASE WHEN schema_of_variant(e.value) LIKE 'OBJECT%' THEN e.value END) m WHERE jtype = 'array'"""
+        below = spark.sql(inside, b=below).withColumn("jtype", F.expr(kind))
+        found = found.unionByName(below)
+    return found.filter(F.col("jtype").isNotNull()).select(
+        "stream_no", "export_no", "line", "path", "jtype", F.when(F.col("jtype") != "object", F.xxhash64(F.to_json("value"))).alias("val")
     )
 
 
@@ -136,19 +136,23 @@ def fingerprints(exports: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def changes(exports: DataFrame, line_member: str = "line_ref") -> DataFrame:
+def changes(exports: DataFrame, line_member: str = "line_ref", depth: int | None = 2, arrays: bool = False, split_numbers: bool = False) -> DataFrame:
     """Every change of a stream's layout from one export to the next.
 
     ``exports`` has json_no, stream_no, export_no and body; further columns are ignored, repeated
-    json_no count once. Result: stream_no, export_no, drift_kind, old_path, new_path, old_type,
-    new_type. Null streams or exports form no sequence and give no rows; so do an empty table and a
-    stream with one export. A removed path that agrees with several added ones goes to the pair with
-    most agreeing lines (ties by path).
+    json_no count once. Options are those of :func:`fields`. Result: stream_no, export_no, drift_kind,
+    old_path, new_path, old_type, new_type. Null streams or exports form no sequence and give no rows;
+    so do an empty table and a stream with one export. A removed path that agrees with several added
+    ones goes to the pair with most agreeing lines (ties by path). When an object or an array that is
+    entered becomes something else, or the reverse, what lies below it is not reported.
     """
     recs = records(exports.filter(F.col("stream_no").isNotNull() & F.col("export_no").isNotNull()))
-    rows = durable(fields(recs, line_member), "fields")
+    rows = durable(fields(recs, line_member, depth, arrays, split_numbers), "fields")
     layout = durable(layouts(rows), "layouts")
-    steps = fingerprints(recs, layout).filter("prev_export_no IS NOT NULL").select("stream_no", "export_no", "prev_export_no")
+    order = Window.partitionBy("stream_no").orderBy("export_no")
+    # Exports without any field are exports too.
+    every = exports.filter("stream_no IS NOT NULL AND export_no IS NOT NULL").select("stream_no", "export_no").distinct()
+    steps = durable(every.withColumn("prev_export_no", F.lag("export_no").over(order)).filter("prev_export_no IS NOT NULL"), "steps")
     old = (
         layout.select("stream_no", F.col("export_no").alias("prev_export_no"), "path", F.col("jtype").alias("old_type"))
         .join(steps, ["stream_no", "prev_export_no"])
@@ -159,30 +163,33 @@ def changes(exports: DataFrame, line_member: str = "line_ref") -> DataFrame:
     )
     both = durable(old.join(new, ["stream_no", "export_no", "path"], "full"), "compared")
     retyped = both.filter("old_type <> new_type")
-    # Members of an object that became something else, or the reverse, are not reported by themselves.
-    swapped = retyped.filter("old_type = 'object' OR new_type = 'object'").select("stream_no", "export_no", F.col("path").alias("parent"))
-    loose = (
-        both.filter("(old_type IS NULL OR new_type IS NULL) AND coalesce(old_type, new_type) <> 'object'")
-        .withColumn("parent", F.when(F.col("path").contains("."), F.substring_index("path", ".", 1)))
-        .join(swapped, ["stream_no", "export_no", "parent"], "left_anti")
-        .select("stream_no", "export_no", "path", "old_type", "new_type")
-    )
+    swapped = retyped.filter("old_type = 'object' OR new_type = 'object'" + (" OR old_type = 'array' OR new_type = 'array'" if arrays else ""))
+    # Every path that one lies below: a.b[].c lies below a.b[], a.b and a.
+    above = F.expr("explode(transform(sequence(1, greatest(size(split(path, '[.]')) - 1, 1)), n -> regexp_replace(substring_index(path, '.', n), '(\\\\[\\\\])+$', '')))")
+    loose = both.filter("(old_type IS NULL OR new_type IS NULL) AND coalesce(old_type, new_type) <> 'object'")
+    covered = (
+        loose.filter(F.col("path").contains(".")).select("stream_no", "export_no", "path", above.alias("parent"))
+        .join(swapped.select("stream_no", "export_no", F.col("path").alias("parent")), ["stream_no", "export_no", "parent"], "left_semi")
+        .select("stream_no", "export_no", "path")
+    )
+    loose = loose.join(covered, ["stream_no", "export_no", "path"], "left_anti")
     removed = loose.filter("new_type IS NULL").select("stream_no", "export_no", F.col("path").alias("old_path"), "old_type")
     added = loose.filter("old_type IS NULL").select("stream_no", "export_no", F.col("path").alias("new_path"), "new_type")
-    pairs = removed.join(added, ["stream_no", "export_no"]).filter("old_type = new_type").join(steps, ["stream_no", "export_no"])
-    old_values = pairs.select("stream_no", "export_no", "prev_export_no", "old_path", "new_path").join(
-        rows.select("stream_no", F.col("export_no").alias("prev_export_no"), "line", F.col("path").alias("old_path"), F.col("val").alias("old_val")),
-        ["stream_no", "prev_export_no", "old_path"],
+    pairs = durable(removed.join(added, ["stream_no", "export_no"]).filter("old_type = new_type").join(steps, ["stream_no", "export_no"]), "pairs")
+    # Only values of paths that may have been renamed move, as hashes and keyed by line, so no export is one key.
+    gone_values = rows.join(
+        pairs.select("stream_no", F.col("prev_export_no").alias("export_no"), F.col("old_path").alias("path"), F.col("export_no").alias("step")).distinct(), ["stream_no", "export_no", "path"]
+    ).select("stream_no", F.col("step").alias("export_no"), "line", F.col("path").alias("old_path"), F.col("val").alias("old_val"))
+    new_values = rows.join(pairs.select("stream_no", "export_no", F.col("new_path").alias("path")).distinct(), ["stream_no", "export_no", "path"], "left_semi").select(
+        "stream_no", "export_no", "line", F.col("path").alias("new_path"), F.col("val").alias("new_val")
     )
     agreed = (
-        old_values.join(
-            rows.select("stream_no", "export_no", "line", F.col("path").alias("new_path"), F.col("val").alias("new_val")),
-            ["stream_no", "export_no", "line", "new_path"],
-        )
+        gone_values.join(new_values, ["stream_no", "export_no", "line"])
         .groupBy("stream_no", "export_no", "old_path", "new_path")
         .agg(F.count("*").alias("n"), F.count_if(F.col("old_val") == F.col("new_val")).alias("same"))
         .filter(F.col("same") >= RENAME_AGREEMENT * F.col("n"))
         .filter("same > 0")
+        .join(pairs, ["stream_no", "export_no", "old_path", "new_path"], "left_semi")
     )
     # Mutual best pairs: each path of a step takes part in at most one rename.
     by_old = Window.partitionBy("stream_no", "export_no", "old_path").orderBy(F.desc("same"), "new_path")
@@ -191,12 +198,12 @@ def changes(exports: DataFrame, line_member: str = "line_ref") -> DataFrame:
         agreed.withColumn("ro", F.row_number().over(by_old)).withColumn("rn", F.row_number().over(by_new)).filter("ro = 1 AND rn = 1")
         .join(removed, ["stream_no", "export_no", "old_path"])
         .select("stream_no", "export_no", F.lit("renamed").alias("drift_kind"), "old_path", "new_path", "old_type", F.col("old_type").alias("new_type"))
-    )
+    )
     renamed = durable(renamed, "renamed")
     gone = removed.join(renamed.select("stream_no", "export_no", "old_path"), ["stream_no", "export_no", "old_path"], "left_anti")
     come = added.join(renamed.select("stream_no", "export_no", "new_path"), ["stream_no", "export_no", "new_path"], "left_anti")
     none = F.lit(None).cast("string")
-    return (
+    done = durable(
         renamed.unionByName(
             gone.select("stream_no", "export_no", F.lit("removed").alias("drift_kind"), "old_path", F.lit("").alias("new_path"), "old_type", none.alias("new_type"))
         )
@@ -205,37 +212,12 @@ def changes(exports: DataFrame, line_member: str = "line_ref") -> DataFrame:
         )
         .unionByName(
             retyped.select("stream_no", "export_no", F.lit("retyped").alias("drift_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"), "old_type", "new_type")
-        )
+        ),
+        "changes",
     )
-
-
-def alias_sets(change_rows: DataFrame, canonical: dict[str, tuple[str, str]] = CANONICAL) -> dict[str, list[str]]:
-    """For each canonical column all paths that chained renames link to its seed path, the seed first.
-
-    The chain runs over distinct pairs of *names*; their number is a property of the layouts and is
-    checked against :data:`MAX_RENAMES`.
-    """
-    pairs = collect_small(
-        change_rows.filter("drift_kind = 'renamed'").select("old_path", "new_path").distinct(), MAX_RENAMES, "distinct renames"
-    )
-    linked: dict[str, set[str]] = {}
-    for old, new in pairs:
-        linked.setdefault(old, set()).add(new)
-        linked.setdefault(new, set()).add(old)
-    seeds = {seed: name for name, (seed, _) in canonical.items()}
-    taken: set[str] = set()
-    result = {}
-    for seed, name in seeds.items():
-        chain, queue = [seed], [seed]
-        taken.add(seed)
-        while queue:
-            for path in sorted(linked.get(queue.pop(0), ())):
-                if path not in taken and path not in seeds:
-                    taken.add(path)
-                    chain.append(path)
-                    queue.append(path)
-        result[name] = chain
-    return result
+    for used in (rows, layout, both, pairs, renamed, steps):
+        discard(used)
+    return done
 
 
 def _values(recs: DataFrame) -> DataFrame:
@@ -264,29 +246,29 @@ def _values(recs: DataFrame) -> DataFrame:
 
 
 def route(steps: list[tuple[int | None, str | None, str]], known: dict[str, tuple[int, str, str]]) -> list[tuple[int | None, str, str, str]]:
-    """Column of every path of every export of one stream: export_no, path, target, rule.
+    """Column of every path of every version of one stream: version, path, target, rule.
 
-    ``steps`` are (export_no, old_path, path): each path seen in an export with old_path null, and each
-    rename. ``known`` gives for a path (rank, column, rule). A field keeps its column over exports and
+    ``steps`` are (version, old_path, path): each path seen in a version with old_path null, and each
+    rename. ``known`` gives for a path (rank, column, rule). A field keeps its column over versions and
     renames. Of several fields that stand side by side and belong to one column the first by rank and
     name gets it; the others, and fields without a known name, get ``.`` and their first path.
     """
     seen: dict[int | None, set[str]] = {}
     renames: dict[int | None, dict[str, str]] = {}
-    for export, old, path in steps:
+    for version, old, path in steps:
         if old is None:
-            seen.setdefault(export, set()).add(path)
+            seen.setdefault(version, set()).add(path)
         else:
-            renames.setdefault(export, {})[path] = old
+            renames.setdefault(version, {})[path] = old
     names: list[list[str]] = []
     where: list[set[tuple[int | None, str]]] = []
     now: dict[str, int] = {}
-    for export in sorted(seen, key=lambda e: (e is None, e)):
-        moved = {new: now[old] for new, old in renames.get(export, {}).items() if old in now}
-        for old in renames.get(export, {}).values():
+    for version in sorted(seen, key=lambda e: (e is None, e)):
+        moved = {new: now[old] for new, old in renames.get(version, {}).items() if old in now}
+        for old in renames.get(version, {}).values():
             now.pop(old, None)
         now |= moved
-        for path in sorted(seen[export]):
+        for path in sorted(seen[version]):
             if path not in now:
                 now[path] = len(names)
                 names.append([])
@@ -294,7 +276,7 @@ def route(steps: list[tuple[int | None, str | None, str]], known: dict[str, tupl
             field = now[path]
             if path not in names[field]:
                 names[field].append(path)
-            where[field].add((export, path))
+            where[field].add((version, path))
     plans = []
     for field, paths in enumerate(names):
         found = [(known[p][0], i, *known[p][1:]) for i, p in enumerate(paths) if p in known]
@@ -313,40 +295,48 @@ def route(steps: list[tuple[int | None, str | None, str]], known: dict[str, tupl
     return result
 
 
-def routes(values: DataFrame, change_rows: DataFrame, canonical: dict[str, tuple[str, str]] = CANONICAL) -> DataFrame:
-    """The explicit migration steps of every stream: stream_no, export_no, path, target, rule.
+def routes(values: DataFrame, change_rows: DataFrame, versions: DataFrame, canonical: dict[str, tuple[str, str]] = CANONICAL) -> DataFrame:
+    """The explicit migration steps of every version of every stream: stream_no, version, path, target, rule.
 
+    ``values`` are the records' paths (:func:`_values`), ``versions`` come from :func:`fingerprints`.
     Rules: ``seed`` (the column's own path), ``renamed`` (by chained renames of the stream), ``synonym``
-    (:data:`SYNONYMS`), ``linked`` (a rename of another stream), ``own`` (target is ``.`` and a path).
+    (:data:`SYNONYMS`), ``own`` (target is ``.`` and a path). A rename counts in its own stream only.
     """
-    known = {p: (3, name, "linked") for name, chain in alias_sets(change_rows, canonical).items() for p in chain}
-    known |= {p: (2, name, "synonym") for name in canonical for p in SYNONYMS.get(name, ())}
+    known = {p: (2, name, "synonym") for name in canonical for p in SYNONYMS.get(name, ())}
     known |= {seed: (1, name, "seed") for name, (seed, _) in canonical.items()}
     none = F.lit(None).cast("string")
-    steps = values.select("stream_no", "export_no", none.alias("old_path"), "path").distinct().unionByName(
-        change_rows.filter("drift_kind = 'renamed'").select("stream_no", "export_no", "old_path", F.col("new_path").alias("path"))
+    seen = values.groupBy("stream_no", "version", "path").agg(none.alias("old_path")).select("stream_no", "version", "old_path", "path")
+    renames = change_rows.filter("drift_kind = 'renamed'").join(versions.select("stream_no", "export_no", "version"), ["stream_no", "export_no"]).select(
+        "stream_no", "version", "old_path", F.col("new_path").alias("path")
     )
+    kinds = "stream_no long, version long, path string, target string, rule string"
 
     def run(part: pa.Table) -> pa.Table:
         stream = part.column("stream_no")[0].as_py()
-        found = route(list(zip(*(part.column(c).to_pylist() for c in ("export_no", "old_path", "path")))), known)
+        found = route(list(zip(*(part.column(c).to_pylist() for c in ("version", "old_path", "path")))), known)
         return pa.Table.from_pylist([dict(zip(_ROUTE.names, (stream, *r))) for r in found], _ROUTE)
 
-    return steps.groupBy("stream_no").applyInArrow(run, "stream_no long, export_no long, path string, target string, rule string")
+    # Paths and renames of one stream: a property of its layouts, not of its records.
+    return seen.unionByName(renames).groupBy("stream_no").applyInArrow(run, kinds)
 
 
 def unified(exports: DataFrame, change_rows: DataFrame, canonical: dict[str, tuple[str, str]] = CANONICAL) -> DataFrame:
     """All records as one table with one set of columns: keys, line_ref, the canonical columns, and one for every other path.
 
-    Rules per record: *rename* – each value goes to the column its path has in that export of that
-    stream (:func:`routes`); *cast* – to the column's type, null where that fails; *default* – null
-    where the path has no value. Objects stored as JSON text or as arrays of name/value objects are read
-    like the object they stand for. Other paths give string columns named by the path, ``.`` as ``__``,
-    numbered where such a name is in use. Records with a malformed body keep their keys with nulls.
+    Each record goes through the steps of its export's version (:func:`fingerprints`, :func:`routes`).
+    Rules per record: *rename* – each value goes to the column its path has in that version of that
+    stream; *cast* – to the column's type, null where that fails; *default* – null where the path has
+    no value. Objects stored as JSON text or as arrays of name/value objects are read like the object
+    they stand for. Other paths give string columns named by the path, ``.`` as ``__``, numbered where
+    such a name is in use. Records with a malformed body keep their keys with nulls.
     """
     recs = durable(records(exports), "records")
-    values = durable(_values(recs), "values")
-    steps = durable(routes(values, change_rows, canonical), "routes")
+    versions = durable(fingerprints(recs, layouts(fields(recs))).select("stream_no", "export_no", "version"), "versions")
+    v = versions.select(F.col("stream_no").alias("s"), F.col("export_no").alias("e"), "version")
+    values = durable(
+        _values(recs).join(v, F.col("stream_no").eqNullSafe(F.col("s")) & F.col("export_no").eqNullSafe(F.col("e"))).drop("s", "e"), "values"
+    )
+    steps = durable(routes(values, change_rows, versions, canonical), "routes")
     columns = {name: (name, kind) for name, (_, kind) in canonical.items()}
     used = {"json_no", "stream_no", "export_no", "line_ref", *(name.lower() for name in canonical)}
     for (target,) in sorted(collect_small(steps.filter("rule = 'own'").select("target").distinct(), MAX_COLUMNS, "columns")):
@@ -357,8 +347,8 @@ def unified(exports: DataFrame, change_rows: DataFrame, canonical: dict[str, tup
             name = f"{base}_{n}"
         used.add(name.lower())
         columns[target] = (name, "string")
-    r = steps.select(F.col("stream_no").alias("s"), F.col("export_no").alias("e"), F.col("path").alias("p"), "target")
-    placed = values.join(r, F.col("stream_no").eqNullSafe(F.col("s")) & F.col("export_no").eqNullSafe(F.col("e")) & (F.col("path") == F.col("p")))
+    r = steps.select(F.col("stream_no").alias("s"), F.col("version").alias("e"), F.col("path").alias("p"), "target")
+    placed = values.join(r, F.col("stream_no").eqNullSafe(F.col("s")) & F.col("version").eqNullSafe(F.col("e")) & (F.col("path") == F.col("p")))
     found = placed.groupBy(F.col("json_no").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("target", "text"))).alias("m"))
     value = lambda target, kind: F.try_element_at("m", F.lit(target)).try_cast(kind)
     return recs.join(found, F.col("json_no").eqNullSafe(F.col("k")), "left").select(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pagelens.runtime import durable
 
-#: Levels a tree can have: page, regions (nested), lines, words.
-MAX_DEPTH = 64
+#: Levels beyond which the parents are taken for a cycle, which is an error.
+MAX_DEPTH = 10_000
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -23,7 +23,11 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     up = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("above"))
     level = nodes.select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
     found = level
-    for d in range(1, MAX_DEPTH):
+    d = 0
+    while True:
+        d += 1
+        if d > MAX_DEPTH:
+            raise ValueError(f"parents go on over {MAX_DEPTH} levels: they form a cycle")
         level = durable(
             level.join(up, ["doc_id", "ancestor_id"]).filter("above IS NOT NULL").select("doc_id", "node_id", F.col("above").alias("ancestor_id"), F.lit(d).alias("distance")), "level"
         )

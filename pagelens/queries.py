@@ -92,17 +92,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.objects(nested.bridges(table(spark, sf_dir, "page_documents")))
+    """Every nested object of every page once, whatever its member."""
+    return nested.objects(table(spark, sf_dir, "page_documents"), polygons=("region", "line", "word"), rest=True)
 
 
 def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flat_table(nested.bridges(table(spark, sf_dir, "page_documents")), "line", {"confidence": "$.segmentation_confidence", "text": "$.transcription[0].text"})
+    return nested.flat_table(table(spark, sf_dir, "page_documents"), "line", {"confidence": "$.segmentation_confidence", "text": "$.transcription[0].text"})
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "htr_json")).select("stream_no", "export_no", "drift_kind", "old_path", "new_path")
 
 
+def p6_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes at any depth, in arrays of objects too, with whole and other numbers told apart."""
+    return drift.changes(table(spark, sf_dir, "htr_json"), depth=None, arrays=True, split_numbers=True)
+
+
 def p6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = drift.records(table(spark, sf_dir, "htr_json"))
     return drift.fingerprints(recs, drift.layouts(drift.fields(recs)))
@@ -516,7 +522,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p3_found, p3_objects, p3_lines, p6_found, p6_versions, p6_unified, group_stats, hist_equal, shifted_entropy, quantile_edges, array_features,
+            p3_found, p3_objects, p3_lines, p6_found, p6_deep, p6_versions, p6_unified, group_stats, hist_equal, shifted_entropy, quantile_edges, array_features,
             line_shape, char_classes, no_alpha_lines, repetition_runs, word_token_counts, ngram_top, ngram_ratio, lm_perplexity, lexicon_match,
             bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
             line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,

@@ -89,6 +89,32 @@ def test_unified_routes_by_stream(spark):
         assert (r.label, r.confidence) == ((f"x{i}", None) if r.stream_no == 1 else (None, i / 10))
 
 
+def test_a_rename_counts_in_its_own_stream(spark):
+    a, b = lines(lambda i: {"text": f"t{i}"}), lines(lambda i: {"caption": f"t{i}"})
+    c = lines(lambda i: {"text": f"t{i}", "caption": f"c{i}"})
+    d = lines(lambda i: {"caption": f"c{i}"})
+    df = exports(spark, a, b, stream=8).union(exports(spark, c, d, stream=9).withColumn("json_no", F.col("json_no") + 100))
+    for r in unified(df).collect():
+        i = r.line_ref[1:]
+        if r.stream_no == 8:
+            assert (r.text, r.caption) == (f"t{i}", None)
+        else:
+            assert (r.text, r.caption) == (f"t{i}" if r.export_no == 1 else None, f"c{i}")
+
+
+def test_deep_fields_arrays_and_kinds_of_numbers(spark):
+    a = lines(lambda i: {"meta": {"scan": {"dpi": 300 + i}}, "n": 1000, "tags": [{"k": f"a{i}"}, {"k": f"b{i}"}], "deep": {"x": {"y": {"z": 1}}}})
+    b = lines(lambda i: {"meta": {"scan": {"resolution": 300 + i}}, "n": 1000.5, "tags": [{"key": f"a{i}"}, {"key": f"b{i}"}], "deep": "gone"})
+    df = exports(spark, a, b)
+    got = {(r.drift_kind, r.old_path, r.new_path, r.old_type, r.new_type) for r in drift.changes(df, depth=None, arrays=True, split_numbers=True).collect()}
+    assert got == {
+        ("renamed", "meta.scan.dpi", "meta.scan.resolution", "integer", "integer"), ("retyped", "n", "n", "integer", "number"),
+        ("renamed", "tags[].k", "tags[].key", "string", "string"), ("retyped", "deep", "deep", "object", "string"),
+    }
+    assert changes(df) == {(2, "retyped", "deep", "deep")}
+    assert unified(df).filter("export_no = 1").count() == 6
+
+
 def test_versions(spark):
     a, b = lines(lambda i: {"a": i}), lines(lambda i: {"b": "x"})
     recs = drift.records(exports(spark, a, a, b, a))
