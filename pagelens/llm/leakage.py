@@ -1,14 +1,13 @@
 """Evaluation passages leaking into training text: a distributed positional inverted index.
 
-The index is parted by documents. A shard covers a run of documents and stores, for each term, the
-positions at which it stands (:func:`build_index`); terms that no evaluation passage contains keep
-their place but need no list. A search (:func:`search`) asks every shard for all passages: per window
-of :data:`SEED_WORDS` words of a passage the rarest term of the window – by its count in the whole
-corpus – gives the first list, which is intersected with the offset-adjusted lists of the other
-terms. A passage part of 20 or more words with at most one in eight altered always has such a window
-unaltered: n words with n / 8 changes leave an unbroken run of at least (n - n/8) / (n/8 + 1) words,
-which is over 5 for every n >= 20. Around the phrase matches a banded word alignment then decides
-exactly, over whole documents.
+The index is built once over whole documents (:func:`build_index`) and serves any number of searches. It
+is parted by documents: a shard covers a run of documents and stores, for every term, the positions at
+which it stands. A search (:func:`search`) asks every shard for all passages. For each window of
+consecutive passage words it starts from the list of the window's rarest term and intersects it with the
+offset-adjusted lists of the other terms, from rare to frequent; what is left are exact phrase matches.
+A part of ``min_words`` or more words with at most one in ``one_in`` altered always holds such a window
+unaltered (:func:`seed_words`: n words with e changes leave an unbroken run of at least (n - e) / (e + 1)).
+Around the phrase matches a banded alignment over the same lists then decides on the proximity matches.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,77 +25,71 @@ from pagelens.runtime import collect_small, durable
 
 MIN_WORDS = 20
 ONE_IN = 8
-SEED_WORDS = 6
-#: Passages and their distinct terms that one search takes; both are broadcast to the shards.
-MAX_PASSAGES = 100_000
-MAX_TERMS = 5_000_000
+#: Passages, and characters of passages, that one search broadcasts; more are searched in blocks.
+BLOCK_PASSAGES = 50_000
+BLOCK_CHARS = 32_000_000
 #: Characters of text in one shard of the index.
 SHARD_CHARS = 8_000_000
+#: Pairs of a passage word and a posting that are intersected at once.
+PAIRS = 2_000_000
 
-_INDEX = "doc_ids array<long>, ends array<int>, terms array<int>, offsets array<int>, positions array<int>"
+_INDEX = "doc_ids array<long>, ends array<int>, terms array<string>, offsets array<int>, positions array<int>"
 _INDEX_ARROW = pa.schema(
     [
         ("doc_ids", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int32())),
-        ("terms", pa.list_(pa.int32())),
+        ("terms", pa.list_(pa.string())),
         ("offsets", pa.list_(pa.int32())),
         ("positions", pa.list_(pa.int32())),
     ]
 )
 
 
+def seed_words(min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> int:
+    """Words in a row that every part of ``min_words`` or more words keeps if at most one in ``one_in`` is altered.
+
+    A longer part holds one of fewer than twice ``min_words`` words that keeps the proportion.
+    """
+    return max(1, min(-(-(n - n // one_in) // (n // one_in + 1)) for n in range(min_words, 2 * min_words)))
+
+
 class Passages:
-    """The evaluation passages as term codes: one array over all passages, with a break (code -1) after each."""
+    """The evaluation passages as term codes: one array over all passages, with a break (code 0) after each."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> None:
         self.terms: dict[str, int] = {}
         code, item, self.item_no, self.start, self.length = [], [], [], [], []
         for item_no, text in rows:
             found = words(text, join_lines=True)
-            if len(found) < MIN_WORDS:
+            if len(found) < min_words:
                 continue
             self.start.append(len(code))
             self.length.append(len(found))
-            code += [self.terms.setdefault(w, len(self.terms) + 1) for w in found] + [-1]
+            code += [self.terms.setdefault(w, len(self.terms) + 1) for w in found] + [0]
             item += [len(self.item_no)] * (len(found) + 1)
             self.item_no.append(item_no)
-        if len(self.terms) > MAX_TERMS:
-            raise ValueError("too many distinct terms in the passages of one search")
-        self.code = np.array(code, dtype=np.int32)
-        self.item = np.array(item, dtype=np.int32)
-
-    def anchors(self, counts: dict[int, int]) -> np.ndarray:
-        """Positions of the rarest term of each window of SEED_WORDS words (ties: the first)."""
-        n = len(self.code) - SEED_WORDS + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64)
-        count = np.zeros(len(self.terms) + 2, dtype=np.int64)
-        for term, k in counts.items():
-            count[term] = k
-        weight = np.where(self.code > 0, count[self.code], 0)
-        windows = np.lib.stride_tricks.sliding_window_view(weight, SEED_WORDS)
-        whole = (np.lib.stride_tricks.sliding_window_view(self.code, SEED_WORDS) > 0).all(axis=1)
-        first = np.arange(n)[whole]
-        return np.unique(first + windows[whole].argmin(axis=1))
-
-
-def build_index(documents: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """The index shards: doc_ids, ends (position after each document), and the term lists in CSR form.
+        self.code = np.array(code, dtype=np.int64)
+        self.item = np.array(item, dtype=np.int64)
+
+
+def build_index(documents: DataFrame) -> DataFrame:
+    """The index shards: doc_ids, ends (position after each document), and the lists of all terms in CSR form.
 
     ``documents`` has doc_id and text; null texts are documents without words. No shuffle: a shard
     holds up to SHARD_CHARS characters of the documents of one partition, a longer text alone.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(terms)
 
     def shard(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
-        get = shared.value.get
         found = batch_words(texts, join_lines=True)
-        code = np.fromiter((-1 if w == BREAK else get(w, 0) for w in found), dtype=np.int32, count=len(found))
-        ends = np.flatnonzero(code == -1)
-        at = np.flatnonzero(code > 0)
-        order = at[np.argsort(code[at], kind="stable")]
-        listed, starts = np.unique(code[order], return_index=True)
-        values = (ids, ends, listed, np.append(starts, len(order)), order)
+        code, terms = pd.factorize(np.array(found, dtype=object))
+        stop = np.flatnonzero(terms == BREAK)[0]
+        ends = np.flatnonzero(code == stop)
+        order = np.argsort(code.astype(np.int32), kind="stable")
+        offsets = np.append(0, np.cumsum(np.bincount(code, minlength=len(terms))))
+        # The break is no term: its list is empty.
+        order = np.delete(order, np.s_[offsets[stop] : offsets[stop + 1]])
+        offsets[stop + 1 :] -= len(ends)
+        values = (ids, ends, terms, offsets, order)
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _INDEX_ARROW)], schema=_INDEX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +108,67 @@ def build_index(documents: DataFrame, terms: dict[str, int]) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, _INDEX)
 
 
-def _aligned(same: np.ndarray, length: np.ndarray, min_words: int, one_in: int) -> np.ndarray:
-    """Which candidates hold a part of the passage of min_words or more words with at most one in ``one_in`` altered.
+class Lists:
+    """The postings of a shard that passages ask for; terms are passage codes, lists ascend."""
+
+    def __init__(self, p: Passages, row: dict) -> None:
+        self.ends = np.asarray(row["ends"], dtype=np.int64)
+        self.size = int(self.ends[-1]) + 1
+        get = p.terms.get
+        asked = np.fromiter((get(t, 0) for t in row["terms"].tolist()), dtype=np.int64, count=len(row["terms"]))
+        at = np.flatnonzero(asked)
+        at = at[np.argsort(asked[at])]
+        offsets = np.asarray(row["offsets"], dtype=np.int64)
+        many = offsets[at + 1] - offsets[at]
+        #: Per passage code the length and the beginning of its list.
+        self.count = np.zeros(len(p.terms) + 1, dtype=np.int64)
+        self.count[asked[at]] = many
+        self.first = np.cumsum(self.count) - self.count
+        starts = np.repeat(offsets[at] - (np.cumsum(many) - many), many)
+        self.positions = np.asarray(row["positions"])[starts + np.arange(len(starts))].astype(np.int64)
+        #: Code and position as one ascending key, so that any number of (code, position) are looked up at once.
+        self.keys = np.repeat(asked[at], many) * self.size + self.positions
+
+    def hold(self, code: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in the list of its code; positions outside the shard are in none."""
+        inside = (position >= 0) & (position < self.size) & (code > 0)
+        wanted = np.where(inside, code * self.size + position, -1)
+        slot = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return inside & (self.keys[slot] == wanted) if len(self.keys) else np.zeros(wanted.shape, dtype=bool)
+
+
+def _phrases(p: Passages, lists: Lists, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the passages, position in the shard) of every window of ``seed`` passage words that stands in the shard."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(p.code) < seed:
+        return none, none
+    windows = np.lib.stride_tricks.sliding_window_view(lists.count[p.code], seed)
+    start = np.flatnonzero((windows > 0).all(axis=1))
+    if not len(start):
+        return none, none
+    rarity = np.argsort(windows[start], axis=1, kind="stable")
+    rarest = start + rarity[:, 0]
+    many = lists.count[p.code[rarest]]
+    places, positions = [], []
+    # Blocks of windows with a bounded number of postings; a longer list is cut as well.
+    upto = np.cumsum(many)
+    for lo in range(0, int(upto[-1]), PAIRS):
+        hi = min(lo + PAIRS, int(upto[-1]))
+        pair = np.arange(lo, hi)
+        w = np.searchsorted(upto, pair, side="right")
+        posting = lists.first[p.code[rarest[w]]] + pair - (upto[w] - many[w])
+        at = lists.positions[posting] - rarity[w, 0]
+        for k in range(1, seed):
+            offset = rarity[w, k]
+            ok = lists.hold(p.code[start[w] + offset], at + offset)
+            w, at = w[ok], at[ok]
+        places.append(start[w])
+        positions.append(at)
+    return np.concatenate(places), np.concatenate(positions)
+
+
+def _aligned(same: np.ndarray, length: np.ndarray, min_words: int, one_in: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates hold a part of the passage of min_words or more words with at most one in ``one_in`` altered, and which without any.
 
     ``same[c, i, d]``: word i of the passage of candidate c equals the document's word on diagonal d of
     the band. A longer part always splits into parts of min_words to 2 * min_words - 1 words, one of
@@ -123,10 +176,10 @@ def _aligned(same: np.ndarray, length: np.ndarray, min_words: int, one_in: int)
     """
     n_cand, n_words, band = same.shape
     longest = 2 * min_words - 1
-    found = np.zeros(n_cand, dtype=bool)
+    found, exact = np.zeros(n_cand, dtype=bool), np.zeros(n_cand, dtype=bool)
     starts = n_words - min_words + 1
     if starts <= 0:
-        return found
+        return found, exact
     ramp = np.arange(band, dtype=np.int16)
     padded = np.zeros((n_cand, n_words + longest, band), dtype=bool)
     padded[:, :n_words] = same
@@ -140,108 +193,96 @@ def _aligned(same: np.ndarray, length: np.ndarray, min_words: int, one_in: int)
         cost = np.minimum.accumulate(cost, axis=2) + ramp
         if t >= min_words:
             fits = first[None, :] + t <= length[:, None]
-            found |= (fits & (cost.min(axis=2) <= t // one_in)).any(axis=1)
-    return found
-
-
-def _search_shard(p: Passages, anchors: np.ndarray, row: dict, min_words: int, one_in: int) -> tuple[list, list]:
-    ends = np.asarray(row["ends"], dtype=np.int64)
-    n = int(ends[-1]) + 1 if len(ends) else 0
-    code = np.zeros(n, dtype=np.int32)
-    offsets = row["offsets"]
-    positions = np.asarray(row["positions"], dtype=np.int64)
-    terms = np.asarray(row["terms"], dtype=np.int32)
-    code[positions] = np.repeat(terms, np.diff(offsets))
-    code[ends] = -1
-    # Offset-adjusted lists of the rarest terms: every pair (place in a passage, place in the shard).
-    by_term = anchors[np.argsort(p.code[anchors], kind="stable")]
-    anchor_terms, first, many = np.unique(p.code[by_term], return_index=True, return_counts=True)
-    slot = np.searchsorted(terms, anchor_terms)
-    have = (slot < len(terms)) & (terms[np.minimum(slot, max(len(terms) - 1, 0))] == anchor_terms) if len(terms) else np.zeros(len(anchor_terms), dtype=bool)
-    gs, ps = [], []
-    for s, f, m in zip(slot[have], first[have], many[have]):
-        listed = positions[offsets[s] : offsets[s + 1]]
-        gs.append(np.repeat(by_term[f : f + m], len(listed)))
-        ps.append(np.tile(listed, m))
-    if not gs:
-        return [], []
-    g, at = np.concatenate(gs), np.concatenate(ps)
-    # Intersect: words to the left and to the right that stand at the same offset.
-    left = np.zeros(len(g), dtype=np.int64)
-    right = np.zeros(len(g), dtype=np.int64)
-    for run, sign in ((left, -1), (right, 1)):
-        going = np.arange(len(g))
-        for k in range(1, SEED_WORDS):
-            x, y = g[going] + sign * k, at[going] + sign * k
-            ok = (x >= 0) & (y >= 0) & (x < len(p.code)) & (y < n)
-            ok[ok] = (p.code[x[ok]] == code[y[ok]]) & (code[y[ok]] > 0)
-            going = going[ok]
-            run[going] += 1
-    hit = left + right + 1 >= SEED_WORDS
-    g, at = g[hit], at[hit]
-    if not len(g):
-        return [], []
-    doc, item = np.searchsorted(ends, at), p.item[g].astype(np.int64)
-    triple = np.unique(np.stack([doc, item, at - g], axis=1), axis=0)
+            least = cost.min(axis=2)
+            found |= (fits & (least <= t // one_in)).any(axis=1)
+            if t == min_words:
+                exact = (fits & (least == 0)).any(axis=1)
+    return found, exact
+
+
+def _search_shard(p: Passages, row: dict, min_words: int, one_in: int, seed: int) -> tuple[list, list, list]:
+    """item_no, doc_id and whether min_words of the item stand there unaltered, once per pair."""
+    if not len(row["ends"]) or not p.item_no:
+        return [], [], []
+    lists = Lists(p, row)
+    place, at = _phrases(p, lists, seed)
+    if not len(place):
+        return [], [], []
+    doc = np.searchsorted(lists.ends, at)
+    triple = np.unique(np.stack([doc, p.item[place], at - place], axis=1), axis=0)
     start, length = np.asarray(p.start, dtype=np.int64), np.asarray(p.length, dtype=np.int64)
     reach = (2 * min_words - 1) // one_in
     band = np.arange(-reach, reach + 1)
-    docs, items = [], []
-    block = max(1, 50_000 // int(length.max()))
+    docs, items, exact = [], [], []
+    block = max(1, 500_000 // (int(length.max()) * len(band)))
     for lo in range(0, len(triple), block):
         part = triple[lo : lo + block]
         d, i, shift = part[:, 0], part[:, 1], part[:, 2]
         longest = int(length[i].max())
-        place = start[i][:, None] + np.arange(longest)[None, :]
-        inside = np.arange(longest)[None, :] < length[i][:, None]
-        want = np.where(inside, p.code[np.minimum(place, len(p.code) - 1)], -2)
-        there = place[:, :, None] + shift[:, None, None] + band[None, None, :]
-        valid = (there >= 0) & (there < n)
-        clipped = np.clip(there, 0, n - 1)
-        low = np.where(d > 0, ends[np.maximum(d - 1, 0)] + 1, 0)
-        valid &= (clipped >= low[:, None, None]) & (clipped < ends[d][:, None, None])
-        same = valid & (code[clipped] == want[:, :, None])
+        step = np.arange(longest)[None, :]
+        words_at = start[i][:, None] + step
+        want = np.where(step < length[i][:, None], p.code[np.minimum(words_at, len(p.code) - 1)], 0)
+        there = words_at[:, :, None] + shift[:, None, None] + band[None, None, :]
+        low = np.where(d > 0, lists.ends[np.maximum(d - 1, 0)] + 1, 0)
+        same = lists.hold(np.broadcast_to(want[:, :, None], there.shape), there)
+        same &= (there >= low[:, None, None]) & (there < lists.ends[d][:, None, None])
         likely = same.any(axis=2).sum(axis=1) >= min_words - min_words // one_in
-        ok = np.zeros(len(part), dtype=bool)
+        ok, whole = np.zeros(len(part), dtype=bool), np.zeros(len(part), dtype=bool)
         if likely.any():
-            ok[likely] = _aligned(same[likely], length[i][likely], min_words, one_in)
+            ok[likely], whole[likely] = _aligned(same[likely], length[i][likely], min_words, one_in)
         docs.append(d[ok])
         items.append(i[ok])
-    pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)], axis=1), axis=0)
+        exact.append(whole[ok])
+    pairs: dict[tuple[int, int], bool] = {}
+    for i, d, e in zip(np.concatenate(items).tolist(), np.concatenate(docs).tolist(), np.concatenate(exact).tolist()):
+        pairs[i, d] = pairs.get((i, d), False) or e
     ids = row["doc_ids"]
-    return [p.item_no[i] for _, i in pairs], [ids[d] for d, _ in pairs]
+    return [p.item_no[i] for i, _ in pairs], [int(ids[d]) for _, d in pairs], list(pairs.values())
+
 
+def search(index: DataFrame, evaluation: DataFrame, min_words: int = MIN_WORDS, one_in: int = ONE_IN, block_passages: int = BLOCK_PASSAGES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """item_no, doc_id and match of every document that holds enough of a passage.
 
-def search(index: DataFrame, passages: Passages, min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> DataFrame:
-    """(item_no, doc_id) of every document that holds enough of a passage; each pair once per shard and document row."""
+    ``index`` comes from :func:`build_index` (written to a table if it is used more than once),
+    ``evaluation`` has item_no and text. match is ``phrase`` if ``min_words`` words stand there
+    unaltered, else ``proximity``. Passages beyond one block are searched block by block, so neither
+    their number nor their length is limited.
+    """
     spark = index.sparkSession
-    lists = index.select(F.arrays_zip("terms", F.expr("transform(slice(offsets, 2, size(terms)), (o, i) -> o - offsets[i])").alias("n")).alias("x"))
-    totals = lists.select(F.explode("x").alias("x")).groupBy("x.terms").agg(F.sum("x.n"))
-    counts = dict(collect_small(totals, MAX_TERMS, "terms of the passages"))
-    anchors = passages.anchors(counts)
-    shared = spark.sparkContext.broadcast((passages, anchors))
+    rows = evaluation.select("item_no", "text").filter("item_no IS NOT NULL AND text IS NOT NULL").distinct()
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_passages), -(-chars // block_chars))
+    seed = seed_words(min_words, one_in)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, a = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {f.name: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k, f in enumerate(batch.schema)}
-                items, docs = _search_shard(p, a, row, min_words, one_in)
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, pa.int64())], names=["item_no", "doc_id"])
+    def searched(passages: Passages) -> DataFrame:
+        shared = spark.sparkContext.broadcast(passages)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {f.name: batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k, f in enumerate(batch.schema)}
+                    items, docs, exact = _search_shard(shared.value, row, min_words, one_in, seed)
+                    match = ["phrase" if e else "proximity" for e in exact]
+                    yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, pa.int64()), pa.array(match, pa.string())], names=["item_no", "doc_id", "match"])
+
+        return index.mapInArrow(run, "item_no long, doc_id long, match string")
 
-    return index.mapInArrow(run, "item_no long, doc_id long")
+    out = None
+    for block in range(blocks):
+        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_no", "text"), F.lit(blocks)) == block)
+        # Blocks are equal but for chance; one with a very long passage may exceed its share.
+        found = searched(Passages([tuple(r) for r in collect_small(part, 4 * block_passages, "passages of a block")], min_words))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("item_no", "doc_id").agg(F.min("match").alias("match"))
 
 
 def leaks(documents: DataFrame, evaluation: DataFrame, min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> DataFrame:
-    """Every document that holds at least ``min_words`` consecutive words of a passage: item_no, doc_id.
+    """Every document that holds at least ``min_words`` consecutive words of a passage: item_no, doc_id, match.
 
     At most one word in ``one_in`` of that part may be altered, missing or added; case, punctuation,
     line breaks and words hyphenated at them don't count. ``documents`` has doc_id and text,
     ``evaluation`` item_no and text; other columns are ignored. Null texts and passages shorter than
     ``min_words`` are no case; a repeated doc_id or item_no gives its pair once. Empty tables give an
-    empty result. The passages of one search are limited by MAX_PASSAGES; more are searched in blocks.
+    empty result. See :func:`search` for match.
     """
-    rows = collect_small(evaluation.select("item_no", "text").filter("item_no IS NOT NULL"), MAX_PASSAGES, "evaluation passages")
-    passages = Passages([tuple(r) for r in rows])
-    index = durable(build_index(documents, passages.terms), "index")
-    return search(index, passages, min_words, one_in).distinct()
+    return search(durable(build_index(documents), "index"), evaluation, min_words, one_in)

@@ -73,6 +73,11 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("item_no", "doc_id")
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of p8_found with the kind of match: phrase or proximity."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
 
 
@@ -98,7 +103,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
     )}
 
 

@@ -12,7 +12,8 @@ def found(spark, docs, items, **kw):
     e = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], ITEMS)
     rows = L.leaks(d, e, **kw).collect()
     assert len({tuple(r) for r in rows}) == len(rows)
-    return {tuple(r) for r in rows}
+    assert all(r.match in ("phrase", "proximity") for r in rows)
+    return {(r.item_no, r.doc_id) for r in rows}
 
 
 def brute(docs, items, least=20):
@@ -55,6 +56,42 @@ def test_against_brute_force(spark):
     assert found(spark, docs, items) == want
 
 
+def test_shorter_parts_and_other_proportions(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [[rng.choice(vocabulary) for _ in range(12)] for _ in range(8)]
+    docs = []
+    for k in range(40):
+        part = list(items[k % 8])
+        if k % 3:
+            part[rng.randint(0, 11)] = "zz"
+        docs.append(" ".join(["q"] * rng.randint(0, 3) + part))
+    items = [" ".join(p) for p in items]
+    assert found(spark, docs, items, min_words=10) == brute(docs, items, 10) != set()
+    assert found(spark, docs, items) == set()
+    # 24 words, every third of which is altered.
+    p = [f"ord{i}" for i in range(24)]
+    d = " ".join("zz" if i % 3 == 2 else w for i, w in enumerate(p))
+    assert found(spark, [d], [" ".join(p)], one_in=3) == {(0, 0)} and found(spark, [d], [" ".join(p)]) == set()
+
+
+def test_blocks_and_kinds_of_match(spark):
+    p = [[f"a{i}x{k}" for k in range(25)] for i in range(30)]
+    docs = [" ".join(w) for w in p] + [" ".join([*w[:12], "zz", *w[13:]]) for w in p]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(p)], "item_no long, text string")
+    rows = L.search(L.build_index(d), e, block_passages=8).collect()
+    assert {tuple(r) for r in rows} == {(i, i, "phrase") for i in range(30)} | {(i, i + 30, "proximity") for i in range(30)}
+
+
+def test_frequent_words_are_intersected_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIRS", 50)
+    p = L.Passages([(0, " ".join(["ja", "nej"] * 15))])
+    text = ["ja", "nej"] * 40
+    row = {"doc_ids": [7], "ends": [80], "terms": __import__("numpy").array(["ja", "nej"], dtype=object), "offsets": [0, 40, 80], "positions": [*range(0, 80, 2), *range(1, 80, 2)]}
+    assert len(text) == 80 and L._search_shard(p, row, 20, 8, 6) == ([0], [7], [True])
+
+
 def test_broken_words_and_documents_do_not_run_together(spark):
     p = [f"ord{i}" for i in range(24)]
     whole = " ".join(p)

@@ -66,7 +66,31 @@ def test_cases_among_dense_codes(spark):
         docs.append(" ".join(w))
     assert all(share(t) >= R.REPEATED_SHARE for t in docs)
     assert {r.doc_id for r in R.repetitive(table(spark, docs)).collect()} == {0, 1}
-    assert any(r.band != "repetitive" for r in R.measure(table(spark, docs)).collect())
+    assert all(r.band == "repetitive" for r in R.measure(table(spark, docs)).collect())
+
+
+def test_the_band_holds_for_the_hardest_cases(spark):
+    """Ever new words with runs of exactly eight, scattered, staggered or far apart, at a share of just 30 %."""
+    rng = random.Random(9)
+    docs = []
+    for n in (40, 80, 200, 1000, 30_000):
+        fresh = iter(range(10**9))
+        new = lambda k: [f"{next(fresh):x}q" for _ in range(k)]
+        base = new(int(n * 0.7))
+        spots = sorted(rng.randint(0, len(base) - 16) for _ in range(max(2, int(n * 0.3 / 8) + 1)))
+        tail = []
+        for k in spots:
+            tail += base[k : k + 8] + new(1)
+        docs.append(" ".join(base + tail))
+        # Runs that overlap: each of nine words, made of two runs of eight from different places.
+        chain = new(40)
+        w = list(chain)
+        for k in range(0, 24, 2):
+            w += new(3) + chain[k : k + 8] + new(2) + chain[k + 1 : k + 9]
+        docs.append(" ".join(w))
+    docs = [d for d in docs if share(d) >= R.REPEATED_SHARE]
+    assert len(docs) >= 8
+    assert {r.doc_id for r in R.repetitive(table(spark, docs)).collect()} == set(range(len(docs)))
 
 
 def test_long_texts_are_read_whole(spark):
@@ -83,6 +107,7 @@ def test_repeats_and_empty_table(spark):
 
 
 def test_incompressible():
+    assert R.repetitive_limit(np.array([100]))[0] > R.repetitive_limit(np.array([5000]))[0]
     assert R.limit(100, R.INCOMPRESSIBLE_LIMITS) > R.limit(5000, R.INCOMPRESSIBLE_LIMITS)
     found = batch_words(["a b", None, "a"])
     code, text = codes(found)
