@@ -1,17 +1,18 @@
 """Text that looks the same in one form: vocabulary tries walked by a weighted edit automaton.
 
-A trie holds the vocabulary (the tokens of reference texts) in canonical spelling. A token walks it
-character by character; look-alike characters, other forms of the same letter, and ignorable
-characters cost nothing, any other replacement, insertion or deletion costs 1. Tokens that reach a
-word within the budget (0 where texts must look the same) get its canonical spelling; all others are
-normalised by table. Texts then compare as plain strings.
+A trie holds the vocabulary (the tokens of reference texts) in canonical spelling. The automaton reads a
+token character by character. Its arcs without cost follow the plain letters a look-alike or another
+form of a letter stands for, and stay where they are on ignorable characters; with w as v, w follows v.
+All other replacements, insertions and deletions cost 1. Tokens that reach a word within the budget (0
+where texts must look the same) get its canonical spelling; all others are normalised by table. Texts
+then compare as plain strings.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,8 +43,10 @@ LOOK_ALIKES = str.maketrans(
     "-----''''\"\"//,",
 )
 
-#: Tokens of a vocabulary whose tries are broadcast; larger vocabularies are normalised by table alone.
-MAX_VOCABULARY = 2_000_000
+#: Tokens, and characters, of a vocabulary whose tries are broadcast; with larger ones both sides are normalised
+#: by table, which gives the same spellings where texts must look the same.
+MAX_VOCABULARY = 500_000
+MAX_CHARS = 16_000_000
 #: Spellings a Python worker remembers.
 CACHE_TOKENS = 500_000
 
@@ -73,53 +76,72 @@ def plain(text: str | None) -> str:
     return unicodedata.normalize("NFC", "".join([units(c) for c in text])).strip()
 
 
+@lru_cache(maxsize=2)
+def arcs(fold_w: bool) -> Callable[[str], str]:
+    """The letters that a character's arcs without cost follow, by way of folding."""
+    fold = str.maketrans("wW", "vV") if fold_w else {}
+
+    @lru_cache(maxsize=70_000)
+    def follow(ch: str) -> str:
+        return units(ch).translate(fold)
+
+    return follow
+
+
+def folded(text: str, fold_w: bool) -> str:
+    """Canonical spelling of a token: the composed letters of its arcs without cost. Letters are folded before they are composed."""
+    if not fold_w and _ODD.search(text) is None:
+        return text
+    follow = arcs(fold_w)
+    return unicodedata.normalize("NFC", "".join([follow(c) for c in text]))
+
+
 class Trie:
     """Vocabulary as a trie over plain decomposed characters; each end holds the canonical spelling.
 
-    Of vocabulary words that look the same the canonical one is the first by (not composed, length,
-    spelling). With ``fold_w`` w counts as v.
+    With ``fold_w`` w counts as v. The spelling of words that look the same is one (:func:`folded`).
     """
 
-    __slots__ = ("fold_w", "root")
+    __slots__ = ("follow", "fold_w", "root", "words")
 
     def __init__(self, words: Iterable[str], fold_w: bool = False) -> None:
-        self.fold_w = fold_w
+        self.fold_w, self.follow, self.words = fold_w, arcs(fold_w), sorted(set(words))
         self.root: dict = {}
-        for word in sorted(set(words), key=lambda w: (not unicodedata.is_normalized("NFC", w), len(w), w)):
+        for word in self.words:
             node = self.root
             for u in self.path(word):
                 node = node.setdefault(u, {})
-            node.setdefault("", plain(word).replace("w", "v").replace("W", "V") if fold_w else plain(word))
+            node[""] = folded(word, fold_w)
+
+    def __reduce__(self):
+        # Workers get the words and build the trie themselves: nested nodes as deep as a word is long are no thing to send.
+        return Trie, (self.words, self.fold_w)
 
     def path(self, token: str) -> str:
-        found = "".join([units(c) for c in token])
-        if not found.isascii():
-            found = unicodedata.normalize("NFD", found)
-        return found.replace("w", "v").replace("W", "V") if self.fold_w else found
+        """The letters on the way of a token without cost; marks of one letter come in canonical order."""
+        found = "".join([self.follow(c) for c in token])
+        return found if found.isascii() else unicodedata.normalize("NFD", found)
 
     def walk(self, token: str, budget: int = 0) -> tuple[str, int] | None:
-        """(canonical spelling, cost) of the cheapest word within the budget (ties: the first by spelling), or None."""
+        """(canonical spelling, cost) of the cheapest word within the budget (ties: the first by spelling), or None.
+
+        States of the automaton are trie nodes with the cost so far. States that can pay for no more
+        edits follow their one arc; the others branch.
+        """
         path = self.path(token)
-        if budget == 0:
-            node = self.root
-            for u in path:
-                node = node.get(u)
-                if node is None:
-                    return None
-            return (node[""], 0) if "" in node else None
-        # States of the automaton: trie node and cost after each character.
-        states = self._close([(self.root, 0)], budget)
+        states = self._close([(self.root, 0)], budget) if budget else [(self.root, 0)]
         for u in path:
             ahead: list[tuple[dict, int]] = []
             for node, cost in states:
-                for key, child in node.items():
-                    if key and (key == u or cost < budget):
-                        ahead.append((child, cost + (key != u)))
+                child = node.get(u)
+                if child is not None:
+                    ahead.append((child, cost))
                 if cost < budget:
+                    ahead += [(other, cost + 1) for key, other in node.items() if key and key != u]
                     ahead.append((node, cost + 1))
-            states = self._close(ahead, budget)
-            if not states:
+            if not ahead:
                 return None
+            states = self._close(ahead, budget) if budget else ahead
         ends = [(cost, node[""]) for node, cost in states if "" in node]
         return (min(ends)[1], min(ends)[0]) if ends else None
 
@@ -183,18 +205,37 @@ class Speller:
 
     def unknown(self, part: str) -> str:
         """A token by table, with w as v if the vocabulary is folded."""
-        if self.trie is None or not self.trie.fold_w:
-            return plain(part)
-        return unicodedata.normalize("NFC", self.trie.path(part))
+        return folded(part, self.trie is not None and self.trie.fold_w)
+
+
+def _vocabulary(words: DataFrame, most: int) -> list[str] | None:
+    """The distinct tokens (column word) if they are within the limits, checked before they are fetched."""
+    found = words.select("word").filter("word IS NOT NULL").distinct()
+    n, chars = found.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    return [r[0] for r in found.collect()] if n <= most and chars <= MAX_CHARS else None
+
+
+def text_tokens(texts: DataFrame) -> DataFrame:
+    """The distinct tokens (column word) of a column text, as :func:`tokens` cuts them. Batches are made distinct before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = {t for text in batch.column(0).to_pylist() if text is not None for t in tokens(text) if t}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
+
+    return texts.select("text").mapInArrow(run, "word string").distinct()
 
 
 def normalise(rows: DataFrame, vocabulary: DataFrame, key: str = "line_no", text: str = "text", budget: int = 0, fold_w: bool = False) -> DataFrame:
     """``key`` and the canonical form (column norm) of every row's text; null texts stay null. No shuffle.
 
     ``vocabulary`` has a column word, whose tokens are the canonical spellings; null words are ignored.
+    With a budget the vocabulary must be within MAX_VOCABULARY and MAX_CHARS.
     """
-    trie = Trie((r[0] for r in collect_small(vocabulary.select("word").filter("word IS NOT NULL").distinct(), MAX_VOCABULARY, "vocabulary")), fold_w)
-    shared = rows.sparkSession.sparkContext.broadcast(trie)
+    words = _vocabulary(vocabulary, MAX_VOCABULARY)
+    if words is None and budget:
+        raise ValueError("the vocabulary is too large to be broadcast; without it no edits can be weighed")
+    shared = rows.sparkSession.sparkContext.broadcast(Trie(words or (), fold_w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(shared.value, budget)
@@ -206,6 +247,30 @@ def normalise(rows: DataFrame, vocabulary: DataFrame, key: str = "line_no", text
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, norm string")
 
 
+def spellings(texts: DataFrame, vocabulary: DataFrame, budget: int = 1, fold_w: bool = False) -> DataFrame:
+    """token, spelling, cost: the vocabulary word nearest to each distinct token of ``texts``, within the budget.
+
+    Look-alikes and ignorable characters cost nothing, any other edit 1. Tokens without a word in reach
+    have none; ties go to the first spelling. Distinct tokens are walked once each, spread over the
+    cluster; the vocabulary (column word) must be within MAX_VOCABULARY and MAX_CHARS.
+    """
+    words = _vocabulary(vocabulary, MAX_VOCABULARY)
+    if words is None:
+        raise ValueError("the vocabulary is too large to be broadcast")
+    shared = texts.sparkSession.sparkContext.broadcast(Trie(words, fold_w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
+        for batch in batches:
+            found = [(t, *got) for t in batch.column(0).to_pylist() if (got := trie.walk(t, budget))]
+            columns = list(zip(*found)) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()))], names=["token", "spelling", "cost"])
+
+    # A walk costs far more than its token's bytes say, so these partitions are not coalesced by size.
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return text_tokens(texts).repartition(parts, "word").mapInArrow(run, "token string, spelling string, cost int")
+
+
 def canonical(lines: DataFrame, references: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Both tables in one form: line_no or ref_no (the other null), map_w_to_v, norm.
 
@@ -231,7 +296,7 @@ def _keyed(rows: DataFrame, id_column: str, spellers, folds: tuple[bool, ...]) -
     """id, text, fold and the comparison key of each row per way of folding; rows with a token outside the vocabulary are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Speller(t) for t in spellers.value]
+        made = [None if t is None else Speller(t) for t in spellers.value]
         for batch in batches:
             ids, texts, fold, keys = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -239,10 +304,7 @@ def _keyed(rows: DataFrame, id_column: str, spellers, folds: tuple[bool, ...]) -
                     continue
                 parts = tokens(t)
                 for f, speller in zip(folds, made):
-                    if speller.trie is None:
-                        got = plain(t).replace("w", "v").replace("W", "V") if f else plain(t)
-                    else:
-                        got = speller.known(parts)
+                    got = " ".join([folded(part, f) for part in parts]) if speller is None else speller.known(parts)
                     if got is not None:
                         ids.append(i)
                         texts.append(t)
@@ -255,30 +317,41 @@ def _keyed(rows: DataFrame, id_column: str, spellers, folds: tuple[bool, ...]) -
     return rows.select(id_column, "text").mapInArrow(run, "id long, text string, fold boolean, key string")
 
 
+def look_classes(lines: DataFrame, references: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(line_no, text, fold, key) of lines that may look like a reference, and (ref_no, ref_text, fold, key) of the references.
+
+    A class is a (fold, key): all its lines look the same as all its references. Lines with a token
+    outside the references' vocabulary are in no class. Classes and membership say all pairs without
+    listing them.
+    """
+    spark = lines.sparkSession
+    refs = references.select("ref_no", "text", F.coalesce("map_w_to_v", F.lit(False)).alias("fold")).filter("text IS NOT NULL").dropDuplicates(["ref_no", "text", "fold"])
+    folds = (False, True)
+    words = [_vocabulary(text_tokens(refs.filter(F.col("fold") == f)), max_vocabulary) for f in folds]
+    tries = [None if w is None else Trie(w, f) for w, f in zip(words, folds)]
+    # Only the ways of folding that any reference asks for are made.
+    used = [f for f, w in zip(folds, words) if w is None or w or not refs.filter(F.col("fold") == f).isEmpty()]
+    shared = spark.sparkContext.broadcast([tries[folds.index(f)] for f in used])
+    left = _keyed(lines, "line_no", shared, tuple(used)).withColumnRenamed("id", "line_no")
+    right = None
+    for f in used:
+        alone = spark.sparkContext.broadcast([tries[folds.index(f)]])
+        part = _keyed(refs.filter(F.col("fold") == f), "ref_no", alone, (f,))
+        right = part if right is None else right.unionByName(part)
+    if right is None:
+        right = left.select(F.col("line_no").alias("id"), "text", "fold", "key").limit(0)
+    return left, right.select(F.col("id").alias("ref_no"), F.col("text").alias("ref_text"), "fold", "key")
+
+
 def same_looking(lines: DataFrame, references: DataFrame, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
     """Lines whose text looks the same as that of a reference line but is stored differently: line_no, ref_no.
 
     ``lines`` has line_no and text, ``references`` ref_no, text and map_w_to_v (null counts as false);
     other columns are ignored, repeated rows give their pair once. Blanks at the ends and invisible
     characters don't count, any single space looks like any other, case matters; w looks like v where
-    the reference says so. Null texts are no case; blank ones look the same as blank ones. Empty tables
-    give an empty result. A reference vocabulary over ``max_vocabulary`` tokens is not broadcast: both
-    sides are then normalised by table and joined.
+    the reference says so, with any accent. Null texts are no case; blank ones look the same as blank
+    ones. Empty tables give an empty result. A reference vocabulary over ``max_vocabulary`` tokens is not
+    broadcast: both sides are then normalised by table, with the same spellings, and joined.
     """
-    spark = lines.sparkSession
-    refs = references.select("ref_no", "text", F.coalesce("map_w_to_v", F.lit(False)).alias("fold")).filter("text IS NOT NULL").dropDuplicates(["ref_no", "text", "fold"])
-    folds = (False, True)
-    found = refs.select("text", "fold").distinct().limit(max_vocabulary + 1).collect()
-    tries: list[Trie | None] = [None, None]
-    if len(found) <= max_vocabulary:
-        words = [{t for r in found if r.fold == f for t in tokens(r.text)} for f in folds]
-        if sum(map(len, words)) <= max_vocabulary:
-            tries = [Trie(w, f) for w, f in zip(words, folds)]
-    shared = spark.sparkContext.broadcast(tries)
-    left = _keyed(lines, "line_no", shared, folds)
-    right = (
-        _keyed(refs.filter("NOT fold"), "ref_no", shared, folds).filter("NOT fold")
-        .unionByName(_keyed(refs.filter("fold"), "ref_no", shared, folds).filter("fold"))
-        .select(F.col("id").alias("ref_no"), F.col("text").alias("ref_text"), "fold", "key")
-    )
-    return left.join(right, ["fold", "key"]).filter("text <> ref_text").select(F.col("id").alias("line_no"), "ref_no").distinct()
+    left, right = look_classes(lines, references, max_vocabulary)
+    return left.join(right, ["fold", "key"]).filter("text <> ref_text").select("line_no", "ref_no").distinct()

@@ -44,6 +44,11 @@ def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "ref_lines"), table(spark, sf_dir, "lexicon"))
 
 
+def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon word nearest to each distinct token of the lines, with at most one edit besides look-alikes."""
+    return lookalike.spellings(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "lexicon"))
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.values(table(spark, sf_dir, "text_lines")))
 
@@ -103,7 +108,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p4_spellings, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
     )}
 
 

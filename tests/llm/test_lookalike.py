@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 import pytest
 
 from pagelens.llm import lookalike as L
@@ -36,9 +39,38 @@ def test_pairs(spark, bound):
     assert pairs(spark, lines, refs, max_vocabulary=bound) == want
 
 
+@pytest.mark.parametrize("bound", [L.MAX_VOCABULARY, 1])
+def test_letters_are_folded_before_they_are_composed(spark, bound):
+    """The same rows through the trie and by table, for w with an accent too."""
+    assert pairs(spark, ["ẃa", "ẃa", "va", "wa"], [("v́a", True), ("v́a", False)], max_vocabulary=bound) == [(0, 0), (1, 0)]
+
+
+def test_spellings(spark):
+    rng = random.Random(6)
+    vocabulary = sorted({"".join(rng.choices("abåw", k=rng.randint(1, 6))) for _ in range(60)})
+    asked = sorted({"".join(rng.choices("abåwｂ", k=rng.randint(1, 6))) for _ in range(300)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for k, y in enumerate(b, 1):
+                row.append(min(last[k - 1] + (x != y), last[k] + 1, row[-1] + 1))
+        return row[-1]
+
+    texts = spark.createDataFrame([(" ".join(asked[i : i + 7]), "x") for i in range(0, len(asked), 7)] + [(None, "x")], "text string, word string")
+    words = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    for budget in (0, 1, 2):
+        got = {r.token: (r.cost, r.spelling) for r in L.spellings(texts, words, budget).collect()}
+        nfd = lambda s: unicodedata.normalize("NFD", L.plain(s))
+        want = {t: min((edits(nfd(t), nfd(w)), w) for w in vocabulary) for t in asked}
+        assert got == {t: w for t, w in want.items() if w[0] <= budget}
+
+
 def test_empty_and_long(spark):
     assert pairs(spark, [], [("a", False)]) == [] and pairs(spark, ["a"], []) == []
     assert pairs(spark, ["a " * 100_000 + "ｂ"], [("a " * 100_000 + "b", False)]) == [(0, 0)]
+    assert pairs(spark, ["a" * 20_000 + "ｂ"], [("a" * 20_000 + "b", False)]) == [(0, 0)]
 
 
 def test_normalise(spark):
