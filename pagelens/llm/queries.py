@@ -66,15 +66,24 @@ def p5_bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.row_pairs(*overlap.matches(table(spark, sf_dir, "train_rows"))).select("row_no_a", "row_no_b").distinct()
+    pairs, members, _ = overlap.matches(table(spark, sf_dir, "train_rows"))
+    return overlap.row_pairs(pairs, members).select("row_no_a", "row_no_b").distinct()
 
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.counts(*overlap.matches(table(spark, sf_dir, "train_rows")))
+    pairs, members, _ = overlap.matches(table(spark, sf_dir, "train_rows"))
+    return overlap.counts(pairs, members)
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, members, _ = overlap.matches(table(spark, sf_dir, "train_rows"))
+    return overlap.row_pairs(pairs, members).select("train_row", "eval_row", "covered", "n_changed")
 
 
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.row_pairs(*overlap.matches(table(spark, sf_dir, "train_rows"))).select("train_row", "eval_row", "covered", "n_changed")
+    """Per evaluation row how much of it stands in training texts."""
+    _, members, coverage = overlap.matches(table(spark, sf_dir, "train_rows"))
+    return overlap.record_coverage(members, coverage)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +117,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p4_spellings, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p4_spellings, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_pairs, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
     )}
 
 
