@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from pagelens.runtime import discard, durable
 
-#: Bisection steps done after each pass: the first covers sign, exponent and four bits, the last ends at single values.
-STEPS = (16, 26, 36, 46, 56, 64)
+#: Bisection steps done after each pass: the first covers sign, exponent and six bits, the last ends at single values.
+STEPS = (18, 26, 34, 42, 50, 58, 64)
 #: Bits of the mergeable cells: their width is 2**-10, the error bound half of it.
 CELL_BITS = 10
 MEASURES = ("htr_score", "line_conf", "region_conf")
@@ -107,7 +107,7 @@ def percentiles(rows: DataFrame, permille: tuple[int, ...] = PERMILLE, group: tu
         if open_targets is None:
             totals = counts.groupBy(*keys, "coarse").agg(F.sum("k").alias("n"))
             open_targets = totals.withColumn("t", ranks).select(*keys, "coarse", "n", "t.permille", "t.rank")
-        # Within an interval there are at most 2**16 cells.
+        # Within an interval there are at most 2**18 cells.
         below = Window.partitionBy(*keys, "coarse").orderBy("fine")
         summed = counts.withColumn("upto", F.sum("k").over(below))
         a, b = open_targets.alias("a"), summed.alias("b")
