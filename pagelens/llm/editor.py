@@ -2,8 +2,10 @@
 
 The editor reads one word (or the break between two lines) and scores edits of it. An edit is a
 sequence of operations on neighbouring characters – ``R`` replace, ``D`` delete, ``I`` insert, ``J``
-join over a line break – and everything else is kept; "keep all" scores 0. Weights are trained with
-the structured perceptron update and averaged over all updates.
+join over a line break – and everything else is kept; "keep all" scores 0. Edits are misreadings of one
+character or two (:meth:`Neighbours.edits`), lost and extra characters (:meth:`Neighbours.gaps`), and two
+misreadings in one word (:meth:`Editor.pairs`). Weights are trained with the structured perceptron update
+and averaged over all updates.
 
 No one labels the scans, so labels come from the corpus itself: a word outside the lexicon that one
 edit turns into a lexicon word supports that edit, an edit with many supporters is a systematic
@@ -23,6 +25,8 @@ EPOCHS = 5
 #: An edit counts as systematic if at least this share of the words that edits can explain supports it, and at least so many.
 MIN_SUPPORT_SHARE = 0.003
 MIN_SUPPORT = 3
+#: Letters of the shortest word in which a lost or extra character, or two misreadings, are looked for.
+GAP_LETTERS = 4
 
 
 class Neighbours:
@@ -52,10 +56,22 @@ class Neighbours:
         return out
 
 
+    def gaps(self, word: str) -> list[tuple[int, str, str]]:
+        """(position, read, right) of a character that was lost (``read`` is empty) or is one too many (``right`` is empty)."""
+        if len(word) < GAP_LETTERS:
+            return []
+        out = [(i, "", c) for i in range(len(word) + 1) for c in self.one.get((word[:i], word[i:]), ())]
+        out += [(i, word[i], "") for i in range(len(word)) if word[:i] + word[i + 1 :] in self.words]
+        # Of the places in a run of one character only the first counts.
+        return [e for e in out if not (e[0] and word[e[0] - 1] == (e[1] or e[2]))]
+
+
 def operations(read: str, right: str) -> tuple[str, ...]:
     """The edit as operations on the characters read."""
     if not read:
         return tuple("I" + c for c in right)
+    if not right:
+        return ("D",) * len(read)
     if len(read) > len(right):
         return ("R" + right, "D") if len(read) == 2 else ("D",)
     return ("R" + right[0], *("I" + c for c in right[1:]))
@@ -66,7 +82,9 @@ def edit_features(word: str, at: int, read: str, right: str) -> list[str]:
     left = word[at - 1] if at else "^"
     after = word[at + len(read)] if at + len(read) < len(word) else "$"
     kind = "d" if any(c.isdigit() for c in read) else "l"
-    return [ops, f"{ops}|{left}_", f"{ops}|_{after}", f"shape|{len(read)}{len(right)}{kind}", f"len|{min(len(word), 8)}", "edit"]
+    # Misreadings and gaps share no weight, so neither kind of edit speaks for the other.
+    what = "edit" if read and right else "gap"
+    return [ops, f"{ops}|{left}_", f"{ops}|_{after}", f"shape|{len(read)}{len(right)}{kind}", f"{what}|len|{min(len(word), 8)}", what]
 
 
 def join_features(left: str, mark: bool, stop: bool, right: str, right_upper: bool, joined_known: bool, left_known: bool, right_known: bool) -> list[str]:
@@ -83,10 +101,11 @@ PRIOR_BREAKS = [
 
 
 class Editor:
-    """Weights of the trained editor, and the edits they choose."""
+    """Weights of the trained editor, the misreadings it found to be systematic, and the edits they choose."""
 
-    def __init__(self, weights: dict[str, float]) -> None:
+    def __init__(self, weights: dict[str, float], systematic: Iterable[tuple[str, str]] = ()) -> None:
         self.weights = weights
+        self.systematic = sorted(set(systematic))
 
     def score(self, features: list[str]) -> float:
         get = self.weights.get
@@ -101,20 +120,32 @@ class Editor:
                 best, chosen = s, word[:at] + right + word[at + len(read) :]
         return chosen
 
-    def joins(self, *args) -> bool:
-        return self.score(join_features(*args)) > 0
+    def pairs(self, word: str, known: frozenset[str]) -> str | None:
+        """The word after the best two systematic misreadings that give a known word, each of which beats keeping what it edits."""
+        if len(word) < GAP_LETTERS:
+            return None
+        found = []
+        for read, right in self.systematic:
+            at = word.find(read)
+            while at >= 0:
+                found.append((at, read, right))
+                at = word.find(read, at + 1)
+        found.sort()
+        best, chosen = 0.0, None
+        for n, (i, read, right) in enumerate(found):
+            for j, read2, right2 in found[n + 1 :]:
+                if j < i + len(read):
+                    continue
+                made = word[:i] + right + word[i + len(read) : j] + right2 + word[j + len(read2) :]
+                if made in known:
+                    each = self.score(edit_features(word, i, read, right)), self.score(edit_features(word, j, read2, right2))
+                    if min(each) > 0 and sum(each) > best:
+                        best, chosen = sum(each), made
+        return chosen
 
 
-def train(words: list[tuple[str, int]], breaks: list[tuple[list[str], bool, int]], neighbours: Neighbours) -> Editor:
-    """Train on words outside the lexicon, with how often they stand, and on line breaks (features, joined or not, count).
-
-    Deterministic: the order of the examples is that of the words.
-    """
-    examples = []
-    for word, _ in sorted(set(words))[:MAX_TRAINING_WORDS]:
-        edits = sorted(set(neighbours.edits(word)))
-        if edits:
-            examples.append((word, edits))
+def _gold(examples: list[tuple[str, list[tuple[int, str, str]]]]) -> tuple[dict[str, tuple[int, str, str] | None], list[tuple[str, str]]]:
+    """The edit that the corpus supports for each word, None for keep; and the edits with enough support."""
     support: Counter[tuple[str, str]] = Counter()
     for _, edits in examples:
         for e in {(r, c) for _, r, c in edits}:
@@ -127,6 +158,24 @@ def train(words: list[tuple[str, int]], breaks: list[tuple[list[str], bool, int]
             votes[chosen[word][1:]] += 1
         support = votes
     enough = max(MIN_SUPPORT, MIN_SUPPORT_SHARE * len(examples))
+    return {w: e if support[e[1:]] >= enough else None for w, e in chosen.items()}, [e for e, n in support.items() if n >= enough]
+
+
+def train(words: list[tuple[str, int]], breaks: list[tuple[list[str], bool, int]], neighbours: Neighbours) -> Editor:
+    """Train on words outside the lexicon, with how often they stand, and on line breaks (features, joined or not, count).
+
+    Lost and extra characters are learned from words that no misreading explains. Deterministic: the
+    order of the examples is that of the words.
+    """
+    misread, gaps = [], []
+    for word, _ in sorted(set(words))[:MAX_TRAINING_WORDS]:
+        edits = sorted(set(neighbours.edits(word)))
+        if edits:
+            misread.append((word, edits))
+        elif found := sorted(set(neighbours.gaps(word))):
+            gaps.append((word, found))
+    chosen, systematic = _gold(misread)
+    chosen |= _gold(gaps)[0]
     weights: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     step = 1
@@ -137,8 +186,8 @@ def train(words: list[tuple[str, int]], breaks: list[tuple[list[str], bool, int]
             total[f] += by * step
 
     for _ in range(EPOCHS):
-        for word, edits in examples:
-            gold = chosen[word] if support[chosen[word][1:]] >= enough else None
+        for word, edits in [*misread, *gaps]:
+            gold = chosen[word]
             guess, best = None, 0.0
             for e in edits:
                 s = sum(weights[f] for f in edit_features(word, *e))
@@ -155,4 +204,4 @@ def train(words: list[tuple[str, int]], breaks: list[tuple[list[str], bool, int]
             if (s > 0) != joined:
                 update(features, 1.0 if joined else -1.0)
             step += 1
-    return Editor({f: w - total[f] / step for f, w in weights.items() if w or total[f]})
+    return Editor({f: w - total[f] / step for f, w in weights.items() if w or total[f]}, systematic)

@@ -245,14 +245,20 @@ def scanned(texts: DataFrame, one_in: int = ONE_IN, shard_passages: int = SHARD_
         left, right = durable(left, "evaluation"), durable(right, "train")
     # An automaton is built once per block of its texts, so blocks are large; few shards get more of them, for all cores.
     least = -(-train.sparkSession.sparkContext.defaultParallelism // shards)
-    plan = left.groupBy("shard").agg(F.ceil(F.count("*") / part_texts).cast("int").alias("parts")).join(
-        right.groupBy("shard").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.lit(least)).cast("int").alias("blocks")), "shard"
-    )
-    plan = F.broadcast(durable(plan, "shards"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("text_id"), F.col(n)).cast("int")
-    left = left.join(plan, "shard").select("shard", mine("parts").alias("part"), every("blocks").alias("block"), "text_id", "norm")
-    right = right.join(plan, "shard").select("shard", every("parts").alias("part"), mine("blocks").alias("block"), "text_id", "norm")
+    if shards == 1:
+        parts, blocks = F.lit(max(1, -(-evaluation.count() // part_texts))), F.lit(max(least, -(-train.count() // block_texts)))
+    else:
+        plan = left.groupBy("shard").agg(F.ceil(F.count("*") / part_texts).cast("int").alias("parts")).join(
+            right.groupBy("shard").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.lit(least)).cast("int").alias("blocks")), "shard"
+        )
+        # One row per shard.
+        plan = F.broadcast(durable(plan, "shards"))
+        left, right = left.join(plan, "shard"), right.join(plan, "shard")
+        parts, blocks = F.col("parts"), F.col("blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("text_id"), n).cast("int")
+    left = left.select("shard", mine(parts).alias("part"), every(blocks).alias("block"), "text_id", "norm")
+    right = right.select("shard", every(parts).alias("part"), mine(blocks).alias("block"), "text_id", "norm")
     keys = ["shard", "part", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan(one_in, shards), _HITS)
 

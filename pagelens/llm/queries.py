@@ -29,7 +29,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repair.repair(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "lexicon"))
-    return found.filter("kind <> 'text'").select("line_no", "kind").distinct()
+    return found.filter("kind IN ('running_header', 'page_number', 'split_word', 'misread')").select("line_no", "kind").distinct()
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.editor import MARKS, MAX_TRAINING_WORDS, Editor, Neighbours, join_features, train
 from pagelens.llm.lookalike import plain, units
-from pagelens.runtime import collect_small, durable
+from pagelens.runtime import collect_small, discard, durable
 
 #: Record numbers (pages) of one block of a volume.
 BLOCK = 512
-#: Furniture lines at each edge of a page.
+#: Lines at each edge of a page that are looked at for the volume's title and numbering. Furniture itself may take more.
 EDGE_LINES = 2
 #: Likeness (1 - edit distance / length, letters and digits only) from which an edge line is the volume's title.
 TITLE_LIKENESS = 0.6
@@ -32,7 +32,11 @@ TITLE_LIKENESS = 0.6
 READING_LIKENESS = 0.85
 #: Share of a volume's pages that must show a text at an edge for it to be the title.
 TITLE_SHARE = 0.1
-MAX_LEXICON = 5_000_000
+#: A further title of a volume (another heading on facing pages) stands at least so often, and by share as often as the first.
+MORE_TITLES, MORE_SHARE = 3, 0.4
+#: Words of a lexicon and their letters; every worker indexes them.
+MAX_LEXICON = 200_000
+MAX_LETTERS = 4_000_000
 
 #: Words before a page number, in the languages of the volumes.
 NUMBER_WORDS = ("sid", "sida", "sidan", "s", "p", "pag", "pagina", "page", "fol", "folio", "f", "bl", "blad", "nr", "no", "n", "seite")
@@ -147,17 +151,26 @@ class Words:
         w = core(token)
         return self._keep(token, w if w and self.strange(w) and w == _EDGE.sub("", token) else None)
 
-    def repaired(self, token: str) -> str | None:
-        """What the editor makes of a token's word, None if it keeps it."""
+    def repaired(self, token: str) -> tuple[str, str] | None:
+        """(kind, word): what the editor makes of a token's word, None if it keeps it.
+
+        ``misread`` is one misread character or pair of characters, ``respelt`` a lost or extra character
+        or two misreadings, which are tried where no single one helps.
+        """
         if token in self.seen:
             return self.seen[token]
         w, got = core(token), None
         if self.strange(w):
             edits = self.neighbours.edits(w)
-            got = self.editor.repair(w, edits) if edits else None
+            right = self.editor.repair(w, edits) if edits else None
+            got = ("misread", right) if right else None
+            if not edits:
+                gaps = self.neighbours.gaps(w)
+                right = (self.editor.repair(w, gaps) if gaps else None) or self.editor.pairs(w, self.lexicon)
+                got = ("respelt", right) if right else None
         return self._keep(token, got)
 
-    def _keep(self, token: str, found: str | None) -> str | None:
+    def _keep(self, token: str, found):
         if len(self.seen) > 500_000:
             self.seen.clear()
         self.seen[token] = found
@@ -169,6 +182,22 @@ class Words:
         stop = not mark and bool(left) and not left[-1].isalnum()
         return join_features(a, mark, stop, b, right[:1].isupper(), a + b in self.lexicon and bool(a) and bool(b), a in self.lexicon, b in self.lexicon)
 
+    def joined(self, left: str, mark: bool, right: str) -> tuple[str, str] | None:
+        """(kind, word) of the word that two tokens make over a line's end, as it is written, None if they are two words.
+
+        ``split_word`` is a word of the lexicon, ``joined`` a marked break of any other word; before a
+        capital its mark was a hyphen and stays.
+        """
+        a, b = core(left), core(right)
+        if not a or not b:
+            return None
+        bare = left.rstrip(MARKS + "".join(c for c in left if not units(c))) if mark else left
+        if a + b in self.lexicon and self.editor.score(self.join(left, mark, right)) > 0:
+            return "split_word", bare + right
+        if mark and a.isalpha() and b.isalpha():
+            return "joined", f"{bare}-{right}" if right[:1].isupper() else bare + right
+        return None
+
 
 def pages(lines: DataFrame) -> DataFrame:
     """One row per page: volume_no, block, rec_no, place (its rank in the block) and its lines in order.
@@ -257,14 +286,23 @@ def _gather(shared):
 
 
 def volume_facts(gathered: DataFrame, starts: DataFrame) -> DataFrame:
-    """Per volume its titles (the edge text that stands most often, on two pages and a tenth of all at least) and the offset of page numbers per form.
+    """Per volume its titles and the offset of page numbers per form.
+
+    The title is the edge text that stands most often, on two pages and a tenth of all at least; other
+    texts that stand nearly as often are titles too (left and right pages may differ).
 
     A page number is the page's rank in the volume plus an offset; the offset that most edge lines
     agree on is the volume's (offsets: map form -> (offset, number of lines)).
     """
     counted = gathered.filter("kind = 'title'").groupBy("volume_no", "word").agg(F.sum("n").alias("n"))
     sizes = starts.groupBy("volume_no").agg(F.sum("n").alias("pages"))
-    titles = counted.groupBy("volume_no").agg(F.max("n").alias("most"), F.max_by("word", F.struct("n", "word")).alias("title")).join(sizes, "volume_no")
+    first = counted.groupBy("volume_no").agg(F.max("n").alias("most"), F.max_by("word", F.struct("n", "word")).alias("title")).join(sizes, "volume_no")
+    # At most a handful of texts a volume: each stands on a twenty-fifth of its pages' edges or more.
+    further = (
+        counted.join(first, "volume_no").filter((F.col("word") != F.col("title")) & (F.col("n") >= MORE_TITLES) & (F.col("n") >= MORE_SHARE * F.col("most")) & (F.col("n") >= TITLE_SHARE * F.col("pages")))
+        .groupBy("volume_no").agg(F.array_sort(F.collect_set("word")).alias("further"))
+    )
+    titles = first.join(further, "volume_no", "left").withColumn("all_titles", F.concat(F.array("title"), F.coalesce("further", F.array().cast("array<string>"))))
     numbers = (
         gathered.filter("kind = 'number'").drop("n").join(starts.drop("n"), ["volume_no", "block"])
         .groupBy("volume_no", "form", (F.col("value") - F.col("place") - F.col("start")).alias("offset")).agg(F.count("*").alias("n"))
@@ -285,7 +323,7 @@ def volume_facts(gathered: DataFrame, starts: DataFrame) -> DataFrame:
     )
     return (
         titles.join(few.select("volume_no", "likely"), "volume_no", "left")
-        .select("volume_no", F.when((F.col("most") > 1) & (F.col("most") >= TITLE_SHARE * F.col("pages")), F.array("title")).otherwise(F.slice(F.coalesce("likely", F.array().cast("array<string>")), 1, 3)).alias("titles"))
+        .select("volume_no", F.when((F.col("most") > 1) & (F.col("most") >= TITLE_SHARE * F.col("pages")), F.col("all_titles")).otherwise(F.coalesce("likely", F.array().cast("array<string>"))).alias("titles"))
         .join(numbers, "volume_no", "full")
     )
 
@@ -300,7 +338,7 @@ def furniture(texts: list[str], titles: list[str], offsets: dict[str, tuple[int,
     found: dict[int, str] = {}
     filled = [i for i, t in enumerate(texts) if t]
     for side in (filled, filled[::-1]):
-        for i in side[:EDGE_LINES]:
+        for i in side:
             if i in found:
                 break
             number = page_number(texts[i])
@@ -350,13 +388,11 @@ def _repair(shared):
                 tail = [False] * len(texts)
                 marks = {i: broken(raw[i]) for i in running}
                 for i, j in zip(running, running[1:]):
-                    a, b = parts[i][-1], parts[j][0]
-                    if marks[i]:
+                    made = judge.joined(parts[i][-1], marks[i], parts[j][0])
+                    if marks[i] or made:
                         tail[i] = head[j] = True
-                    joined = core(a) + core(b)
-                    if core(a) and core(b) and judge.known(joined) and editor.score(judge.join(a, marks[i], b)) > 0:
-                        tail[i] = head[j] = True
-                        out.append((volume, block, rec, ids[i], i, "split_word", joined, marks[i], None))
+                    if made:
+                        out.append((volume, block, rec, ids[i], i, *made, marks[i], None))
                 for k, i in enumerate(running):
                     found = parts[i]
                     words = []
@@ -365,13 +401,14 @@ def _repair(shared):
                         if (first and head[i]) or (last and (tail[i] or marks[i])):
                             words.append(t)
                             continue
-                        right = judge.repaired(t)
-                        if right:
+                        got = judge.repaired(t)
+                        if got:
+                            kind, right = got
                             w = core(t)
                             # The first and last word of a page may turn out to be parts of a word broken at
                             # the page's end, so the text keeps them as read.
                             edge = ("_first" if first and k == 0 else "") or ("_last" if last and k == len(running) - 1 else "")
-                            out.append((volume, block, rec, ids[i], i, "misread" + edge, f"{w}>{right}", None, None))
+                            out.append((volume, block, rec, ids[i], i, kind + edge, f"{w}>{right}", None, None))
                             if edge:
                                 words.append(t)
                                 continue
@@ -391,14 +428,17 @@ def repair(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     ``lines`` has line_no, rec_no, volume_no, line_pos and text, ``lexicon`` a column word; other columns
     are ignored, repeated lines count once. Kinds: ``running_header`` and ``page_number`` (furniture,
-    text as stored), ``split_word`` (the word joined over the line's end), ``misread`` (``read>right``),
-    and ``text`` (a line of running text after repair; mark: its last word is marked as broken; stops:
+    text as stored), ``split_word`` (the lexicon word joined over the line's end, as written), ``joined``
+    (the same for a marked break of any other word), ``misread`` (``read>right``), ``respelt`` (the same
+    for lost and extra characters and for two misreadings in a word), and ``text`` (a line of running text after repair; mark: its last word is marked as broken; stops:
     it ends a sentence). A line can have several kinds; null and blank lines have none. Nulls in
     rec_no leave the line out. With an empty lexicon nothing is split or misread. Line text of any
     length is read whole.
     """
     spark = lines.sparkSession
     words = collect_small(lexicon.select(F.lower("word").alias("w")).filter("w IS NOT NULL AND trim(w) <> ''").distinct(), MAX_LEXICON, "lexicon")
+    if sum(len(r[0]) for r in words) > MAX_LETTERS:
+        raise ValueError(f"lexicon: more than {MAX_LETTERS} letters; every worker indexes them")
     neighbours = Neighbours(plain(r[0]).lower() for r in words)
     page_rows = durable(pages(lines), "pages")
     starts = durable(block_starts(page_rows), "starts")
@@ -412,6 +452,8 @@ def repair(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((neighbours, editor))
     full = page_rows.join(starts.drop("n"), ["volume_no", "block"], "left").join(facts, "volume_no", "left")
     done = durable(full.select("volume_no", "block", "rec_no", "place", "start", "lines", "titles", "offsets").mapInArrow(_repair(shared), _OUT), "repaired")
+    for used in (page_rows, starts, gathered, facts):
+        discard(used)
     return _over_pages(done, neighbours, editor)
 
 
@@ -443,24 +485,21 @@ def _over_pages(done: DataFrame, neighbours: Neighbours, editor: Editor) -> Data
         words, chars = shared.value
         judge = Words(words, chars)
         for batch in batches:
-            joined = []
-            for a, mark, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(7).to_pylist()):
-                both = core(a or "") + core(b or "")
-                joined.append(both if core(a or "") and core(b or "") and judge.known(both) and chars.score(judge.join(a, bool(mark), b)) > 0 else None)
+            made = [judge.joined(a or "", bool(mark), b or "") or (None, None) for a, mark, b in zip(*(batch.column(i).to_pylist() for i in (4, 5, 7)))]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in (0, 1, 2, 3, 5, 6)), pa.array(joined, pa.string())], names=["volume_no", "block", "rec_no", "line_no", "mark", "next_line_no", "joined"]
+                [*(batch.column(i) for i in (0, 1, 2, 3, 5, 6)), pa.array([k for k, _ in made], pa.string()), pa.array([w for _, w in made], pa.string())],
+                names=["volume_no", "block", "rec_no", "line_no", "mark", "next_line_no", "kind", "joined"],
             )
 
-    crossed = durable(pairs.mapInArrow(run, "volume_no long, block long, rec_no long, line_no long, mark boolean, next_line_no long, joined string"), "crossed")
+    crossed = durable(pairs.mapInArrow(run, "volume_no long, block long, rec_no long, line_no long, mark boolean, next_line_no long, kind string, joined string"), "crossed")
     split = crossed.filter("joined IS NOT NULL")
     last_pos = running.select("line_no", "pos")
     added = split.join(last_pos, "line_no").select(
-        "volume_no", "block", "rec_no", "line_no", "pos", F.lit("split_word").alias("kind"), F.col("joined").alias("text"), "mark", F.lit(None).cast("boolean").alias("stops")
+        "volume_no", "block", "rec_no", "line_no", "pos", "kind", F.col("joined").alias("text"), "mark", F.lit(None).cast("boolean").alias("stops")
     )
     # The first word of a page is a part if the page before broke a word; so is the last word of a page broken without a mark.
-    parts = crossed.filter("mark OR joined IS NOT NULL").select(F.col("next_line_no").alias("line_no"), F.lit("misread_first").alias("kind")).unionByName(
-        split.select("line_no", F.lit("misread_last").alias("kind"))
-    )
+    edge = lambda side: F.explode(F.array(*(F.lit(f"{k}_{side}") for k in ("misread", "respelt")))).alias("kind")
+    parts = crossed.filter("mark OR joined IS NOT NULL").select(F.col("next_line_no").alias("line_no"), edge("first")).unionByName(split.select("line_no", edge("last")))
     kept = done.join(parts, ["line_no", "kind"], "left_anti").withColumn("kind", F.regexp_replace("kind", "_first$|_last$", "")).select(*_OUT_NAMES)
     return kept.unionByName(added.select(*_OUT_NAMES))
 
@@ -474,7 +513,7 @@ def paragraphs(repaired: DataFrame) -> DataFrame:
     page's last line ends no sentence, so its text goes on with the next page's first paragraph. Pages
     hold a bounded number of lines, so a volume is never gathered in one place.
     """
-    joins = repaired.filter("kind = 'split_word'").select("volume_no", "block", "rec_no", "line_no", F.col("text").alias("joined"))
+    joins = repaired.filter("kind IN ('split_word', 'joined')").select("volume_no", "block", "rec_no", "line_no", F.col("text").alias("joined"))
     lines = repaired.filter("kind = 'text'").select("volume_no", "block", "rec_no", "line_no", "pos", "text", "stops").join(joins, ["volume_no", "block", "rec_no", "line_no"], "left")
     # Whether the line before, on the page or on the page before, took this line's first word.
     order = Window.partitionBy("volume_no", "block").orderBy("rec_no", "pos")

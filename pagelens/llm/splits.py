@@ -4,18 +4,18 @@
    number of steps.
 2. Aggregate label vectors: per component the number of records of each label (dataset tag).
 3. Place components: the label with the fewest outstanding records first, each into the split that
-   needs that label most.
+   needs that label most, with its whole vector counted against what the splits need.
 
 Components that hold more than :data:`LARGE_SHARE` of all records – at most ``1 / LARGE_SHARE`` of them
-– are placed one by one on the driver. All others are placed in one pass per label: they line up in
-seeded order, and the running sum of the label's records over that line is cut where the needs of
-the splits are met. The sums come from a fixed number of hash buckets, so no task and no driver ever
-holds more than a bucket.
+– are placed one by one. All others are bundled by their rarest label and a hash, and the bundles are
+placed the same way by their summed vectors; with few components a bundle holds one. The number of
+bundles and of their labels is bounded, so the driver sees vectors of bounded size only, and one pass
+over the table assigns all records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.runtime import collect_small, durable
@@ -23,22 +23,23 @@ from pagelens.runtime import collect_small, durable
 SPLITS = ("train", "validation", "test")
 #: Components beyond this share of all records are placed singly.
 LARGE_SHARE = 0.001
-#: Hash buckets of the running sums.
-BUCKETS = 1024
+#: Bundles of small components, and entries of their label vectors, that are placed on the driver.
+MAX_BUNDLES = 65_536
+MAX_ENTRIES = 2_000_000
 MAX_LABELS = 1000
 MAX_ROUNDS = 100
 
-#: Scribes that stand for "unknown", as letters and digits in lower case.
+#: Scribes that stand for "unknown", as letters and digits in lower case; a parameter of :func:`groups`.
 PLACEHOLDERS = (
     "", "okänd", "okänt", "okand", "ejangiven", "ejangivet", "ejkänd", "nn", "anonym", "namnlös", "saknas",
     "ingen", "unknown", "unbekannt", "anonymous", "none", "null", "na", "nan",
 )
 
 
-def scribe_key(ref: Column) -> Column:
+def scribe_key(ref: Column, placeholders: tuple[str, ...] = PLACEHOLDERS) -> Column:
     """The letters and digits of a scribe reference in lower case; null for null, blank and placeholders."""
     key = F.regexp_replace(F.lower(ref), r"[^\p{L}\p{M}\p{N}]", "")
-    return F.when(~key.isin(*PLACEHOLDERS), key)
+    return F.when((key != "") & ~key.isin(*placeholders), key)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("connected components did not converge")
 
 
-def groups(pages: DataFrame) -> DataFrame:
+def groups(pages: DataFrame, placeholders: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
     """The linked group of every record: rec_no, dataset_tag, group_id, group_volume_no.
 
     ``pages`` has rec_no (the key; repeated rows count once), source_page_id, volume_no, scribe_ref and
@@ -91,7 +92,7 @@ def groups(pages: DataFrame) -> DataFrame:
             "volume_no",
             F.coalesce(F.concat(F.lit("s"), "source_page_id"), F.concat(F.lit("r"), F.col("rec_no").cast("string"))).alias("source"),
             F.concat(F.lit("v"), F.col("volume_no").cast("string")).alias("vkey"),
-            F.concat(F.lit("w"), scribe_key(F.col("scribe_ref"))).alias("wkey"),
+            F.concat(F.lit("w"), scribe_key(F.col("scribe_ref"), placeholders)).alias("wkey"),
         ),
         "pages",
     )
@@ -124,13 +125,6 @@ def proportions(metrics: DataFrame) -> dict[str | None, tuple[float, float, floa
     return {tag: (t / (t + 2 * v), v / (t + 2 * v), v / (t + 2 * v)) if t + 2 * v > 0 else (0.8, 0.1, 0.1) for tag, (t, v) in sums.items()}
 
 
-def _shares(needs: list[float]) -> list[float]:
-    """Needs as shares of one, negative needs as none."""
-    open_needs = [max(0.0, x) for x in needs]
-    total = sum(open_needs)
-    return [x / total for x in open_needs] if total else [1 / len(needs)] * len(needs)
-
-
 def _refined(placed: list[tuple[str, int]], counts: dict[str, dict[str, int]], need: dict[str, list[float]]) -> list[tuple[str, int]]:
     """Large groups moved to other splits as long as that lowers the squared excess over what labels need; ``need`` is kept up to date.
 
@@ -162,92 +156,69 @@ def _refined(placed: list[tuple[str, int]], counts: dict[str, dict[str, int]], n
     return sorted(split.items())
 
 
+def _place(units: dict[str, dict[str, int]], need: dict[str, list[float]]) -> list[tuple[str, int]]:
+    """Iterative stratification of units (name to label counts): (name, split); ``need`` is kept up to date.
+
+    Of the labels with outstanding records the rarest comes first, and of its units the one with most of
+    it. A unit goes to the split that needs the label most, among those with room for its whole
+    vector if there are any, else where its vector exceeds the needs least.
+    """
+    left: dict[str, int] = {}
+    holders: dict[str, list[str]] = {}
+    for name, counts in units.items():
+        for k, n in counts.items():
+            left[k] = left.get(k, 0) + n
+            holders.setdefault(k, []).append(name)
+    placed: dict[str, int] = {}
+    splits = range(len(SPLITS))
+    while any(left.values()):
+        label = min((k for k, n in left.items() if n), key=lambda k: (left[k], k))
+        for name in sorted((u for u in holders[label] if u not in placed), key=lambda u: (-units[u][label], u)):
+            counts = units[name]
+            room = [sum(min(0.0, need[k][s] - n) for k, n in counts.items()) for s in splits]
+            fits = [s for s in splits if room[s] > -0.5] or [max(splits, key=lambda s: (room[s], -s))]
+            split = max(fits, key=lambda s: (need[label][s], sum(need[k][s] for k in counts), -s))
+            placed[name] = split
+            for k, n in counts.items():
+                need[k][split] -= n
+                left[k] -= n
+    return sorted(placed.items())
+
+
 def assign(group_rows: DataFrame, shares: dict[str | None, tuple[float, float, float]], seed: int = 42) -> DataFrame:
     """The split of every record: the columns of ``group_rows`` and ``split``.
 
-    ``group_rows`` has group_id and dataset_tag (the label; null is a label of its own). All records of
-    a group get the same split. Deterministic for equal input and seed, whatever the partitioning.
+    ``group_rows`` has group_id and dataset_tag (the label; null is a label of its own); it is read three
+    times, so it should be a table. All records of a group get the same split. Deterministic for equal
+    input and seed, whatever the partitioning.
     """
+    spark = group_rows.sparkSession
+    counted = group_rows.groupBy("group_id", F.coalesce("dataset_tag", F.lit("\0")).alias("k")).agg(F.count("*").alias("n"))
     vectors = durable(
-        group_rows.groupBy("group_id", "dataset_tag").agg(F.count("*").alias("n"))
-        .groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("dataset_tag", F.lit("\0")).alias("k"), "n"))).alias("counts"), F.sum("n").alias("size")),
-        "vectors",
-    )
-
-    def totals(df: DataFrame) -> dict[str, int]:
-        return dict(collect_small(df.select(F.explode("counts").alias("k", "v")).groupBy("k").agg(F.sum("v")), MAX_LABELS, "labels"))
-
-    outstanding = totals(vectors)
-    records = sum(outstanding.values())
+        counted.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("counts"), F.sum("n").alias("size")), "vectors"
+    )
+    outstanding = dict(collect_small(vectors.select(F.explode("counts").alias("k", "v")).groupBy("k").agg(F.sum("v")), MAX_LABELS, "labels"))
     need = {k: [n * p for p in shares.get(None if k == "\0" else k, shares[None])] for k, n in outstanding.items()}
-    limit = records * LARGE_SHARE
+    limit = sum(outstanding.values()) * LARGE_SHARE
     large = {r.group_id: r.counts for r in collect_small(vectors.filter(F.col("size") > limit), int(1 / LARGE_SHARE) + 1, "large groups")}
-    placed: list[tuple[str, int]] = []
-
-    def put(counts: dict[str, int], split: int) -> None:
-        for k, n in counts.items():
-            need[k][split] -= n
-
-    waiting = dict(large)
-    while waiting:
-        left: dict[str, int] = {}
-        for counts in waiting.values():
-            for k, n in counts.items():
-                left[k] = left.get(k, 0) + n
-        label = min(left, key=lambda k: (left[k], k))
-        name = max((g for g, c in waiting.items() if label in c), key=lambda g: (waiting[g][label], g))
-        counts = waiting.pop(name)
-        # The split needing the label most, among those with room for the whole group if there are any.
-        room = [sum(min(0.0, need[k][s] - n) for k, n in counts.items()) for s in range(len(SPLITS))]
-        fits = [s for s, x in enumerate(room) if x > -0.5] or [max(range(len(SPLITS)), key=lambda s: (room[s], -s))]
-        split = max(fits, key=lambda s: (need[label][s], sum(need[k][s] for k in counts), -s))
-        put(counts, split)
-        placed.append((name, split))
-    placed = _refined(placed, large, need)
-
-    spark = group_rows.sparkSession
-    done = spark.createDataFrame([(g, SPLITS[s]) for g, s in placed], "group_id string, split string")
-    rest = vectors.filter(F.col("size") <= limit).withColumn("h", F.xxhash64(F.lit(seed), "group_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    left = {k: n - sum(c.get(k, 0) for c in large.values()) for k, n in outstanding.items()}
-    order: list[str] = []
-    while any(n > 0 for k, n in left.items() if k not in order):
-        label = min((k for k, n in left.items() if n > 0 and k not in order), key=lambda k: (left[k], k))
-        # Of the groups not placed yet, those with this label: none of the labels before it.
-        mine = rest.filter(F.col("counts")[label].isNotNull())
-        for k in order:
-            mine = mine.filter(F.col("counts")[k].isNull())
-        order.append(label)
-        sums = dict(collect_small(mine.groupBy("bucket").agg(F.sum(F.col("counts")[label])), BUCKETS, "buckets"))
-        total = sum(sums.values())
-        if not total:
-            continue
-        starts, at = [], 0
-        for b in sorted(sums):
-            starts.append((b, at))
-            at += sums[b]
-        ranked = sorted(range(len(SPLITS)), key=lambda s: (-need[label][s], s))
-        portions = _shares(need[label])
-        cut, cuts = 0.0, []
-        for s in ranked:
-            cut += portions[s] * total
-            cuts.append((cut, SPLITS[s]))
-        line = Window.partitionBy("bucket").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
-        middle = F.col("start") + F.sum(F.col("counts")[label]).over(line) - F.col("counts")[label] / 2
-        split = F.lit(cuts[-1][1])
-        for c, s in reversed(cuts[:-1]):
-            split = F.when(F.col("middle") <= c, s).otherwise(split)
-        step = durable(
-            mine.join(F.broadcast(spark.createDataFrame(starts, "bucket long, start long")), "bucket").withColumn("middle", middle)
-            .select("group_id", "counts", split.alias("split")),
-            "placed",
-        )
-        for s, k, n in collect_small(
-            step.select("split", F.explode("counts").alias("k", "v")).groupBy("split", "k").agg(F.sum("v")), MAX_LABELS * len(SPLITS), "placed labels"
-        ):
-            need[k][SPLITS.index(s)] -= n
-            left[k] -= n
-        done = done.unionByName(step.select("group_id", "split"))
-    return group_rows.join(done, "group_id", "left")
+    placed = _refined(_place(large, need), large, need)
+
+    # The rarest label of each small group, by the order of all labels, and the bundle of its hash.
+    order = sorted(outstanding, key=lambda k: (outstanding[k], k))
+    small = vectors.filter(F.col("size") <= limit).withColumn("rarest", F.array_min(F.transform(F.map_keys("counts"), lambda k: F.array_position(F.lit(order or [""]), k))))
+    kinds = small.select("rarest", F.explode(F.map_keys("counts")).alias("k")).distinct().count()
+    bundles = max(1, min(MAX_BUNDLES // max(len(order), 1), MAX_ENTRIES // max(kinds, 1)))
+    small = small.withColumn("bundle", F.concat_ws(":", "rarest", F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(bundles))))
+    sums = small.select("bundle", F.explode("counts").alias("k", "n")).groupBy("bundle", "k").agg(F.sum("n").alias("n"))
+    units: dict[str, dict[str, int]] = {}
+    for bundle, k, n in collect_small(sums, MAX_ENTRIES, "labels of bundles"):
+        units.setdefault(bundle, {})[k] = n
+    by_bundle = F.broadcast(spark.createDataFrame([(u, SPLITS[s]) for u, s in _place(units, need)], "bundle string, split string"))
+    by_group = small.join(by_bundle, "bundle").select("group_id", "split")
+    # Records of large groups get their split from at most 1 / LARGE_SHARE rows, so no task gathers such a group.
+    singly = F.broadcast(spark.createDataFrame([(g, SPLITS[s]) for g, s in placed], "group_id string, split string"))
+    rest = group_rows.join(singly.select("group_id"), "group_id", "left_anti").join(by_group, "group_id")
+    return group_rows.join(singly, "group_id").unionByName(rest)
 
 
 def report(assigned: DataFrame, shares: dict[str | None, tuple[float, float, float]]) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -25,28 +26,64 @@ def test_sizes_match_the_tokenizer(spark):
     assert enc.decode(enc.encode_ordinary(rows[3][1])) == rows[3][1]
 
 
-def test_flow_is_least_costly():
+def test_flow_is_largest_and_least_costly():
+    """Against all ways of sending whole tokens."""
     rng = random.Random(11)
-    for _ in range(60):
-        caps = {k: rng.randint(0, 4) for k in itertools.product(range(2), range(2, 4))}
-        costs = {k: rng.randint(0, 3) for k in caps}
-        out = [rng.randint(0, 4) for _ in range(2)]
-        into = [rng.randint(0, 4) for _ in range(2)]
-        g = M.Flow(6)
-        for a in range(2):
-            g.arc(4, a, out[a])
-        arcs = {(a, b): g.arc(a, b, caps[a, b], costs[a, b]) for a, b in caps}
-        for b in range(2):
-            g.arc(2 + b, 5, into[b])
-        sent = g.send(4, 5)
-        cost = sum(g.cap[e ^ 1] * costs[k] for k, e in arcs.items())
-        best = {}
-        for f in itertools.product(*(range(caps[k] + 1) for k in arcs)):
-            flow = dict(zip(arcs, f))
-            if all(sum(flow[a, b] for b in (2, 3)) <= out[a] for a in range(2)) and all(sum(flow[a, b] for a in range(2)) <= into[b - 2] for b in (2, 3)):
-                total = sum(f)
-                best[total] = min(best.get(total, 99), sum(flow[k] * costs[k] for k in flow))
-        assert sent == max(best) and cost == best[sent]
+    for _ in range(120):
+        sources = ["a", "b", "c"][: rng.randint(1, 3)]
+        names = [p for n in range(1, 4) for p in itertools.combinations(sources, n)]
+        patterns = {p: rng.randint(1, 4) for p in rng.sample(names, min(len(names), rng.randint(1, 3)))}
+        targets = {s: (rng.choice([0.2, 0.3, 0.5]), rng.randint(1, 3)) for s in sources}
+        size, flow = M.route(patterns, targets)
+        held = [s for s in sources if any(s in p for p in patterns)]
+        whole = sum(targets[s][0] for s in held)
+        share = {s: targets[s][0] / whole for s in held}
+        arcs = [(p, s) for p in patterns for s in p]
+
+        def best(quota):
+            """Least cost of filling the quotas, None if they can't be filled."""
+            found = {tuple(0 for _ in held): {(): 0}}
+            states = {tuple([0] * len(held)): 0}
+            for p, tokens in patterns.items():
+                most = max(targets[s][1] for s in p) * tokens
+                cost = [0]
+                for k in range(most):
+                    cost.append(cost[-1] + k // tokens)
+                ahead = {}
+                for got, c in states.items():
+                    for give in itertools.product(*(range(min(targets[s][1] * tokens, quota[s] - got[held.index(s)]) + 1) for s in p)):
+                        if sum(give) <= most:
+                            to = list(got)
+                            for s, x in zip(p, give):
+                                to[held.index(s)] += x
+                            to = tuple(to)
+                            ahead[to] = min(ahead.get(to, 10**9), c + cost[sum(give)])
+                states = ahead
+            assert found
+            return states.get(tuple(quota[s] for s in held))
+
+        quota = lambda n: {s: int(share[s] * n) for s in held}
+        least = best(quota(size))
+        used = {p: sum(flow.get((p, s), 0) for s in p) for p in patterns}
+        assert all(sum(flow.get((p, s), 0) for p in patterns if s in p) == quota(size)[s] for s in held)
+        assert all(f <= patterns[p] * targets[s][1] for (p, s), f in flow.items()) and set(flow) <= set(arcs)
+        assert least == sum(sum(k // patterns[p] for k in range(used[p])) for p in patterns)
+        assert best(quota(size + len(held) + 1)) is None or any(sum(quota(n).values()) == sum(quota(size).values()) for n in range(size + 1, size + 5))
+
+
+def test_large_networks_are_solved():
+    rng = random.Random(13)
+    sources = [f"s{i}" for i in range(60)]
+    patterns = {}
+    while len(patterns) < 8000:
+        patterns[tuple(sorted(rng.sample(sources, rng.randint(1, 6))))] = rng.randint(1, 10**7)
+    targets = {s: (rng.random(), rng.randint(1, 5)) for s in sources}
+    began = time.perf_counter()
+    size, flow = M.route(patterns, targets)
+    assert time.perf_counter() - began < 60
+    whole = sum(w for w, _ in targets.values())
+    for s in sources:
+        assert abs(sum(f for (_, t), f in flow.items() if t == s) / size - targets[s][0] / whole) < 1e-6
 
 
 def test_shares_caps_and_overlap(spark):
