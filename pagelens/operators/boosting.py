@@ -20,21 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.runtime import collect_small
+from pagelens.runtime import collect_small, durable
 
 #: Rows a model is trained on at most; the training table must not be larger.
 MAX_ROWS = 500_000
+MAX_CELLS = 100_000_000
 BINS = 64
 
 #: The grid of the random search.
 GRID = {
-    "learning_rate": (0.01, 0.03, 0.05, 0.1),
-    "max_depth": (3, 4, 5, 6),
-    "min_child": (1.0, 3.0, 5.0, 10.0),
+    "n_trees": (400, 600, 800, 1000, 1200, 1600),
+    "max_depth": (3, 4, 5, 6, 7),
+    "learning_rate": (0.01, 0.02, 0.03, 0.05, 0.1),
     "subsample": (0.6, 0.8, 1.0),
     "colsample": (0.6, 0.8, 1.0),
-    "reg_lambda": (0.5, 1.0, 2.0, 5.0),
-    "gamma": (0.0, 0.01, 0.1),
+    "colsample_node": (0.5, 0.8, 1.0),
+    "min_child": (1, 3, 5, 10),
+    "gamma": (0.0, 0.1, 0.3),
+    "reg_alpha": (0.0, 0.1, 0.5),
+    "reg_lambda": (0.5, 1.0, 2.0),
 }
 
 
@@ -46,6 +50,8 @@ class Params:
     min_child: float = 1.0
     subsample: float = 0.8
     colsample: float = 0.8
+    colsample_node: float = 1.0
+    reg_alpha: float = 0.0
     reg_lambda: float = 1.0
     gamma: float = 0.0
     patience: int = 40
@@ -153,12 +159,16 @@ def _edges(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _grow(codes: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, columns: np.ndarray, p: Params) -> Tree:
+def _grow(codes: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, columns: np.ndarray, p: Params, rng: np.random.Generator) -> Tree:
     t = Tree()
 
+    def shrunk(g):
+        """Sums of gradients drawn towards 0 by reg_alpha."""
+        return np.sign(g) * np.maximum(np.abs(g) - p.reg_alpha, 0.0) if p.reg_alpha else g
+
     def node(rows: np.ndarray) -> int:
         g, h = grad[rows].sum(), hess[rows].sum()
-        for column, v in zip((t.feature, t.cut, t.missing_left, t.left, t.right, t.value, t.gain, t.cover), (-1, 0.0, True, -1, -1, float(-g / (h + p.reg_lambda) * p.learning_rate), 0.0, float(h))):
+        for column, v in zip((t.feature, t.cut, t.missing_left, t.left, t.right, t.value, t.gain, t.cover), (-1, 0.0, True, -1, -1, float(-shrunk(g) / (h + p.reg_lambda) * p.learning_rate), 0.0, float(h))):
             column.append(v)
         return len(t.feature) - 1
 
@@ -169,9 +179,10 @@ def _grow(codes: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
             continue
         g, h = grad[rows], hess[rows]
         total_g, total_h = g.sum(), h.sum()
-        parent = total_g**2 / (total_h + p.reg_lambda)
+        parent = shrunk(total_g) ** 2 / (total_h + p.reg_lambda)
         best = (1e-12, -1, 0, True)
-        for j in columns:
+        few = columns if p.colsample_node >= 1 else np.sort(rng.permutation(columns)[: max(1, round(p.colsample_node * len(columns)))])
+        for j in few:
             k = len(edges[j])
             if not k:
                 continue
@@ -183,7 +194,7 @@ def _grow(codes: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
                 a = gl + sum_g[k + 1] if with_missing else gl
                 b = hl + sum_h[k + 1] if with_missing else hl
                 ok = (b >= p.min_child) & (total_h - b >= p.min_child)
-                gain = np.where(ok, a**2 / (b + p.reg_lambda) + (total_g - a) ** 2 / (total_h - b + p.reg_lambda) - parent, -np.inf) / 2 - p.gamma
+                gain = np.where(ok, shrunk(a) ** 2 / (b + p.reg_lambda) + shrunk(total_g - a) ** 2 / (total_h - b + p.reg_lambda) - parent, -np.inf) / 2 - p.gamma
                 i = int(gain.argmax())
                 if gain[i] > best[0]:
                     best = (float(gain[i]), int(j), i, with_missing)
@@ -216,7 +227,7 @@ def train(x: np.ndarray, y: np.ndarray, features: Sequence[str], p: Params, weig
         columns = np.sort(rng.permutation(x.shape[1])[: max(1, round(p.colsample * x.shape[1]))])
         if not len(rows) or not len(columns):
             break
-        t = _grow(codes, edges, w * (fit - y), w, rows, columns, p)
+        t = _grow(codes, edges, w * (fit - y), w, rows, columns, p, rng)
         trees.append(t)
         values = np.array(t.value)
         fit += values[t.leaves(x)]
@@ -236,21 +247,26 @@ def matrix(df: DataFrame, features: Sequence[str], target: str, key: str) -> pd.
     """The training matrix on the driver: key, features as doubles, target, split; its size is checked against MAX_ROWS."""
     rows = df.select(key, *(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias(target), "split").filter(F.col(target).isNotNull() & ~F.isnan(target))
     n = rows.limit(MAX_ROWS + 1).count()
-    if n > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} training rows")
+    if n > MAX_ROWS or n * len(rows.columns) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_ROWS} training rows or {MAX_CELLS} cells")
     return rows.toPandas().sort_values(key, kind="stable")
 
 
 def trials(n: int, seed: int = 42, grid: dict = GRID) -> list[dict]:
-    """Seeded random points of the grid."""
+    """Seeded random points of the grid; for n = 0 the one point of the base parameters."""
+    if n == 0:
+        base = asdict(Params())
+        return [{k: base[k] for k in grid}]
     rng = random.Random(seed)
     return [{k: rng.choice(v) for k, v in grid.items()} for _ in range(n)]
 
 
-def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], key: str, n_trials: int = 20, n_trees: int = 200, seed: int = 42) -> DataFrame:
+def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], key: str, n_trials: int = 20, most_trees: int | None = None, seed: int = 42) -> DataFrame:
     """Random search over target × feature set × trial as one job: target, feature_set, trial, params_json, n_features, n_train, n_val, val_mae, best_iteration, model_json.
 
-    ``df`` has the features, targets and split (train or val). Targets with fewer than ten rows give no row.
+    ``df`` has the features, targets and split (train or val). Targets with fewer than ten rows give no
+    row. Trials take their number of trees from the grid, at most ``most_trees`` if that is given, and stop early.
+    The matrices are sent to the workers one target at a time; each has at most MAX_ROWS rows and MAX_CELLS cells.
     """
     spark = df.sparkSession
     every = sorted({c for columns in sets.values() for c in columns})
@@ -259,22 +275,27 @@ def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str]
         m = matrix(df, every, t, key)
         if len(m) >= 10:
             data[t] = m
-    shared = spark.sparkContext.broadcast(data)
+    # One broadcast per target: a task reads the matrices of its own work items only.
+    shared = {t: spark.sparkContext.broadcast(m) for t, m in data.items()}
     names = {k: list(v) for k, v in sets.items()}
     items = [(t, s, i, json.dumps(p)) for (t, s), (i, p) in itertools.product(itertools.product(data, names), enumerate(trials(n_trials, seed)))]
     schema = "target string, feature_set string, trial int, params_json string, n_features int, n_train long, n_val long, val_mae double, best_iteration int, model_json string"
     if not items:
         return spark.createDataFrame([], schema)
 
+    def chosen(p: str, i: int) -> Params:
+        values = json.loads(p)
+        return Params(**{**values, "n_trees": min(values["n_trees"], most_trees or values["n_trees"]), "seed": seed + i})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t, s, i, p in batch.itertuples(index=False):
-                m = shared.value[t]
+                m = shared[t].value
                 columns = names[s]
                 tr, va = m[m["split"] == "train"], m[m["split"] == "val"]
                 held = (va[columns].to_numpy(float), va[t].to_numpy(float)) if len(va) else None
-                model = train(tr[columns].to_numpy(float), tr[t].to_numpy(float), columns, Params(n_trees=n_trees, seed=seed + i, **json.loads(p)), valid=held)
+                model = train(tr[columns].to_numpy(float), tr[t].to_numpy(float), columns, chosen(p, i), valid=held)
                 error = float(np.abs(model.predict(held[0]) - held[1]).mean()) if held else float("nan")
                 rows.append((t, s, i, p, len(columns), len(tr), len(va), error, model.best_iteration, model.to_json()))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
@@ -305,6 +326,22 @@ def score(df: DataFrame, model: Model, output: str, fill: float = float("nan"))
     return df.withColumn(output, predict(*inputs))
 
 
+def score_test_set(df: DataFrame, model: Model, target: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """A trained model on a test set: (predictions, error).
+
+    predictions has the key, gt (null where the target is missing or not finite; absent without such a
+    column) and pred; features the table lacks count as missing. error has one row: target, n and
+    mae over rows with a target, null if there are none or the column is absent.
+    """
+    scored = score(df, model, "pred")
+    if target not in df.columns:
+        none = df.sparkSession.createDataFrame([(target, 0, None)], "target string, n long, mae double")
+        return scored.select(key, "pred"), none
+    value = F.col(target).cast("double")
+    rows = scored.select(key, F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), value).alias("gt"), "pred")
+    return rows, rows.agg(F.lit(target).alias("target"), F.count("gt").alias("n"), F.avg(F.abs(F.col("gt") - F.col("pred"))).alias("mae"))
+
+
 def permutation_importance(model: Model, x: np.ndarray, y: np.ndarray, repeats: int = 3, seed: int = 42) -> list[tuple[str, float, float]]:
     """(feature, mean, deviation) of the rise in absolute error when the feature's values are shuffled; largest first."""
     rng = np.random.default_rng(seed)
@@ -371,30 +408,56 @@ def error_model(x: np.ndarray, y: np.ndarray, fold: np.ndarray, features: Sequen
     return final, train(meta.to_numpy(float), 100 * np.abs(oof - y), list(meta.columns), p), oof
 
 
+#: Partial sums that reach the driver, and partial sums that one task adds up.
+PARTS, FAN_IN = 16, 256
+
+
 def pca_fit(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, components k × d) of an array column: sums and products are combined per batch, so only d × d numbers move."""
+    """(mean, components k × d) of an array column, over the rows whose vector is as long as the first one's.
+
+    Sums and products of each partition are added up by executors, level by level, so at most PARTS
+    matrices of d × d numbers reach the driver, however many partitions there are.
+    """
     width = df.select(F.size(vector).alias("n")).filter("n > 0").first().n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(n: int, s: np.ndarray, ss: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, ss = 0, np.zeros(width), np.zeros((width, width))
-        for batch in batches:
-            x = np.array([v for v in batch.column(0).to_pylist() if v is not None and len(v) == width], dtype=float).reshape(-1, width)
+        for b in batches:
+            x = np.array([v for v in b.column(0).to_pylist() if v is not None and len(v) == width], dtype=float).reshape(-1, width)
             n += len(x)
             s += x.sum(axis=0)
             ss += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
-
-    parts = collect_small(df.select(vector).mapInArrow(run, "n long, s array<double>, ss array<double>"), 100_000, "partitions")
-    n = sum(r.n for r in parts)
-    mean = sum(np.array(r.s) for r in parts) / n
-    cov = sum(np.array(r.ss) for r in parts).reshape(width, width) / n - np.outer(mean, mean)
+        yield batch(n, s, ss)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss = 0, np.zeros(width), np.zeros(width * width)
+        for b in batches:
+            for i in range(b.num_rows):
+                n += b.column(0)[i].as_py()
+                s += b.column(1)[i].values.to_numpy()
+                ss += b.column(2)[i].values.to_numpy()
+        yield batch(n, s, ss)
+
+    schema = "n long, s array<double>, ss array<double>"
+    sums = durable(df.select(vector).mapInArrow(first, schema), "sums")
+    parts = sums.count()
+    while parts > PARTS:
+        parts = -(-parts // FAN_IN)
+        sums = durable(sums.repartition(parts).mapInArrow(added, schema), "sums")
+    rows = collect_small(sums, PARTS, "partial sums")
+    n = sum(r.n for r in rows)
+    mean = sum(np.array(r.s) for r in rows) / n
+    cov = sum(np.array(r.ss) for r in rows).reshape(width, width) / n - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(cov)
     components = vectors[:, ::-1][:, :k].T
     signs = np.sign(components[np.arange(len(components)), np.abs(components).argmax(axis=1)])
     return mean, components * signs[:, None]
 
 
-def pca_transform(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarray, prefix: str = "dit") -> DataFrame:
+def pca_transform(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarray, prefix: str = "dit_emb") -> DataFrame:
     """``df`` with columns prefix_000… of the centred, projected vector."""
 
     @F.pandas_udf("array<double>")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions import polygons
 from pagelens.operators.assignment import solve
 
 NAN = float("nan")
@@ -204,7 +205,11 @@ def _boxes(items: Sequence[dict]) -> np.ndarray:
 
 
 def targets(truth_lines: Sequence[dict], truth_boxes: Sequence[dict], truth_regions: Sequence[dict], read_lines: Sequence[dict], detections: Sequence[dict], strict: float = 1.0, tolerant: float = 0.0) -> dict[str, float]:
-    """All 34 targets of a page. Lines have text and a box or None; detections have kind, score and a box."""
+    """All 34 targets of a page. Lines have text and a box or None; detections have kind, score and a box.
+
+    Boxes of lines on both sides may have a polygon; pairs that both have one are matched by its
+    intersection over union, others by that of their boxes. Average precision always takes boxes.
+    """
     truth, read = [x["text"] or "" for x in truth_lines], [x["text"] or "" for x in read_lines]
     m, n = len(truth), len(read)
     dist = distances(truth, read)
@@ -215,7 +220,8 @@ def targets(truth_lines: Sequence[dict], truth_boxes: Sequence[dict], truth_regi
     line_boxes = _boxes(truth_boxes)
     found = {k: [d for d in detections if d["kind"] == k] for k in ("line", "region")}
     iou = {"line": iou_matrix(line_boxes, _boxes(found["line"])), "region": iou_matrix(_boxes(truth_regions), _boxes(found["region"]))}
-    pairs = greedy_ious(iou["line"]) if iou["line"].size else []
+    outlines = [[x.get("polygon") for x in side] for side in (truth_boxes, found["line"])]
+    pairs = greedy_ious(polygons.iou_matrix(*outlines, iou["line"])) if iou["line"].size else []
     values = [
         perm, split, perm - split, htr_only, geometric, average, geometric - perm, average - geometric, average - perm,
         missing, extra, missing, extra, float(m), float(n), *bag_of_words(truth, read),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import geometry as G
+from pagelens.functions import polygons
 
 
 def as_box() -> Column:
@@ -43,8 +48,28 @@ def overlap_counts(boxes: DataFrame, key: list[str], pos: str) -> DataFrame:
     return boxes.groupBy(*key).agg(items.alias("items")).select(*key, G.overlap_pairs(F.transform("items", lambda x: x["b"])).cast("long").alias("n_overlaps"))
 
 
+def best_polygon_iou(outlines: Column) -> Column:
+    """For each polygon (text) of an array its largest intersection over union with another; null where there is no other."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for items in batch:
+                items = list(items)
+                m = polygons.iou_matrix(items, items, np.zeros((len(items), len(items))))
+                np.fill_diagonal(m, -1.0)
+                out.append([None if len(items) < 2 else float(x) for x in m.max(axis=1)])
+            yield pd.Series(out)
+
+    return run(outlines)
+
+
 def contained(boxes: DataFrame, key: list[str], pos: str, threshold: float = 0.5) -> DataFrame:
-    """Boxes to remove: those of which a larger box of the same key covers more than ``threshold``."""
+    """Boxes to remove: those of which a larger box of the same key covers more than ``threshold``.
+
+    For suppression per class the class is one of the columns in ``key``.
+    """
     items = F.collect_list(F.struct(pos, as_box().alias("b")))
     removed = F.filter(
         F.col("items"),

@@ -15,13 +15,12 @@ NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.
 
 #: Patterns of the named feature sets, over lower-case column names.
 SETS = {
-    "confidence_only": (r"conf", r"score"),
-    "ngram_only": (r"gram_ratio",),
-    "image_only": (r"^img_", r"^blur_", r"^noise_", r"^fg_ratio", r"^stroke_", r"^cc_count", r"^skew_"),
-    "lexical_only": (r"^lex_", r"^lexicality"),
+    "confidence_only": (r"conf", r"confidence", r"htr_line_score", r"htr_token_score", r"region_conf", r"line_conf", r"_score_hist", r"_conf_hist"),
+    "ngram_only": (r"gram", r"char_\d+gram_ratio_present", r"page_ppl", r"line_ppl_"),
+    "image_only": (r"^img_", r"^blur_score_", r"^noise_", r"^fg_ratio$", r"^stroke_width_", r"^cc_count$", r"^skew_angle_deg$"),
+    "lexical_only": (r"^lex_", r"^lexicality_"),
 }
-#: What the set of JSON-only features leaves out.
-NOT_JSON = (r"^img_", r"^blur_", r"^noise_", r"^fg_ratio", r"^stroke_", r"^cc_count", r"^skew_", r"^dit_", r"gram_ratio", r"ppl", r"^lex_", r"^lexicality", r"^century", r"^script_type")
+DIT_PREFIX = "dit_emb"
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -29,7 +28,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def usable_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric columns with more than one distinct value besides null and NaN, found in one pass by minimum and maximum."""
+    """Numeric columns with more than one distinct value besides null and NaN, found in one pass by minimum and maximum.
+
+    Give the training rows alone where validation must not count.
+    """
     names = [c for c in numeric_columns(df) if c not in exclude and not c.startswith("target_")]
     if not names:
         return []
@@ -38,7 +40,7 @@ def usable_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c in names if row[c][0] is not None and row[c][0] != row[c][1]]
 
 
-def feature_set(name: str, columns: Sequence[str], single: str = "htr_line_score_mean", dit_prefix: str = "dit_") -> list[str]:
+def feature_set(name: str, columns: Sequence[str], single: str = "htr_line_score_mean", dit_prefix: str = DIT_PREFIX) -> list[str]:
     """Columns of a named set; a set without columns and an unknown name are errors."""
     low = {c: c.lower() for c in columns}
     if name == "full":
@@ -48,7 +50,8 @@ def feature_set(name: str, columns: Sequence[str], single: str = "htr_line_score
     elif name == "dit_only":
         found = [c for c in columns if low[c].startswith(dit_prefix)]
     elif name == "json_model_only":
-        found = [c for c in columns if not any(re.search(p, low[c]) for p in NOT_JSON)]
+        other = [p for k in ("image_only", "lexical_only", "ngram_only") for p in SETS[k]]
+        found = [c for c in columns if not low[c].startswith(dit_prefix) and not any(re.search(p, low[c]) for p in other)]
     elif name in SETS:
         found = [c for c in columns if any(re.search(p, low[c]) for p in SETS[name])]
     else:

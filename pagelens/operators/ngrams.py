@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.runtime import collect_small
 
 SEPARATOR = "\x1f"
+#: Named lexicons of one search.
+MAX_LEXICONS = 10_000
+#: n-grams of a set, or contexts of a model, and their characters, up to which they are sent to all workers.
+SMALL_SET, SMALL_CHARS = 200_000, 4_000_000
+#: Places that the rows of one frequent n-gram are spread over in a join.
+SALTS = 16
 
 
 def grams(texts: DataFrame, n: int, text: str = "text", level: str = "char") -> DataFrame:
@@ -24,12 +35,39 @@ def frequent(texts: DataFrame, n: int, min_count: int = 5, top: int | None = Non
     return counted.select(F.lit(n).alias("n"), "gram", "cnt")
 
 
+def _small(table: DataFrame, column: str) -> bool:
+    """Whether a table is within SMALL_SET rows and SMALL_CHARS characters of a column, found out before it is fetched."""
+    n, chars = table.agg(F.count("*"), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
+    return n <= SMALL_SET and chars <= SMALL_CHARS
+
+
 def ratio_present(texts: DataFrame, allowed: DataFrame, n: int, key: str, text: str = "text") -> DataFrame:
-    """Per key the share of its n-grams that are in ``allowed`` (column gram); NaN for a text shorter than n."""
+    """Per row the share of its n-grams that are in ``allowed`` (column gram); NaN for a text shorter than n.
+
+    ``key`` is unique. A set of a checked size goes to the workers and no text moves; a larger one is joined, with
+    the n-grams counted per key before they move and frequent ones spread by key.
+    """
+    name = f"char_{n}gram_ratio_present"
+    if _small(allowed, "gram"):
+        known = texts.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in allowed.select("gram").collect()))
+
+        @F.pandas_udf("double")
+        def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            grams = known.value
+            for batch in batches:
+                out = []
+                for t in batch.tolist():
+                    found = [t[i : i + n] in grams for i in range(len(t or "") - n + 1)]
+                    out.append(sum(found) / len(found) if found else float("nan"))
+                yield pd.Series(out, dtype="float64")
+
+        return texts.select(key, share(T.collapsed(F.col(text))).alias(name))
     rows = grams(texts.select(key, text), n, text).groupBy(key, "gram").agg(F.count("*").alias("cnt"))
-    hit = rows.join(allowed.select("gram", F.lit(1).alias("hit")), "gram", "left").groupBy(key).agg(F.sum(F.col("hit") * F.col("cnt")).alias("hits"), F.sum("cnt").alias("total"))
+    # A frequent n-gram stands in very many texts: its rows go to SALTS places.
+    salted = allowed.select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(1).alias("hit"))
+    hit = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"], "left").groupBy(key).agg(F.sum(F.col("hit") * F.col("cnt")).alias("hits"), F.sum("cnt").alias("total"))
     return texts.select(key).distinct().join(hit, key, "left").select(
-        key, F.when(F.col("total") > 0, F.coalesce("hits", F.lit(0)) / F.col("total")).otherwise(F.lit(float("nan"))).alias(f"char_{n}gram_ratio_present")
+        key, F.when(F.col("total") > 0, F.coalesce("hits", F.lit(0)) / F.col("total")).otherwise(F.lit(float("nan"))).alias(name)
     )
 
 
@@ -42,17 +80,41 @@ def model(texts: DataFrame, order: int, text: str = "text") -> tuple[DataFrame,
 
 
 def perplexity(texts: DataFrame, counts: DataFrame, totals: DataFrame, order: int, key: str, k: float = 0.1, text: str = "text") -> DataFrame:
-    """Per key exp of the mean negative log probability of its characters under add-k smoothing; NaN if shorter than the order.
+    """Per row exp of the mean negative log probability of its characters under add-k smoothing; NaN if shorter than the order.
 
-    White space is removed before windows are cut. The vocabulary is that of the context; an unseen
-    context has probability 1. Windows are counted before they are joined, so a text with repeated
-    windows moves each once.
+    ``key`` is unique. White space is removed before windows are cut. The vocabulary is that of the
+    context; an unseen context has probability 1. A model of a checked size goes to the workers and no
+    text moves; a larger one is joined, with windows counted per key and frequent ones spread by key.
     """
     bare = F.regexp_replace(text, T.SPACE, "")
+    table = counts.join(totals, "context").select(F.concat("context", "token").alias("w"), "context", "cnt", "total", "vocab")
+    if _small(table, "w"):
+        rows = table.collect()
+        floor = 1e-12
+        known = {r.w: math.log(max((r.cnt + k) / (r.total + k * r.vocab), floor)) for r in rows}
+        unseen = {r.context: math.log(max(k / (r.total + k * r.vocab), floor)) for r in rows}
+        shared = texts.sparkSession.sparkContext.broadcast((known, unseen))
+
+        @F.pandas_udf("double")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            seen, context = shared.value
+            for batch in batches:
+                out = []
+                for t in batch.tolist():
+                    windows = [t[i : i + order] for i in range(len(t or "") - order + 1)]
+                    logs = [seen[w] if w in seen else context.get(w[:-1], 0.0) for w in windows]
+                    out.append(math.exp(-math.fsum(logs) / len(logs)) if logs else float("nan"))
+                yield pd.Series(out, dtype="float64")
+
+        return texts.select(key, run(bare).alias("ppl"))
     windows = texts.select(key, F.explode(T.char_ngrams(bare, order)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("times"))
-    split = windows.withColumn("context", F.substring("w", 1, order - 1)).withColumn("token", F.substring("w", order, 1))
+    split = windows.withColumn("context", F.substring("w", 1, order - 1)).withColumn("token", F.substring("w", order, 1)).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     p = (F.coalesce("cnt", F.lit(0)) + F.lit(k)) / (F.coalesce("total", F.lit(0)) + F.lit(k) * F.coalesce("vocab", F.lit(1)))
-    scored = split.join(counts, ["context", "token"], "left").join(totals, "context", "left").withColumn("logp", F.ln(F.greatest(p, F.lit(1e-12))))
+    scored = (
+        split.join(counts.select("*", every), ["context", "token", "salt"], "left").join(totals.select("*", every), ["context", "salt"], "left")
+        .withColumn("logp", F.ln(F.greatest(p, F.lit(1e-12))))
+    )
     done = scored.groupBy(key).agg((F.sum(F.col("logp") * F.col("times")) / F.sum("times")).alias("mean_logp"))
     return texts.select(key).distinct().join(done, key, "left").select(key, F.coalesce(F.exp(-F.col("mean_logp")), F.lit(float("nan"))).alias("ppl"))
 
@@ -69,7 +131,7 @@ def lexicon_match(tokens: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     totals = counted.groupBy(key).agg(F.sum("n").alias("n_tokens"))
     names = every.select("lexicon_name").distinct()
     hits = counted.join(every.withColumnRenamed("word", "token"), "token").groupBy(key, "lexicon_name").agg(F.sum("n").alias("match_count"), F.count("*").alias("unique_match_count"))
-    named = totals.withColumn("lexicon_name", F.explode(F.lit([r[0] for r in names.collect()] or ["combined"])))
+    named = totals.withColumn("lexicon_name", F.explode(F.lit([r[0] for r in collect_small(names, MAX_LEXICONS, "lexicons")] or ["combined"])))
     return named.join(hits, [key, "lexicon_name"], "left").select(
         key,
         "lexicon_name",

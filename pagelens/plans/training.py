@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -22,14 +21,33 @@ class Config:
     val_size: float = 0.2
     seed: int = 42
     n_trials: int = 20
-    n_trees: int = 200
+    most_trees: int | None = None  # at most so many trees a trial; None: as many as the grid says
     correlation: float | None = None
     select: str | None = None  # "permutation" or "stability"
     select_sets: Sequence[str] = ("full",)
     top_k: int = 60
+    retrain: str = "refit_best_params"  # or "small_hpo": a search of its own over the chosen features
+    small_trials: int = 30
     exclude: Sequence[str] = field(default_factory=tuple)
 
 
+#: Presets of earlier trainers: one fixed point of the grid, with or without a search.
+PRESETS: dict[str, dict] = {
+    "fixed": {"n_trials": 0},
+    "importance": {"n_trials": 0, "select": "permutation"},
+    "search": {},
+    "search_and_select": {"select": "permutation"},
+    "stable": {"select": "stability"},
+}
+
+
+def config(preset: str, targets: Sequence[str], **options) -> Config:
+    """The configuration of a preset, changed by ``options``; unknown names are errors."""
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset: {preset} (one of {', '.join(PRESETS)})")
+    return Config(targets, **{**PRESETS[preset], **options})
+
+
 SUMMARY = "target string, model_name string, feature_set string, n_features int, n_train long, n_val long, val_mae double, val_wmae double, best_iteration int, params_json string, notes string"
 
 
@@ -48,7 +66,7 @@ def run(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     for name in cfg.sets:
         found = M.feature_set(name, columns)
         sets[name] = M.prune_correlated(rows, found, cfg.correlation) if cfg.correlation and len(found) > 1 else found
-    trials = durable(B.search(rows, sets, cfg.targets, cfg.key, cfg.n_trials, cfg.n_trees, cfg.seed), "trials")
+    trials = durable(B.search(rows, sets, cfg.targets, cfg.key, cfg.n_trials, cfg.most_trees, cfg.seed), "trials")
     best = B.best_trials(trials).collect()
     summary, importances, selection, scored = [], [], [], None
     for target in cfg.targets:
@@ -69,14 +87,22 @@ def run(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
             m = B.matrix(rows, model.features, r.target, cfg.key)
             x, y = m[list(model.features)].to_numpy(float), m[r.target].to_numpy(float)
             tr, va = (m["split"] == "train").to_numpy(), (m["split"] == "val").to_numpy()
-            p = B.Params(n_trees=cfg.n_trees, seed=cfg.seed, **json.loads(r.params_json))
+            p = model.params
             if cfg.select == "stability":
                 chosen, _ = B.stability_selection(x[tr], y[tr], (x[va], y[va]), model.features, p, top=cfg.top_k, seed=cfg.seed)
             else:
                 chosen = [f for f, _, _ in B.permutation_importance(model, x[va], y[va], seed=cfg.seed)[: cfg.top_k]]
-            again = B.train(m[chosen].to_numpy(float)[tr], y[tr], chosen, p, valid=(m[chosen].to_numpy(float)[va], y[va]))
-            error = float(abs(again.predict(m[chosen].to_numpy(float)[va]) - y[va]).mean())
-            summary.append((r.target, f"xgb_hpo_{r.feature_set}_fs_{r.target}", f"{r.feature_set}_fs", len(chosen), r.n_train, r.n_val, error, None, again.best_iteration, r.params_json, cfg.select))
+            if cfg.retrain == "small_hpo":
+                small = B.best_trials(B.search(rows, {"fs": chosen}, [r.target], cfg.key, cfg.small_trials, cfg.most_trees, cfg.seed + 1)).first()
+                again, error, params = B.Model.from_json(small.model_json), small.val_mae, small.params_json
+            elif cfg.retrain == "refit_best_params":
+                again = B.train(m[chosen].to_numpy(float)[tr], y[tr], chosen, p, valid=(m[chosen].to_numpy(float)[va], y[va]))
+                error, params = float(abs(again.predict(m[chosen].to_numpy(float)[va]) - y[va]).mean()), r.params_json
+            else:
+                raise ValueError(f"unknown way of retraining: {cfg.retrain}")
+            notes = f"{cfg.select}, {cfg.retrain}"
+            wmae = _weighted(rows, again, r.target)
+            summary.append((r.target, f"xgb_hpo_{r.feature_set}_fs_{r.target}", f"{r.feature_set}_fs", len(chosen), r.n_train, r.n_val, error, wmae, again.best_iteration, params, notes))
             selection += [(name, cfg.select, i, f) for i, f in enumerate(chosen)]
     return {
         "summary": spark.createDataFrame(summary, SUMMARY),

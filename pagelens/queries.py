@@ -38,21 +38,17 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines once, as ASCII text."""
+    """Lines once, with their text as stored; null counts as empty."""
     rows = table(spark, sf_dir, "text_lines").select("line_no", "rec_no", "line_pos", "text").dropDuplicates(["line_no"])
-    return rows.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""))
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 
-_LINES = "lines AS (SELECT DISTINCT line_no, rec_no, line_pos, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS text FROM text_lines)"
+_LINES = "lines AS (SELECT DISTINCT line_no, rec_no, line_pos, coalesce(text, '') AS text FROM text_lines)"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _sides_of(_lines(spark, sf_dir))
-
-
-def _sides_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Even lines of a page as its truth, odd ones as what was read."""
-    rows = lines.select("rec_no", F.floor(F.col("line_pos") / 2).cast("long").alias("pos"), "text", (F.col("line_pos") % 2).alias("odd"))
+    rows = _lines(spark, sf_dir).select("rec_no", F.floor(F.col("line_pos") / 2).cast("long").alias("pos"), "text", (F.col("line_pos") % 2).alias("odd"))
     return rows.filter("odd = 0").drop("odd"), rows.filter("odd = 1").drop("odd")
 
 
@@ -155,11 +151,7 @@ def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_shape(_lines(spark, sf_dir))
-
-
-def _line_shape(lines: DataFrame) -> DataFrame:
-    rows = lines.withColumn("chars", F.length("text")).withColumn("words", T.word_count(F.col("text")))
+    rows = _lines(spark, sf_dir).withColumn("chars", F.length("text")).withColumn("words", T.word_count(F.col("text")))
     shares = rows.groupBy("rec_no").agg(
         F.count("*").alias("n_lines"), F.sum("chars").alias("total_chars"), F.sum("words").alias("total_words"), F.percentile("chars", [0.2, 0.8]).alias("p"), F.collect_list("chars").alias("c")
     )
@@ -172,11 +164,7 @@ def char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_alpha_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_alpha_lines(_lines(spark, sf_dir))
-
-
-def _no_alpha_lines(lines: DataFrame) -> DataFrame:
-    return _rounded(lines.groupBy("rec_no").agg((F.count_if(~T.has_letter(F.col("text"))) / F.count("*")).alias("frac_no_alpha_lines")))
+    return _rounded(_lines(spark, sf_dir).groupBy("rec_no").agg((F.count_if(~T.has_letter(F.col("text"))) / F.count("*")).alias("frac_no_alpha_lines")))
 
 
 def repetition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,87 +176,29 @@ def word_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ngram_top(_lines(spark, sf_dir))
-
-
-def _ngram_top(lines: DataFrame) -> DataFrame:
-    return ngrams.frequent(lines, 4, 5, 200).select(F.col("n").cast("long").alias("n"), "gram", "cnt")
+    return ngrams.frequent(_lines(spark, sf_dir), 4, 5, 200).select(F.col("n").cast("long").alias("n"), "gram", "cnt")
 
 
 def ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ngram_ratio(_lines(spark, sf_dir))
-
-
-def _ngram_ratio(lines: DataFrame) -> DataFrame:
+    lines = durable(_lines(spark, sf_dir), "lines")
     return _rounded(ngrams.ratio_present(lines, ngrams.frequent(lines, 3, 50), 3, "line_no"))
 
 
 def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    counts, totals = ngrams.model(lines.filter("rec_no % 2 = 0"), 3)
-    return lines.filter("rec_no % 2 = 1").select("line_no", "text").transform(lambda t: ngrams.perplexity(t, counts, totals, 3, "line_no")).select("line_no", _r("ppl", 4).alias("ppl"))
+    """A perplexity for every line, by a model of all lines."""
+    lines = durable(_lines(spark, sf_dir), "lines")
+    counts, totals = ngrams.model(lines.select(F.regexp_replace("text", T.SPACE, "").alias("text")), 3)
+    counts = durable(counts, "counts")
+    totals = counts.groupBy("context").agg(F.sum("cnt").alias("total"), F.count("*").alias("vocab"))
+    return ngrams.perplexity(lines, counts, durable(totals, "totals"), 3, "line_no").select("line_no", _r("ppl", 4).alias("ppl"))
 
 
 def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexicon_match(_lines(spark, sf_dir), table(spark, sf_dir, "lexicon"))
-
-
-def _lexicon_match(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
-    tokens = lines.select("rec_no", F.explode_outer(T.word_tokens(F.col("text"))).alias("token"))
-    words = lexicon.select("lexicon_name", F.lower("word").alias("word"))
+    tokens = _lines(spark, sf_dir).select("rec_no", F.explode_outer(T.word_tokens(F.col("text"))).alias("token"))
+    words = table(spark, sf_dir, "lexicon").select("lexicon_name", F.lower("word").alias("word"))
     return _rounded(ngrams.lexicon_match(tokens, words, "rec_no"))
 
 
-# --- whole texts ------------------------------------------------------------------------------------
-#
-# The queries above and below that take _lines() are tied to SQL over ASCII text; these run over the texts as stored.
-
-
-def _whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines once, with their text as stored; null counts as empty."""
-    rows = table(spark, sf_dir, "text_lines").select("line_no", "rec_no", "line_pos", "text").dropDuplicates(["line_no"])
-    return rows.withColumn("text", F.coalesce("text", F.lit("")))
-
-
-def line_shape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_shape(_whole_lines(spark, sf_dir))
-
-
-def no_alpha_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_alpha_lines(_whole_lines(spark, sf_dir))
-
-
-def ngram_top_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ngram_top(_whole_lines(spark, sf_dir))
-
-
-def ngram_ratio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ngram_ratio(durable(_whole_lines(spark, sf_dir), "lines"))
-
-
-def lm_perplexity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A perplexity for every line, by a model of all lines."""
-    lines = durable(_whole_lines(spark, sf_dir), "lines")
-    counts, totals = ngrams.model(lines, 3)
-    return ngrams.perplexity(lines.select("line_no", "text"), durable(counts, "counts"), totals, 3, "line_no").select("line_no", _r("ppl", 4).alias("ppl"))
-
-
-def lexicon_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexicon_match(_whole_lines(spark, sf_dir), table(spark, sf_dir, "lexicon"))
-
-
-def bow_prf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(text_metrics.bag_of_words(*_sides_of(_whole_lines(spark, sf_dir)), "rec_no"))
-
-
-def linewise_cer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(text_metrics.linewise_cer(*_sides_of(_whole_lines(spark, sf_dir)), "rec_no"))
-
-
-def word_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _word_boxes(_whole_lines(spark, sf_dir))
-
-
 # --- error rates ----------------------------------------------------------------------------------
 
 
@@ -309,6 +239,17 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("page", F.explode(best).alias("x")).select("page", "x.pos", _r("x.best_iou").alias("best_iou"))
 
 
+def polygon_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best overlap of each skewed outline with another of its page. Every page is skewed by itself, which changes no ratio of areas."""
+    boxes = _boxes(spark, sf_dir)
+    skew = (F.col("page") % 5) / F.lit(4.0)
+    corner = lambda x, y: F.concat_ws(",", (F.col(x) + F.col(y) * skew), F.col(y))
+    outline = F.concat_ws(" ", corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
+    pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", outline.alias("p")))).alias("items"))
+    best = layout.best_polygon_iou(F.transform("items", lambda x: x["p"]))
+    return pages.select("page", F.explode(F.arrays_zip(F.transform("items", lambda x: x["pos"]).alias("pos"), best.alias("best"))).alias("x")).select("page", "x.pos", _r("x.best", 6).alias("best_iou"))
+
+
 def contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.contained(_boxes(spark, sf_dir), ["page"], "pos")
 
@@ -497,11 +438,7 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _word_boxes(_lines(spark, sf_dir))
-
-
-def _word_boxes(lines: DataFrame) -> DataFrame:
-    rows = lines.filter("length(text) > 0").withColumn("width", F.length("text") * 9 + F.col("line_pos") % 7)
+    rows = _lines(spark, sf_dir).filter("length(text) > 0").withColumn("width", F.length("text") * 9 + F.col("line_pos") % 7)
     return rows.select("line_no", F.explode(T.word_boxes(F.col("text"), F.col("width"))).alias("w")).groupBy("line_no").agg(F.count("*").alias("n_words"), F.max("w.x1").alias("x1"))
 
 
@@ -524,10 +461,9 @@ def queries() -> dict[str, Query]:
         for f in (
             p3_found, p3_objects, p3_lines, p6_found, p6_deep, p6_versions, p6_unified, group_stats, hist_equal, shifted_entropy, quantile_edges, array_features,
             line_shape, char_classes, no_alpha_lines, repetition_runs, word_token_counts, ngram_top, ngram_ratio, lm_perplexity, lexicon_match,
-            bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
+            bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, polygon_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
             line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,
             page_ranks, top_bottom_pages, once_per_key, target_correlation, usable_features, weighted_errors, constant_baseline, holdout_split,
-            line_shape_whole, no_alpha_lines_whole, ngram_top_whole, ngram_ratio_whole, lm_perplexity_whole, lexicon_match_whole, bow_prf_whole, linewise_cer_whole, word_boxes_whole,
             correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, language_features, training_run, word_boxes, streamed_events,
         )
     }

@@ -24,11 +24,20 @@ def _stats(x: str, prefix: str, digits: int = 9, std_digits: int = 9) -> str:
 
 
 _GRAMS = "SELECT {key}, substr(t, CAST(i AS BIGINT), {n}) AS gram FROM (SELECT {key}, {text} AS t FROM {src}), LATERAL (SELECT unnest(range(1, length(t) - {n} + 2)) AS i)"
-_COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+#: White space as :data:`pagelens.functions.text.SPACE` has it.
+_SPACE = "[\\t-\\r\\x1c-\\x1f\\x{85}\\p{Z}]+"
+_COLLAPSED = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
 _INTER = "greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))"
 _AREA = "({0}.xmax - {0}.xmin) * ({0}.ymax - {0}.ymin)"
 _OVERLAP = "a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax"
 
+
+def _coded(text: str) -> str:
+    """A text with each character of its pair of texts as one byte, since DuckDB's edit distance counts bytes."""
+    bytes_ = "".join(chr(c) for c in range(33, 127) if chr(c) != "'") + "".join(chr(c) for c in range(1, 33))
+    return f"CASE WHEN chars IS NULL THEN {text} ELSE translate({text}, chars, substr('{bytes_}', 1, length(chars))) END"
+
+
 ORACLES: dict[str, str] = {
     "p3_found": """
 WITH RECURSIVE once AS (SELECT DISTINCT ON (page_no) page_no, CAST(body AS JSON) AS j FROM page_documents WHERE json_valid(body)),
@@ -65,6 +74,15 @@ SELECT stream_no, export_no, 'renamed' AS drift_kind, op AS old_path, np AS new_
 UNION ALL SELECT stream_no, export_no, 'retyped', path, path FROM ret
 UNION ALL SELECT stream_no, export_no, 'removed', path, '' FROM loose l WHERE nt IS NULL AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.stream_no = l.stream_no AND r.export_no = l.export_no AND r.op = l.path)
 UNION ALL SELECT stream_no, export_no, 'added', '', path FROM loose l WHERE ot IS NULL AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.stream_no = l.stream_no AND r.export_no = l.export_no AND r.np = l.path)""",
+    "p6_versions": """
+WITH once AS (SELECT DISTINCT ON (json_no) stream_no, export_no, CAST(body AS JSON) AS j FROM htr_json WHERE json_valid(body)),
+top AS (SELECT o.stream_no, o.export_no, e.key AS path, e.type AS t, e.value AS value FROM once o, json_each(o.j) e),
+every AS (SELECT * FROM top UNION ALL SELECT p.stream_no, p.export_no, p.path || '.' || e.key, e.type, e.value FROM top p, json_each(CASE WHEN p.t = 'OBJECT' THEN p.value ELSE '{}' END) e),
+f AS (SELECT stream_no, export_no, path, CASE WHEN t = 'OBJECT' THEN 'object' WHEN t = 'ARRAY' THEN 'array' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'VARCHAR' THEN 'string' ELSE 'number' END AS jt FROM every WHERE t <> 'NULL'),
+lay AS (SELECT stream_no, export_no, path, jt FROM (SELECT *, row_number() OVER (PARTITION BY stream_no, export_no, path ORDER BY n DESC, jt) AS r FROM (SELECT stream_no, export_no, path, jt, count(*) AS n FROM f GROUP BY ALL)) WHERE r = 1),
+pr AS (SELECT e.stream_no, e.export_no, sha256(coalesce(string_agg(path || ':' || jt, ',' ORDER BY path || ':' || jt), '')) AS fingerprint FROM (SELECT DISTINCT stream_no, export_no FROM htr_json) e LEFT JOIN lay USING (stream_no, export_no) GROUP BY 1, 2),
+v AS (SELECT *, lag(export_no) OVER w AS prev_export_no, CASE WHEN fingerprint IS DISTINCT FROM lag(fingerprint) OVER w THEN 1 ELSE 0 END AS is_new FROM pr WINDOW w AS (PARTITION BY stream_no ORDER BY export_no))
+SELECT stream_no, export_no, fingerprint, prev_export_no, CAST(sum(is_new) OVER (PARTITION BY stream_no ORDER BY export_no) AS BIGINT) AS version FROM v""",
     "group_stats": f"SELECT event_type, {_stats('value', 'value')} FROM events GROUP BY event_type",
     "hist_equal": _hist(),
     "shifted_entropy": """
@@ -95,12 +113,12 @@ SELECT d.doc_id, count(r.k) AS n_runs FROM documents d LEFT JOIN r USING (doc_id
 WITH {_LINES}, g AS ({_GRAMS.format(key='line_no', text=_COLLAPSED, n=3, src='lines')}), f AS (SELECT gram FROM g GROUP BY gram HAVING count(*) >= 50)
 SELECT l.line_no, round(count(f.gram) / nullif(count(g.gram), 0), 9) AS char_3gram_ratio_present FROM lines l LEFT JOIN g USING (line_no) LEFT JOIN f ON f.gram = g.gram GROUP BY l.line_no""",
     "lm_perplexity": f"""
-WITH {_LINES}, even AS (SELECT * FROM lines WHERE rec_no % 2 = 0), odd AS (SELECT line_no, regexp_replace(text, '\\s+', '', 'g') AS text FROM lines WHERE rec_no % 2 = 1),
-w AS ({_GRAMS.format(key='line_no', text='text', n=3, src='even')}), c AS (SELECT substr(gram, 1, 2) AS context, substr(gram, 3, 1) AS token, count(*) AS cnt FROM w GROUP BY 1, 2),
-t AS (SELECT context, sum(cnt) AS total, count(*) AS vocab FROM c GROUP BY context), s AS ({_GRAMS.format(key='line_no', text='text', n=3, src='odd')}),
+WITH {_LINES}, bare AS (SELECT line_no, regexp_replace(text, '{_SPACE}', '', 'g') AS text FROM lines),
+w AS ({_GRAMS.format(key='line_no', text='text', n=3, src='bare')}), c AS (SELECT substr(gram, 1, 2) AS context, substr(gram, 3, 1) AS token, count(*) AS cnt FROM w GROUP BY 1, 2),
+t AS (SELECT context, sum(cnt) AS total, count(*) AS vocab FROM c GROUP BY context), s AS (SELECT * FROM w),
 p AS (SELECT line_no, ln(greatest((coalesce(cnt, 0) + 0.1::DOUBLE) / (coalesce(total, 0) + 0.1::DOUBLE * coalesce(vocab, 1)), 1e-12)) AS logp FROM s
   LEFT JOIN c ON c.context = substr(gram, 1, 2) AND c.token = substr(gram, 3, 1) LEFT JOIN t ON t.context = substr(gram, 1, 2))
-SELECT o.line_no, round(exp(-avg(logp)), 4) AS ppl FROM odd o LEFT JOIN p USING (line_no) GROUP BY o.line_no""",
+SELECT o.line_no, round(exp(-avg(logp)), 4) AS ppl FROM bare o LEFT JOIN p USING (line_no) GROUP BY o.line_no""",
     "lexicon_match": f"""
 WITH {_LINES}, tok AS (SELECT rec_no, w AS token FROM (SELECT rec_no, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM lines)),
 lx AS (SELECT DISTINCT lexicon_name, lower(word) AS word FROM lexicon UNION SELECT DISTINCT 'combined', lower(word) FROM lexicon), names AS (SELECT DISTINCT lexicon_name FROM lx), recs AS (SELECT DISTINCT rec_no FROM lines)
@@ -114,7 +132,8 @@ k AS (SELECT k.rec_no, coalesce(t, 0) AS t, coalesce(r, 0) AS r, coalesce(both_n
 pr AS (SELECT rec_no, CASE WHEN t = 0 AND r = 0 THEN 1.0 WHEN t = 0 OR r = 0 THEN 0.0 ELSE m / r END::DOUBLE AS p, CASE WHEN t = 0 THEN 1.0 WHEN r = 0 THEN 0.0 ELSE m / t END::DOUBLE AS c FROM k)
 SELECT rec_no, round(p, 9) AS bow_precision, round(c, 9) AS bow_recall, round(CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0.0 END, 9) AS bow_f1 FROM pr""",
     "linewise_cer": f"""
-WITH {_SIDES}, j AS (SELECT coalesce(t.rec_no, r.rec_no) AS rec_no, t.text AS t, r.text AS r FROM truth t FULL JOIN readl r ON t.rec_no = r.rec_no AND t.pos = r.pos),
+WITH {_SIDES}, j0 AS (SELECT coalesce(t.rec_no, r.rec_no) AS rec_no, t.text AS t, r.text AS r, array_to_string(list_distinct(string_split(t.text || r.text, '')), '') AS chars FROM truth t FULL JOIN readl r ON t.rec_no = r.rec_no AND t.pos = r.pos),
+j AS (SELECT rec_no, {_coded('t')} AS t, {_coded('r')} AS r FROM j0),
 g AS (SELECT rec_no, avg(CASE WHEN t IS NULL THEN NULL WHEN r IS NULL THEN 1.0::DOUBLE WHEN t = '' THEN CASE WHEN r = '' THEN 0.0 ELSE 1.0 END::DOUBLE ELSE levenshtein(t, r) / length(t)::DOUBLE END) AS a, count(t) AS m, count(r) AS n FROM j GROUP BY rec_no)
 SELECT rec_no, round(coalesce(a, 0.0), 9) AS avg_line_cer, round(greatest(m - n, 0) / greatest(m, 1), 9) AS missing_ratio, round(greatest(n - m, 0) / greatest(n, 1), 9) AS halluc_ratio FROM g""",
     "geom_order": f"""
@@ -122,6 +141,7 @@ WITH {_BOXES}, b AS (SELECT page, pos, CASE WHEN page % 7 = 0 AND pos % 3 = 0 TH
 SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ok THEN ymin END, CASE WHEN ok THEN xmin END, pos) - 1 AS order_no FROM f""",
     "box_overlap": f"WITH {_BOXES} SELECT a.page, count(b.pos) AS n_overlaps FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos < b.pos AND {_OVERLAP} GROUP BY a.page",
     "box_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 9) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
+    "polygon_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 6) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
     "contained_boxes": f"WITH {_BOXES} SELECT DISTINCT a.page, a.pos FROM boxes a JOIN boxes b ON a.page = b.page AND a.pos <> b.pos AND {_AREA.format('b')} > {_AREA.format('a')} AND {_INTER} > 0.5 * {_AREA.format('a')}",
     "printspace_order": f"""
 WITH {_BOXES}, p AS (SELECT a.*, CASE WHEN greatest(0, least(700, a.xmax) - greatest(150, a.xmin)) * greatest(0, least(350, a.ymax) - greatest(60, a.ymin)) / ({_AREA.format('a')}) > 0.5 THEN 'PRINTSPACE'

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagelens.sources.page_json import polygon
 
 _BOX = "xmin:double,ymin:double,xmax:double,ymax:double"
-SCHEMA = f"lines array<struct<text:string,{_BOX}>>, geoms array<struct<polygon:string,{_BOX}>>, boxes array<struct<{_BOX}>>, regions array<struct<{_BOX}>>, text string, error string"
+SCHEMA = f"lines array<struct<text:string,{_BOX}>>, geoms array<struct<polygon:string,{_BOX}>>, boxes array<struct<{_BOX},polygon:string>>, regions array<struct<{_BOX}>>, text string, error string"
 _SIDES = ("xmin", "ymin", "xmax", "ymax")
 Box = tuple[float, float, float, float]
 
@@ -121,7 +121,7 @@ def read_xml(body: str | bytes) -> dict:
             lines.append(_row(page_line_text(line), b))
         regions = [b for b in (_coords(r, deep=True)[1] for r in _all(root, "TextRegion")) if b]
         text = "\n".join(x["text"] for x in lines if x["text"])
-    boxes = [{k: g[k] for k in _SIDES} for g in geoms if g["xmin"] is not None]
+    boxes = [{k: g[k] for k in (*_SIDES, "polygon")} for g in geoms if g["xmin"] is not None]
     return {"lines": lines, "geoms": geoms, "boxes": boxes, "regions": [dict(zip(_SIDES, b)) for b in regions], "text": text, "error": None}
 
 
@@ -129,7 +129,7 @@ _F = [(n, pa.float64()) for n in _SIDES]
 _ARROW = [
     pa.field("lines", pa.list_(pa.struct([("text", pa.string()), *_F]))),
     pa.field("geoms", pa.list_(pa.struct([("polygon", pa.string()), *_F]))),
-    pa.field("boxes", pa.list_(pa.struct(_F))),
+    pa.field("boxes", pa.list_(pa.struct([*_F, ("polygon", pa.string())]))),
     pa.field("regions", pa.list_(pa.struct(_F))),
     pa.field("text", pa.string()),
     pa.field("error", pa.string()),

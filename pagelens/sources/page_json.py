@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOX = "xmin:double,ymin:double,xmax:double,ymax:double"
-LINE = f"struct<region_pos:int,text:string,score:double,seg_conf:double,{BOX},tokens:array<double>>"
-REGION = f"struct<label:string,seg_conf:double,{BOX},n_lines:int>"
-DETECTION = f"struct<kind:string,score:double,{BOX}>"
+LINE = f"struct<region_pos:int,text:string,score:double,seg_conf:double,{BOX},tokens:array<double>,polygon:string>"
+REGION = f"struct<label:string,seg_conf:double,{BOX},n_lines:int,polygon:string>"
+DETECTION = f"struct<kind:string,score:double,{BOX},polygon:string>"
 PAGE_COLUMNS = f"regions array<{REGION}>, lines array<{LINE}>, detections array<{DETECTION}>, error string"
 
 
@@ -66,6 +66,14 @@ def box(node: dict) -> tuple[float, float, float, float] | None:
     return (min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p), max(y for _, y in p)) if p else None
 
 
+def outline(node: dict, by: tuple[float, float] = (0.0, 0.0)) -> str:
+    """The polygon as ``x,y`` tokens, moved like the box; '' without one."""
+    value = node.get("polygon")
+    if isinstance(value, str) and by == (0.0, 0.0):
+        return value.strip()
+    return " ".join(f"{x + by[0]:g},{y + by[1]:g}" for x, y in polygon(value))
+
+
 def children(node: dict) -> list[dict]:
     """The child objects in the first member that has any; regions and lines side by side come regions first."""
     if node.get("contains"):
@@ -144,22 +152,22 @@ def read_page(body: str) -> dict:
     region_lines: list[dict] = []
     detections: list[dict] = []
 
-    def add_line(node: dict, b: tuple | None, region: int | None) -> None:
+    def add_line(node: dict, b: tuple | None, region: int | None, by: tuple[float, float]) -> None:
         if b is None:
             return
         found, score = texts(node)
         if region is not None and not any(t.strip() for t in found):
             return
         (page_lines if region is None else region_lines).append(
-            {"region_pos": region, "text": found[0] if found else "", "score": score, "seg_conf": confidence(node), **_sides(b), "tokens": token_scores(node)}
+            {"region_pos": region, "text": found[0] if found else "", "score": score, "seg_conf": confidence(node), **_sides(b), "tokens": token_scores(node), "polygon": outline(node, by)}
         )
         if region is not None:
             regions[region]["n_lines"] += 1
 
-    def detect(node: dict, b: tuple | None, kind: str) -> None:
+    def detect(node: dict, b: tuple | None, kind: str, by: tuple[float, float]) -> None:
         if b is not None:
             score = confidence(node)
-            detections.append({"kind": kind, "score": score if score is not None and math.isfinite(score) else 1.0, **_sides(b)})
+            detections.append({"kind": kind, "score": score if score is not None and math.isfinite(score) else 1.0, **_sides(b), "polygon": outline(node, by)})
 
     stack: list[tuple[dict, tuple[float, float]]] = [(n, (0.0, 0.0)) for n in reversed(children(page))]
     line_nodes = {id(x) for x in _listed(page, "lines")}
@@ -167,14 +175,14 @@ def read_page(body: str) -> dict:
         node, by = stack.pop()
         b = _moved(box(node), by)
         if id(node) in line_nodes or is_line(node):
-            add_line(node, b, None)
-            detect(node, b, "line")
+            add_line(node, b, None, by)
+            detect(node, b, "line", by)
             continue
         if b is None:
             continue
         me = len(regions)
-        regions.append({"label": label(node), "seg_conf": confidence(node), **_sides(b), "n_lines": 0})
-        detect(node, b, "region")
+        regions.append({"label": label(node), "seg_conf": confidence(node), **_sides(b), "n_lines": 0, "polygon": outline(node, by)})
+        detect(node, b, "region", by)
         inner = children(node)
         direct = {id(x) for x in _listed(node, "lines")}
         move = offset(b, [_moved(box(c), by) for c in inner])
@@ -182,8 +190,8 @@ def read_page(body: str) -> dict:
         nested = []
         for c in inner:
             if id(c) in direct or label(c) in ("textline", "") and not children(c):
-                add_line(c, _moved(box(c), below), me)
-                detect(c, _moved(box(c), below), "line")
+                add_line(c, _moved(box(c), below), me, below)
+                detect(c, _moved(box(c), below), "line", below)
             else:
                 nested.append((c, below))
         stack += reversed(nested)
@@ -220,9 +228,9 @@ def pages(bodies: DataFrame, key: str = "page_no", body: str = "body") -> DataFr
 
 _BOX_FIELDS = [(n, pa.float64()) for n in ("xmin", "ymin", "xmax", "ymax")]
 _SCHEMA = [
-    pa.field("regions", pa.list_(pa.struct([("label", pa.string()), ("seg_conf", pa.float64()), *_BOX_FIELDS, ("n_lines", pa.int32())]))),
-    pa.field("lines", pa.list_(pa.struct([("region_pos", pa.int32()), ("text", pa.string()), ("score", pa.float64()), ("seg_conf", pa.float64()), *_BOX_FIELDS, ("tokens", pa.list_(pa.float64()))]))),
-    pa.field("detections", pa.list_(pa.struct([("kind", pa.string()), ("score", pa.float64()), *_BOX_FIELDS]))),
+    pa.field("regions", pa.list_(pa.struct([("label", pa.string()), ("seg_conf", pa.float64()), *_BOX_FIELDS, ("n_lines", pa.int32()), ("polygon", pa.string())]))),
+    pa.field("lines", pa.list_(pa.struct([("region_pos", pa.int32()), ("text", pa.string()), ("score", pa.float64()), ("seg_conf", pa.float64()), *_BOX_FIELDS, ("tokens", pa.list_(pa.float64())), ("polygon", pa.string())]))),
+    pa.field("detections", pa.list_(pa.struct([("kind", pa.string()), ("score", pa.float64()), *_BOX_FIELDS, ("polygon", pa.string())]))),
     pa.field("error", pa.string()),
 ]
 

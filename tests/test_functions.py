@@ -45,5 +45,5 @@ def test_image_features():
     g = np.zeros((20, 20))
     g[5:15, 5:15] = 200
     f = image.features(g)
-    assert f["img_mean_intensity"] == 50 and f["img_contrast"] == 200 and f["fg_ratio"] == 0.75 and math.isnan(f["cc_count"])
+    assert f["img_mean_intensity"] == 50 and f["img_contrast"] == 200 and f["fg_ratio"] == 0.75 and f["cc_count"] >= 2
     assert image.grey(1, 1, 3, bytes([10, 20, 30]))[0, 0] == round(0.114 * 10 + 0.587 * 20 + 0.299 * 30)

@@ -44,7 +44,7 @@ def test_search_and_score(spark, sample):
     x, y = sample
     pdf = pd.DataFrame(x, columns=list("abcd")).assign(target_y=y, key=range(600), split=["train"] * 400 + ["val"] * 200)
     df = spark.createDataFrame(pdf)
-    found = B.best_trials(B.search(df, {"full": list("abcd"), "one": ["c"]}, ["target_y"], "key", n_trials=2, n_trees=30)).collect()
+    found = B.best_trials(B.search(df, {"full": list("abcd"), "one": ["c"]}, ["target_y"], "key", n_trials=2, most_trees=30)).collect()
     best = {r.feature_set: r for r in found}
     assert best["full"].val_mae < best["one"].val_mae and best["full"].n_train == 400
     model = B.Model.from_json(best["full"].model_json)
@@ -53,6 +53,30 @@ def test_search_and_score(spark, sample):
     assert B.score(df.drop("c"), model, "p").filter("p IS NULL").count() == 0
 
 
+def test_grid_and_penalties(sample):
+    assert B.trials(0) == [{k: getattr(B.Params(), k) for k in B.GRID}] and all(t[k] in B.GRID[k] for t in B.trials(30) for k in B.GRID)
+    x, y = sample
+    plain = B.train(x, y, list("abcd"), B.Params(n_trees=5))
+    drawn = B.train(x, y, list("abcd"), B.Params(n_trees=5, reg_alpha=50.0))
+    assert np.abs(drawn.predict(x) - drawn.base).max() < np.abs(plain.predict(x) - plain.base).max()
+    few = B.train(x, y, list("abcd"), B.Params(n_trees=5, colsample=1.0, colsample_node=0.25))
+    assert len({f for t in few.trees for f in t.feature if f >= 0}) > 1
+
+
+def test_score_of_a_test_set(spark, sample):
+    x, y = sample
+    model = B.train(x, y, list("abcd"), B.Params(n_trees=5))
+    rows = [(i, *map(float, v), [float(y[i]), None, float("nan")][0 if i % 10 else 1 + i % 20 // 10]) for i, v in enumerate(x[:100])]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, d double, target_y double")
+    scored, error = B.score_test_set(df, model, "target_y", "i")
+    got = {r.i: r for r in scored.collect()}
+    keep = [i for i in range(100) if i % 10]
+    assert all((got[i].gt is None) == (i % 10 == 0) for i in range(100))
+    e = error.first()
+    assert e.n == 90 and e.mae == pytest.approx(np.abs(model.predict(x[keep]) - y[keep]).mean())
+    assert B.score_test_set(df.drop("target_y"), model, "target_y", "i")[1].first().mae is None
+
+
 def test_pca(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
@@ -60,7 +84,7 @@ def test_pca(spark):
     mean, comp = B.pca_fit(df, "v", 2)
     _, _, vt = np.linalg.svd(x - x.mean(axis=0))
     assert np.allclose(np.abs(comp @ vt[:2].T), np.eye(2), atol=1e-6)
-    got = B.pca_transform(df, "v", mean, comp).orderBy("i").select("dit_000", "dit_001").toPandas().to_numpy()
+    got = B.pca_transform(df, "v", mean, comp).orderBy("i").select("dit_emb_000", "dit_emb_001").toPandas().to_numpy()
     assert np.allclose(got, (x - mean) @ comp.T)
 
 
@@ -72,6 +96,9 @@ def test_matrix_operators(spark):
     assert split.filter("split = 'val'").count() == 10
     assert {r.k for r in split.repartition(7).filter("split = 'val'").collect()} == {r.k for r in M.holdout(df.repartition(3), "k", 0.2).filter("split = 'val'").collect()}
     assert M.feature_set("confidence_only", ["line_conf_mean", "x"]) == ["line_conf_mean"]
+    names = ["page_ppl", "line_ppl_std", "char_3gram_ratio_present", "dit_emb_001", "dit_other", "blur_score_var_laplacian", "fg_ratio", "fg_ratio_x", "lex_main_match_ratio", "n_lines"]
+    assert M.feature_set("ngram_only", names) == names[:3] and M.feature_set("dit_only", names) == ["dit_emb_001"]
+    assert M.feature_set("image_only", names) == ["blur_score_var_laplacian", "fg_ratio"] and M.feature_set("json_model_only", names) == ["dit_other", "fg_ratio_x", "n_lines"]
     with pytest.raises(ValueError):
         M.feature_set("ngram_only", ["x"])
     row = df.agg(M.mae(F.col("a"), F.col("b"), F.lit(0.0)).alias("m")).first()

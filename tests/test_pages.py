@@ -1,12 +1,14 @@
 import json
 import math
+import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import stats as S
-from pagelens.plans import dataset, features
+from pagelens.operators import boosting
+from pagelens.plans import dataset, features, inference
 from pagelens.sources import files, ground_truth, page_json, sinks
 
 PAGE_XML = """<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page>
@@ -150,10 +152,58 @@ def test_page_exports_read_back(spark):
     assert [x["text"] for x in page["lines"]] == ['åäö <&> "q" bro-', "ken next"] and page["lines"][0]["xmin"] == 110
     assert alto["text"].split("\n")[0] == 'åäö <&> "q" broken' and alto["regions"][0]["xmax"] == 500
     assert json.loads(row["json"])["page_no"] == 7 and row["txt"].endswith("ken next")
+    assert [x["polygon"] for x in page["geoms"]] == ["110,220 490,220 490,260 110,260", "110,300 490,300 490,340 110,340"]
+    boxes = [(float(s.get("HPOS")), float(s.get("WIDTH"))) for s in ET.fromstring(row["ALTO"].encode()).iter() if s.tag.endswith("String")]
+    assert len(boxes) == 6 and len(set(boxes)) == 6 and all(110 <= x and x + w <= 490 for x, w in boxes)
+    assert "recognised" in sinks.alto_page("x", [], [], ["recognised"]) and ground_truth.read_xml(sinks.alto_page("x", [], []))["lines"] == []
     with pytest.raises(ValueError):
         sinks.serializer("docx")
 
 
+def test_json_leaves_out_what_is_empty(spark):
+    body = current([{**line("110,220 490,220 490,260 110,260", ""), "transcription": [{"text": "", "confidence": 0.0}]}])
+    pages = page_json.pages(spark.createDataFrame([(7, json.dumps(body)), (8, json.dumps({"lines": []}))], "page_no long, body string"))
+    got = {r.page_no: json.loads(r.j) for r in pages.select("page_no", sinks.page_json().alias("j")).collect()}
+    assert got[8] == {"page_no": 8}
+    for x in got[7].get("lines", []):
+        assert "text" not in x and x["tokens"] == [] and x["score"] == 0.0
+
+
+def test_characters_without_a_form_in_xml():
+    row = {"region_pos": None, "text": "a\x01b\x0c c", "score": None, "xmin": 0.0, "ymin": 0.0, "xmax": 90.0, "ymax": 9.0, "polygon": ""}
+    assert ground_truth.read_xml(sinks.page_page("p", [], [row]))["lines"][0]["text"] == "ab c"
+    assert ground_truth.read_xml(sinks.alto_page("p", [], [row]))["lines"][0]["text"] == "ab c"
+
+
+def test_models_are_kept(spark, tmp_path):
+    x = np.arange(40, dtype=float).reshape(20, 2)
+    m = boosting.train(x, x[:, 0], ["a", "b"], boosting.Params(n_trees=3))
+    sinks.save_models(spark, {"m": m}, str(tmp_path / "m"))
+    assert np.allclose(sinks.load_models(spark, str(tmp_path / "m"))["m"].predict(x), m.predict(x))
+    sinks.save_pca(spark, x[0], x[1:3], str(tmp_path / "p"))
+    mean, components = sinks.load_pca(spark, str(tmp_path / "p"))
+    assert np.allclose(mean, x[0]) and np.allclose(components, x[1:3])
+
+
+def test_quality_is_written_into_the_tree(spark):
+    """The prediction stands in the annotations of each page's own JSON, which is otherwise as it was."""
+    bodies = [current([line("110,220 490,220 490,260 110,260", "high")]), {"lines": [], "annotations": {"x": 1, "quality_prediction": {"old": 2}}}]
+    rows = [(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(2, "{"), (3, None)]
+    df = spark.createDataFrame(rows, "page_no long, body string")
+    names = ["line_conf_mean", "num_lines"]
+    x = np.array([[0.1, 1.0], [0.9, 5.0], [0.5, 2.0], [0.7, 3.0]] * 5)
+    model = boosting.train(x, x[:, 1], names, boosting.Params(n_trees=5, min_child=0.1))
+    got = {r.page_no: r for r in inference.annotated(df, {"target_bow_f1": model}).collect()}
+    for i in (0, 1):
+        out = json.loads(got[i].body)
+        value = out["annotations"].pop("quality_prediction")
+        assert value["target_bow_f1"] == pytest.approx(got[i].pred_target_bow_f1) and value.get("old") == (2 if i else None)
+        before = dict(bodies[i])
+        before["annotations"] = {k: v for k, v in (before.get("annotations") or {}).items() if k != "quality_prediction"}
+        assert out == before
+    assert got[2].body == "{" and got[2].pred_target_bow_f1 is None and got[3].body is None
+
+
 def test_small_readers(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("# id\tword\n1\tab\n2\tcd\n\n3\tab\n")
     (tmp_path / "m.json").write_text(json.dumps([{"name": "t", "type": "table", "path": "t.tsv", "word_col": "word"}]))
@@ -168,5 +218,5 @@ def test_small_readers(spark, tmp_path):
     assert files.inputs(listed=str(tmp_path / "list")) == ["a", "b"] and files.inputs(["x"]) == ["x"]
     with pytest.raises(ValueError):
         files.inputs(["x"], "y")
-    sinks.save_edges({"line_conf": [0.0, 0.5, 1.0]}, str(tmp_path / "e.json"))
-    assert sinks.load_edges(str(tmp_path / "e.json"))["line_conf"][:2] == [0.0, 0.5]
+    sinks.save_edges(spark, {"line_conf": [0.0, 0.5, 1.0]}, str(tmp_path / "e.json"))
+    assert sinks.load_edges(spark, str(tmp_path / "e.json"))["line_conf"][:2] == [0.0, 0.5]

@@ -19,7 +19,7 @@ def test_boosted_search_takes_the_defaults(spark, data, monkeypatch):
     monkeypatch.setattr(boosting, "search", search)
     with pytest.raises(Seen) as seen:
         queries.boosted_search(spark, data)
-    assert all(seen.value.args[0].get(k, default[k].default) == default[k].default for k in ("n_trials", "n_trees"))
+    assert all(seen.value.args[0].get(k, default[k].default) == default[k].default for k in ("n_trials", "most_trees"))
 
 
 def test_training_run_takes_the_defaults(spark, data, monkeypatch):
@@ -29,4 +29,4 @@ def test_training_run_takes_the_defaults(spark, data, monkeypatch):
     monkeypatch.setattr(training, "run", run)
     with pytest.raises(Seen) as seen:
         queries.training_run(spark, data)
-    assert (seen.value.args[0].n_trials, seen.value.args[0].n_trees) == (training.Config.n_trials, training.Config.n_trees)
+    assert (seen.value.args[0].n_trials, seen.value.args[0].most_trees) == (training.Config.n_trials, training.Config.most_trees)

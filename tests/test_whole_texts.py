@@ -57,7 +57,7 @@ def got(spark, data, name, keys=1):
 
 
 def test_shapes(spark, data, lines):
-    found, alpha = got(spark, data, "line_shape_whole"), got(spark, data, "no_alpha_lines_whole")
+    found, alpha = got(spark, data, "line_shape"), got(spark, data, "no_alpha_lines")
     pages = by_page(lines)
     assert found.keys() == alpha.keys() == pages.keys()
     for k, page in pages.items():
@@ -73,7 +73,7 @@ def test_ngrams(spark, data, lines):
     top = {r.gram: r.cnt for r in queries.ngram_top_whole(spark, data).collect()}
     assert len(top) == 200 and all(counts[4][g] == c for g, c in top.items()) and any(not g.isascii() for g in top)
     assert sorted(top.values()) == sorted(sorted(counts[4].values())[-200:])
-    ratios = got(spark, data, "ngram_ratio_whole")
+    ratios = got(spark, data, "ngram_ratio")
     assert len(ratios) == len(lines)
     for k, _, _, t in lines:
         w = windows(collapsed(t), 3)
@@ -86,7 +86,7 @@ def test_perplexity(spark, data, lines):
     for g, n in counts.items():
         total[g[:2]] += n
         vocab[g[:2]] += 1
-    found = got(spark, data, "lm_perplexity_whole")
+    found = got(spark, data, "lm_perplexity")
     assert len(found) == len(lines)
     for k, _, _, t in lines:
         w = windows("".join(c for c in t if not is_space(c)), 3)
@@ -100,7 +100,7 @@ def test_lexicon(spark, data, lines):
         if r.word is not None:
             lexicon[r.lexicon_name].add(r.word.lower())
             lexicon["combined"].add(r.word.lower())
-    found = got(spark, data, "lexicon_match_whole", 2)
+    found = got(spark, data, "lexicon_match", 2)
     pages = by_page(lines)
     assert len(found) == len(pages) * len(lexicon)
     for (k, name), value in found.items():
@@ -111,7 +111,7 @@ def test_lexicon(spark, data, lines):
 
 
 def test_error_rates(spark, data, lines):
-    bow, cer = got(spark, data, "bow_prf_whole"), got(spark, data, "linewise_cer_whole")
+    bow, cer = got(spark, data, "bow_prf"), got(spark, data, "linewise_cer")
     pages = by_page(lines)
     assert bow.keys() == pages.keys()
     for k, page in pages.items():
@@ -132,4 +132,4 @@ def test_word_boxes(spark, data, lines):
         if parts:
             width = len(t) * 9 + pos % 7
             want[k] = (len(parts), min(width // len(t) * sum(len(w) + 1 for w in parts), width))
-    assert got(spark, data, "word_boxes_whole") == want
+    assert got(spark, data, "word_boxes") == want
