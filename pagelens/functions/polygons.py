@@ -80,10 +80,10 @@ def intersection_area(p: np.ndarray, q: np.ndarray) -> float:
     Corners and crossings of the outlines cut the plane into slabs in which no edges meet, so the common
     width is linear in each and its middle gives the slab's area.
     """
-    p, q = _ring(p), _ring(q)
     lo, hi = np.maximum(p.min(axis=0), q.min(axis=0)), np.minimum(p.max(axis=0), q.max(axis=0))
     if (lo >= hi).any():
         return 0.0
+    p, q = _ring(p), _ring(q)
     a, b = p[:, None, :], np.roll(p, -1, axis=0)[:, None, :]
     c, d = q[None, :, :], np.roll(q, -1, axis=0)[None, :, :]
     r, s = b - a, d - c
@@ -115,18 +115,20 @@ def _iou(p: np.ndarray, q: np.ndarray, p_simple: bool, q_simple: bool) -> float:
     if not p_simple or not q_simple:
         return 0.0
     both = intersection_area(p, q)
-    whole = area(_ring(p)) + area(_ring(q)) - both
+    whole = area(_ring(p)) + area(_ring(q)) - both if both > 0 else 0.0
     return both / whole if whole > 0 else 0.0
 
 
 def iou_matrix(a: list[str | None], b: list[str | None], boxes: np.ndarray) -> np.ndarray:
     """Intersection over union of all pairs of polygons (as text); where one has none, that of the boxes."""
     out = boxes.copy()
+    same = a is b
     left, right = ([None if p is None or not np.isfinite(p).all() else (p, is_simple(p)) for p in map(parse_points, side)] for side in (a, b))
     for i, x in enumerate(left):
         if x is None:
             continue
         for j, y in enumerate(right):
-            if y is not None:
+            if y is not None and not (same and j < i):
                 out[i, j] = _iou(x[0], y[0], x[1], y[1])
-    return out
+    # A list against itself needs half of the pairs.
+    return np.triu(out) + np.triu(out, 1).T if same else out

@@ -247,7 +247,7 @@ def polygon_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     outline = F.concat_ws(" ", corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
     pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", outline.alias("p")))).alias("items"))
     best = layout.best_polygon_iou(F.transform("items", lambda x: x["p"]))
-    return pages.select("page", F.explode(F.arrays_zip(F.transform("items", lambda x: x["pos"]).alias("pos"), best.alias("best"))).alias("x")).select("page", "x.pos", _r("x.best", 6).alias("best_iou"))
+    return pages.select("page", F.explode(F.arrays_zip(F.transform("items", lambda x: x["pos"]).alias("pos"), best.alias("best"))).alias("x")).select("page", "x.pos", _r("x.best").alias("best_iou"))
 
 
 def contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ WITH {_BOXES}, b AS (SELECT page, pos, CASE WHEN page % 7 = 0 AND pos % 3 = 0 TH
 SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ok THEN ymin END, CASE WHEN ok THEN xmin END, pos) - 1 AS order_no FROM f""",
     "box_overlap": f"WITH {_BOXES} SELECT a.page, count(b.pos) AS n_overlaps FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos < b.pos AND {_OVERLAP} GROUP BY a.page",
     "box_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 9) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
-    "polygon_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 6) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
+    "polygon_iou": f"WITH {_BOXES} SELECT a.page, a.pos, round(max({_INTER} / ({_AREA.format('a')} + {_AREA.format('b')} - {_INTER})), 9) AS best_iou FROM boxes a LEFT JOIN boxes b ON a.page = b.page AND a.pos <> b.pos GROUP BY a.page, a.pos",
     "contained_boxes": f"WITH {_BOXES} SELECT DISTINCT a.page, a.pos FROM boxes a JOIN boxes b ON a.page = b.page AND a.pos <> b.pos AND {_AREA.format('b')} > {_AREA.format('a')} AND {_INTER} > 0.5 * {_AREA.format('a')}",
     "printspace_order": f"""
 WITH {_BOXES}, p AS (SELECT a.*, CASE WHEN greatest(0, least(700, a.xmax) - greatest(150, a.xmin)) * greatest(0, least(350, a.ymax) - greatest(60, a.ymin)) / ({_AREA.format('a')}) > 0.5 THEN 'PRINTSPACE'
