@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm import leakage, lookalike, mixing, overlap, percentiles, repair, repetition, splits
@@ -27,6 +27,22 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.report(p1_splits(spark, sf_dir), shares)
 
 
+def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per dataset tag whether groups stay whole and the shares aimed at are reached.
+
+    A share may miss its aim by two in a hundred and by what the tag's largest group holds.
+    """
+    shares = splits.proportions(table(spark, sf_dir, "xgb_summary_metrics"))
+    rows = durable(p1_splits(spark, sf_dir), "splits")
+    apart = rows.groupBy("group_id").agg(F.countDistinct("split").alias("n")).filter("n <> 1").select("group_id")
+    torn = rows.join(apart, "group_id", "left_semi").groupBy("dataset_tag").agg(F.count("*").alias("n_torn"))
+    largest = rows.groupBy("dataset_tag", "group_id").agg(F.count("*").alias("n")).groupBy("dataset_tag").agg(F.max("n").alias("largest"), F.sum("n").alias("n_records"))
+    missed = splits.report(rows, shares).groupBy("dataset_tag").agg(F.max(F.abs(F.col("share") - F.col("target_share"))).alias("missed"))
+    return largest.join(missed, "dataset_tag").join(torn, "dataset_tag", "left").select(
+        "dataset_tag", "n_records", F.coalesce("n_torn", F.lit(0).cast("long")).alias("n_torn"), (F.col("missed") <= 0.02 + F.col("largest") / F.col("n_records")).alias("shares_reached")
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repair.repair(table(spark, sf_dir, "text_lines"), table(spark, sf_dir, "lexicon"))
     return found.filter("kind IN ('running_header', 'page_number', 'split_word', 'misread')").select("line_no", "kind").distinct()
@@ -107,17 +123,31 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p9_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source whether its share of all tokens is reached and no document is used too often."""
+    rows = p9_shares(spark, sf_dir)
+    present = table(spark, sf_dir, "documents").filter("trim(text) <> ''").select(F.col("source").alias("source_name")).distinct().withColumn("there", F.lit(True))
+    rows = rows.join(present, "source_name", "left").withColumn("aim", F.when(F.col("there") & (F.col("target_share") > 0), F.col("target_share")).otherwise(0.0))
+    # One window over as many rows as there are sources.
+    aim = F.col("aim") / F.sum("aim").over(Window.partitionBy(F.lit(1)))
+    return rows.select("source_name", F.round(aim, 6).alias("share"), (F.abs(F.col("actual_share") - aim) <= 0.02).alias("share_reached"), (F.col("most_uses") <= F.greatest(F.lit(1), F.coalesce("max_repeats", F.lit(1)))).alias("cap_kept"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.measure(table(spark, sf_dir, "documents"), exact="all")
+    return repetition.measure(table(spark, sf_dir, "documents"), exact="all", byte_ratios=False).select("doc_id", "n_words", "repeated_words", F.round("repeated_share", 9).alias("repeated_share"))
+
+
+def p10_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p2_found, p2_paragraphs, p4_found, p4_normalised, p4_spellings, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_pairs, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p10_found, p10_shares,
+        p1_found, p1_splits, p1_report, p1_kept, p2_found, p2_paragraphs, p4_found, p4_normalised, p4_spellings, p5_percentiles, p5_cells, p5_combined, p5_bin_edges, p7_found, p7_counts, p7_pairs, p7_coverage, p8_found, p8_matches, p8_items, p9_selection, p9_shares, p9_kept, p10_found, p10_shares, p10_bands,
     )}
 
 
@@ -154,6 +184,20 @@ SELECT k.rec_no, min(CAST(substr(r.b, 2) AS BIGINT)) AS group_volume_no FROM k J
         "p4_found": f"""
 WITH l AS (SELECT DISTINCT line_no, text, {form} AS f FROM text_lines WHERE text IS NOT NULL), r AS (SELECT DISTINCT ref_no, text, map_w_to_v AS m, {form} AS f FROM ref_lines WHERE text IS NOT NULL)
 SELECT DISTINCT line_no, ref_no FROM l JOIN r ON CASE WHEN r.m THEN {fold.format('l.f')} = {fold.format('r.f')} ELSE l.f = r.f END WHERE l.text <> r.text""",
+        "p1_kept": "SELECT dataset_tag, count(DISTINCT rec_no) AS n_records, CAST(0 AS BIGINT) AS n_torn, true AS shares_reached FROM dataset_pages WHERE dataset_tag IS NOT NULL GROUP BY dataset_tag",
+        "p9_kept": """
+WITH a AS (SELECT t.source_name, CASE WHEN d.source IS NOT NULL AND t.target_share > 0 THEN t.target_share ELSE 0.0 END AS aim FROM mix_targets t LEFT JOIN (SELECT DISTINCT source FROM documents WHERE trim(text) <> '') d ON d.source = t.source_name)
+SELECT source_name, round(aim / sum(aim) OVER (), 6) AS share, true AS share_reached, true AS cap_kept FROM a""",
+        "p4_normalised": f"""
+WITH l AS (SELECT DISTINCT line_no, text FROM text_lines), r AS (SELECT DISTINCT ref_no, text, coalesce(map_w_to_v, false) AS m FROM ref_lines),
+e AS (SELECT line_no, CAST(NULL AS BIGINT) AS ref_no, m.m AS m, text FROM l, (VALUES (false), (true)) m(m) UNION ALL SELECT NULL, ref_no, m, text FROM r), f AS (SELECT *, {form} AS f FROM e)
+SELECT line_no, ref_no, m AS map_w_to_v, CASE WHEN m THEN {fold.format('f')} ELSE f END AS norm FROM f""",
+        "p10_shares": """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
+h AS (SELECT doc_id, i FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, g) AS first FROM g) WHERE i > first),
+c AS (SELECT doc_id, count(DISTINCT i + d) AS k FROM h, (SELECT unnest(range(8)) AS d) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, coalesce(k, 0) AS repeated_words, round(CASE WHEN len(ws) > 0 THEN coalesce(k, 0) / len(ws) ELSE 0.0 END, 9) AS repeated_share FROM w LEFT JOIN c USING (doc_id)""",
         "p10_found": """
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS g, len(ws) AS n FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i)),
