@@ -137,6 +137,11 @@ def softmax(logits: Column) -> Column:
     return F.transform(e, lambda x: x / total)
 
 
+def best_label(labels: list[str], logits: Column) -> Column:
+    """The label with the highest logit, the first of equals; null for an empty array."""
+    return F.get(F.lit(labels), F.array_position(logits, F.array_max(logits)).cast("int") - 1)
+
+
 def unique_name(path: Column, name: Column) -> Column:
     """A file name made unique by twelve digits of its path's hash."""
     return F.concat_ws("_", F.regexp_replace(name, r"\.[^.]*$", ""), F.substring(F.sha2(path, 256), 1, 12))

@@ -32,6 +32,28 @@ def first_existing(wanted: DataFrame, files: DataFrame, extensions: Sequence[str
     return wanted.join(found, "stem", "left")
 
 
+def all_existing(wanted: DataFrame, files: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """Every file of each wanted stem with one of the extensions: stem, path (null where none exists)."""
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    found = files.filter(extension.isin([e.lower() for e in extensions])).select(stem(F.col("path")).alias("stem"), "path").distinct()
+    return wanted.join(found, "stem", "left")
+
+
+def unique_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Each file once by its canonical path (slashes one way, no doubled or dotted segments, case aside), with the name it is copied to.
+
+    A name that several files share gets twelve digits of the canonical path's hash.
+    """
+    canonical = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/(\./)+", "/"), r"/{2,}", "/"))
+    once = files.withColumn("canonical", canonical).groupBy("canonical").agg(F.min(path).alias("path"))
+    named = once.withColumn("name", F.regexp_extract("path", r"([^/\\]*)$", 1))
+    shared = named.groupBy(F.lower("name").alias("low")).agg(F.count("*").alias("n"))
+    many = named.join(shared, F.lower("name") == F.col("low"))
+    suffix = F.substring(F.sha2("canonical", 256), 1, 12)
+    unique = F.regexp_replace("name", r"(\.[^.]*)?$", "")
+    return many.select("path", "canonical", F.when(F.col("n") > 1, F.concat(unique, F.lit("_"), suffix, F.regexp_extract("name", r"(\.[^.]*)$", 1))).otherwise(F.col("name")).alias("name"))
+
+
 def without(paths: DataFrame, excluded: DataFrame, path: str = "rel_path") -> DataFrame:
     """Paths not on the list, whether or not either side has an ``alto/`` segment; case aside."""
     norm = lambda c: F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\\", "/"))), r"(^|/)alto/", "$1")

@@ -236,7 +236,7 @@ def targets(truth_lines: Sequence[dict], truth_boxes: Sequence[dict], truth_regi
     return dict(zip(TARGETS, values, strict=True))
 
 
-def evaluate(truth: DataFrame, read: DataFrame, key: str = "stem") -> DataFrame:
+def evaluate(truth: DataFrame, read: DataFrame, key: str = "stem", strict: float = 1.0) -> DataFrame:
     """Targets per page that both sides have: key, the 34 targets, and error (null, or why a page has none).
 
     ``truth`` has key, lines (text and box), boxes and regions; ``read`` key, lines and detections, as
@@ -256,7 +256,7 @@ def evaluate(truth: DataFrame, read: DataFrame, key: str = "stem") -> DataFrame:
             rows = []
             for cells in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
                 try:
-                    rows.append({**targets(*(c or [] for c in cells)), "error": None})
+                    rows.append({**targets(*(c or [] for c in cells), strict=strict), "error": None})
                 except Exception as e:
                     rows.append({"error": f"{type(e).__name__}: {e}"})
             columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in schema]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.functions import geometry as G
+from pagelens.functions import text as T
 from pagelens.runtime import durable
 
 #: Levels beyond which the parents are taken for a cycle, which is an error.
@@ -79,12 +81,113 @@ def by_shape(nodes: DataFrame, min_ratio: float = 0, max_ratio: float = float("i
     return nodes.join(leaves(nodes).filter(~F.coalesce(keep, F.lit(False))).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
 
 
+# --- results attached to nodes ----------------------------------------------------------------------
+
+
+def attach_texts(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Readings added to their nodes: ``texts`` (array of conf, text) with the most confident first, ties as they came, nulls last.
+
+    ``found`` has doc_id, node_id and texts; readings that a node has already are kept before new ones.
+    """
+    new = found.select("doc_id", "node_id", F.col("texts").alias("_new"))
+    none = F.lit(None).cast(dict(found.dtypes)["texts"])
+    old = F.col("texts") if "texts" in nodes.columns else none
+    every = F.concat(F.coalesce(old, F.array().cast(dict(found.dtypes)["texts"])), F.coalesce("_new", F.array().cast(dict(found.dtypes)["texts"])))
+    numbered = F.transform(every, lambda x, i: F.struct((-F.coalesce(x["conf"], F.lit(float("-inf")))).alias("c"), i.alias("i"), x.alias("x")))
+    return nodes.join(new, ["doc_id", "node_id"], "left").withColumn("texts", F.transform(F.array_sort(numbered), lambda y: y["x"])).drop("_new")
+
+
+def attach_annotations(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Annotations (map) merged into their nodes'; a new value takes the place of an old one."""
+    new = found.select("doc_id", "node_id", F.col("annotations").alias("_new"))
+    empty = F.create_map().cast("map<string,string>")
+    old = F.coalesce(F.col("annotations"), empty) if "annotations" in nodes.columns else empty
+    fresh = F.coalesce("_new", empty)
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(fresh, k))
+    return nodes.join(new, ["doc_id", "node_id"], "left").withColumn("annotations", F.map_concat(kept, fresh)).drop("_new")
+
+
+def attach_regions(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Regions added below their parents, after the children there are: ``found`` has doc_id, parent_id, node_id, pos (from 0) and fields."""
+    there = nodes.filter("parent_id IS NOT NULL").groupBy("doc_id", "parent_id").agg((F.max("pos") + 1).alias("_from"))
+    above = nodes.select("doc_id", F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
+    new = found.drop("depth").join(above, ["doc_id", "parent_id"]).join(there, ["doc_id", "parent_id"], "left").withColumn("pos", F.col("pos") + F.coalesce("_from", F.lit(0))).drop("_from")
+    return nodes.unionByName(new, allowMissingColumns=True)
+
+
+def attach(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Results of a model, by what they are: texts, annotations, or regions."""
+    if "texts" in found.columns:
+        return attach_texts(nodes, found)
+    return attach_annotations(nodes, found) if "annotations" in found.columns else attach_regions(nodes, found)
+
+
+def inference(nodes: DataFrame, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A model's results over the leaves, attached to the nodes they came from; ``model`` maps leaf rows to results."""
+    return attach(nodes, model(leaves(nodes)))
+
+
+def order_lines(nodes: DataFrame) -> DataFrame:
+    """``pos`` of every node among its siblings: top down by the whole-pixel centre, ties as stored; roots keep theirs."""
+    order = Window.partitionBy("doc_id", "parent_id").orderBy(F.floor((F.col("ymin") + F.col("ymax")) / 2), "pos", "node_id")
+    return nodes.withColumn("pos", F.when(F.col("parent_id").isNull(), F.col("pos").cast("long")).otherwise((F.row_number().over(order) - 1).cast("long")))
+
+
+def reading_order(nodes: DataFrame, printspace: Column, two_page: bool | Column = False) -> DataFrame:
+    """``pos`` of regions (depth 1) and their lines (depth 2) around the printspace; only regions follow a fold."""
+    place = G.region_location(printspace, G.box(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))))
+    rank = F.coalesce(*(F.when(place == name, n) for name, n in G.LOCATIONS.items()))
+    spread = (F.lit(two_page) if isinstance(two_page, bool) else two_page) & (F.col("depth") == 1)
+    right = F.when(spread & (F.floor((F.col("xmin") + F.col("xmax")) / 2) > F.floor((printspace["xmin"] + printspace["xmax"]) / 2)), 1).otherwise(0)
+    order = Window.partitionBy("doc_id", "parent_id").orderBy(right, rank, "ymin", "pos", "node_id")
+    return nodes.withColumn("pos", F.when(F.col("depth").isin(1, 2), (F.row_number().over(order) - 1).cast("long")).otherwise(F.col("pos").cast("long")))
+
+
+def word_segmentation(nodes: DataFrame) -> DataFrame:
+    """Leaves with a text cut into words below them: equal pixels per character, the leaf's confidence and height."""
+    best = F.get("texts", 0)["text"] if "texts" in nodes.columns else F.col("text")
+    words = leaves(nodes).withColumn("_t", best).filter("length(_t) > 0").select("doc_id", F.col("node_id").alias("parent_id"), "conf", "xmin", "ymin", "ymax", F.posexplode(T.word_boxes(F.col("_t"), F.floor(F.col("xmax") - F.col("xmin")))).alias("pos", "w"))
+    named = words.select(
+        "doc_id", "parent_id", F.xxhash64("parent_id", "pos").alias("node_id"), F.col("pos").cast("long").alias("pos"), "conf",
+        (F.col("xmin") + F.col("w.x0")).alias("x0"), "ymin", (F.col("xmin") + F.col("w.x1")).alias("xmax"), "ymax", F.col("w.word").alias("text"),
+    ).withColumnRenamed("x0", "xmin")
+    return attach_regions(nodes, named)
+
+
+def export(nodes: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Hand the tree as it is to a writer, and go on with it."""
+    write(nodes)
+    return nodes
+
+
+def annotate(nodes: DataFrame, predictions: DataFrame, target: str = "quality") -> DataFrame:
+    """A prediction per document (doc_id, pred) as an annotation of its root."""
+    roots = nodes.filter("parent_id IS NULL").select("doc_id", "node_id")
+    found = roots.join(predictions.select("doc_id", "pred"), "doc_id").select("doc_id", "node_id", F.create_map(F.lit(f"quality_prediction.{target}"), F.col("pred").cast("string")).alias("annotations"))
+    return attach_annotations(nodes, found)
+
+
+def logged(nodes: DataFrame, name: str) -> DataFrame:
+    """The step's name at the end of column ``steps``."""
+    empty = F.array().cast("array<string>")
+    before = F.coalesce("steps", empty) if "steps" in nodes.columns else empty
+    return nodes.withColumn("steps", F.array_append(before, F.lit(name)))
+
+
 def fail(_: DataFrame, message: str = "deliberate failure") -> DataFrame:
     raise RuntimeError(message)
 
 
 #: Named steps, applied with :func:`run`.
 STEPS: dict[str, Callable[..., DataFrame]] = {
+    "Inference": inference,
+    "Segmentation": inference,
+    "TextRecognition": inference,
+    "QualityPrediction": annotate,
+    "WordSegmentation": word_segmentation,
+    "Export": export,
+    "ReadingOrderMarginalia": reading_order,
+    "OrderLines": order_lines,
     "Prune": prune,
     "RemoveLowTextConfidenceLines": low_confidence_lines,
     "RemoveLowTextConfidenceRegions": low_confidence_regions,
@@ -95,9 +198,10 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def run(nodes: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
-    """The tree after named steps, in order; an unknown name is a KeyError before anything runs."""
-    chosen = [(STEPS[name], options) for name, options in steps]
-    for step, options in chosen:
+def run(nodes: DataFrame, steps: list[tuple[str, dict]], log: bool = False) -> DataFrame:
+    """The tree after named steps, in order; an unknown name is a KeyError before anything runs. ``log`` keeps their names in ``steps``."""
+    chosen = [(name, STEPS[name], options) for name, options in steps]
+    for name, step, options in chosen:
         nodes = step(nodes, **options)
+        nodes = logged(nodes, name) if log else nodes
     return nodes

@@ -39,6 +39,10 @@ def _d(c: Column) -> Column:
     return c.cast("double")
 
 
+def _bare(x: Column) -> Column:
+    return G.box(x["xmin"], x["ymin"], x["xmax"], x["ymax"])
+
+
 def _gaps(centres: Column) -> Column:
     """Positive differences of neighbours after sorting."""
     ordered = F.array_sort(centres)
@@ -113,7 +117,7 @@ def regionization(at: Stages, regions: Column, lines: Column) -> dict[str, Colum
 
 
 def layout(at: Stages, regions: Column, lines: Column) -> dict[str, Column]:
-    page = at.array("page", G.union_box(F.concat(F.transform(regions, lambda r: r.dropFields("label", "seg_conf", "n_lines")), F.transform(F.filter(lines, lambda x: x["region_pos"].isNull()), lambda x: x.dropFields("region_pos", "text", "score", "seg_conf", "tokens")))))
+    page = at.array("page", G.union_box(F.concat(F.transform(regions, _bare), F.transform(F.filter(lines, lambda x: x["region_pos"].isNull()), _bare))))
     area = F.when(G.area(page) == 0, 1.0).otherwise(G.area(page))
     xs = at.array("xs", F.transform(lines, G.center_x))
     low, high = F.array_min(xs), F.array_max(xs)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelens.operators.boosting import Model, score
 from pagelens.plans.features import page_features
+from pagelens.runtime import durable
 from pagelens.sources import page_json
 
 #: The feature groups that need nothing but a page's JSON.
@@ -26,7 +27,8 @@ def predict(bodies: DataFrame, models: dict[str, Model], groups: Sequence[str] =
     for target, model in models.items():
         if not model.features:
             raise ValueError(f"the model of {target} has no feature names")
-    out = page_features(page_json.pages(bodies, key), groups, edges, key)
+    # Features are computed once, however many models read them.
+    out = durable(page_features(page_json.pages(bodies, key), groups, edges, key), "features")
     for target, model in models.items():
         out = score(out, model, f"pred_{target}")
     return out.select(key, *(f"pred_{t}" for t in models))
@@ -40,7 +42,7 @@ def annotated(bodies: DataFrame, models: dict[str, Model], groups: Sequence[str]
     """
     once = bodies.select(key, "body").dropDuplicates([key])
     names = [f"pred_{t}" for t in models]
-    scored = predict(once, models, groups, edges, key)
+    scored = durable(predict(once, models, groups, edges, key), "predictions")
     joined = once.alias("a").join(scored.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "left").select(F.col(f"a.{key}").alias(key), "body", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ Doubles are rounded on both sides and NaN becomes null at the outermost select,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pagelens.functions import text as T
 from pagelens.operators import boosting, compare, drift, evaluate, layout, matrix, nested, ngrams, text_metrics, tree
 from pagelens.plans import features, language, training
 from pagelens.runtime import durable, shared_dir, table
-from pagelens.sources import page_json
+from pagelens.sources import files, ground_truth, page_json, sinks
 from pagelens.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +94,9 @@ def p3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flat_table(table(spark, sf_dir, "page_documents"), "line", {"confidence": "$.segmentation_confidence", "text": "$.transcription[0].text"})
+    return nested.flat_table(table(spark, sf_dir, "page_documents"), "line", {"confidence": "$.segmentation_confidence", "text": "$.transcription[0].text"}).select(
+        "page_no", "node_path", "parent_path", F.col("ordinal").cast("long").alias("ordinal"), F.col("confidence").try_cast("double").alias("confidence"), "text"
+    )
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +190,7 @@ def ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A perplexity for every line, by a model of all lines."""
     lines = durable(_lines(spark, sf_dir), "lines")
-    counts, totals = ngrams.model(lines.select(F.regexp_replace("text", T.SPACE, "").alias("text")), 3)
-    counts = durable(counts, "counts")
+    counts = durable(ngrams.model(lines, 3)[0], "counts")
     totals = counts.groupBy("context").agg(F.sum("cnt").alias("total"), F.count("*").alias("vocab"))
     return ngrams.perplexity(lines, counts, durable(totals, "totals"), 3, "line_no").select("line_no", _r("ppl", 4).alias("ppl"))
 
@@ -410,6 +412,86 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.page_features(_pages(spark, sf_dir))
 
 
+def _made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the scanned lines, ten lines a region, with boxes from their numbers and lengths."""
+    rows = table(spark, sf_dir, "text_lines").select("line_no", "rec_no", "line_pos", "text", "htr_score", "line_conf", "region_conf").dropDuplicates(["line_no"])
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("region", F.floor(F.col("line_pos") / 10).cast("int"))
+    x, y = (F.col("line_pos") % 10) * 10.0, F.col("line_pos") * 25.0 + F.col("line_no") % 7
+    b = G.box(x, y, x + 9 * F.length("text") + 1, y + 20 + F.col("line_no") % 11)
+    none = F.lit(None).cast("string")
+    line = F.struct(
+        "line_pos", "line_no", F.col("region").alias("region_pos"), "text", F.col("htr_score").alias("score"), F.col("line_conf").alias("seg_conf"),
+        *(b[k].alias(k) for k in ("xmin", "ymin", "xmax", "ymax")), F.array().cast("array<double>").alias("tokens"), none.alias("polygon"), S.finite(F.col("region_conf")).alias("rc"),
+    )
+    pages = rows.groupBy("rec_no").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    of = lambda i: F.filter("lines", lambda x: x["region_pos"] == i)
+    side = lambda i, f, k: f(F.transform(of(i), lambda x: x[k]))
+    region = lambda i: F.struct(
+        F.lit("r").alias("label"), side(i, F.array_max, "rc").alias("seg_conf"), side(i, F.array_min, "xmin").alias("xmin"), side(i, F.array_min, "ymin").alias("ymin"),
+        side(i, F.array_max, "xmax").alias("xmax"), side(i, F.array_max, "ymax").alias("ymax"), F.size(of(i)).alias("n_lines"), none.alias("polygon"),
+    )
+    numbers = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["region_pos"])))
+    return pages.select("rec_no", F.transform(numbers, region).alias("regions"), "lines", none.alias("error"))
+
+
+def made_page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of all five groups that SQL can follow, over all scanned lines."""
+    from pagelens.queries_sql import FEATURE_COLUMNS
+
+    found = features.page_features(durable(_made_pages(spark, sf_dir), "pages"), key="rec_no")
+    return found.select("rec_no", *(_r(c, 6).alias(c) for c in FEATURE_COLUMNS))
+
+
+def page_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every page top down, through the document tree's steps."""
+    lines = _made_pages(spark, sf_dir).select("rec_no", F.explode("lines").alias("x"))
+    nodes = lines.select(
+        F.col("rec_no").alias("doc_id"), (F.col("x.line_no") + 1).alias("node_id"), F.lit(0).cast("long").alias("parent_id"), F.lit(1).alias("depth"), F.col("x.line_pos").cast("long").alias("pos"),
+        F.col("x.score").alias("conf"), "x.xmin", "x.ymin", "x.xmax", "x.ymax",
+    )
+    return tree.run(nodes, [("OrderLines", {})]).select("doc_id", (F.col("node_id") - 1).alias("line_no"), F.col("pos").cast("long").alias("order_no"))
+
+
+def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as PAGE XML into the shared folder, and its lines read back from there."""
+    pages = _made_pages(spark, sf_dir).withColumn("name", F.col("rec_no").cast("string"))
+    path = f"{shared_dir(spark)}/pagelens/xml-{uuid.uuid4().hex}"
+    pages.select(sinks.page_xml("name").alias("xml"), "rec_no").write.parquet(path)
+    read = ground_truth.pages(spark.read.parquet(path), "rec_no", "xml")
+    return read.select("rec_no", F.posexplode("lines").alias("i", "x")).select(
+        "rec_no", F.col("i").cast("long").alias("i"), T.collapsed(F.col("x.text")).alias("text"), *(F.col(f"x.{k}").cast("long").alias(k) for k in ("xmin", "ymin", "xmax", "ymax"))
+    )
+
+
+def alto_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as ALTO XML into the shared folder; words and lines with text, as read back."""
+    pages = _made_pages(spark, sf_dir).withColumn("name", F.col("rec_no").cast("string"))
+    path = f"{shared_dir(spark)}/pagelens/xml-{uuid.uuid4().hex}"
+    pages.select(sinks.alto("name").alias("xml"), "rec_no").write.parquet(path)
+    written = spark.read.parquet(path)
+    words = written.select("rec_no", F.size(F.expr("xpath(xml, '//*[local-name()=\"String\"]/@CONTENT')")).cast("long").alias("n_words"))
+    read = ground_truth.pages(written, "rec_no", "xml").select("rec_no", F.size("lines").cast("long").alias("n_text_lines"), F.size("geoms").cast("long").alias("n_lines"), F.size("regions").cast("long").alias("n_regions"))
+    return read.join(words, "rec_no")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training rows written as CSV with sorted columns, and read back with their types."""
+    rows = _train(spark, sf_dir).select("row_no", "split", *FEATURES, "target_bow_f1")
+    path = f"{shared_dir(spark)}/pagelens/csv-{uuid.uuid4().hex}"
+    sinks.wide_csv(rows, path, ["row_no"])
+    read = files.training_table(spark, [path])
+    return _rounded(read.groupBy(F.col("row_no").cast("long").alias("row_no")).agg(*(F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in (*FEATURES, "target_bow_f1"))))
+
+
+def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' texts exported as one corpus with headers, and its lines counted as a corpus reader sees them."""
+    rows = _lines(spark, sf_dir).select("rec_no", "line_pos", "line_no", T.collapsed(F.col("text")).alias("text"))
+    pages = rows.groupBy("rec_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_pos", "line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    path = f"{shared_dir(spark)}/pagelens/corpus-{uuid.uuid4().hex}"
+    sinks.corpus(pages.select(F.lit("v").alias("volume"), F.concat(F.lit("p"), F.col("rec_no")).alias("rel_path"), "text"), path)
+    return files.corpus_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence statistics of top-level regions, which SQL can follow."""
     pages = _pages(spark, sf_dir)
@@ -464,7 +546,7 @@ def queries() -> dict[str, Query]:
             bow_prf, linewise_cer, page_targets, geom_order, box_overlap, box_iou, polygon_iou, contained_boxes, printspace_order, left_right_order, top_down_order,
             line_spacing, order_inversions, polygon_boxes, pruned_tree, stem_pairing, excluded_paths, existing_images, paired_compare, metric_summary,
             page_ranks, top_bottom_pages, once_per_key, target_correlation, usable_features, weighted_errors, constant_baseline, holdout_split,
-            correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, page_counts, language_features, training_run, word_boxes, streamed_events,
+            correlated_features, boosted_search, boosted_scores, embedding_pca, page_features, made_page_features, page_layout_order, page_round_trip, alto_round_trip, csv_round_trip, corpus_round_trip, page_counts, language_features, training_run, word_boxes, streamed_events,
         )
     }
 

@@ -38,7 +38,95 @@ def _coded(text: str) -> str:
     return f"CASE WHEN chars IS NULL THEN {text} ELSE translate({text}, chars, substr('{bytes_}', 1, length(chars))) END"
 
 
+# --- pages made of the scanned lines ------------------------------------------------------------------
+
+_MADE = f"""raw AS (SELECT DISTINCT line_no, rec_no, line_pos, coalesce(text, '') AS text, CASE WHEN isfinite(htr_score) THEN htr_score END AS hs, CASE WHEN isfinite(line_conf) THEN line_conf END AS lc,
+  CASE WHEN isfinite(region_conf) THEN region_conf END AS rc FROM text_lines),
+L0 AS (SELECT *, line_pos // 10 AS reg, CAST((line_pos % 10) * 10 AS DOUBLE) AS x0, CAST(line_pos * 25 + line_no % 7 AS DOUBLE) AS y0, length(text) AS chars,
+  CASE WHEN {_COLLAPSED} = '' THEN 0 ELSE len(string_split({_COLLAPSED}, ' ')) END AS words FROM raw),
+L AS (SELECT *, x0 + 9 * chars + 1 AS x1, y0 + 20 + line_no % 11 AS y1, y0 + (20 + line_no % 11) / 2.0::DOUBLE AS cy FROM L0),
+R AS (SELECT rec_no, reg, count(*) AS n, max(rc) AS rc, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum((x1 - x0) * (y1 - y0)) AS la, sum(y1 - y0) AS lh,
+  stddev_pop(x0) AS sx0, stddev_pop(x1) AS sx1, stddev_pop((x0 + x1) / 2) AS sxc FROM L GROUP BY 1, 2)"""
+
+_STATS = ("mean", "std", "min", "max", "cv")
+
+
+def _five(x: str, prefix: str) -> str:
+    return (
+        f"round(avg({x}), 6) AS {prefix}_mean, round(stddev_pop({x}), 6) AS {prefix}_std, round(min({x}), 6) AS {prefix}_min, round(max({x}), 6) AS {prefix}_max,"
+        f" round(CASE WHEN avg({x}) <> 0 THEN stddev_pop({x}) / avg({x}) END, 6) AS {prefix}_cv"
+    )
+
+
+def _ten(x: str, prefix: str) -> str:
+    edges = linspace(0.0, 1.0, 10)
+    n = f"count(*) FILTER (WHERE {x} >= 0 AND {x} <= 1)"
+    return ", ".join(
+        f"CASE WHEN {n} > 0 THEN round(count(*) FILTER (WHERE {x} >= {a!r} AND {x} {'<=' if i == 9 else '<'} {b!r}) / {n}, 6) ELSE 0.0 END AS {prefix}_hist_bin_{i}"
+        for i, (a, b) in enumerate(zip(edges, edges[1:]))
+    )
+
+
+def _entropy(table: str, x: str, name: str) -> str:
+    """Entropy of a column shifted to minimum 0, per page."""
+    return (
+        f"(SELECT rec_no, round(CASE WHEN count(v) = 0 THEN NULL ELSE coalesce(sum(CASE WHEN v > 0 THEN -(v / t) * log2(v / t) END), 0.0) END, 6) AS {name}"
+        f" FROM (SELECT rec_no, v, sum(v) OVER (PARTITION BY rec_no) AS t FROM (SELECT rec_no, {x} - min({x}) OVER (PARTITION BY rec_no) AS v FROM {table})) GROUP BY rec_no)"
+    )
+
+
+def _gap(by: str, name: str) -> str:
+    return f"(SELECT rec_no, {_five('g', name)} FROM (SELECT rec_no, lead(cy) OVER (PARTITION BY {by} ORDER BY cy) - cy AS g FROM L) WHERE g > 0 GROUP BY rec_no)"
+
+
+def _crossing(table: str, key: str, name: str) -> str:
+    return f"(SELECT rec_no, CAST(count(*) AS DOUBLE) AS {name} FROM {table} a JOIN {table} b USING (rec_no) WHERE a.{key} < b.{key} AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY rec_no)"
+
+
+_RATIOS = {"digit": "[^\\p{Nd}]", "upper": "[^\\p{Lu}]"}
+_PARTS = (
+    f"""(SELECT rec_no, CAST(count(*) AS DOUBLE) AS num_lines, {_five('lc', 'line_conf')}, {_ten('lc', 'line_conf')}, {_five('y1 - y0', 'line_height')}, {_five('x1 - x0', 'line_width')}, {_five('hs', 'htr_line_score')},
+  {_ten('hs', 'htr_line_score')}, {_five('chars', 'line_char_count')}, {_five('words', 'line_word_count')}, CAST(sum(chars) AS DOUBLE) AS total_chars, CAST(sum(words) AS DOUBLE) AS total_words FROM L GROUP BY rec_no)""",
+    f"""(SELECT rec_no, CAST(count(*) AS DOUBLE) AS num_regions, CASE WHEN count(rc) > 0 THEN 1.0 ELSE 0.0 END AS has_region_conf, {_five('rc', 'region_conf')}, {_ten('rc', 'region_conf')}, {_five('(x1 - x0) * (y1 - y0)', 'region_area')},
+  {_five('(x1 - x0) / (y1 - y0)', 'region_aspect')}, {_five('n', 'lines_per_region')}, round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS frac_single_line_regions, round(count(*) FILTER (WHERE n >= 2) / count(*), 6) AS frac_multi_line_regions,
+  CAST(max(n) AS DOUBLE) AS max_lines_in_region, {_five('(x1 - x0) * (y1 - y0) / la', 'region_tightness_area_ratio')}, {_five('(y1 - y0) / lh', 'region_height_to_lines_height_ratio')}, round(avg(sx0) FILTER (WHERE n > 1), 6) AS region_xmin_std_mean,
+  round(avg(sx1) FILTER (WHERE n > 1), 6) AS region_xmax_std_mean, round(avg(sxc) FILTER (WHERE n > 1), 6) AS region_centerx_std_mean, round(sum(n) / count(*), 6) AS region_to_line_ratio,
+  round(sum(la) / ((max(x1) - min(x0)) * (max(y1) - min(y0))), 6) AS text_density FROM R GROUP BY rec_no)""",
+    "(SELECT rec_no, round(count(*) FILTER (WHERE chars < lo) / count(*), 6) AS frac_short_lines, round(count(*) FILTER (WHERE chars > hi) / count(*), 6) AS frac_long_lines FROM (SELECT rec_no, chars, quantile_cont(chars, 0.2) OVER (PARTITION BY rec_no) AS lo, quantile_cont(chars, 0.8) OVER (PARTITION BY rec_no) AS hi FROM L) GROUP BY rec_no)",
+    _gap("rec_no, reg", "line_spacing"),
+    _gap("rec_no", "page_line_spacing"),
+    _entropy("L", "lc", "line_conf_entropy"),
+    _entropy("R", "rc", "region_conf_entropy"),
+    "(SELECT rec_no, CAST(count(*) FILTER (WHERE up) AS DOUBLE) AS reading_order_inversions FROM (SELECT rec_no, lag(cy) OVER (PARTITION BY rec_no, reg ORDER BY line_pos, line_no) > cy AS up FROM L) GROUP BY rec_no)",
+    "(SELECT rec_no, "
+    + ", ".join(f"round(length(regexp_replace(t, '{p}', '', 'g')) / nullif(length(t), 0), 6) AS char_{k}_ratio" for k, p in _RATIOS.items())
+    + ", CASE WHEN length(t) > 0 THEN round(none, 6) END AS frac_no_alpha_lines FROM (SELECT rec_no, string_agg(text, chr(10) ORDER BY line_pos, line_no) AS t, count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{L}')) / count(*) AS none FROM L GROUP BY rec_no))",
+)
+_SUMS = (_crossing("L", "line_no", "line_overlap_count"), _crossing("R", "reg", "region_overlap_count"))
+_FIVES = "line_conf line_height line_width htr_line_score line_char_count line_word_count region_conf region_area region_aspect lines_per_region region_tightness_area_ratio region_height_to_lines_height_ratio line_spacing page_line_spacing".split()
+#: Page features that SQL gives too.
+FEATURE_COLUMNS = (
+    *(f"{p}_{k}" for p in _FIVES for k in _STATS),
+    *(f"{p}_hist_bin_{i}" for p in ("line_conf", "region_conf", "htr_line_score") for i in range(10)),
+    *(
+        "num_lines total_chars total_words num_regions has_region_conf frac_single_line_regions frac_multi_line_regions max_lines_in_region region_xmin_std_mean region_xmax_std_mean region_centerx_std_mean"
+        " region_to_line_ratio text_density frac_short_lines frac_long_lines line_conf_entropy region_conf_entropy reading_order_inversions char_digit_ratio char_upper_ratio frac_no_alpha_lines"
+        " line_overlap_count region_overlap_count"
+    ).split(),
+)
+_NO_XML = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{fffe}\\x{ffff}]"
+_XML_TEXT = f"trim(regexp_replace(regexp_replace(text, '{_NO_XML}', '', 'g'), '{_SPACE}', ' ', 'g'))"
+
 ORACLES: dict[str, str] = {
+    "made_page_features": f"WITH {_MADE} SELECT rec_no, {', '.join(f'coalesce({c}, 0.0) AS {c}' if c.endswith('overlap_count') else c for c in FEATURE_COLUMNS)} FROM (SELECT DISTINCT rec_no FROM L) "
+    + " ".join(f"LEFT JOIN {p} USING (rec_no)" for p in (*_PARTS, *_SUMS)),
+    "page_layout_order": f"WITH {_MADE} SELECT rec_no AS doc_id, line_no, row_number() OVER (PARTITION BY rec_no ORDER BY floor((y0 + y1) / 2), line_pos, line_no) - 1 AS order_no FROM L",
+    "page_round_trip": f"""WITH {_MADE} SELECT rec_no, row_number() OVER (PARTITION BY rec_no ORDER BY reg, line_pos, line_no) - 1 AS i, {_XML_TEXT} AS text,
+  CAST(x0 AS BIGINT) AS xmin, CAST(y0 AS BIGINT) AS ymin, CAST(x1 AS BIGINT) AS xmax, CAST(y1 AS BIGINT) AS ymax FROM L""",
+    "alto_round_trip": f"""WITH {_MADE}, w AS (SELECT *, CASE WHEN {_XML_TEXT} = '' THEN 0 ELSE len(string_split({_XML_TEXT}, ' ')) END AS k FROM L)
+SELECT rec_no, count(*) AS n_lines, count(*) FILTER (WHERE k > 0) AS n_text_lines, count(DISTINCT reg) AS n_regions, CAST(sum(k) AS BIGINT) AS n_words FROM w GROUP BY rec_no""",
+    "csv_round_trip": f"WITH {_TRAIN} SELECT row_no, " + ", ".join(f"round(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, 9) AS {c}" for c in (*FEATURES, "target_bow_f1")) + " FROM train",
+    "corpus_round_trip": f"WITH {_LINES}, c AS (SELECT {_COLLAPSED} AS text FROM lines) SELECT text, count(*) AS n FROM c WHERE text <> '' AND text NOT LIKE '#%' GROUP BY text",
     "p3_found": """
 WITH RECURSIVE once AS (SELECT DISTINCT ON (page_no) page_no, CAST(body AS JSON) AS j FROM page_documents WHERE json_valid(body)),
 nodes AS (
@@ -55,6 +143,18 @@ list_points AS (SELECT page_no, node_path, i.i FROM polys, LATERAL (SELECT unnes
 points AS (SELECT * FROM text_points UNION ALL SELECT * FROM list_points UNION ALL SELECT page_no, node_path, 0 FROM polys WHERE json_type(p) = 'OBJECT')
 SELECT page_no, kind, node_path, parent_path FROM nodes WHERE kind <> 'page'
 UNION ALL SELECT page_no, 'point', node_path || '/p' || CAST(i AS VARCHAR), node_path FROM points""",
+    "p3_lines": """
+WITH RECURSIVE once AS (SELECT DISTINCT ON (page_no) page_no, CAST(body AS JSON) AS j FROM page_documents WHERE json_valid(body)),
+nodes AS (
+  SELECT page_no, 'page' AS kind, '' AS node_path, '' AS parent_path, j FROM once WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  SELECT n.page_no, c.kind, CASE WHEN n.node_path = '' THEN '' ELSE n.node_path || '/' END || c.letter || CAST(i.i AS VARCHAR), n.node_path,
+    CASE WHEN json_type(c.arr) = 'ARRAY' THEN json_extract(c.arr, '$[' || CAST(i.i AS VARCHAR) || ']') ELSE c.arr END
+  FROM nodes n, LATERAL (VALUES ('region', 'r', json_extract(n.j, '$.regions')), ('line', 'l', json_extract(n.j, '$.lines')), ('word', 'w', json_extract(n.j, '$.words'))) c(kind, letter, arr),
+    LATERAL (SELECT unnest(range(CASE WHEN json_type(c.arr) = 'ARRAY' THEN CAST(json_array_length(c.arr) AS BIGINT) WHEN json_type(c.arr) = 'OBJECT' THEN 1 ELSE 0 END)) AS i) i
+  WHERE n.kind <> 'word' AND json_type(CASE WHEN json_type(c.arr) = 'ARRAY' THEN json_extract(c.arr, '$[' || CAST(i.i AS VARCHAR) || ']') ELSE c.arr END) = 'OBJECT')
+SELECT page_no, node_path, parent_path, CAST(regexp_extract(node_path, '([0-9]+)$', 1) AS BIGINT) AS ordinal, TRY_CAST(json_extract_string(j, '$.segmentation_confidence') AS DOUBLE) AS confidence,
+  json_extract_string(j, '$.transcription[0].text') AS text FROM nodes WHERE kind = 'line'""",
     "p6_found": """
 WITH once AS (SELECT DISTINCT ON (json_no) stream_no, export_no, CAST(body AS JSON) AS j FROM htr_json WHERE json_valid(body)),
 top AS (SELECT o.stream_no, o.export_no, json_extract_string(o.j, '$.line_ref') AS line, e.key AS path, e.type AS t, e.value AS value FROM once o, json_each(o.j) e),
@@ -114,8 +214,8 @@ WITH {_LINES}, g AS ({_GRAMS.format(key='line_no', text=_COLLAPSED, n=3, src='li
 SELECT l.line_no, round(count(f.gram) / nullif(count(g.gram), 0), 9) AS char_3gram_ratio_present FROM lines l LEFT JOIN g USING (line_no) LEFT JOIN f ON f.gram = g.gram GROUP BY l.line_no""",
     "lm_perplexity": f"""
 WITH {_LINES}, bare AS (SELECT line_no, regexp_replace(text, '{_SPACE}', '', 'g') AS text FROM lines),
-w AS ({_GRAMS.format(key='line_no', text='text', n=3, src='bare')}), c AS (SELECT substr(gram, 1, 2) AS context, substr(gram, 3, 1) AS token, count(*) AS cnt FROM w GROUP BY 1, 2),
-t AS (SELECT context, sum(cnt) AS total, count(*) AS vocab FROM c GROUP BY context), s AS (SELECT * FROM w),
+w AS ({_GRAMS.format(key='line_no', text='text', n=3, src='lines')}), c AS (SELECT substr(gram, 1, 2) AS context, substr(gram, 3, 1) AS token, count(*) AS cnt FROM w GROUP BY 1, 2),
+t AS (SELECT context, sum(cnt) AS total, count(*) AS vocab FROM c GROUP BY context), s AS ({_GRAMS.format(key='line_no', text='text', n=3, src='bare')}),
 p AS (SELECT line_no, ln(greatest((coalesce(cnt, 0) + 0.1::DOUBLE) / (coalesce(total, 0) + 0.1::DOUBLE * coalesce(vocab, 1)), 1e-12)) AS logp FROM s
   LEFT JOIN c ON c.context = substr(gram, 1, 2) AND c.token = substr(gram, 3, 1) LEFT JOIN t ON t.context = substr(gram, 1, 2))
 SELECT o.line_no, round(exp(-avg(logp)), 4) AS ppl FROM bare o LEFT JOIN p USING (line_no) GROUP BY o.line_no""",

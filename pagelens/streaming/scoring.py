@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagelens.operators.boosting import Model, score
 from pagelens.plans.features import page_features
+from pagelens.runtime import discard, durable
 from pagelens.sources import page_json
 
 
@@ -33,9 +34,12 @@ def score_batches(
     """Start scoring; ``write`` gets each batch's scored features and its number."""
 
     def each(batch: DataFrame, number: int) -> None:
-        out = page_features(page_json.pages(batch, key), None, edges, key)
+        # Features are computed once, however many models and writers read them.
+        made = durable(page_features(page_json.pages(batch, key), None, edges, key), "batch")
+        out = made
         for target, model in models.items():
             out = score(out, model, f"pred_{target}")
         write(out, number)
+        discard(made)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

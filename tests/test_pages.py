@@ -10,6 +10,7 @@ from pagelens.functions import stats as S
 from pagelens.operators import boosting
 from pagelens.plans import dataset, features, inference
 from pagelens.sources import files, ground_truth, page_json, sinks
+from pagelens.streaming import scoring
 
 PAGE_XML = """<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page>
  <TextRegion><Coords points="0,0 100,0 100,40 0,40"/>
@@ -220,3 +221,14 @@ def test_small_readers(spark, tmp_path):
         files.inputs(["x"], "y")
     sinks.save_edges(spark, {"line_conf": [0.0, 0.5, 1.0]}, str(tmp_path / "e.json"))
     assert sinks.load_edges(spark, str(tmp_path / "e.json"))["line_conf"][:2] == [0.0, 0.5]
+
+
+def test_pages_are_scored_as_they_arrive(spark, tmp_path):
+    body = json.dumps(current([line("110,220 490,220 490,260 110,260", "high")]))
+    spark.createDataFrame([(1, body), (2, body)], "page_no long, body string").write.parquet(str(tmp_path / "in"))
+    x = np.array([[1.0], [5.0]] * 10)
+    model = boosting.train(x, x[:, 0], ["num_lines"], boosting.Params(n_trees=4, min_child=0.1))
+    got = []
+    stream = spark.readStream.schema("page_no long, body string").parquet(str(tmp_path / "in"))
+    scoring.score_batches(stream, {"t": model}, None, lambda df, n: got.extend(df.select("page_no", "num_lines", "pred_t").collect()), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.page_no for r in got) == [1, 2] and all(r.pred_t == pytest.approx(model.predict(np.array([[r.num_lines]]))[0]) for r in got)
