@@ -318,12 +318,13 @@ def score(df: DataFrame, model: Model, output: str, fill: float = float("nan"))
     inputs = [F.col(c).cast("double") if c in df.columns else F.lit(fill) for c in names]
 
     @F.pandas_udf("double")
-    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         m = Model.from_json(text)
-        for columns in batches:
-            yield pd.Series(m.predict(np.column_stack([c.to_numpy(float) for c in columns])))
+        for rows in batches:
+            yield pd.Series(m.predict(rows.to_numpy(float)))
 
-    return df.withColumn(output, predict(*inputs))
+    # One struct, so a model of one feature gets its rows like any other.
+    return df.withColumn(output, predict(F.struct(*(c.alias(f"f{i}") for i, c in enumerate(inputs)))))
 
 
 def score_test_set(df: DataFrame, model: Model, target: str, key: str) -> tuple[DataFrame, DataFrame]:
