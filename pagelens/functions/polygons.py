@@ -10,14 +10,11 @@ def parse_points(text: str | None) -> np.ndarray | None:
 
     Tokens without a comma are skipped.
     """
-    points = []
-    for token in (text or "").replace(";", " ").split():
-        x, comma, y = token.partition(",")
-        if comma:
-            try:
-                points.append((float(x), float(y)))
-            except ValueError:
-                return None
+    parts = [t.partition(",") for t in (text or "").replace(";", " ").split()]
+    try:
+        points = [(float(x), float(y)) for x, comma, y in parts if comma]
+    except ValueError:
+        return None
     return np.array(points) if len(points) >= 3 else None
 
 
@@ -123,12 +120,29 @@ def iou_matrix(a: list[str | None], b: list[str | None], boxes: np.ndarray) -> n
     """Intersection over union of all pairs of polygons (as text); where one has none, that of the boxes."""
     out = boxes.copy()
     same = a is b
-    left, right = ([None if p is None or not np.isfinite(p).all() else (p, is_simple(p)) for p in map(parse_points, side)] for side in (a, b))
-    for i, x in enumerate(left):
-        if x is None:
-            continue
-        for j, y in enumerate(right):
-            if y is not None and not (same and j < i):
-                out[i, j] = _iou(x[0], y[0], x[1], y[1])
+
+    def read(texts: list[str | None]) -> tuple[list[np.ndarray | None], np.ndarray]:
+        found = [None if p is None or not np.isfinite(p).all() else p for p in map(parse_points, texts)]
+        around = np.array([[np.nan] * 4 if p is None else [*p.min(axis=0), *p.max(axis=0)] for p in found]).reshape(-1, 4)
+        return found, around
+
+    left, x = read(a)
+    right, y = (left, x) if same else read(b)
+    simple: dict[int, bool] = {}
+
+    def is_plain(p: np.ndarray) -> bool:
+        if id(p) not in simple:
+            simple[id(p)] = is_simple(p)
+        return simple[id(p)]
+
+    both = ~np.isnan(x[:, None, 0]) & ~np.isnan(y[None, :, 0])
+    meet = (x[:, None, :2] < y[None, :, 2:]).all(axis=2) & (y[None, :, :2] < x[:, None, 2:]).all(axis=2)
+    out[both] = 0.0
+    for i, j in zip(*np.nonzero(both & meet)):
+        if same and j == i:
+            # An outline with itself.
+            out[i, j] = 1.0
+        elif not same or i < j:
+            out[i, j] = _iou(left[i], right[j], is_plain(left[i]), is_plain(right[j]))
     # A list against itself needs half of the pairs.
     return np.triu(out) + np.triu(out, 1).T if same else out

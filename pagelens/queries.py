@@ -436,10 +436,10 @@ def _made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def made_page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features of all five groups that SQL can follow, over all scanned lines."""
-    from pagelens.queries_sql import FEATURE_COLUMNS
+    from pagelens.queries_sql import FEATURE_COLUMNS, feature_digits
 
     found = features.page_features(durable(_made_pages(spark, sf_dir), "pages"), key="rec_no")
-    return found.select("rec_no", *(_r(c, 6).alias(c) for c in FEATURE_COLUMNS))
+    return found.select("rec_no", *(_r(c, feature_digits(c)).alias(c) for c in FEATURE_COLUMNS))
 
 
 def page_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,7 +454,8 @@ def page_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as PAGE XML into the shared folder, and its lines read back from there."""
-    pages = _made_pages(spark, sf_dir).withColumn("name", F.col("rec_no").cast("string"))
+    # Written first: the exports are Python functions, and arrays must be columns for them.
+    pages = durable(_made_pages(spark, sf_dir).withColumn("name", F.col("rec_no").cast("string")), "pages")
     path = f"{shared_dir(spark)}/pagelens/xml-{uuid.uuid4().hex}"
     pages.select(sinks.page_xml("name").alias("xml"), "rec_no").write.parquet(path)
     read = ground_truth.pages(spark.read.parquet(path), "rec_no", "xml")
@@ -465,7 +466,8 @@ def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alto_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as ALTO XML into the shared folder; words and lines with text, as read back."""
-    pages = _made_pages(spark, sf_dir).withColumn("name", F.col("rec_no").cast("string"))
+    # Written first: the exports are Python functions, and arrays must be columns for them.
+    pages = durable(_made_pages(spark, sf_dir).withColumn("name", F.col("rec_no").cast("string")), "pages")
     path = f"{shared_dir(spark)}/pagelens/xml-{uuid.uuid4().hex}"
     pages.select(sinks.alto("name").alias("xml"), "rec_no").write.parquet(path)
     written = spark.read.parquet(path)

@@ -51,9 +51,20 @@ R AS (SELECT rec_no, reg, count(*) AS n, max(rc) AS rc, min(x0) AS x0, min(y0) A
 _STATS = ("mean", "std", "min", "max", "cv")
 
 
+def feature_digits(column: str) -> int:
+    """Digits that are sure and hold no ties: confidences have six, so a mean of 2**k of them has k more; deviations of large values have fewer."""
+    confidence = ("conf" in column or "score" in column) and "hist" not in column
+    if column.endswith(("_cv", "_entropy", "_std_mean")):
+        return 6
+    if column.endswith("_std"):
+        return 8 if confidence else 6
+    return 11 if confidence else 9
+
+
 def _five(x: str, prefix: str) -> str:
+    mean, std = feature_digits(f"{prefix}_mean"), feature_digits(f"{prefix}_std")
     return (
-        f"round(avg({x}), 6) AS {prefix}_mean, round(stddev_pop({x}), 6) AS {prefix}_std, round(min({x}), 6) AS {prefix}_min, round(max({x}), 6) AS {prefix}_max,"
+        f"round(avg({x}), {mean}) AS {prefix}_mean, round(stddev_pop({x}), {std}) AS {prefix}_std, round(min({x}), 9) AS {prefix}_min, round(max({x}), 9) AS {prefix}_max,"
         f" round(CASE WHEN avg({x}) <> 0 THEN stddev_pop({x}) / avg({x}) END, 6) AS {prefix}_cv"
     )
 
@@ -62,7 +73,7 @@ def _ten(x: str, prefix: str) -> str:
     edges = linspace(0.0, 1.0, 10)
     n = f"count(*) FILTER (WHERE {x} >= 0 AND {x} <= 1)"
     return ", ".join(
-        f"CASE WHEN {n} > 0 THEN round(count(*) FILTER (WHERE {x} >= {a!r} AND {x} {'<=' if i == 9 else '<'} {b!r}) / {n}, 6) ELSE 0.0 END AS {prefix}_hist_bin_{i}"
+        f"CASE WHEN {n} > 0 THEN round(count(*) FILTER (WHERE {x} >= {a!r} AND {x} {'<=' if i == 9 else '<'} {b!r}) / {n}, 9) ELSE 0.0 END AS {prefix}_hist_bin_{i}"
         for i, (a, b) in enumerate(zip(edges, edges[1:]))
     )
 
@@ -88,19 +99,19 @@ _PARTS = (
     f"""(SELECT rec_no, CAST(count(*) AS DOUBLE) AS num_lines, {_five('lc', 'line_conf')}, {_ten('lc', 'line_conf')}, {_five('y1 - y0', 'line_height')}, {_five('x1 - x0', 'line_width')}, {_five('hs', 'htr_line_score')},
   {_ten('hs', 'htr_line_score')}, {_five('chars', 'line_char_count')}, {_five('words', 'line_word_count')}, CAST(sum(chars) AS DOUBLE) AS total_chars, CAST(sum(words) AS DOUBLE) AS total_words FROM L GROUP BY rec_no)""",
     f"""(SELECT rec_no, CAST(count(*) AS DOUBLE) AS num_regions, CASE WHEN count(rc) > 0 THEN 1.0 ELSE 0.0 END AS has_region_conf, {_five('rc', 'region_conf')}, {_ten('rc', 'region_conf')}, {_five('(x1 - x0) * (y1 - y0)', 'region_area')},
-  {_five('(x1 - x0) / (y1 - y0)', 'region_aspect')}, {_five('n', 'lines_per_region')}, round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS frac_single_line_regions, round(count(*) FILTER (WHERE n >= 2) / count(*), 6) AS frac_multi_line_regions,
+  {_five('(x1 - x0) / (y1 - y0)', 'region_aspect')}, {_five('n', 'lines_per_region')}, round(count(*) FILTER (WHERE n = 1) / count(*), 9) AS frac_single_line_regions, round(count(*) FILTER (WHERE n >= 2) / count(*), 9) AS frac_multi_line_regions,
   CAST(max(n) AS DOUBLE) AS max_lines_in_region, {_five('(x1 - x0) * (y1 - y0) / la', 'region_tightness_area_ratio')}, {_five('(y1 - y0) / lh', 'region_height_to_lines_height_ratio')}, round(avg(sx0) FILTER (WHERE n > 1), 6) AS region_xmin_std_mean,
-  round(avg(sx1) FILTER (WHERE n > 1), 6) AS region_xmax_std_mean, round(avg(sxc) FILTER (WHERE n > 1), 6) AS region_centerx_std_mean, round(sum(n) / count(*), 6) AS region_to_line_ratio,
-  round(sum(la) / ((max(x1) - min(x0)) * (max(y1) - min(y0))), 6) AS text_density FROM R GROUP BY rec_no)""",
-    "(SELECT rec_no, round(count(*) FILTER (WHERE chars < lo) / count(*), 6) AS frac_short_lines, round(count(*) FILTER (WHERE chars > hi) / count(*), 6) AS frac_long_lines FROM (SELECT rec_no, chars, quantile_cont(chars, 0.2) OVER (PARTITION BY rec_no) AS lo, quantile_cont(chars, 0.8) OVER (PARTITION BY rec_no) AS hi FROM L) GROUP BY rec_no)",
+  round(avg(sx1) FILTER (WHERE n > 1), 6) AS region_xmax_std_mean, round(avg(sxc) FILTER (WHERE n > 1), 6) AS region_centerx_std_mean, round(sum(n) / count(*), 9) AS region_to_line_ratio,
+  round(sum(la) / ((max(x1) - min(x0)) * (max(y1) - min(y0))), 9) AS text_density FROM R GROUP BY rec_no)""",
+    "(SELECT rec_no, round(count(*) FILTER (WHERE chars < lo) / count(*), 9) AS frac_short_lines, round(count(*) FILTER (WHERE chars > hi) / count(*), 9) AS frac_long_lines FROM (SELECT rec_no, chars, quantile_cont(chars, 0.2) OVER (PARTITION BY rec_no) AS lo, quantile_cont(chars, 0.8) OVER (PARTITION BY rec_no) AS hi FROM L) GROUP BY rec_no)",
     _gap("rec_no, reg", "line_spacing"),
     _gap("rec_no", "page_line_spacing"),
     _entropy("L", "lc", "line_conf_entropy"),
     _entropy("R", "rc", "region_conf_entropy"),
     "(SELECT rec_no, CAST(count(*) FILTER (WHERE up) AS DOUBLE) AS reading_order_inversions FROM (SELECT rec_no, lag(cy) OVER (PARTITION BY rec_no, reg ORDER BY line_pos, line_no) > cy AS up FROM L) GROUP BY rec_no)",
     "(SELECT rec_no, "
-    + ", ".join(f"round(length(regexp_replace(t, '{p}', '', 'g')) / nullif(length(t), 0), 6) AS char_{k}_ratio" for k, p in _RATIOS.items())
-    + ", CASE WHEN length(t) > 0 THEN round(none, 6) END AS frac_no_alpha_lines FROM (SELECT rec_no, string_agg(text, chr(10) ORDER BY line_pos, line_no) AS t, count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{L}')) / count(*) AS none FROM L GROUP BY rec_no))",
+    + ", ".join(f"round(length(regexp_replace(t, '{p}', '', 'g')) / nullif(length(t), 0), 9) AS char_{k}_ratio" for k, p in _RATIOS.items())
+    + ", CASE WHEN length(t) > 0 THEN round(none, 9) END AS frac_no_alpha_lines FROM (SELECT rec_no, string_agg(text, chr(10) ORDER BY line_pos, line_no) AS t, count(*) FILTER (WHERE NOT regexp_matches(text, '\\p{L}')) / count(*) AS none FROM L GROUP BY rec_no))",
 )
 _SUMS = (_crossing("L", "line_no", "line_overlap_count"), _crossing("R", "reg", "region_overlap_count"))
 _FIVES = "line_conf line_height line_width htr_line_score line_char_count line_word_count region_conf region_area region_aspect lines_per_region region_tightness_area_ratio region_height_to_lines_height_ratio line_spacing page_line_spacing".split()
@@ -118,14 +129,14 @@ _NO_XML = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{fffe}\\x{ffff}]"
 _XML_TEXT = f"trim(regexp_replace(regexp_replace(text, '{_NO_XML}', '', 'g'), '{_SPACE}', ' ', 'g'))"
 
 ORACLES: dict[str, str] = {
-    "made_page_features": f"WITH {_MADE} SELECT rec_no, {', '.join(f'coalesce({c}, 0.0) AS {c}' if c.endswith('overlap_count') else c for c in FEATURE_COLUMNS)} FROM (SELECT DISTINCT rec_no FROM L) "
+    "made_page_features": f"WITH {_MADE} SELECT rec_no, {', '.join(f'CAST(coalesce({c}, 0.0) AS DOUBLE) AS {c}' if c.endswith('overlap_count') else f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURE_COLUMNS)} FROM (SELECT DISTINCT rec_no FROM L) "
     + " ".join(f"LEFT JOIN {p} USING (rec_no)" for p in (*_PARTS, *_SUMS)),
     "page_layout_order": f"WITH {_MADE} SELECT rec_no AS doc_id, line_no, row_number() OVER (PARTITION BY rec_no ORDER BY floor((y0 + y1) / 2), line_pos, line_no) - 1 AS order_no FROM L",
     "page_round_trip": f"""WITH {_MADE} SELECT rec_no, row_number() OVER (PARTITION BY rec_no ORDER BY reg, line_pos, line_no) - 1 AS i, {_XML_TEXT} AS text,
   CAST(x0 AS BIGINT) AS xmin, CAST(y0 AS BIGINT) AS ymin, CAST(x1 AS BIGINT) AS xmax, CAST(y1 AS BIGINT) AS ymax FROM L""",
     "alto_round_trip": f"""WITH {_MADE}, w AS (SELECT *, CASE WHEN {_XML_TEXT} = '' THEN 0 ELSE len(string_split({_XML_TEXT}, ' ')) END AS k FROM L)
 SELECT rec_no, count(*) AS n_lines, count(*) FILTER (WHERE k > 0) AS n_text_lines, count(DISTINCT reg) AS n_regions, CAST(sum(k) AS BIGINT) AS n_words FROM w GROUP BY rec_no""",
-    "csv_round_trip": f"WITH {_TRAIN} SELECT row_no, " + ", ".join(f"round(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, 9) AS {c}" for c in (*FEATURES, "target_bow_f1")) + " FROM train",
+    "csv_round_trip": f"WITH {_TRAIN} SELECT row_no, " + ", ".join(f"round(CASE WHEN isfinite({c}) THEN {c} END, 9) AS {c}" for c in (*FEATURES, "target_bow_f1")) + " FROM train",
     "corpus_round_trip": f"WITH {_LINES}, c AS (SELECT {_COLLAPSED} AS text FROM lines) SELECT text, count(*) AS n FROM c WHERE text <> '' AND text NOT LIKE '#%' GROUP BY text",
     "p3_found": """
 WITH RECURSIVE once AS (SELECT DISTINCT ON (page_no) page_no, CAST(body AS JSON) AS j FROM page_documents WHERE json_valid(body)),

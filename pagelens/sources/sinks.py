@@ -195,6 +195,7 @@ def _xml(write: Callable) -> Callable[..., Column]:
             return pd.Series([write(str(a), b if b is not None else [], c if c is not None else []) for a, b, c in zip(k, r, x)])
 
         # Lines and regions travel as JSON-free arrays of structs; Arrow hands them over as lists of dicts.
+        # They have to be columns of a table: Spark does not hand arrays made by lambdas to Python functions.
         return run(F.col(key).cast("string"), F.col(regions), F.col(lines))
 
     return column
