@@ -6,7 +6,7 @@ its columns. Absent values are NaN.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import geometry as G
 from pagelens.functions import stats as S
 from pagelens.functions import text as T
+from pagelens.operators.quantiles import exact_quantiles
 
 NAN = float("nan")
 GROUPS = ("segmentation", "regionization", "layout", "htr_confidence", "text")
@@ -174,15 +175,17 @@ def text(at: Stages, lines: Column) -> dict[str, Column]:
     }
 
 
-def page_features(page_rows: DataFrame, groups: Iterable[str] | None = None, edges: dict[str, Sequence[float]] | None = None, key: str = "page_no") -> DataFrame:
+def page_features(page_rows: DataFrame, groups: Iterable[str] | None = None, edges: dict[str, Sequence[float]] | None = None, key: str = "page_no", extra: dict[str, Callable[[Stages, Column, Column], dict[str, Column]]] | None = None) -> DataFrame:
     """The key and the features of the chosen groups (none chosen: all five), columns sorted by name.
 
     ``page_rows`` comes from :func:`pagelens.sources.page_json.pages`; unreadable pages are left out (see
     its error table). ``edges`` gives histogram edges per confidence family; the default is ten equal
-    bins over 0..1. An unknown group is a ValueError.
+    bins over 0..1. ``extra`` adds groups of one's own: a function from the stages, the regions and the
+    lines to columns; they can be chosen like the others. An unknown group is a ValueError.
     """
-    chosen = tuple(groups or GROUPS)
-    if unknown := set(chosen) - set(GROUPS):
+    every = (*GROUPS, *(extra or ()))
+    chosen = tuple(groups or every)
+    if unknown := set(chosen) - set(every):
         raise ValueError(f"unknown feature groups: {sorted(unknown)}")
     equal = S.linspace(0.0, 1.0, 10)
     bins = {f: S.sanitize_edges(edges[f]) if edges and f in edges else equal for f in ("region_conf", "line_conf", "htr_line_score", "htr_token_score")}
@@ -193,9 +196,10 @@ def page_features(page_rows: DataFrame, groups: Iterable[str] | None = None, edg
         "layout": lambda: layout(at, r, x),
         "htr_confidence": lambda: htr_confidence(at, x, bins),
         "text": lambda: text(at, x),
+        **{name: lambda make=make: make(at, r, x) for name, make in (extra or {}).items()},
     }
     columns: dict[str, Column] = {}
-    for g in GROUPS:
+    for g in every:
         if g in chosen:
             columns |= built[g]()
     base = page_rows.filter("error IS NULL").select(key, "regions", "lines")
@@ -205,7 +209,7 @@ def page_features(page_rows: DataFrame, groups: Iterable[str] | None = None, edg
 
 
 def fit_bins(page_rows: DataFrame, quantiles: Sequence[float] = S.BIN_QUANTILES) -> dict[str, list[float]]:
-    """Quantile edges of the four confidence families over all pages, in one job."""
+    """Quantile edges of the four confidence families over all pages; no family is gathered in one place."""
     readable = page_rows.filter("error IS NULL")
     families = {
         "region_conf": F.transform("regions", lambda r: r["seg_conf"]),
@@ -214,6 +218,8 @@ def fit_bins(page_rows: DataFrame, quantiles: Sequence[float] = S.BIN_QUANTILES)
         "htr_token_score": F.flatten(F.transform("lines", lambda x: x["tokens"])),
     }
     long = readable.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(k), S.finite_of(v)) for k, v in families.items())))).alias("family", "values"))
-    rows = long.select("family", F.explode("values").alias("v")).groupBy("family").agg(F.percentile("v", list(quantiles)).alias("edges")).collect()
-    found = {r.family: list(r.edges) for r in rows}
+    rows = exact_quantiles(long.select("family", F.explode("values").alias("v")), ["family"], "v", quantiles).collect()
+    found: dict[str, list[float]] = {}
+    for r in sorted(rows, key=lambda r: (r.family, r.i)):
+        found.setdefault(r.family, []).append(r.edge)
     return {f: S.sanitize_edges(found.get(f)) for f in families}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +25,36 @@ def ngram_features(page_rows: DataFrame, sets: DataFrame, key: str = "page_no")
     return reduce(lambda a, b: a.join(b, key), parts)
 
 
+class Scorer(Protocol):
+    """What the language group asks of a model: key and ppl of each text (columns key and text), NaN where there is none."""
+
+    def __call__(self, texts: DataFrame, key: str) -> DataFrame: ...
+
+
+@dataclass
+class NgramScorer:
+    """The n-gram model as a scorer: tables of :func:`pagelens.operators.ngrams.model`."""
+
+    counts: DataFrame
+    totals: DataFrame
+    order: int
+    k: float = 0.1
+
+    def __call__(self, texts: DataFrame, key: str) -> DataFrame:
+        return ngrams.perplexity(texts, self.counts, self.totals, self.order, key, self.k)
+
+
 def model_features(page_rows: DataFrame, counts: DataFrame, totals: DataFrame, order: int, key: str = "page_no", k: float = 0.1) -> DataFrame:
+    """:func:`scored_features` by an n-gram model."""
+    return scored_features(page_rows, NgramScorer(counts, totals, order, k), key)
+
+
+def scored_features(page_rows: DataFrame, scorer: Scorer, key: str = "page_no") -> DataFrame:
     """page_ppl, mean, std and var of the lines' perplexities, and their correlation with line confidence (NaN below two pairs or without spread)."""
     pages = page_rows.filter("error IS NULL").select(key, page_text(F.col("lines")).alias("text"))
     lines = page_json.lines(page_rows, key).select(F.struct(key, "line_pos").alias("id"), key, "text", "seg_conf")
-    whole = ngrams.perplexity(pages, counts, totals, order, key, k).withColumnRenamed("ppl", "page_ppl")
-    each = ngrams.perplexity(lines.select("id", "text"), counts, totals, order, "id", k).join(lines.select("id", key, "seg_conf"), "id")
+    whole = scorer(pages, key).withColumnRenamed("ppl", "page_ppl")
+    each = scorer(lines.select("id", "text"), "id").join(lines.select("id", key, "seg_conf"), "id")
     p, c = finite(F.col("ppl")), finite(F.col("seg_conf"))
     x, y = F.when(c.isNotNull(), p), F.when(p.isNotNull(), c)
     spread = (F.count(x) > 1) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)

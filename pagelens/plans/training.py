@@ -22,7 +22,8 @@ class Config:
     seed: int = 42
     n_trials: int = 20
     most_trees: int | None = None  # at most so many trees a trial; None: as many as the grid says
-    correlation: float | None = None
+    correlation: float | None = None  # over the training rows
+    usable_in_train: bool = False  # columns must vary in the training rows, not only in all
     select: str | None = None  # "permutation" or "stability"
     select_sets: Sequence[str] = ("full",)
     top_k: int = 60
@@ -61,11 +62,12 @@ def run(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     spark = df.sparkSession
     rows = df if "split" in df.columns else M.holdout(df, cfg.key, cfg.val_size, cfg.seed)
     rows = durable(rows.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("val")), "training")
-    columns = M.usable_columns(rows, [cfg.key, *cfg.exclude])
+    seen = rows.filter("split = 'train'")
+    columns = M.usable_columns(seen if cfg.usable_in_train else rows, [cfg.key, *cfg.exclude])
     sets = {}
     for name in cfg.sets:
         found = M.feature_set(name, columns)
-        sets[name] = M.prune_correlated(rows, found, cfg.correlation) if cfg.correlation and len(found) > 1 else found
+        sets[name] = M.prune_correlated(seen, found, cfg.correlation) if cfg.correlation and len(found) > 1 else found
     trials = durable(B.search(rows, sets, cfg.targets, cfg.key, cfg.n_trials, cfg.most_trees, cfg.seed), "trials")
     best = B.best_trials(trials).collect()
     summary, importances, selection, scored = [], [], [], None

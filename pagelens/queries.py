@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import geometry as G
 from pagelens.functions import stats as S
 from pagelens.functions import text as T
-from pagelens.operators import boosting, compare, drift, evaluate, layout, matrix, nested, ngrams, text_metrics, tree
+from pagelens.operators import boosting, compare, drift, evaluate, layout, matrix, nested, ngrams, quantiles, text_metrics, tree
 from pagelens.plans import features, language, training
 from pagelens.runtime import durable, shared_dir, table
 from pagelens.sources import files, ground_truth, page_json, sinks
@@ -138,9 +138,7 @@ def shifted_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "text_lines").dropDuplicates(["line_no"])
     v = F.when((F.col("line_conf") >= 0) & (F.col("line_conf") <= 1), S.finite(F.col("line_conf")))
-    return lines.groupBy("dataset_tag").agg(F.percentile(v, list(S.BIN_QUANTILES)).alias("q")).select("dataset_tag", F.posexplode("q").alias("i", "edge")).select(
-        "dataset_tag", F.col("i").cast("long").alias("i"), _r("edge").alias("edge")
-    )
+    return quantiles.exact_quantiles(lines.select("dataset_tag", v.alias("v")), ["dataset_tag"], "v", S.BIN_QUANTILES).select("dataset_tag", F.col("i").cast("long").alias("i"), _r("edge").alias("edge"))
 
 
 def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
