@@ -34,6 +34,8 @@ class Neighbours:
 
     def __init__(self, lexicon: Iterable[str]) -> None:
         self.words = frozenset(lexicon)
+        #: Letters of the longest word; no edit makes a lexicon word of one that is more than two longer.
+        self.longest = max(map(len, self.words), default=0)
         #: (before, after) of a removed character, and of a removed pair, with what was removed.
         self.one: dict[tuple[str, str], list[str]] = defaultdict(list)
         self.two: dict[tuple[str, str], list[str]] = defaultdict(list)
@@ -45,6 +47,8 @@ class Neighbours:
 
     def edits(self, word: str) -> list[tuple[int, str, str]]:
         """(position, read, right): ``read`` is one character or two, ``right`` what puts it right."""
+        if len(word) > self.longest + 1:
+            return []
         out = []
         for i in range(len(word)):
             before, after = word[:i], word[i + 1 :]
@@ -58,7 +62,7 @@ class Neighbours:
 
     def gaps(self, word: str) -> list[tuple[int, str, str]]:
         """(position, read, right) of a character that was lost (``read`` is empty) or is one too many (``right`` is empty)."""
-        if len(word) < GAP_LETTERS:
+        if not GAP_LETTERS <= len(word) <= self.longest + 1:
             return []
         out = [(i, "", c) for i in range(len(word) + 1) for c in self.one.get((word[:i], word[i:]), ())]
         out += [(i, word[i], "") for i in range(len(word)) if word[:i] + word[i + 1 :] in self.words]

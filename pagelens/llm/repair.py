@@ -141,8 +141,8 @@ class Words:
         return word in self.lexicon
 
     def strange(self, word: str) -> bool:
-        """Whether a word could be misread: outside the lexicon, no number, no hyphenated name, no old spelling with w for v."""
-        return len(word) > 1 and word not in self.lexicon and word.isalnum() and not word.isdigit() and ("w" not in word or word.replace("w", "v") not in self.lexicon)
+        """Whether a word could be misread: outside the lexicon but not much longer than its words, no number, no hyphenated name, no old spelling with w for v."""
+        return 1 < len(word) <= self.neighbours.longest + 2 and word not in self.lexicon and word.isalnum() and not word.isdigit() and ("w" not in word or word.replace("w", "v") not in self.lexicon)
 
     def candidate(self, token: str) -> str | None:
         """The word of a lower-case token if it could be misread."""
@@ -534,6 +534,6 @@ def paragraphs(repaired: DataFrame) -> DataFrame:
         .withColumn("ends_page", F.lead("pos").over(flow).isNull())
     )
     return whole.groupBy("volume_no", "rec_no", "paragraph_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), lambda t: t != ""), " ").alias("text"),
         F.max(F.col("ends_page") & ~F.col("stops")).alias("continues"),
     )

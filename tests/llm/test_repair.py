@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pagelens.llm import editor, repair
@@ -115,3 +117,35 @@ def test_editor_held_out():
     right = sum(model.repair(b, n.edits(b)) == w for b, w in held)
     assert right >= 0.9 * len(held)
     assert not any(model.repair(x, n.edits(x)) for x in names)
+
+
+def test_gaps_pairs_and_headings_of_both_pages(spark):
+    """Planted lost, extra and twice misread characters, and different headings on facing pages."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abdefgiklmnoprstuvy", k=9)) for _ in range(500)})
+    neighbours = editor.Neighbours(words)
+    lost = [(w[:3] + w[4:], w) for w in words]
+    extra = [(w[:3] + "x" + w[3:], w) for w in words]
+    twice = [(w.replace("l", "1", 1).replace("r", "7", 1), w) for w in words if "l" in w and "r" in w]
+    single = [(w.replace("l", "1", 1), w) for w in words if "l" in w] + [(w.replace("r", "7", 1), w) for w in words if "r" in w]
+    one_way = lambda pairs, edits: [(b, w) for b, w in pairs if {b[:i] + r + b[i + len(x) :] for i, x, r in edits(b)} == {w}]
+    lost = [p for p in one_way(lost, neighbours.gaps) if not neighbours.edits(p[0])]
+    extra = [p for p in one_way(extra, neighbours.gaps) if not neighbours.edits(p[0])]
+    sample = [*lost[::2], *extra[::2], *single]
+    model = editor.train([(b, 1) for b, _ in sample], [], neighbours)
+    judge = repair.Words(neighbours, model)
+    for planted in (lost[1::2], extra[1::2], twice):
+        assert len(planted) >= 5
+        assert sum(judge.repaired(b) == ("respelt", w) for b, w in planted) >= 0.9 * len(planted)
+    assert judge.repaired("q" * 100_000) is None
+    left, right = "Tullbok Torpa 1882", "Norra Vedbo domsaga"
+    df, at = table(spark, [(i, 3, [right if i % 2 else left, f"{name(i)} hade lada", f"{name(i + 60)} och regn"]) for i in range(30)])
+    got = kinds(repair.repair(df, lexicon(spark)))
+    assert sum(got.get(at[i, 0]) == {"running_header"} for i in range(30)) >= 27
+
+
+def test_marked_breaks_of_other_words(spark):
+    df, at = table(spark, [(1, 1, ["den Lindq-", "vist och Karl-", "Johan vid sommar-", "lada."])])
+    found = repair.repair(df, lexicon(spark))
+    assert kinds(found) == {at[1, 0]: {"joined"}, at[1, 1]: {"joined"}, at[1, 2]: {"split_word"}}
+    assert " ".join(r.text for r in repair.paragraphs(found).orderBy("paragraph_no").collect()) == "den Lindqvist och Karl-Johan vid sommarlada."
