@@ -70,7 +70,7 @@ def test_shapes(spark, data, lines):
 
 def test_ngrams(spark, data, lines):
     counts = {n: Counter(g for *_, t in lines for g in windows(collapsed(t), n)) for n in (3, 4)}
-    top = {r.gram: r.cnt for r in queries.ngram_top_whole(spark, data).collect()}
+    top = {r.gram: r.cnt for r in queries.ngram_top(spark, data).collect()}
     assert len(top) == 200 and all(counts[4][g] == c for g, c in top.items()) and any(not g.isascii() for g in top)
     assert sorted(top.values()) == sorted(sorted(counts[4].values())[-200:])
     ratios = got(spark, data, "ngram_ratio")
