@@ -87,13 +87,59 @@ class Tree:
 class Model:
     """Sum of trees over a base value."""
 
-    def __init__(self, features: Sequence[str], base: float, trees: list[Tree], params: Params, best_iteration: int) -> None:
+    def __init__(self, features: Sequence[str], base: float, trees: list[Tree], params: Params, best_iteration: int, valid_error: float | None = None) -> None:
         self.features, self.base, self.trees, self.params, self.best_iteration = list(features), base, trees, params, best_iteration
+        #: Mean absolute error over the validation rows it was trained with; not saved.
+        self.valid_error = valid_error
+        self._ready: tuple | None = None
+
+    def _prepared(self) -> tuple[list[np.ndarray], list[tuple[np.ndarray, ...]]]:
+        """(sorted cuts of each feature; per tree its depth, features, cuts by number, missing_left, children in pairs and values)."""
+        if self._ready is None:
+            used: list[list[np.ndarray]] = [[] for _ in self.features]
+            arrays = [tuple(np.array(v) for v in (t.feature, t.cut, t.missing_left, t.left, t.right, t.value)) for t in self.trees]
+            for feature, cut, *_ in arrays:
+                for j in np.unique(feature[feature >= 0]):
+                    used[j].append(cut[feature == j])
+            cuts = [np.unique(np.concatenate(u)) if u else np.zeros(0) for u in used]
+            trees = []
+            for feature, cut, miss, left, right, value in arrays:
+                number, own = np.zeros(len(cut), dtype=np.intp), np.arange(len(cut))
+                for j in np.unique(feature[feature >= 0]):
+                    number[feature == j] = np.searchsorted(cuts[j], cut[feature == j])
+                leaf = feature < 0
+                child = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).ravel()
+                depth, level = 0, np.zeros(1, dtype=int)
+                while not leaf[level].all():
+                    depth, level = depth + 1, np.unique(child.reshape(-1, 2)[level])
+                trees.append((depth, np.where(leaf, 0, feature), number, miss, child, value))
+            self._ready = cuts, trees
+        return self._ready
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for t in self.trees:
-            out += np.array(t.value)[t.leaves(x)]
+        """Sum over the trees; rows are led by the numbers of the cuts that their values reach."""
+        cuts, trees = self._prepared()
+        n = len(x)
+        out = np.full(n, self.base)
+        if not n or not len(cuts):
+            return out + sum(t[5][0] for t in trees)
+        last = max(len(c) for c in cuts) + 1
+        codes = np.full((len(cuts), n), last, dtype=np.min_scalar_type(last))
+        for j, c in enumerate(cuts):
+            known = ~np.isnan(x[:, j])
+            codes[j, known] = np.searchsorted(c, x[known, j], side="right")
+        gaps, flat, row = bool((codes == last).any()), codes.ravel(), np.arange(n)
+        for depth, feature, number, miss, child, value in trees:
+            begin, above, at = feature * n, number.astype(codes.dtype), np.zeros(n, dtype=np.intp)
+            for _ in range(depth):
+                code = flat.take(begin.take(at) + row)
+                right = code > above.take(at)
+                if gaps:
+                    right &= ~((code == last) & miss.take(at))
+                at <<= 1
+                at += right
+                at = child.take(at)
+            out += value.take(at)
         return out
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -159,88 +205,241 @@ def _edges(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _grow(codes: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, columns: np.ndarray, p: Params, rng: np.random.Generator) -> Tree:
-    t = Tree()
+#: Nodes of a level whose rows are split by comparing whole columns; levels with more look each row's cut up.
+COMPARED = 16
+#: Joint columns that are kept, and sets of columns whose cells are.
+KEPT = 64
+
+
+class _Binned:
+    """A matrix as bin numbers, one row per column; missing values have the last number."""
+
+    def __init__(self, codes: np.ndarray, edges: list[np.ndarray], bins: int) -> None:
+        self.codes, self.edges, self.bins, self.n = codes, edges, bins, codes.shape[1]
+        self.missing = [bool((c == bins - 1).any()) for c in codes]
+        self.rows = np.arange(self.n)
+        self._joint: dict = {}
+        self._cells: dict = {}
+
+    @staticmethod
+    def of(x: np.ndarray, edges: list[np.ndarray]) -> _Binned:
+        bins = max((len(e) for e in edges), default=0) + 2
+        codes = np.full((len(edges), len(x)), bins - 1, dtype=np.uint8)
+        for j, e in enumerate(edges):
+            known = ~np.isnan(x[:, j])
+            codes[j, known] = np.searchsorted(e, x[known, j], side="right")
+        return _Binned(codes, edges, bins)
+
+    def joint(self, a: int, b: int) -> np.ndarray:
+        """Bin numbers of two columns as one number."""
+        if (found := self._joint.get((a, b))) is None:
+            found = self.codes[a].astype(np.int16) * np.int16(self.bins) + self.codes[b]
+            if len(self._joint) < KEPT:
+                self._joint[a, b] = found
+        return found
+
+    def cells(self, columns: np.ndarray) -> tuple[_Binned, np.ndarray] | None:
+        """Distinct rows of these columns and the one of each row, where they are less than half as many; None if not, or if sets of so many columns are too many to keep."""
+        d, k = len(self.codes), len(columns)
+        if k > 10 or math.comb(d, k) > KEPT // 4:
+            return None
+        key = tuple(columns)
+        if key not in self._cells:
+            at = np.zeros(self.n, dtype=np.int64)
+            for j in key:
+                at = at * self.bins + self.codes[j]
+            _, first, inverse = np.unique(at, return_index=True, return_inverse=True)
+            self._cells[key] = (_Binned(np.ascontiguousarray(self.codes[:, first]), self.edges, self.bins), inverse.reshape(-1)) if 2 * len(first) < self.n else None
+        return self._cells[key]
+
+    def sums(self, columns: np.ndarray, rows: np.ndarray | None, slot: np.ndarray | None, slots: int, grad: np.ndarray, hess: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of gradients and hessians by slot, column and bin, over ``rows`` (None: the first ``limit``)."""
+        s = self.bins
+        out = np.empty((2, slots, len(columns), s))
+        pick = (lambda v: v[:limit]) if rows is None else (lambda v: v.take(rows))
+        g, h = pick(grad), None if hess is None else pick(hess)
+
+        def add(code: np.ndarray, width: int) -> list[np.ndarray]:
+            at = pick(code) if slot is None else slot * width + pick(code)
+            return [np.bincount(at, weights=w, minlength=slots * width).reshape(slots, width) for w in (g, h)]
+
+        i = 0
+        while i < len(columns):
+            # Two columns at once, where their joint bins are few beside the rows.
+            if i + 1 < len(columns) and 2 * slots * s * s <= len(g):
+                for o, v in zip(out, add(self.joint(columns[i], columns[i + 1]), s * s)):
+                    v = v.reshape(slots, s, s)
+                    o[:, i], o[:, i + 1] = v.sum(axis=2), v.sum(axis=1)
+                i += 2
+            else:
+                for o, v in zip(out, add(self.codes[columns[i]], s)):
+                    o[:, i] = v
+                i += 1
+        return out[0], out[1]
+
+
+def _grow(b: _Binned, grad: np.ndarray, hess: np.ndarray | None, use: np.ndarray | None, columns: np.ndarray, p: Params, rng: np.random.Generator, exact: bool = True) -> tuple[Tree, np.ndarray]:
+    """(tree, its value for every row of ``b``), grown level by level.
+
+    Gradients are those of the first rows, ``use`` of them (None: all); the rest is only led to its leaves.
+    Without ``hess`` each row counts 1. With ``exact`` hessians (whole numbers) only the smaller child of a
+    node is summed up, the other one is the difference.
+    """
+    t, n, s = Tree(), len(grad), b.bins
+    any_missing = any(b.missing[j] for j in columns)
+    open_bins = np.array([[i < len(b.edges[j]) for i in range(s - 1)] for j in columns])
 
     def shrunk(g):
         """Sums of gradients drawn towards 0 by reg_alpha."""
         return np.sign(g) * np.maximum(np.abs(g) - p.reg_alpha, 0.0) if p.reg_alpha else g
 
-    def node(rows: np.ndarray) -> int:
-        g, h = grad[rows].sum(), hess[rows].sum()
-        for column, v in zip((t.feature, t.cut, t.missing_left, t.left, t.right, t.value, t.gain, t.cover), (-1, 0.0, True, -1, -1, float(-shrunk(g) / (h + p.reg_lambda) * p.learning_rate), 0.0, float(h))):
-            column.append(v)
-        return len(t.feature) - 1
-
-    queue = [(node(rows), rows, 0)]
-    while queue:
-        me, rows, depth = queue.pop()
-        if depth >= p.max_depth or len(rows) < 2:
-            continue
-        g, h = grad[rows], hess[rows]
-        total_g, total_h = g.sum(), h.sum()
-        parent = shrunk(total_g) ** 2 / (total_h + p.reg_lambda)
-        best = (1e-12, -1, 0, True)
-        few = columns if p.colsample_node >= 1 else np.sort(rng.permutation(columns)[: max(1, round(p.colsample_node * len(columns)))])
-        for j in few:
-            k = len(edges[j])
-            if not k:
-                continue
-            c = codes[rows, j]
-            sum_g = np.bincount(c, weights=g, minlength=k + 2)
-            sum_h = np.bincount(c, weights=h, minlength=k + 2)
-            gl, hl = np.cumsum(sum_g[:k]), np.cumsum(sum_h[:k])
-            for with_missing in (True, False):
-                a = gl + sum_g[k + 1] if with_missing else gl
-                b = hl + sum_h[k + 1] if with_missing else hl
-                ok = (b >= p.min_child) & (total_h - b >= p.min_child)
-                gain = np.where(ok, shrunk(a) ** 2 / (b + p.reg_lambda) + shrunk(total_g - a) ** 2 / (total_h - b + p.reg_lambda) - parent, -np.inf) / 2 - p.gamma
-                i = int(gain.argmax())
-                if gain[i] > best[0]:
-                    best = (float(gain[i]), int(j), i, with_missing)
-        gain, j, i, with_missing = best
-        if j < 0:
-            continue
-        c = codes[rows, j]
-        left = np.where(c == len(edges[j]) + 1, with_missing, c <= i)
-        t.feature[me], t.cut[me], t.missing_left[me], t.gain[me] = j, float(edges[j][i]), with_missing, gain
-        for side, part in (("left", rows[left]), ("right", rows[~left])):
-            child = node(part)
-            getattr(t, side)[me] = child
-            queue.append((child, part, depth + 1))
-    return t
+    def nodes(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        k, first = len(g), len(t.feature)
+        for column, v in zip((t.feature, t.cut, t.missing_left, t.left, t.right, t.gain), (-1, 0.0, True, -1, -1, 0.0)):
+            column.extend([v] * k)
+        t.value.extend((-shrunk(g) / (h + p.reg_lambda) * p.learning_rate).tolist())
+        t.cover.extend(h.tolist())
+        return np.arange(first, first + k)
+
+    rows = None if use is None else np.flatnonzero(use)
+    sums_g, sums_h = b.sums(columns, rows, None, 1, grad, hess, n)
+    # By slot: its node, and its place among the open nodes of the level (-1: a leaf).
+    tot_g, tot_h = sums_g[:, 0].sum(axis=1), sums_h[:, 0].sum(axis=1)
+    node, place = nodes(tot_g, tot_h), np.zeros(1, dtype=int)
+    pos = np.zeros(b.n, dtype=np.uint8)
+    for depth in range(p.max_depth):
+        # --- the best split of every open node
+        k = len(tot_g)
+        gl, hl = sums_g[:, :, None, :-1].cumsum(axis=3), sums_h[:, :, None, :-1].cumsum(axis=3)
+        if any_missing:
+            gl, hl = np.concatenate([gl + sums_g[:, :, None, -1:], gl], axis=2), np.concatenate([hl + sums_h[:, :, None, -1:], hl], axis=2)
+        g, h = tot_g[:, None, None, None], tot_h[:, None, None, None]
+        ok = (hl >= p.min_child) & (h - hl >= p.min_child) & open_bins[:, None, :]
+        if p.colsample_node < 1:
+            few = rng.random((k, len(columns))).argsort(axis=1).argsort(axis=1) < max(1, round(p.colsample_node * len(columns)))
+            ok &= few[:, :, None, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(ok, shrunk(gl) ** 2 / (hl + p.reg_lambda) + shrunk(g - gl) ** 2 / (h - hl + p.reg_lambda) - shrunk(g) ** 2 / (h + p.reg_lambda), -np.inf) / 2 - p.gamma
+        best = gain.reshape(k, -1).argmax(axis=1)
+        top = gain.reshape(k, -1)[np.arange(k), best]
+        split = top > 1e-12
+        if not split.any():
+            break
+        which, way, cut = np.unravel_index(best, gain.shape[1:])
+        left_g, left_h = gl.reshape(k, -1)[np.arange(k), best], hl.reshape(k, -1)[np.arange(k), best]
+        # --- its rows
+        m = len(node)
+        parents = np.flatnonzero(place >= 0)
+        parents = parents[split[place[parents]]]
+        of = place[parents]
+        feature = columns[which[of]]
+        for q, j, i, w, r in zip(node[parents].tolist(), feature.tolist(), cut[of].tolist(), way[of].tolist(), top[of].tolist()):
+            t.feature[q], t.cut[q], t.missing_left[q], t.gain[q] = j, float(b.edges[j][i]), w == 0, r
+        if len(parents) <= COMPARED and pos.dtype == np.uint8:
+            right = np.zeros(b.n, dtype=bool)
+            for q, j, i, w in zip(parents.tolist(), feature.tolist(), cut[of].tolist(), way[of].tolist()):
+                there = b.codes[j] > i
+                if b.missing[j] and w == 0:
+                    there &= b.codes[j] != s - 1
+                if m > 1:
+                    there &= pos == np.uint8(q)
+                right |= there
+        else:
+            at = pos.astype(np.intp)
+            begin, above, stays = np.zeros(m, dtype=np.intp), np.full(m, 255, dtype=np.uint8), np.zeros(m, dtype=bool)
+            begin[parents], above[parents], stays[parents] = feature * b.n, cut[of], way[of] == 0
+            code = b.codes.ravel().take(begin.take(at) + b.rows)
+            right = code > above.take(at)
+            if any_missing:
+                right &= ~((code == s - 1) & stays.take(at))
+        # --- the slots of the next level: a left and a right one for each, or, if these are too many for bytes, one for each leaf
+        child_g, child_h = np.stack([left_g[of], tot_g[of] - left_g[of]], axis=1), np.stack([left_h[of], tot_h[of] - left_h[of]], axis=1)
+        made = nodes(child_g.ravel(), child_h.ravel()).reshape(-1, 2)
+        for q, (x, y) in zip(node[parents].tolist(), made.tolist()):
+            t.left[q], t.right[q] = x, y
+        ids = np.repeat(node, 2)
+        ids[2 * parents], ids[2 * parents + 1] = made[:, 0], made[:, 1]
+        opened = np.full(2 * m, -1)
+        opened[2 * parents], opened[2 * parents + 1] = 2 * np.arange(len(parents)), 2 * np.arange(len(parents)) + 1
+        if 2 * m <= 256:
+            pos = (pos << 1) | right.view(np.uint8)
+            node, place = ids, opened
+        else:
+            kept = np.ones(2 * m, dtype=bool)
+            kept[1::2] = False
+            kept[2 * parents + 1] = True
+            pos = (np.cumsum(kept) - 1).take((pos.astype(np.intp) << 1) | right)
+            node, place = ids[kept], opened[kept]
+        tot_g, tot_h = child_g.ravel(), child_h.ravel()
+        if depth + 1 == p.max_depth:
+            break
+        # --- their sums
+        k = len(parents)
+        small = 2 * np.arange(k) + (child_h[:, 1] < child_h[:, 0]) if exact else np.arange(2 * k)
+        number = np.full(2 * k + 1, -1)
+        number[small] = np.arange(len(small))
+        number = number[place]
+        if len(small) <= COMPARED // 2 and pos.dtype == np.uint8:
+            chosen = np.zeros(n, dtype=bool)
+            for q in np.flatnonzero(number >= 0):
+                chosen |= pos[:n] == np.uint8(q)
+        else:
+            chosen = (number >= 0).take(pos[:n].astype(np.intp))
+        if use is not None:
+            chosen &= use
+        rows = np.flatnonzero(chosen)
+        some_g, some_h = b.sums(columns, rows, number.take(pos.take(rows).astype(np.intp)), len(small), grad, hess, n)
+        if exact:
+            next_g, next_h = np.empty((2 * k, *some_g.shape[1:])), np.empty((2 * k, *some_g.shape[1:]))
+            next_g[small], next_h[small] = some_g, some_h
+            next_g[small ^ 1], next_h[small ^ 1] = sums_g[of] - some_g, sums_h[of] - some_h
+            next_g[next_h == 0] = 0.0
+            sums_g, sums_h = next_g, next_h
+        else:
+            sums_g, sums_h = some_g, some_h
+    return t, np.array(t.value)[node].take(pos.astype(np.intp))
 
 
 def train(x: np.ndarray, y: np.ndarray, features: Sequence[str], p: Params, weight: np.ndarray | None = None, valid: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
-    """Squared-error boosting; with validation rows it stops after ``patience`` rounds without a lower absolute error."""
+    """Squared-error boosting; with validation rows it stops after ``patience`` rounds without a lower absolute error.
+
+    Rows that are alike in the columns of a tree are summed up first, where that leaves less than half of them.
+    """
     rng = np.random.default_rng(p.seed)
-    w = np.ones(len(y)) if weight is None else np.asarray(weight, dtype=float)
-    edges = _edges(x)
-    codes = np.stack([np.where(np.isfinite(x[:, j]), np.searchsorted(e, x[:, j], side="right"), len(e) + 1) for j, e in enumerate(edges)], axis=1) if x.shape[1] else np.zeros((len(y), 0), dtype=int)
-    base = float(np.average(y, weights=w)) if len(y) else 0.0
-    fit = np.full(len(y), base)
+    n, w = len(y), None if weight is None else np.asarray(weight, dtype=float)
+    binned = _Binned.of(x if valid is None else np.concatenate([x, valid[0]]), _edges(x))
+    base = float(np.average(y, weights=w)) if n else 0.0
+    fit = np.full(binned.n, base) if x.shape[1] else np.full(n + (0 if valid is None else len(valid[1])), base)
     trees: list[Tree] = []
     best, best_at = math.inf, 0
-    seen = None if valid is None else np.full(len(valid[1]), base)
     for i in range(p.n_trees):
-        rows = np.flatnonzero(rng.random(len(y)) < p.subsample) if p.subsample < 1 else np.arange(len(y))
+        use = rng.random(n) < p.subsample if p.subsample < 1 else None
         columns = np.sort(rng.permutation(x.shape[1])[: max(1, round(p.colsample * x.shape[1]))])
-        if not len(rows) or not len(columns):
+        if not n or not len(columns) or use is not None and not use.any():
             break
-        t = _grow(codes, edges, w * (fit - y), w, rows, columns, p, rng)
+        grad = fit[:n] - y
+        if w is not None:
+            grad *= w
+        if cells := binned.cells(columns):
+            of, inverse = cells[0], cells[1][:n]
+            if use is not None:
+                grad = grad * use
+            hess = np.bincount(inverse, weights=use if w is None else w if use is None else w * use, minlength=of.n).astype(float)
+            t, values = _grow(of, np.bincount(inverse, weights=grad, minlength=of.n), hess, hess > 0, columns, p, rng, w is None)
+            values = values.take(cells[1])
+        else:
+            t, values = _grow(binned, grad, w, use, columns, p, rng, w is None)
         trees.append(t)
-        values = np.array(t.value)
-        fit += values[t.leaves(x)]
-        if seen is not None:
-            seen += values[t.leaves(valid[0])]
-            error = float(np.abs(seen - valid[1]).mean())
+        fit += values
+        if valid is not None:
+            error = float(np.abs(fit[n:] - valid[1]).mean())
             if error < best:
                 best, best_at = error, i
             elif i - best_at >= p.patience:
                 break
-    if seen is not None:
+    if valid is not None:
         trees = trees[: best_at + 1]
-    return Model(features, base, trees, p, best_at if seen is not None else len(trees) - 1)
+    return Model(features, base, trees, p, best_at if valid is not None else len(trees) - 1, best if valid is not None and trees else None)
 
 
 def matrix(df: DataFrame, features: Sequence[str], target: str, key: str) -> pd.DataFrame:
@@ -261,12 +460,13 @@ def trials(n: int, seed: int = 42, grid: dict = GRID) -> list[dict]:
     return [{k: rng.choice(v) for k, v in grid.items()} for _ in range(n)]
 
 
-def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], key: str, n_trials: int = 20, most_trees: int | None = None, seed: int = 42) -> DataFrame:
+def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], key: str, n_trials: int = 20, most_trees: int | None = None, seed: int = 42, models: bool = True) -> DataFrame:
     """Random search over target × feature set × trial as one job: target, feature_set, trial, params_json, n_features, n_train, n_val, val_mae, best_iteration, model_json.
 
     ``df`` has the features, targets and split (train or val). Targets with fewer than ten rows give no
     row. Trials take their number of trees from the grid, at most ``most_trees`` if that is given, and stop early.
     The matrices are sent to the workers one target at a time; each has at most MAX_ROWS rows and MAX_CELLS cells.
+    Each trial is a task of its own, the longest first. Without ``models`` model_json is null.
     """
     spark = df.sparkSession
     every = sorted({c for columns in sets.values() for c in columns})
@@ -274,7 +474,7 @@ def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str]
     for t in targets:
         m = matrix(df, every, t, key)
         if len(m) >= 10:
-            data[t] = m
+            data[t] = (m[every].to_numpy(float), m[t].to_numpy(float), (m["split"] == "train").to_numpy(), (m["split"] == "val").to_numpy())
     # One broadcast per target: a task reads the matrices of its own work items only.
     shared = {t: spark.sparkContext.broadcast(m) for t, m in data.items()}
     names = {k: list(v) for k, v in sets.items()}
@@ -291,17 +491,23 @@ def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str]
         for batch in batches:
             rows = []
             for t, s, i, p in batch.itertuples(index=False):
-                m = shared[t].value
+                x, y, tr, va = shared[t].value
                 columns = names[s]
-                tr, va = m[m["split"] == "train"], m[m["split"] == "val"]
-                held = (va[columns].to_numpy(float), va[t].to_numpy(float)) if len(va) else None
-                model = train(tr[columns].to_numpy(float), tr[t].to_numpy(float), columns, chosen(p, i), valid=held)
-                error = float(np.abs(model.predict(held[0]) - held[1]).mean()) if held else float("nan")
-                rows.append((t, s, i, p, len(columns), len(tr), len(va), error, model.best_iteration, model.to_json()))
+                x = x[:, [every.index(c) for c in columns]]
+                held = (x[va], y[va]) if va.any() else None
+                model = train(x[tr], y[tr], columns, chosen(p, i), valid=held)
+                error = float("nan") if held is None else model.valid_error if model.valid_error is not None else float(np.abs(model.predict(held[0]) - held[1]).mean())
+                rows.append((t, s, i, p, len(columns), int(tr.sum()), int(va.sum()), error, model.best_iteration, model.to_json() if models else None))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
 
-    work = spark.createDataFrame(items, "target string, feature_set string, trial int, params_json string")
-    return work.repartition(min(len(items), 200)).mapInPandas(run, schema)
+    def effort(item: tuple) -> float:
+        p = chosen(item[3], item[2])
+        return p.n_trees * p.max_depth * max(1, round(p.colsample * len(names[item[1]])))
+
+    # Tasks start in the order of their partitions.
+    items.sort(key=lambda item: -effort(item))
+    work = spark.createDataFrame(spark.sparkContext.parallelize(items, len(items)), "target string, feature_set string, trial int, params_json string")
+    return work.mapInPandas(run, schema)
 
 
 def best_trials(searched: DataFrame) -> DataFrame:

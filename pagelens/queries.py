@@ -386,7 +386,7 @@ def correlated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"full": list(FEATURES), "confidence_only": matrix.feature_set("confidence_only", FEATURES)}
-    found = boosting.search(_clean(spark, sf_dir), sets, ["target_bow_f1", "target_perm_cer_strict"], "row_no")
+    found = boosting.search(_clean(spark, sf_dir), sets, ["target_bow_f1", "target_perm_cer_strict"], "row_no", models=False)
     return boosting.best_trials(durable(found)).drop("model_json")
 
 
