@@ -17,7 +17,8 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.runtime import collect_small, durable
@@ -91,6 +92,8 @@ class Model:
         self.features, self.base, self.trees, self.params, self.best_iteration = list(features), base, trees, params, best_iteration
         #: Mean absolute error over the validation rows it was trained with; not saved.
         self.valid_error = valid_error
+        #: Its JSON on the executors; scoring and selection then need no trees here.
+        self.sent: Broadcast | None = None
         self._ready: tuple | None = None
 
     def _prepared(self) -> tuple[list[np.ndarray], list[tuple[np.ndarray, ...]]]:
@@ -128,18 +131,21 @@ class Model:
         for j, c in enumerate(cuts):
             known = ~np.isnan(x[:, j])
             codes[j, known] = np.searchsorted(c, x[known, j], side="right")
-        gaps, flat, row = bool((codes == last).any()), codes.ravel(), np.arange(n)
-        for depth, feature, number, miss, child, value in trees:
-            begin, above, at = feature * n, number.astype(codes.dtype), np.zeros(n, dtype=np.intp)
-            for _ in range(depth):
-                code = flat.take(begin.take(at) + row)
-                right = code > above.take(at)
-                if gaps:
-                    right &= ~((code == last) & miss.take(at))
-                at <<= 1
-                at += right
-                at = child.take(at)
-            out += value.take(at)
+        for first in range(0, n, PREDICTED):
+            part = np.ascontiguousarray(codes[:, first : first + PREDICTED])
+            k, flat, total = part.shape[1], part.ravel(), out[first : first + PREDICTED]
+            gaps, row = bool((part == last).any()), np.arange(k)
+            for depth, feature, number, miss, child, value in trees:
+                begin, above, at = feature * k, number.astype(codes.dtype), np.zeros(k, dtype=np.intp)
+                for _ in range(depth):
+                    code = flat.take(begin.take(at) + row)
+                    right = code > above.take(at)
+                    if gaps:
+                        right &= ~((code == last) & miss.take(at))
+                    at <<= 1
+                    at += right
+                    at = child.take(at)
+                total += value.take(at)
         return out
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -207,6 +213,8 @@ def _edges(x: np.ndarray) -> list[np.ndarray]:
 
 #: Nodes of a level whose rows are split by comparing whole columns; levels with more look each row's cut up.
 COMPARED = 16
+#: Rows that are led through all trees together.
+PREDICTED = 8192
 #: Joint columns that are kept, and sets of columns whose cells are.
 KEPT = 64
 
@@ -451,6 +459,16 @@ def matrix(df: DataFrame, features: Sequence[str], target: str, key: str) -> pd.
     return rows.toPandas().sort_values(key, kind="stable")
 
 
+def matrices(df: DataFrame, features: Sequence[str], targets: Sequence[str], key: str) -> dict[str, Broadcast]:
+    """Per target with ten rows or more its features, values, and which rows are train and val, for the executors."""
+    found = {}
+    for t in targets:
+        m = matrix(df, features, t, key)
+        if len(m) >= 10:
+            found[t] = df.sparkSession.sparkContext.broadcast((m[list(features)].to_numpy(float), m[t].to_numpy(float), (m["split"] == "train").to_numpy(), (m["split"] == "val").to_numpy()))
+    return found
+
+
 def trials(n: int, seed: int = 42, grid: dict = GRID) -> list[dict]:
     """Seeded random points of the grid; for n = 0 the one point of the base parameters."""
     if n == 0:
@@ -460,25 +478,21 @@ def trials(n: int, seed: int = 42, grid: dict = GRID) -> list[dict]:
     return [{k: rng.choice(v) for k, v in grid.items()} for _ in range(n)]
 
 
-def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], key: str, n_trials: int = 20, most_trees: int | None = None, seed: int = 42, models: bool = True) -> DataFrame:
+def search(df: DataFrame, sets: dict[str, Sequence[str]], targets: Sequence[str], key: str, n_trials: int = 20, most_trees: int | None = None, seed: int = 42, models: bool = True, shared: dict[str, Broadcast] | None = None) -> DataFrame:
     """Random search over target × feature set × trial as one job: target, feature_set, trial, params_json, n_features, n_train, n_val, val_mae, best_iteration, model_json.
 
     ``df`` has the features, targets and split (train or val). Targets with fewer than ten rows give no
     row. Trials take their number of trees from the grid, at most ``most_trees`` if that is given, and stop early.
     The matrices are sent to the workers one target at a time; each has at most MAX_ROWS rows and MAX_CELLS cells.
     Each trial is a task of its own, the longest first. Without ``models`` model_json is null.
+    ``shared``: the matrices of all features of the sets in order of name, where they are at hand.
     """
     spark = df.sparkSession
     every = sorted({c for columns in sets.values() for c in columns})
-    data = {}
-    for t in targets:
-        m = matrix(df, every, t, key)
-        if len(m) >= 10:
-            data[t] = (m[every].to_numpy(float), m[t].to_numpy(float), (m["split"] == "train").to_numpy(), (m["split"] == "val").to_numpy())
     # One broadcast per target: a task reads the matrices of its own work items only.
-    shared = {t: spark.sparkContext.broadcast(m) for t, m in data.items()}
+    shared = matrices(df, every, targets, key) if shared is None else shared
     names = {k: list(v) for k, v in sets.items()}
-    items = [(t, s, i, json.dumps(p)) for (t, s), (i, p) in itertools.product(itertools.product(data, names), enumerate(trials(n_trials, seed)))]
+    items = [(t, s, i, json.dumps(p)) for (t, s), (i, p) in itertools.product(itertools.product(shared, names), enumerate(trials(n_trials, seed)))]
     schema = "target string, feature_set string, trial int, params_json string, n_features int, n_train long, n_val long, val_mae double, best_iteration int, model_json string"
     if not items:
         return spark.createDataFrame([], schema)
@@ -519,13 +533,13 @@ def score(df: DataFrame, model: Model, output: str, fill: float = float("nan"))
     """``df`` with the model's prediction; missing feature columns are filled, nulls are missing values."""
     from pagelens.operators.matrix import aligned
 
-    text = model.to_json()
+    sent, text = model.sent, model.to_json() if model.sent is None else None
     names = aligned(df, model.features, fill).columns
     inputs = [F.col(c).cast("double") if c in df.columns else F.lit(fill) for c in names]
 
     @F.pandas_udf("double")
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        m = Model.from_json(text)
+        m = Model.from_json(text if sent is None else sent.value)
         for rows in batches:
             yield pd.Series(m.predict(rows.to_numpy(float)))
 
@@ -549,36 +563,95 @@ def score_test_set(df: DataFrame, model: Model, target: str, key: str) -> tuple[
     return rows, rows.agg(F.lit(target).alias("target"), F.count("gt").alias("n"), F.avg(F.abs(F.col("gt") - F.col("pred"))).alias("mae"))
 
 
+def _rises(model: Model, x: np.ndarray, y: np.ndarray, base: float, j: int, repeats: int, seed: int) -> list[float]:
+    """Rises in absolute error over ``base`` when feature ``j`` is shuffled, by the draws that follow those of the features before it."""
+    rng = np.random.default_rng(seed)
+    for i in range(j * repeats):
+        rng.permutation(x[:, i // repeats])
+    rises, z = [], x.copy()
+    for _ in range(repeats):
+        z[:, j] = rng.permutation(x[:, j])
+        rises.append(np.abs(model.predict(z) - y).mean() - base)
+    return rises
+
+
 def permutation_importance(model: Model, x: np.ndarray, y: np.ndarray, repeats: int = 3, seed: int = 42) -> list[tuple[str, float, float]]:
     """(feature, mean, deviation) of the rise in absolute error when the feature's values are shuffled; largest first."""
-    rng = np.random.default_rng(seed)
     base = np.abs(model.predict(x) - y).mean()
-    rows = []
-    for j, name in enumerate(model.features):
-        rises = []
-        for _ in range(repeats):
-            z = x.copy()
-            z[:, j] = rng.permutation(z[:, j])
-            rises.append(np.abs(model.predict(z) - y).mean() - base)
-        rows.append((name, float(np.mean(rises)), float(np.std(rises))))
-    return sorted(rows, key=lambda r: (-r[1], r[0]))
+    rows = [(name, _rises(model, x, y, base, j, repeats, seed)) for j, name in enumerate(model.features)]
+    return sorted(((name, float(np.mean(r)), float(np.std(r))) for name, r in rows), key=lambda r: (-r[1], r[0]))
 
 
-def stability_selection(x: np.ndarray, y: np.ndarray, valid: tuple[np.ndarray, np.ndarray], features: Sequence[str], p: Params, rounds: int = 10, top: int = 20, least: float = 0.6, seed: int = 42) -> tuple[list[str], dict[str, float]]:
-    """Features among the top ones in at least that share of bootstrap rounds, and how often each was; the most frequent if none is."""
+def sent(spark: SparkSession, text: str, features: Sequence[str], params: Params, best_iteration: int, valid_error: float | None) -> tuple[Model, list[dict]]:
+    """(a saved model that is on the executors only, its importances): trees of large models are not held on the driver."""
+    model = Model(features, 0.0, [], params, best_iteration, valid_error)
+    model.sent = shared = spark.sparkContext.broadcast(text)
+    return model, spark.sparkContext.parallelize([0], 1).map(lambda _: Model.from_json(shared.value).importances()).first()
+
+
+def selected(spark: SparkSession, model: Model, shared: Broadcast, features: Sequence[str], how: str, top: int, seed: int = 42) -> list[str]:
+    """The model's features that permutation or stability selection chooses over its validation rows, most important first.
+
+    ``features`` names the columns of the shared matrix. A task shuffles one feature, or does one bootstrap round.
+    """
+    columns, text = [list(features).index(c) for c in model.features], model.sent or spark.sparkContext.broadcast(model.to_json())
+    base, rounds = model.valid_error, 10
+
+    def run(i: int) -> list[tuple[str, float]]:
+        x, y, tr, va = shared.value
+        x, m = x[:, columns], Model.from_json(text.value)
+        if how == "permutation":
+            error = np.abs(m.predict(x[va]) - y[va]).mean() if base is None else base
+            return [(m.features[i], float(np.mean(_rises(m, x[va], y[va], error, i, 3, seed))))]
+        return [(f, 1.0) for f in stable_round(x[tr], y[tr], (x[va], y[va]), m.features, m.params, i, top, seed)]
+
+    n = len(model.features) if how == "permutation" else rounds
+    found = [r for part in spark.sparkContext.parallelize(range(n), n).map(run).collect() for r in part] if n else []
+    if how == "permutation":
+        return [f for f, _ in sorted(found, key=lambda r: (-r[1], r[0]))[:top]]
+    return most_stable([f for f, _ in found], model.features, rounds, top)[0]
+
+
+def refitted(spark: SparkSession, work: Sequence[tuple[str, str, Params, Sequence[str]]], shared: dict[str, Broadcast], features: Sequence[str]) -> DataFrame:
+    """Models of (target, feature set, parameters, features) trained as one task each: target, feature_set, val_mae, best_iteration, model_json."""
+    columns, items = list(features), [(t, s, json.dumps(asdict(p)), list(names)) for t, s, p, names in work]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, s, p, names in batch.itertuples(index=False):
+                x, y, tr, va = shared[t].value
+                names = list(names)
+                x = x[:, [columns.index(c) for c in names]]
+                model = train(x[tr], y[tr], names, Params(**json.loads(p)), valid=(x[va], y[va]))
+                error = model.valid_error if model.valid_error is not None else float(np.abs(model.predict(x[va]) - y[va]).mean())
+                yield pd.DataFrame([(t, s, error, model.best_iteration, model.to_json())], columns=["target", "feature_set", "val_mae", "best_iteration", "model_json"])
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(items, len(items)), "target string, feature_set string, params string, features array<string>")
+    return rows.mapInPandas(run, "target string, feature_set string, val_mae double, best_iteration int, model_json string")
+
+
+def stable_round(x: np.ndarray, y: np.ndarray, valid: tuple[np.ndarray, np.ndarray], features: Sequence[str], p: Params, i: int, top: int, seed: int) -> list[str]:
+    """The top features that help a model of the i-th bootstrap sample."""
     rng = np.random.default_rng(seed)
-    counts = dict.fromkeys(features, 0)
-    for i in range(rounds):
+    for _ in range(i + 1):
         rows = rng.integers(0, len(y), len(y))
-        model = train(x[rows], y[rows], features, Params(**{**asdict(p), "seed": p.seed + i}), valid=valid)
-        for name, gain, _ in permutation_importance(model, *valid, repeats=1, seed=seed + i)[:top]:
-            if gain > 0:
-                counts[name] += 1
-    share = {f: c / rounds for f, c in counts.items()}
+    model = train(x[rows], y[rows], features, Params(**{**asdict(p), "seed": p.seed + i}), valid=valid)
+    return [name for name, gain, _ in permutation_importance(model, *valid, repeats=1, seed=seed + i)[:top] if gain > 0]
+
+
+def most_stable(found: Sequence[str], features: Sequence[str], rounds: int, top: int, least: float = 0.6) -> tuple[list[str], dict[str, float]]:
+    """Features found in at least that share of the rounds, and the share of each; the most frequent if none is."""
+    share = {f: found.count(f) / rounds for f in features}
     chosen = [f for f in features if share[f] >= least]
     return chosen or sorted(features, key=lambda f: (-share[f], f))[:top], share
 
 
+def stability_selection(x: np.ndarray, y: np.ndarray, valid: tuple[np.ndarray, np.ndarray], features: Sequence[str], p: Params, rounds: int = 10, top: int = 20, least: float = 0.6, seed: int = 42) -> tuple[list[str], dict[str, float]]:
+    """Features among the top ones in at least that share of bootstrap rounds, and how often each was; the most frequent if none is."""
+    found = [f for i in range(rounds) for f in stable_round(x, y, valid, features, p, i, top, seed)]
+    return most_stable(found, features, rounds, top, least)
+
+
 def meta_features(models: Sequence[Model], final: Model, x: np.ndarray) -> pd.DataFrame:
     """What an error model sees of a prediction: spread over fold models, leaves visited, and contributions."""
     each = np.stack([m.predict(x) for m in models], axis=1)

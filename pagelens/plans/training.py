@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -68,9 +69,12 @@ def run(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     for name in cfg.sets:
         found = M.feature_set(name, columns)
         sets[name] = M.prune_correlated(seen, found, cfg.correlation) if cfg.correlation and len(found) > 1 else found
-    trials = durable(B.search(rows, sets, cfg.targets, cfg.key, cfg.n_trials, cfg.most_trees, cfg.seed), "trials")
-    best = B.best_trials(trials).collect()
-    summary, importances, selection, scored = [], [], [], None
+    every = sorted({c for found in sets.values() for c in found})
+    shared = B.matrices(rows, every, cfg.targets, cfg.key)
+    trials = durable(B.search(rows, sets, cfg.targets, cfg.key, cfg.n_trials, cfg.most_trees, cfg.seed, shared=shared), "trials")
+    # Models are fetched one at a time.
+    best = B.best_trials(trials.drop("model_json")).collect()
+    summary, importances, selection, scored, work, held = [], [], [], None, [], {}
     for target in cfg.targets:
         base = M.constant_baseline(rows, target).first()
         if base.mean_used is None:
@@ -78,34 +82,37 @@ def run(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
         n = rows.filter((F.col("split") == "train") & F.col(target).isNotNull() & ~F.isnan(target)).count()
         summary.append((target, "baseline_constant_mean", "none", 0, n, base.n_val, base.val_mae, None, None, None, f"mean={base.mean_used}"))
     for r in best:
-        model = B.Model.from_json(r.model_json)
+        row = trials.filter((F.col("target") == r.target) & (F.col("feature_set") == r.feature_set) & (F.col("trial") == r.trial)).select("model_json").first()
+        p = json.loads(r.params_json)
+        params = B.Params(**{**p, "n_trees": min(p["n_trees"], cfg.most_trees or p["n_trees"]), "seed": cfg.seed + r.trial})
+        model, parts = B.sent(spark, row.model_json, sets[r.feature_set], params, r.best_iteration, r.val_mae if r.n_val else None)
+        del row
         name = f"xgb_hpo_{r.feature_set}_{r.target}"
-        wmae = _weighted(rows, model, r.target)
+        if r.target not in held:
+            held[r.target] = _held(rows, r.target)
+        wmae = _weighted(held[r.target], model, r.target)
         summary.append((r.target, name, r.feature_set, r.n_features, r.n_train, r.n_val, r.val_mae, wmae, r.best_iteration, r.params_json, ""))
-        importances += [(name, r.target, *(i[k] for k in ("feature", "gain", "gain_norm", "weight", "weight_norm", "cover", "cover_norm"))) for i in model.importances()]
+        importances += [(name, r.target, *(i[k] for k in ("feature", "gain", "gain_norm", "weight", "weight_norm", "cover", "cover_norm"))) for i in parts]
         part = B.score(rows.filter("split = 'val'"), model, "pred").select(F.col(cfg.key), F.lit(name).alias("model_name"), F.lit(r.target).alias("target"), F.col(r.target).cast("double").alias("gt"), "pred")
         scored = part if scored is None else scored.unionByName(part)
         if cfg.select and r.feature_set in cfg.select_sets and r.n_val:
-            m = B.matrix(rows, model.features, r.target, cfg.key)
-            x, y = m[list(model.features)].to_numpy(float), m[r.target].to_numpy(float)
-            tr, va = (m["split"] == "train").to_numpy(), (m["split"] == "val").to_numpy()
-            p = model.params
-            if cfg.select == "stability":
-                chosen, _ = B.stability_selection(x[tr], y[tr], (x[va], y[va]), model.features, p, top=cfg.top_k, seed=cfg.seed)
-            else:
-                chosen = [f for f, _, _ in B.permutation_importance(model, x[va], y[va], seed=cfg.seed)[: cfg.top_k]]
-            if cfg.retrain == "small_hpo":
-                small = B.best_trials(B.search(rows, {"fs": chosen}, [r.target], cfg.key, cfg.small_trials, cfg.most_trees, cfg.seed + 1)).first()
-                again, error, params = B.Model.from_json(small.model_json), small.val_mae, small.params_json
-            elif cfg.retrain == "refit_best_params":
-                again = B.train(m[chosen].to_numpy(float)[tr], y[tr], chosen, p, valid=(m[chosen].to_numpy(float)[va], y[va]))
-                error, params = float(abs(again.predict(m[chosen].to_numpy(float)[va]) - y[va]).mean()), r.params_json
-            else:
-                raise ValueError(f"unknown way of retraining: {cfg.retrain}")
-            notes = f"{cfg.select}, {cfg.retrain}"
-            wmae = _weighted(rows, again, r.target)
-            summary.append((r.target, f"xgb_hpo_{r.feature_set}_fs_{r.target}", f"{r.feature_set}_fs", len(chosen), r.n_train, r.n_val, error, wmae, again.best_iteration, params, notes))
+            chosen = B.selected(spark, model, shared[r.target], every, cfg.select, cfg.top_k, cfg.seed)
             selection += [(name, cfg.select, i, f) for i, f in enumerate(chosen)]
+            work.append((len(summary), r, model.params, chosen))
+    if work and cfg.retrain not in ("refit_best_params", "small_hpo"):
+        raise ValueError(f"unknown way of retraining: {cfg.retrain}")
+    if work and cfg.retrain == "refit_best_params":
+        again = durable(B.refitted(spark, [(r.target, r.feature_set, p, chosen) for _, r, p, chosen in work], shared, every), "refitted")
+    for at, r, _, chosen in reversed(work):
+        if cfg.retrain == "small_hpo":
+            found = B.best_trials(B.search(rows, {"fs": chosen}, [r.target], cfg.key, cfg.small_trials, cfg.most_trees, cfg.seed + 1)).first()
+            params = found.params_json
+        else:
+            found = again.filter((F.col("target") == r.target) & (F.col("feature_set") == r.feature_set)).first()
+            params = r.params_json
+        model, _ = B.sent(spark, found.model_json, chosen, B.Params(), found.best_iteration, found.val_mae)
+        wmae = _weighted(held[r.target], model, r.target)
+        summary.insert(at, (r.target, f"xgb_hpo_{r.feature_set}_fs_{r.target}", f"{r.feature_set}_fs", len(chosen), r.n_train, r.n_val, found.val_mae, wmae, found.best_iteration, params, f"{cfg.select}, {cfg.retrain}"))
     return {
         "summary": spark.createDataFrame(summary, SUMMARY),
         "trials": trials.drop("model_json"),
@@ -117,9 +124,16 @@ def run(df: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     }
 
 
-def _weighted(rows: DataFrame, model: B.Model, target: str) -> float | None:
+def _held(rows: DataFrame, target: str) -> tuple[DataFrame, float, float]:
+    """Validation rows with the target, dealt out to all cores, and the target's range over all rows."""
+    y = F.col(target).cast("double")
+    known = rows.filter(y.isNotNull() & ~F.isnan(y))
+    low, high = known.agg(F.min(y), F.max(y)).first()
+    return durable(known.filter("split = 'val'").repartition(rows.sparkSession.sparkContext.defaultParallelism), "held"), low, high
+
+
+def _weighted(held: tuple[DataFrame, float, float], model: B.Model, target: str) -> float | None:
+    rows, low, high = held
     y = F.col(target).cast("double")
-    held = B.score(rows.filter((F.col("split") == "val") & y.isNotNull() & ~F.isnan(y)), model, "pred")
-    low, high = rows.filter(y.isNotNull() & ~F.isnan(y)).agg(F.min(y), F.max(y)).first()
     weight = M.sample_weight(y, target, F.lit(low), F.lit(high))
-    return held.agg(M.mae(y, F.col("pred"), weight)).first()[0]
+    return B.score(rows, model, "pred").agg(M.mae(y, F.col("pred"), weight)).first()[0]
